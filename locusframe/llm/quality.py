@@ -8,6 +8,7 @@ threshold decides on every document.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import let, words
@@ -41,9 +42,10 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, p
     pair = F.when(F.col("b").isNotNull(), _bucket(F.col("a"), F.col("b"), buckets=buckets))
     grams = pairs.select("target", F.explode(F.array(_bucket(F.col("a"), buckets=buckets), pair)).alias("bucket")).where("bucket is not null")
     counted = grams.groupBy("bucket").agg(F.count("*").alias("r"), F.count("target").alias("t"))
-    whole = counted.agg(F.sum("r").alias("all_r"), F.sum("t").alias("all_t"))
-    ratio = (F.col("t") * F.col("all_r") / F.col("r") + prior) / (F.col("all_t") + prior)
-    return counted.join(F.broadcast(whole)).select("bucket", F.round(F.log(ratio) * SCALE).cast("int").alias("weight"))
+    everything = W.partitionBy()  # of at most `buckets` rows
+    all_r, all_t = F.sum("r").over(everything), F.sum("t").over(everything)
+    ratio = (F.col("t") * all_r / F.col("r") + prior) / (all_t + prior)
+    return counted.select("bucket", F.round(F.log(ratio) * SCALE).cast("int").alias("weight"))
 
 
 def _repeated(w: Column, hashes: Column, again: Column) -> Column:

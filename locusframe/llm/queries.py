@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash_dedup, token_counts
+from . import bpe, embedding_dedup, langid, mixing, quality, secret_scan, simhash_dedup, token_counts
 from .common import table
 
 
@@ -16,11 +15,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, weights).select("doc_id", "quality.*")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = token_counts.read_spec(public_tokenizers.path("word_bpe_49k.json"))
     return token_counts.token_counts(table(spark, sf_dir, "documents"), spec, 2048)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
@@ -30,5 +45,5 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_token_counts, op9_byte_bpe, op10_simhash_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_embedding_dedup, op5_token_counts, op6_secret_scan, op7_language_id, op8_source_mixing, op9_byte_bpe, op10_simhash_dedup)}
+ORACLE_SQL: dict[str, str] = {"op6_secret_scan": secret_scan.oracle_sql(), "op8_source_mixing": mixing.oracle_sql()}
