@@ -30,10 +30,11 @@ def _at(w: Column, i: Column) -> Column:
     return F.get(w, i)
 
 
-def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, prior: int = 10_000) -> DataFrame:
+def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, prior: int = 30) -> DataFrame:
     """(bucket, weight): 1000 times the log ratio of each bucket's target and corpus shares, rounded.
 
-    The target's share is drawn towards the corpus's by `prior` imagined n-grams. trusted must be bounded: it is broadcast.
+    Both counts of a bucket, the target's scaled to the corpus's size, are raised by `prior`, so rare n-grams weigh little.
+    Without trusted documents all weights are zero. trusted must be bounded: it is broadcast.
     """
     target = F.broadcast(trusted.select("doc_id", F.lit(1).alias("target")))
     split = docs.select("doc_id", words(F.col("text")).alias("w")).join(target, "doc_id", "left")
@@ -44,7 +45,7 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, p
     counted = grams.groupBy("bucket").agg(F.count("*").alias("r"), F.count("target").alias("t"))
     everything = W.partitionBy()  # of at most `buckets` rows
     all_r, all_t = F.sum("r").over(everything), F.sum("t").over(everything)
-    ratio = (F.col("t") * all_r / F.col("r") + prior) / (all_t + prior)
+    ratio = (F.coalesce(F.try_divide(F.col("t") * all_r, all_t), F.col("r")) + prior) / (F.col("r") + prior)
     return counted.select("bucket", F.round(F.log(ratio) * SCALE).cast("int").alias("weight"))
 
 
@@ -64,7 +65,7 @@ def _repeated(w: Column, hashes: Column, again: Column) -> Column:
     return F.when(F.size(again) == 0, 0).otherwise(let(F.sort_array(windows), covered))
 
 
-def quality_rules(docs: DataFrame, weights: DataFrame, buckets: int = 1 << 16, min_score: float = -0.12) -> DataFrame:
+def quality_rules(docs: DataFrame, weights: DataFrame, buckets: int = 1 << 16, min_score: float = -0.1) -> DataFrame:
     """docs with a column `quality`: a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs), base_failed,
     score (mean log ratio in nats, null without words) and kept.
 
@@ -104,5 +105,6 @@ def quality_rules(docs: DataFrame, weights: DataFrame, buckets: int = 1 << 16, m
         kept = ~failed & F.coalesce(m["score"] >= min_score, F.lit(False))
         return F.struct(*(m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.alias("base_failed"), m["score"].alias("score"), kept.alias("kept"))
 
-    out = df.withColumn("quality", let(measured, judge))
+    # The row number keeps filters on `quality` above these steps; pushed down, they would repeat them many times over.
+    out = df.withColumn("quality", F.when(F.monotonically_increasing_id() >= 0, let(measured, judge)))
     return out.drop(*(f"__quality_{x}" for x in "wgts"))
