@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, langid, mixing, quality, secret_scan, simhash_dedup, token_counts
+from . import bpe, embedding_dedup, langid, licenses, mixing, quality, secret_scan, simhash_dedup, token_counts, url_filters
 from .common import table
 
 
@@ -15,6 +16,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, weights).select("doc_id", "quality.*")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = url_filters.url_verdicts(url_filters.page_captures(pages), url_filters.page_list(pages))
+    return found.select("page_id", "host", F.date_format("fetched_on", "yyyy-MM-dd").alias("fetched_on"), "n_active", "categories", "blocked")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(licenses.document_files(table(spark, sf_dir, "documents")))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -45,5 +56,5 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_embedding_dedup, op5_token_counts, op6_secret_scan, op7_language_id, op8_source_mixing, op9_byte_bpe, op10_simhash_dedup)}
-ORACLE_SQL: dict[str, str] = {"op6_secret_scan": secret_scan.oracle_sql(), "op8_source_mixing": mixing.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_license_scan, op4_embedding_dedup, op5_token_counts, op6_secret_scan, op7_language_id, op8_source_mixing, op9_byte_bpe, op10_simhash_dedup)}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": url_filters.ORACLE_SQL, "op3_license_scan": licenses.oracle_sql(), "op6_secret_scan": secret_scan.oracle_sql(), "op8_source_mixing": mixing.oracle_sql()}
