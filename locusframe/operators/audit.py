@@ -47,7 +47,8 @@ def group_summaries(df: DataFrame, value: str) -> DataFrame:
 def sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
     """(user_id, session, n, total): runs of a user's events no further apart than the gap."""
     order = W.partitionBy("user_id").orderBy("ts")
-    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = micros - F.lag(micros).over(order)
     starts = F.when(gap.isNull() | (gap > gap_seconds * 1_000_000), 1).otherwise(0)
     numbered = events.withColumn("s", starts).withColumn("session", F.sum("s").over(order.rangeBetween(W.unboundedPreceding, W.currentRow)))
     return numbered.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
