@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.loci import draw, key_code, key_position, make_key
-from ..operators import audit, beta, calls, intervals, metrics, models, pooling, represent, resampling, splits
+from ..operators import audit, beta, calls, intervals, metrics, models, pooling, qc, represent, resampling, splits
+from ..sources import text
 from .benchviews import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -602,3 +603,145 @@ def k3(spark, d):
     chosen = beta.select_regions(beta.one_vs_rest(region, fit), 4, 0.0)
     filled = beta.impute_medians(region, fit, samples, chosen)
     return models.fit_predict(models.assemble(filled, "sample_id", "region_id", "region_beta"), samples.select("sample_id", "label_idx", "split"))
+
+
+# Quality control and consistency
+
+
+@query("B18_fingerprint", "SELECT sample_id, count(*) AS n, bit_xor(('0x' || substr(md5('|' || locus_key || '|' || state), 1, 8))::BIGINT) AS print FROM v_calls GROUP BY 1")
+def b18(spark, d):
+    return qc.fingerprint(view(spark, d, "v_calls"), ["locus_key", "state"], ["sample_id"])
+
+
+@query("C16_same_samples", "SELECT count(*) FILTER (b.k IS NULL) AS only_a, count(*) FILTER (a.k IS NULL) AS only_b FROM (SELECT DISTINCT sample_id AS k FROM v_obs) a FULL JOIN (SELECT DISTINCT sample_id AS k FROM v_samples WHERE batch = 'B0') b ON a.k = b.k")
+def c16(spark, d):
+    return qc.same_keys(view(spark, d, "v_obs"), view(spark, d, "v_samples").where("batch = 'B0'"), "sample_id")
+
+
+@query("C17_open_cells", "SELECT arm, fold FROM (SELECT unnest(range(3)) AS fold) CROSS JOIN (SELECT unnest(['a', 'b', 'c']) AS arm) WHERE (arm, fold) NOT IN (SELECT DISTINCT chr((97 + c_custkey % 2)::INTEGER), c_nationkey % 3 FROM customer)")
+def c17(spark, d):
+    rows = spark.read.parquet(f"{d}/customer.parquet")
+    done = rows.select(F.char(97 + F.col("c_custkey") % 2).alias("arm"), (F.col("c_nationkey") % 3).cast("long").alias("fold")).distinct()
+    return qc.open_cells(done, {"arm": ["a", "b", "c"], "fold": [0, 1, 2]}).select("arm", F.col("fold").cast("long").alias("fold"))
+
+
+@query("C20_regression", "WITH a AS (SELECT sample_id * 4294967296 * 64 + locus_key AS k, * FROM v_obs) SELECT 'c_count' AS \"column\", count(*) AS equal, 0::BIGINT AS different FROM a UNION ALL SELECT 'ct_count', count(*) FILTER (locus_key % 10 <> 0), count(*) FILTER (locus_key % 10 = 0) FROM a")
+def c20(spark, d):
+    rows = view(spark, d, "v_obs").withColumn("k", F.col("sample_id") * (1 << 38) + F.col("locus_key"))
+    again = rows.withColumn("ct_count", F.col("ct_count") + F.when(F.col("locus_key") % 10 == 0, 1).otherwise(0))
+    return qc.regression(rows, again, "k", ["c_count", "ct_count"])
+
+
+PAIRS = "pp AS (SELECT batch, count(*) * 3 + sample_id % 5 AS pairs, CASE WHEN sample_id % 3 = 0 THEN 5 * count(*) + 8 END AS bytes FROM v_calls JOIN v_samples USING (sample_id) GROUP BY sample_id, batch)"
+
+
+@query("D9_extrapolation", f"WITH {PAIRS}, a AS (SELECT median(bytes / pairs) AS r FROM pp) SELECT batch, count(*) AS n, round(coalesce(median(bytes / pairs), any_value(a.r)), 6) AS ratio, round(sum(pairs) * coalesce(median(bytes / pairs), any_value(a.r)), 4) AS expected FROM pp, a GROUP BY 1")
+def d9(spark, d):
+    rows = view(spark, d, "v_calls").join(view(spark, d, "v_samples").select("sample_id", "batch"), "sample_id").groupBy("sample_id", "batch").agg(F.count("*").alias("n"))
+    per = rows.select("batch", (F.col("n") * 3 + F.col("sample_id") % 5).alias("pairs"), F.when(F.col("sample_id") % 3 == 0, 5 * F.col("n") + 8).alias("bytes"))
+    out = qc.extrapolated_bytes(per)
+    return out.select("batch", "n", F.round("ratio", 6).alias("ratio"), F.round("expected", 4).alias("expected"))
+
+
+ENDS = "en AS (SELECT mate, state, locus_key - min(locus_key) OVER w AS d5, max(locus_key) OVER w - locus_key AS d3 FROM v_calls WINDOW w AS (PARTITION BY sample_id, fragment_id)), ed AS (SELECT 5 AS \"end\", mate AS read, d5 AS dist, state FROM en UNION ALL SELECT 3, mate, d3, state FROM en), ep AS (SELECT \"end\", read, dist, count(*) AS n, sum(state)::BIGINT AS up FROM ed WHERE dist < 600 GROUP BY ALL)"
+
+
+@query("D12_end_distances", f"WITH {ENDS} SELECT * FROM ep")
+def d12(spark, d):
+    return qc.end_distances(view(spark, d, "v_calls"), 600)
+
+
+@query("D15_end_excess", f"WITH {ENDS} SELECT \"end\", read, round(100 * (sum(up) FILTER (dist < 10) / sum(n) FILTER (dist < 10) - sum(up) FILTER (dist BETWEEN 10 AND 100) / sum(n) FILTER (dist BETWEEN 10 AND 100)), 6) AS excess FROM ep GROUP BY ALL")
+def d15(spark, d):
+    return rounded(qc.end_excess(qc.end_distances(view(spark, d, "v_calls"), 600), 10, 10, 100))
+
+
+@query("D13_clip_grid", "WITH g AS (SELECT unnest([{'a': 0, 'b': 0}, {'a': 5, 'b': 0}, {'a': 5, 'b': 10}]) AS g), m AS (SELECT g.a AS clip_1, g.b AS clip_2, min(state) AS lo, max(state) AS hi FROM v_calls CROSS JOIN g WHERE locus_key // 5 % 40 >= CASE WHEN mate = 1 THEN g.a ELSE g.b END GROUP BY g.a, g.b, sample_id, fragment_id, locus_key) SELECT clip_1, clip_2, count(*) FILTER (lo = hi) AS calls, (sum(lo) FILTER (lo = hi))::BIGINT AS up, count(*) FILTER (lo <> hi) AS conflicts FROM m GROUP BY ALL")
+def d13(spark, d):
+    return qc.clip_grid(view(spark, d, "v_calls").withColumn("read_pos", F.expr("locus_key div 5 % 40")), [(0, 0), (5, 0), (5, 10)])
+
+
+@query("D20_fisher_tables", "WITH c AS (SELECT diagnosis AS label, count(*) FILTER (batch = 'B0') AS a, count(*) FILTER (batch <> 'B0') AS b FROM v_samples GROUP BY 1), t AS (SELECT *, (sum(a) OVER () - a)::BIGINT AS c, (sum(b) OVER () - b)::BIGINT AS d FROM c) SELECT *, round(a * d / (b * c), 6) AS odds FROM t")
+def d20(spark, d):
+    flagged = labelled(spark, d).withColumn("flag", F.when(F.col("batch") == "B0", 1).otherwise(0))
+    return rounded(qc.fisher_by_class(flagged, "label", "flag").drop("p"))
+
+
+@query("D20_fisher_p")
+def d20b(spark, d):
+    flagged = labelled(spark, d).withColumn("flag", F.when(F.col("batch") == "B0", 1).otherwise(0))
+    return rounded(qc.fisher_by_class(flagged, "label", "flag"))
+
+
+@query("D29_arm_spread", f"WITH {SEEDED}, t AS (SELECT arm, seed, y, arg_max(cls, prob) AS label FROM sd GROUP BY arm, seed, sample_id, y), v AS (SELECT arm, seed, avg(CASE WHEN y = label THEN 1 ELSE 0 END) AS v FROM t GROUP BY ALL) SELECT arm, count(*) AS seeds, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM v GROUP BY 1")
+def d29(spark, d):
+    top = metrics.predicted(seeded(spark, d), ["arm", "seed"])
+    return rounded(qc.arm_spread(top.select("arm", "seed", (F.col("y") == F.col("label")).cast("double").alias("value"))))
+
+
+@query("D34_filter_totals", "SELECT sample_id % 4 AS shard, CASE WHEN context <> 'CG' THEN 'non_cg' WHEN code > 22 THEN 'other_contig' WHEN ct_count < 4 THEN 'low_coverage' ELSE 'kept' END AS reason, count(*) AS n FROM v_methratio GROUP BY ALL")
+def d34(spark, d):
+    rows = view(spark, d, "v_methratio").withColumn("shard", F.col("sample_id") % 4)
+    return rows.groupBy("shard", beta.scan_reason(F.col("context"), F.col("code"), F.col("ct_count"), 4).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("F2_random_bag", f"WITH i AS (SELECT DISTINCT sample_id, fragment_id FROM v_calls), p AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY {seeded_hash(17, 'sample_id', 'fragment_id')}, fragment_id) - 1 AS place, count(*) OVER (PARTITION BY sample_id) AS n FROM i), s AS (SELECT DISTINCT sample_id, n, unnest(range(4)) AS slot FROM p WHERE n < 4) SELECT sample_id, place AS slot, fragment_id FROM p WHERE n >= 4 AND place < 4 UNION ALL SELECT s.sample_id, s.slot, p.fragment_id FROM s JOIN p ON s.sample_id = p.sample_id AND p.place = {seeded_hash('17-slot', 's.sample_id', 's.slot')} % s.n")
+def f2(spark, d):
+    bag = qc.random_bag(view(spark, d, "v_calls").select("sample_id", "fragment_id").distinct(), "sample_id", "fragment_id", 4, 17)
+    return bag.withColumn("slot", F.col("slot").cast("long"))
+
+
+@query("F3_balanced_schedule", f"WITH p AS (SELECT diagnosis AS label, sample_id, row_number() OVER (PARTITION BY diagnosis ORDER BY sample_id) - 1 AS at FROM v_samples), c AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) - 1 AS cls FROM p GROUP BY 1), s AS (SELECT unnest(range(1000)) AS slot), x AS (SELECT slot, {seeded_hash('17-class', 'slot')} % (SELECT count(*) FROM c) AS cls FROM s) SELECT slot, p.label, sample_id FROM x JOIN c ON x.cls = c.cls JOIN p ON p.label = c.label AND p.at = {seeded_hash('17-sample', 'slot')} % c.n")
+def f3(spark, d):
+    return qc.balanced_schedule(labelled(spark, d), 1000, 17)
+
+
+@query("G1_patients", "SELECT patient_id, diagnosis AS label, diagnosis || '|' || batch AS stratum, 1::BIGINT AS n_labels FROM v_samples")
+def g1(spark, d):
+    return splits.patients(labelled(spark, d), ["label", "batch"])
+
+
+@query("G9_content_twins")
+def g9(spark, d):
+    people = splits.patients(labelled(spark, d), ["label", "batch"])
+    table = splits.kfold_splits(people, 5, 20, 17)
+    c = view(spark, d, "v_calls")
+    copied = c.where("sample_id % 25 <> 2").union(c.where("sample_id % 25 = 1").withColumn("sample_id", F.col("sample_id") + 1).select(c.columns))
+    return splits.content_twins(copied, table)
+
+
+@query("G11_completeness", "SELECT count(*) FILTER (p.k IS NULL) AS missing, count(*) FILTER (e.sample_id IS NULL) AS unexpected, count(*) FILTER (p.k > 1) AS repeated FROM (SELECT sample_id, count(*) AS k FROM (SELECT sample_id FROM v_samples WHERE sample_id % 3 <> 0 UNION ALL SELECT sample_id FROM v_samples WHERE sample_id % 7 = 0) GROUP BY 1) p FULL JOIN (SELECT sample_id FROM v_samples WHERE official_split = 'test') e ON p.sample_id = e.sample_id")
+def g11(spark, d):
+    s = view(spark, d, "v_samples").select("sample_id", "official_split")
+    return qc.completeness(s.where("sample_id % 3 <> 0").union(s.where("sample_id % 7 = 0")), s.where("official_split = 'test'"))
+
+
+@query("G12_model_choice", "WITH m AS (SELECT diagnosis AS candidate, ascii(diagnosis) AS place, avg(age) AS mean FROM v_samples GROUP BY ALL), n AS (SELECT * FROM m WHERE mean >= (SELECT max(mean) FROM m) - 200) SELECT arg_min(candidate, place) AS candidate, round(arg_min(mean, place), 4) AS mean FROM n")
+def g12(spark, d):
+    s = view(spark, d, "v_samples").select(F.col("diagnosis").alias("candidate"), F.ascii("diagnosis").alias("place"), F.col("age").alias("value"))
+    return rounded(qc.simplest_within(s, 200.0), 4)
+
+
+@query("G13_recheck", "WITH m AS (SELECT diagnosis AS name, avg(age) AS v FROM v_samples GROUP BY 1) SELECT name, round(v, 4) AS recomputed, round(v + 1, 4) AS stored FROM m WHERE name < 'F'")
+def g13(spark, d):
+    m = view(spark, d, "v_samples").groupBy(F.col("diagnosis").alias("name")).agg(F.avg("age").alias("value"))
+    return rounded(qc.recheck(m, m.withColumn("value", F.col("value") + F.when(F.col("name") < "F", 1.0).otherwise(0.0)), "name", 1e-6), 4)
+
+
+@query("K4_region_trees")
+def k4(spark, d):
+    obs = observations(spark, d)
+    samples = labelled(spark, d).select("sample_id", "label_idx", F.col("official_split").alias("split"))
+    summary = beta.sample_summary(obs, obs.select("locus_key").distinct().count()).na.fill(0.0)
+    long = summary.select("sample_id", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in ("n_observed", "mean_beta", "var_beta", "mean_coverage")))).alias("f")).select("sample_id", "f.*")
+    return models.fit_predict(models.assemble(long, "sample_id", "name", "value"), samples, trees=20)
+
+
+# Sequence text
+
+
+@query("A9_motif_positions", "WITH t AS (SELECT doc_id, lower(replace(text, chr(10), '')) AS t FROM documents), u AS (SELECT doc_id, t, unnest(range(1, length(t))) AS pos FROM t) SELECT doc_id, pos FROM u WHERE t[pos:pos + 1] = 'th'")
+def a9(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return text.motif_positions(lines, "doc_id", "th").withColumn("pos", F.col("pos").cast("long"))

@@ -107,9 +107,17 @@ def motif_positions(lines: DataFrame, by: str, motif: str) -> DataFrame:
     # A following line may be shorter than the rest of a motif, so as many lines as it has letters are put behind.
     behind = F.concat(*(F.coalesce(F.lead("line", i).over(order), F.lit("")) for i in range(1, len(motif)))) if len(motif) > 1 else F.lit("")
     text = F.lower(F.concat("line", F.substring(behind, 1, len(motif) - 1)))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("line"), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(len(motif))) == motif.lower())
-    df = lines.select(by, "line_no", "line", offset.alias("offset"), text.alias("text"))
-    return df.select(by, "offset", F.explode(starts).alias("at")).select(by, (F.col("offset") + F.col("at")).alias("pos"))
+    # Cut before every match: the pieces' lengths give the places, in one pass over the line.
+    pieces = F.split(text, rf"(?=\Q{motif.lower()}\E)")
+
+    def step(acc: Column, piece: Column) -> Column:
+        own = F.when(F.startswith(piece, F.lit(motif.lower())), F.array(acc["at"])).otherwise(F.array().cast("array<int>"))
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["found"], own).alias("found"))
+
+    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
+    found = F.filter(F.aggregate(pieces, zero, step, lambda acc: acc["found"]), lambda i: i <= F.length("line"))
+    df = lines.select(by, offset.alias("offset"), found.alias("found"))
+    return df.select(by, "offset", F.explode("found").alias("at")).select(by, (F.col("offset") + F.col("at")).alias("pos"))
 
 
 def fasta_lines(lines: DataFrame) -> DataFrame:
