@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,3 +38,28 @@ def merge_parts(parts: DataFrame, group: str) -> DataFrame:
 def mean_max_pool(rows: DataFrame, group: str) -> DataFrame:
     each = rows.select(group, F.posexplode("vec").alias("dim", "x"))
     return each.groupBy(group, "dim").agg(F.avg("x").alias("mean"), F.max("x").alias("max"))
+
+
+def gated_scores(rows: DataFrame, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> DataFrame:
+    """rows (id, grp, vec) as (id, grp, head, score, vec): w times tanh(v x) * sigmoid(u x), one score for each row of w."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.stack(b.vec.to_numpy()).astype(float)
+            s = (np.tanh(x @ v.T) / (1 + np.exp(-(x @ u.T)))) @ w.T
+            for head in range(s.shape[1]):
+                yield pd.DataFrame({"id": b.id, "grp": b.grp, "head": head, "score": s[:, head], "vec": b.vec})
+
+    return rows.select("id", "grp", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(run, "id long, grp long, head int, score double, vec array<double>")
+
+
+def query_scores(rows: DataFrame, k: np.ndarray, q: np.ndarray) -> DataFrame:
+    """rows (id, grp, vec) as (id, grp, head, score, vec): scaled products of k x with each learned query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            s = np.stack(b.vec.to_numpy()).astype(float) @ k.T @ q.T / math.sqrt(q.shape[1])
+            for head in range(s.shape[1]):
+                yield pd.DataFrame({"id": b.id, "grp": b.grp, "head": head, "score": s[:, head], "vec": b.vec})
+
+    return rows.select("id", "grp", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(run, "id long, grp long, head int, score double, vec array<double>")

@@ -123,3 +123,41 @@ def recheck(recomputed: DataFrame, stored: DataFrame, key: str, tolerance: float
     """(key, recomputed, stored) of values that are not within tolerance of what is stored."""
     both = recomputed.select(key, F.col("value").alias("recomputed")).join(stored.select(key, F.col("value").alias("stored")), key)
     return both.where(F.abs(F.col("recomputed") - F.col("stored")) > tolerance)
+
+
+def noncpg_excess(profile: DataFrame, k: int, low: int, high: int) -> DataFrame:
+    """(context, read, excess): mean percentage of the first k positions minus the median over positions low to high."""
+    level = profile.where(F.col("pos").between(low, high)).groupBy("context", "read").agg(F.median("pct").alias("level"))
+    order = W.partitionBy("context", "read").orderBy("pos")
+    head = profile.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).groupBy("context", "read").agg(F.avg("pct").alias("head"))
+    return head.join(level, ["context", "read"]).select("context", "read", (F.col("head") - F.col("level")).alias("excess"))
+
+
+def profile_check(own: DataFrame, report: DataFrame, min_coverage: int) -> DataFrame:
+    """(read, positions, largest_gap, coverage_ratio) of two M-bias profiles (read, pos, n, pct) where both have min_coverage calls."""
+    other = report.select("read", "pos", F.col("n").alias("n2"), F.col("pct").alias("pct2"))
+    both = own.join(other, ["read", "pos"]).where((F.col("n") >= min_coverage) & (F.col("n2") >= min_coverage))
+    return both.groupBy("read").agg(F.count("*").alias("positions"), F.max(F.abs(F.col("pct") - F.col("pct2"))).alias("largest_gap"), (F.sum("n") / F.sum("n2")).alias("coverage_ratio"))
+
+
+def tail_deviation(profile: DataFrame, level: DataFrame, k: int) -> DataFrame:
+    """(read, signed_dev): mean signed distance of the last k positions from the plateau."""
+    order = W.partitionBy("read").orderBy(F.desc("pos"))
+    tail = profile.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).join(level, "read")
+    return tail.groupBy("read").agg(F.avg(F.col("pct") - F.col("plateau")).alias("signed_dev"))
+
+
+def threshold_rollup(per_sample: DataFrame) -> DataFrame:
+    """(threshold, batch, diagnosis, samples, mean, low, high) of a share by sample (threshold, batch, diagnosis, share)."""
+    return per_sample.groupBy("threshold", "batch", "diagnosis").agg(F.count("*").alias("samples"), F.avg("share").alias("mean"), F.min("share").alias("low"), F.max("share").alias("high"))
+
+
+def run_rollup(placed: DataFrame, reads: DataFrame) -> DataFrame:
+    """(split, label, patients, fragments, valid) of a fold: placed has sample_id, patient_id, split, label; reads are per-sample counts."""
+    return placed.join(reads, "sample_id", "left").groupBy("split", "label").agg(F.countDistinct("patient_id").alias("patients"), F.sum("n_fragments").alias("fragments"), F.sum("n_valid").alias("valid"))
+
+
+def loading_mass(loadings: DataFrame) -> DataFrame:
+    """(pc, group, mass): share of a component's squared loadings (pc, group, w) that falls on each group of features."""
+    each = loadings.groupBy("pc", "group").agg(F.sum(F.col("w") * F.col("w")).alias("s"))
+    return each.select("pc", "group", (F.col("s") / F.sum("s").over(W.partitionBy("pc"))).alias("mass"))

@@ -37,3 +37,23 @@ def paired_permutation(hits: DataFrame, replicates: int, seed: int) -> DataFrame
     seen = hits.agg((F.avg(F.col("hit_a") - F.col("hit_b"))).alias("observed"))
     both = deltas.join(F.broadcast(seen), F.lit(True))
     return both.groupBy(F.col("observed").alias("delta")).agg(((F.count_if(F.abs("delta") >= F.abs("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def compare_arms(hits: DataFrame, pairs: list[tuple[str, str]], replicates: int, seed: int) -> DataFrame:
+    """(arm_a, arm_b, delta, low, high, share_le_0, p) for a short list of pairs of arms; hits: arm, sample_id, y, hit.
+
+    A pair with an absent arm is skipped. Arms on different samples, or a sample twice in an arm, fail.
+    """
+    known = {r.arm: (r.n, r.k, r.x) for r in hits.groupBy("arm").agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("k"), F.bit_xor(F.xxhash64("sample_id")).alias("x")).collect()}
+    out = None
+    for a, b in ((a, b) for a, b in pairs if a in known and b in known):
+        if known[a] != known[b] or known[a][0] != known[a][1]:
+            raise ValueError(f"arms {a} and {b} are not on the same samples")
+        sides = [hits.where(F.col("arm") == arm).select("sample_id", "y", F.col("hit").alias(name)) for arm, name in ((a, "hit_a"), (b, "hit_b"))]
+        both = sides[0].join(sides[1], ["sample_id", "y"])
+        p = paired_permutation(both, replicates, seed).select("p")
+        row = paired_bootstrap(both, replicates, seed).join(F.broadcast(p), F.lit(True)).select(F.lit(a).alias("arm_a"), F.lit(b).alias("arm_b"), "delta", "low", "high", "share_le_0", "p")
+        out = row if out is None else out.union(row)
+    if out is None:
+        raise ValueError("no pair of arms is present")
+    return out

@@ -44,7 +44,7 @@ def fold_of(people: DataFrame, k: int, seed: int) -> DataFrame:
     sizes = df.groupBy("stratum").agg(F.count("*").alias("n"))
     shift = sizes.select("stratum", F.coalesce(F.sum("n").over(W.orderBy("stratum").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
     at = F.row_number().over(W.partitionBy("stratum").orderBy(draw(seed, F.col("patient_id")), "patient_id"))
-    return df.withColumn("at", at).join(F.broadcast(shift), "stratum").withColumn("fold", F.pmod(F.col("shift") + F.col("at") - 1, F.lit(k)).cast("int")).drop("at", "shift")
+    return df.withColumn("at", at).join(shift, "stratum").withColumn("fold", F.pmod(F.col("shift") + F.col("at") - 1, F.lit(k)).cast("int")).drop("at", "shift")
 
 
 def carve_validation(train: DataFrame, percent: int, seed: int, stratum: str = "label") -> DataFrame:
@@ -56,7 +56,7 @@ def carve_validation(train: DataFrame, percent: int, seed: int, stratum: str = "
     quota = quota.withColumn("short", F.col("want") - F.sum("base").over(fold)).withColumn("place", F.row_number().over(fold.orderBy(F.desc("rest"), stratum)))
     quota = quota.select("fold", stratum, (F.col("base") + F.when(F.col("place") <= F.col("short"), 1).otherwise(0)).alias("quota"))
     order = W.partitionBy("fold", stratum).orderBy(draw(seed, F.col("fold"), F.col("patient_id")), "patient_id")
-    return train.withColumn("at", F.row_number().over(order)).join(F.broadcast(quota), ["fold", stratum]).withColumn("split", F.when(F.col("at") <= F.col("quota"), "val").otherwise("train")).drop("at", "quota")
+    return train.withColumn("at", F.row_number().over(order)).join(quota, ["fold", stratum]).withColumn("split", F.when(F.col("at") <= F.col("quota"), "val").otherwise("train")).drop("at", "quota")
 
 
 def kfold_splits(people: DataFrame, k: int, percent: int, seed: int) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -745,3 +746,71 @@ def a9(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return text.motif_positions(lines, "doc_id", "th").withColumn("pos", F.col("pos").cast("long"))
+
+
+CONTEXTS = "pc AS (SELECT l_returnflag AS context, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS read, (l_orderkey % 40)::BIGINT AS pos, count(*) AS n, 100 * avg(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS pct FROM lineitem GROUP BY ALL)"
+
+
+def context_profile(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    read = F.when(F.col("l_linestatus") == "F", 1).otherwise(2)
+    return rows.groupBy(F.col("l_returnflag").alias("context"), read.alias("read"), (F.col("l_orderkey") % 40).alias("pos")).agg(F.count("*").alias("n"), (100 * F.avg((F.col("l_quantity") > 25).cast("int"))).alias("pct"))
+
+
+@query("D16_context_excess", f"WITH {CONTEXTS}, lv AS (SELECT context, read, median(pct) AS level FROM pc WHERE pos BETWEEN 10 AND 30 GROUP BY ALL), h AS (SELECT context, read, avg(pct) AS head FROM (SELECT *, row_number() OVER (PARTITION BY context, read ORDER BY pos) AS rn FROM pc) WHERE rn <= 5 GROUP BY ALL) SELECT h.context, h.read, round(head - level, 6) AS excess FROM h JOIN lv ON h.context = lv.context AND h.read = lv.read")
+def d16(spark, d):
+    return rounded(qc.noncpg_excess(context_profile(spark, d), 5, 10, 30))
+
+
+@query("D36_profile_check", f"WITH {CONTEXTS}, a AS (SELECT * FROM pc WHERE context = 'N'), b AS (SELECT * FROM pc WHERE context = 'R') SELECT a.read, count(*) AS positions, round(max(abs(a.pct - b.pct)), 6) AS largest_gap, round(sum(a.n) / sum(b.n), 6) AS coverage_ratio FROM a JOIN b ON a.read = b.read AND a.pos = b.pos WHERE a.n >= 3 AND b.n >= 3 GROUP BY 1")
+def d36(spark, d):
+    p = context_profile(spark, d)
+    return rounded(qc.profile_check(p.where("context = 'N'"), p.where("context = 'R'"), 3))
+
+
+@query("E6_tail_deviation", f"WITH {PROFILE}, pl AS (SELECT read, median(pct) AS plateau FROM pf WHERE pos BETWEEN 10 AND 30 GROUP BY 1), t AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY pos DESC) AS rn FROM pf) SELECT t.read, round(avg(pct - plateau), 6) AS signed_dev FROM t JOIN pl ON t.read = pl.read WHERE rn <= 10 GROUP BY 1")
+def e6(spark, d):
+    p = profile(spark, d)
+    return rounded(qc.tail_deviation(p, calls.plateau(p, 10, 30), 10))
+
+
+@query("D38_threshold_rollup", "WITH f AS (SELECT sample_id, fragment_id, count(*) AS n FROM v_calls GROUP BY ALL), s AS (SELECT t.threshold, sample_id, avg(CASE WHEN n >= t.threshold THEN 1 ELSE 0 END) AS share FROM f CROSS JOIN (SELECT unnest([1, 2, 3]) AS threshold) t GROUP BY ALL) SELECT threshold, batch, diagnosis, count(*) AS samples, round(avg(share), 6) AS mean, round(min(share), 6) AS low, round(max(share), 6) AS high FROM s JOIN v_samples USING (sample_id) GROUP BY ALL")
+def d38(spark, d):
+    each = view(spark, d, "v_calls").groupBy("sample_id", "fragment_id").agg(F.count("*").alias("n"))
+    by = each.select("sample_id", "n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("threshold"))
+    share = by.groupBy("sample_id", "threshold").agg(F.avg((F.col("n") >= F.col("threshold")).cast("int")).alias("share"))
+    return rounded(qc.threshold_rollup(share.join(view(spark, d, "v_samples"), "sample_id")))
+
+
+@query("D39_run_rollup", "WITH f AS (SELECT sample_id, count(*) AS n FROM v_calls GROUP BY sample_id, fragment_id), r AS (SELECT sample_id, count(*) AS n_fragments, count(*) FILTER (n >= 3) AS n_valid FROM f GROUP BY 1) SELECT official_split AS split, diagnosis AS label, count(DISTINCT patient_id) AS patients, sum(n_fragments)::BIGINT AS fragments, sum(n_valid)::BIGINT AS valid FROM v_samples LEFT JOIN r USING (sample_id) GROUP BY ALL")
+def d39(spark, d):
+    placed = labelled(spark, d).withColumnRenamed("official_split", "split")
+    return qc.run_rollup(placed, calls.read_stats(view(spark, d, "v_calls"), 3, 100))
+
+
+@query("H7_loading_mass", "WITH l AS (SELECT vec_id % 5 AS pc, i % 4 AS \"group\", embedding[i]::DOUBLE AS w FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)), s AS (SELECT pc, \"group\", sum(w * w) AS s FROM l GROUP BY ALL) SELECT pc, \"group\", round(s / sum(s) OVER (PARTITION BY pc), 6) AS mass FROM s")
+def h7(spark, d):
+    each = embedding_store(spark, d).select((F.col("locus_key") % 5).alias("pc"), F.posexplode("vec").alias("i", "w"))
+    return rounded(qc.loading_mass(each.select("pc", ((F.col("i") + 1) % 4).cast("long").alias("group"), F.col("w").cast("double").alias("w"))))
+
+
+@query("I4_gated_attention_pool")
+def i4(spark, d):
+    x = np.arange(1, 1 + 3 * 64).reshape(3, 64)
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("grp"), F.col("embedding").alias("vec"))
+    scored = pooling.gated_scores(rows, np.sin(x), np.cos(x), np.array([[1.0, -0.5, 0.25]]))
+    return pooling.softmax_pool(scored.where("head = 0"), "grp")
+
+
+@query("I5_query_attention_pool")
+def i5(spark, d):
+    x = np.arange(1, 1 + 3 * 64).reshape(3, 64)
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("grp"), F.col("embedding").alias("vec"))
+    return pooling.softmax_pool(pooling.query_scores(rows, np.sin(x), np.eye(3)).where("head = 0"), "grp")
+
+
+@query("J4_compare_arms")
+def j4(spark, d):
+    top = metrics.predicted(predictions(spark, d), ["arm"])
+    long = top.select(F.col("arm").cast("string").alias("arm"), "sample_id", "y", (F.col("y") == F.col("label")).cast("int").alias("hit"))
+    return resampling.compare_arms(long, [("0", "1"), ("1", "0"), ("0", "absent")], 100, 17)
