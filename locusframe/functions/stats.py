@@ -9,8 +9,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)  # made anew: one that has been called cannot be pickled
+
+
+def _erfc(x):
+    return np.vectorize(math.erfc, otypes=[float])(x)
 
 
 def beta_inc(a, b, x, steps: int = 400):
