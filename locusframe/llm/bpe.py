@@ -10,19 +10,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 GAP, DEAD, NONE = -1, -2, 1 << 30
 WIDE = -1  # stands for a part with white space beside a space
-BATCH_CHARS = 16 << 20  # texts of about so many characters are replayed together
-CACHE_PARTS = 400_000  # distinct parts of texts that a task keeps before it starts anew
+BATCH_BYTES = 6 << 20  # texts of about so many bytes are replayed together
+CACHE_PARTS = 250_000  # distinct parts of texts that a task keeps before it starts anew
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,7 +54,7 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], NONE)
 
-    def replay(self, pieces: list[bytes]) -> tuple[list[int], list[int]]:
+    def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, list[int]]:
         """Token ids of all pieces, none of them empty, one after another; where each piece's ids end."""
         raw = np.frombuffer(b"\0".join(pieces), np.uint8)
         sizes = np.array([len(p) for p in pieces])
@@ -110,7 +109,7 @@ class Merges:
             post(np.concatenate([at, before]))
         alive = tok[1:-1][tok[1:-1] != DEAD]
         ends = np.nonzero(np.append(alive, GAP) == GAP)[0] - np.arange(len(pieces))
-        return alive[alive != GAP].tolist(), ends.tolist()
+        return alive[alive != GAP].astype(np.int32), ends.tolist()
 
 
 class Encoder:
@@ -122,10 +121,10 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
         self.parts: dict[str, int] = {}
         self.wide: set[str] = set()
-        self.ids: list[list[int]] = []
+        self.ids: list[bytes] = []
         self.said: list[str] = []
         self.decoded: list[bytes] = []
 
@@ -133,12 +132,14 @@ class Encoder:
         """Replay the merges over all new pieces together."""
         if new := list(pieces.difference(self.known)):
             flat, ends = self.merges.replay([p.encode() for p in new])
-            self.known.update(zip(new, map(flat.__getitem__, map(slice, [0, *ends], ends))))
+            raw, cuts = flat.tobytes(), [4 * e for e in ends]
+            self.known.update(zip(new, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
 
     def keep(self, found: list[str]) -> int:
         """The position, in the lists above, of the tokens of some pieces."""
-        own = list(chain.from_iterable(map(self.known.__getitem__, found)))
-        self.ids.append(own)
+        raw = b"".join(map(self.known.__getitem__, found))
+        own = memoryview(raw).cast("i").tolist()
+        self.ids.append(raw)
         self.said.append(" ".join(map(self.decimal.__getitem__, own)))
         self.decoded.append(b"".join(map(self.merges.bytes.__getitem__, own)))
         return len(self.ids) - 1
@@ -169,29 +170,12 @@ class Encoder:
         return [[self.keep(whole[i])] if i in whole else list(map(code, p)) if texts[i] else [] for i, p in enumerate(split)]
 
 
-def _runs(texts: list[str]) -> Iterator[slice]:
-    """Slices of texts of about BATCH_CHARS each."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > BATCH_CHARS:
-            yield slice(at, i)
-            at, size = i, 0
-        size += len(t)
-    yield slice(at, len(texts))
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Ids and texts of many small batches together."""
-    ids, texts, size = [], [], 0
-    for b in batches:
-        ids.append(b.column(0))
-        texts += [t or "" for t in b.column(1).to_pylist()]
-        size += b.column(1).nbytes
-        if size > BATCH_CHARS:
-            yield pa.concat_arrays(ids), texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield pa.concat_arrays(ids), texts
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch (doc_id, text) cut into slices of about BATCH_BYTES of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // BATCH_BYTES
+    for at in np.unique(group, return_index=True)[1].tolist():
+        yield batch.slice(at, int((group == group[at]).sum()))
 
 
 def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = True) -> DataFrame:
@@ -205,22 +189,22 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(merges.value, pattern)
-        for ids, texts in _gathered(batches):
-            for part in _runs(texts):
-                rows: tuple[list, ...] = ([], [], [], [])
-                for own in encoder.codes(texts[part]):
-                    said = " ".join(map(encoder.said.__getitem__, own))
-                    decoded = b"".join(map(encoder.decoded.__getitem__, own))
-                    rows[0].append(said.count(" ") + 1 if said else 0)
-                    rows[1].append(hashlib.sha256(said.encode()).hexdigest())
-                    rows[2].append(hashlib.sha256(decoded).hexdigest())
-                    if with_ids:
-                        rows[3].append(list(chain.from_iterable(map(encoder.ids.__getitem__, own))))
-                columns = [ids[part], pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        for part in (x for b in batches for x in _slices(b)):
+            n, said_sha, decoded_sha, ids = [], [], [], []
+            for own in encoder.codes([t or "" for t in part.column(1).to_pylist()]):
+                said = " ".join(map(encoder.said.__getitem__, own))
+                n.append(said.count(" ") + 1 if said else 0)
+                said_sha.append(hashlib.sha256(said.encode()).hexdigest())
+                decoded_sha.append(hashlib.sha256(b"".join(map(encoder.decoded.__getitem__, own))).hexdigest())
                 if with_ids:
-                    columns, names = [*columns, pa.array(rows[3], pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    ids.append(b"".join(map(encoder.ids.__getitem__, own)))
+            columns = [part.column(0), pa.array(n, pa.int64()), pa.array(said_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                flat = pa.array(np.frombuffer(b"".join(ids), np.int32), pa.int32())
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), flat))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
