@@ -229,10 +229,11 @@ def simhash_dedup(docs: DataFrame, radius: int = 2, shingle: int = 3, leaf_rows:
 def drop_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """The rows of docs, all columns, of which one stays for each component: that of the smallest doc_id.
 
-    A doc_id that is repeated keeps one row. Rows without doc_id cannot be named and stay.
+    A doc_id that is repeated keeps one row. Rows without doc_id cannot be named and stay. The ids kept grow with the rows, so
+    their join is a merge join at every size.
     """
     kept, _ = stored(simhash_dedup(docs, radius, shingle).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")))
-    once = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    once = docs.join(kept.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     again = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     if not kept.where("n > 1").head(1):
         again = again.limit(0)
