@@ -3,14 +3,16 @@
 Every vector is projected on many fixed directions. Two vectors collide on a direction if their projections differ by at
 most a window; pairs that collide on enough directions are verified by cosine. Window and count are set so that a pair at
 the threshold is missed with a stated probability. Vectors of one label are sorted by their first projection into blocks;
-a block also receives the vectors within its window from earlier blocks, and the further directions split it again, each
-with the window's margin, until few enough are left to count collisions pair by pair.
+a block also receives the vectors from earlier blocks within its reach, which is wider than a window: the chance that it
+parts a pair is what collision counting leaves of the stated one. The further directions split a block again, each with
+the window's margin, until few enough are left to count collisions pair by pair.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,7 @@ from .common import components, stored
 from .simhash_dedup import Forest
 
 PAIRS = 1 << 21  # pairs whose collisions are counted at once
-MISSED = 1e-4  # chance that a pair right at the threshold collides too rarely
+MISSED = 1e-4  # chance that a pair right at the threshold collides too rarely or is parted by the blocks
 
 
 def directions(dim: int, count: int) -> np.ndarray:
@@ -47,6 +49,15 @@ def calibrate(threshold: float, count: int, missed: float = MISSED) -> tuple[flo
     return width, need
 
 
+def block_reach(threshold: float, count: int, missed: float = MISSED) -> float:
+    """How far apart a pair's first projections may be: a pair at the threshold is parted or collides too rarely with a chance of `missed`."""
+    need = calibrate(threshold, count, missed)[1]
+    p = math.erf(2.5 / math.sqrt(2))
+    rare = sum(math.comb(count, k) * p**k * (1 - p) ** (count - k) for k in range(need))
+    left = max(missed - rare, missed / 100)
+    return NormalDist().inv_cdf(1 - left / 2) * math.sqrt(2 - 2 * threshold)
+
+
 def candidate_pairs(proj: np.ndarray, home: np.ndarray, width: float, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Arrays (i, j), each pair once, of a home row j and any other row i that collide on at least `need` of proj's columns.
 
@@ -102,6 +113,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, count: int = 16
     name no component, and where they link with nothing their component_id is null. An empty table gives an empty result.
     """
     width, need = calibrate(threshold, count)
+    reach = block_reach(threshold, count)
     valid = "label is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(F.expr(valid), F.lit(False)).alias("valid"))
     keyed = rows.withColumn("point", F.when(F.col("valid"), F.xxhash64("label", "embedding")))
@@ -123,7 +135,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, count: int = 16
     cuts = _block_edges(first, sized, block_rows)
     placed = points.join(first.select("point", "label", "first"), ["point", "label"]).join(cuts, "label", "left")
     below = lambda x: F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e < x))
-    spread = placed.withColumn("own", below(F.col("first"))).withColumn("to", F.explode(F.sequence(F.col("own"), below(F.col("first") + width))))
+    spread = placed.withColumn("own", below(F.col("first"))).withColumn("to", F.explode(F.sequence(F.col("own"), below(F.col("first") + reach))))
     dealt = spread.select("label", F.size("embedding").alias("dim"), F.col("to").alias("block"), (F.col("own") == F.col("to")).alias("home"), "point", "n", "embedding")
 
     def link(part: pd.DataFrame) -> pd.DataFrame:

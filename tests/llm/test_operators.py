@@ -167,6 +167,20 @@ def test_embedding_dedup_matches_brute_force(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_links_pairs_across_blocks(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.standard_normal((2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cos = rng.uniform(0.9301, 0.94, (1500, 1))
+    both = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * b])
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    found = embedding_dedup.embedding_dedup(df, block_rows=64).orderBy("vec_id").toPandas()
+    assert (found.n_links == 1).sum() == 3000
+    assert (found.component_id == found.vec_id % 1500).all()
+
+
 @pytest.fixture(scope="module")
 def spec():
     return token_counts.read_spec(public_tokenizers.path("word_bpe_49k.json"))
