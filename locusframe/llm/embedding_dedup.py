@@ -2,9 +2,10 @@
 
 Every vector is projected on many fixed directions. Two vectors collide on a direction if their projections differ by at
 most a window; pairs that collide on enough directions are verified by cosine. Window and count are set so that a pair at
-the threshold is missed with a stated probability. Vectors of one label are sorted by their first projection into blocks;
-a block also receives the vectors from earlier blocks within its reach, which is wider than a window: the chance that it
-parts a pair is what collision counting leaves of the stated one. The further directions split a block again, each with
+the threshold is missed with a stated probability. Vectors of one label are sorted by their first projection into blocks
+and these cut into units of a bounded size. A unit meets itself and the earlier units of all blocks within its reach, a run
+of at most RUN units at a time, so no group grows with its label. The reach is wider than a window: the chance that it
+parts a pair is what collision counting leaves of the stated one. The further directions split a group again, each with
 the window's margin, until few enough are left to count collisions pair by pair.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import components, stored
 from .simhash_dedup import Forest
 
+RUN = 8  # earlier units that a unit meets in one group
 PAIRS = 1 << 21  # pairs whose collisions are counted at once
 MISSED = 1e-4  # chance that a pair right at the threshold collides too rarely or is parted by the blocks
 
@@ -127,16 +129,21 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, count: int = 16
                 x = np.array(v)
                 x = x / np.abs(x).max()
                 first.append(float(x @ directions(len(x), 1)[:, 0] / np.linalg.norm(x)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(first)], names=["point", "label", "first"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(first)], names=["point", "label", "dim", "first"])
 
-    first, _ = stored(points.select("point", "label", "embedding").mapInArrow(project, f"point long, label {dict(points.dtypes)['label']}, first double"))
+    sets = ["label", "dim"]
+    points = points.withColumn("dim", F.size("embedding"))
+    first, _ = stored(points.select("point", "label", "embedding", "dim").mapInArrow(project, f"point long, label {dict(points.dtypes)['label']}, dim int, first double"))
     # Blocks of about block_rows by first projection within a label; labels with fewer rows are one block.
-    sized = first.groupBy("label").agg(F.count("*").alias("rows"))
-    cuts = _block_edges(first, sized, block_rows)
-    placed = points.join(first.select("point", "label", "first"), ["point", "label"]).join(cuts, "label", "left")
-    below = lambda x: F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e < x))
-    spread = placed.withColumn("own", below(F.col("first"))).withColumn("to", F.explode(F.sequence(F.col("own"), below(F.col("first") + reach))))
-    dealt = spread.select("label", F.size("embedding").alias("dim"), F.col("to").alias("block"), (F.col("own") == F.col("to")).alias("home"), "point", "n", "embedding")
+    sized = first.groupBy(*sets).agg(F.count("*").alias("rows"))
+    cuts, _ = stored(_block_edges(first, sized, block_rows))
+    own = F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e <= F.col("first"))).alias("own")
+    homes, _ = stored(first.join(cuts, sets, "left").select("point", *sets, own))
+    units = _units(homes.groupBy(*sets, "own").agg(F.count("*").alias("held")), cuts, block_rows, reach)
+    placed = points.join(homes, ["point", *sets]).join(units, [*sets, "own"]).withColumn("at", F.expr("start + pmod(xxhash64(point), slices)"))
+    meets = f"""concat(transform(sequence(low div {RUN}, at div {RUN}), r -> struct(at as unit, r as run, true as home)),
+        if(at < high, transform(sequence(at + 1, greatest(high, at + 1)), u -> struct(u as unit, at div {RUN} as run, false as home)), array()))"""
+    dealt = placed.select(*sets, F.inline(F.expr(meets)), "point", "n", "embedding")
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["point"], ignore_index=True)
@@ -145,8 +152,12 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, count: int = 16
         squares = (x * x).sum(axis=1)
         unit = x / np.sqrt(squares)[:, None]
         home, n = part.home.to_numpy(), part.n.to_numpy()
+        among = part.unit[0] // RUN == part.run[0]  # a unit's own pairs count in one of its groups
         links, forest = np.zeros(len(x), np.int64), Forest(len(x))
         for i, j in candidate_pairs(unit @ directions(x.shape[1], count), home, width, need):
+            if not among:
+                across = ~(home[i] & home[j])
+                i, j = i[across], j[across]
             for at in range(0, len(i), 1 << 16):
                 a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
                 cos = np.einsum("ij,ij->i", x[a], x[b]) / np.sqrt(squares[a] * squares[b])
@@ -157,7 +168,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, count: int = 16
         out = pd.DataFrame({"point": part.point, "links": links, "root": part.point.to_numpy()[forest.parent]})
         return out[(out.links > 0) | (out.root != out.point)]
 
-    found, _ = stored(dealt.groupBy("label", "dim", "block").applyInPandas(link, "point long, links long, root long"))
+    found, _ = stored(dealt.groupBy(*sets, "unit", "run").applyInPandas(link, "point long, links long, root long"))
     counted = found.groupBy("point").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("point").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "point")
     named = points.select("point", "n", "least").join(counted, "point", "left").join(roots, "point", "left").withColumn("root", F.coalesce("root", "point"))
@@ -170,12 +181,35 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, count: int = 16
 
 
 def _block_edges(first: DataFrame, sized: DataFrame, block_rows: int) -> DataFrame:
-    """(label, edges): for labels with more than block_rows points, first projections that cut them into blocks of about so many.
+    """(label, dim, edges): for labels with more than block_rows points, first projections that cut them into blocks of about so many.
 
-    A histogram of the projections (unit vectors, so within a few units of zero) finds the edges; a bin holds whole ties.
+    A histogram of the projections (unit vectors, so within a few units of zero) finds the edges; a bin holds whole ties. A
+    block reaches from an edge, included, to the next, and holds at least a bin.
     """
-    bins = first.groupBy("label", F.floor(F.col("first") * 256).alias("bin")).agg(F.count("*").alias("held"))
-    up_to = F.sum("held").over(W.partitionBy("label").orderBy("bin"))
-    steps = bins.withColumn("up_to", up_to).join(sized, "label").where(F.col("rows") > block_rows)
+    sets = ["label", "dim"]
+    bins = first.groupBy(*sets, F.floor(F.col("first") * 256).alias("bin")).agg(F.count("*").alias("held"))
+    up_to = F.sum("held").over(W.partitionBy(*sets).orderBy("bin"))
+    steps = bins.withColumn("up_to", up_to).join(sized, sets).where(F.col("rows") > block_rows)
     crossed = steps.where(F.expr(f"up_to div {block_rows} > (up_to - held) div {block_rows}")).where("up_to < rows")
-    return crossed.groupBy("label").agg(F.sort_array(F.collect_list((F.col("bin") + 1) / 256)).alias("edges"))
+    return crossed.groupBy(*sets).agg(F.sort_array(F.collect_list((F.col("bin") + 1) / 256)).alias("edges"))
+
+
+def _units(blocks: DataFrame, cuts: DataFrame, block_rows: int, reach: float) -> DataFrame:
+    """(label, dim, own, start, slices, low, high) for each block `own` of blocks (label, dim, own, held): its units are the
+    `slices` from `start` on, and those of all blocks within reach are `low` to `high`.
+
+    Bins of a dense label hold more than block_rows points; slices keep a unit at one and a half times that or fewer.
+    """
+    sets = ["label", "dim"]
+    slices = F.greatest(F.round(F.col("held") / block_rows), F.lit(1)).cast("long")
+    order = W.partitionBy(*sets).orderBy("own")
+    numbered, _ = stored(blocks.withColumn("slices", slices).withColumn("start", F.sum("slices").over(order) - F.col("slices")))
+    below, above = (F.get("edges", F.col("own") + i) for i in (-1, 0))
+    near = numbered.join(cuts, sets, "left").select(
+        *sets, "own", "start", "slices",
+        F.coalesce(F.size(F.filter("edges", lambda e: e < below - reach)), F.lit(0)).alias("least"),
+        F.when(above.isNull(), F.col("own")).otherwise(F.size(F.filter("edges", lambda e: e <= above + reach))).alias("most"),
+    )
+    lows = numbered.select(*sets, F.col("own").alias("least"), F.col("start").alias("low"))
+    highs = numbered.select(*sets, F.col("own").alias("most"), (F.col("start") + F.col("slices") - 1).alias("high"))
+    return near.join(lows, [*sets, "least"]).join(highs, [*sets, "most"]).drop("least", "most")

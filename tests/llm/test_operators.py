@@ -181,6 +181,25 @@ def test_embedding_dedup_links_pairs_across_blocks(spark):
     assert (found.component_id == found.vec_id % 1500).all()
 
 
+def test_embedding_dedup_groups_do_not_grow_with_their_label(spark, monkeypatch, tmp_path):
+    plain, log = embedding_dedup.candidate_pairs, str(tmp_path / "groups")
+
+    def noted(proj, home, width, need):
+        with open(log, "a") as f:
+            f.write(f"{len(proj)} {home.sum()}\n")
+        return plain(proj, home, width, need)
+
+    monkeypatch.setattr(embedding_dedup, "candidate_pairs", noted)
+    x = np.random.default_rng(6).standard_normal((1000, 64))
+    x = np.concatenate([x, x + 1e-3, x - 1e-3])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = embedding_dedup.embedding_dedup(df, block_rows=32).toPandas()
+    assert (found.n_links == 2).all() and found.component_id.nunique() == 1000
+    seen = np.loadtxt(log, dtype=int)
+    assert len(seen) > 100
+    assert seen[:, 0].max() < 32 * 2 * (1 + 8) and seen[:, 1].max() < 32 * 2
+
+
 @pytest.fixture(scope="module")
 def spec():
     return token_counts.read_spec(public_tokenizers.path("word_bpe_49k.json"))
