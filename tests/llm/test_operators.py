@@ -129,6 +129,26 @@ def test_license_scan_inherits_from_the_nearest_directory(spark):
     assert licenses.license_scan(files.limit(0)).count() == 0
 
 
+def test_license_scan_reads_full_texts_and_comment_blocks(spark):
+    full = {}
+    for name, text in licenses.FULL_TEXTS:
+        full.setdefault(name, []).append(text)
+    mit = full["MIT"][0].replace("<year> <copyright holders>", "2021 Jane Roe and the Widget Authors")
+    bsd = full["BSD-3-Clause"][0].replace("REGENTS", "COPYRIGHT HOLDERS")
+    comment = lambda text, mark: "".join(f"{mark} {x}\n" for x in text.splitlines())
+    short = {name: min(full[name], key=len) for name in ("Apache-2.0", "GPL-3.0", "MPL-2.0")}
+    rows = [("m/LICENSE", mit, "MIT"), ("b/LICENSE.txt", bsd, "BSD-3-Clause"), ("a/LICENSE", max(full["Apache-2.0"], key=len), "Apache-2.0"), ("g/COPYING", max(full["GPL-3.0"], key=len), "GPL-3.0")]
+    rows += [("g2/COPYING", max(full["GPL-2.0"], key=len), "GPL-2.0"), ("p/LICENSE", max(full["MPL-2.0"], key=len), "MPL-2.0"), ("l/COPYING", full["LGPL-3.0"][0], "LGPL-3.0")]
+    rows += [("b2/LICENSE", full["BSD-2-Clause"][0], "BSD-2-Clause"), ("h/a.py", comment(short["Apache-2.0"], "#") + "import os\n", "Apache-2.0"), ("h/b.c", "/*\n" + short["GPL-3.0"] + "*/\nint main;\n", "GPL-3.0")]
+    rows += [("h/c.js", comment(mit, "//") + "let x\n", "MIT"), ("h/d.py", "# a tool\n" + prose(300, 4), None), ("h/e.txt", None, None), ("h/f.txt", "import os\n" + mit, None), (None, mit, None), ("q/LICENSE", prose(200, 5), None)]
+    rows += [("o/LICENSE", f"plain {i}", None) for i in range(30)]
+    files = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "doc_id long, path string, text string")
+    found = {r.doc_id: r.own_license for r in licenses.license_scan(files).collect()}
+    assert found == {i: r[2] for i, r in enumerate(rows)}
+    lent = spark.createDataFrame([(1, "m/LICENSE", mit), (2, "m/x/f.py", "x = 1")], "doc_id long, path string, text string")
+    assert {r.doc_id: (r.license, r.origin, r.from_dir) for r in licenses.license_scan(lent).collect()}[2] == ("MIT", "inherited", "m")
+
+
 def test_embedding_dedup_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((60, 16))
