@@ -596,14 +596,20 @@ def k5(spark, d):
     return models.fit_predict(models.assemble(long, "sample_id", "name", "value"), samples)
 
 
-@query("K3_region_logistic")
-def k3(spark, d):
+def region_features(spark, d):
+    """(features, samples) of K3 and K4: regions observed in a tenth of the fit samples, as in D4, then selected and filled on them."""
     samples = labelled(spark, d).select("sample_id", "label", "label_idx", F.col("official_split").alias("split"))
     region = values(spark, d)
     fit = samples.where("split = 'train'")
-    chosen = beta.select_regions(beta.one_vs_rest(region, fit), 4, 0.0)
+    seen = beta.observed_regions(region.join(fit.select("sample_id"), "sample_id"), fit.count(), 0.1)
+    chosen = beta.select_regions(beta.one_vs_rest(region.join(seen.select("region_id"), "region_id"), fit), 4, 0.0)
     filled = beta.impute_medians(region, fit, samples, chosen)
-    return models.fit_predict(models.assemble(filled, "sample_id", "region_id", "region_beta"), samples.select("sample_id", "label_idx", "split"))
+    return models.assemble(filled, "sample_id", "region_id", "region_beta"), samples.select("sample_id", "label_idx", "split")
+
+
+@query("K3_region_logistic")
+def k3(spark, d):
+    return models.fit_predict(*region_features(spark, d))
 
 
 # Quality control and consistency
@@ -731,11 +737,7 @@ def g13(spark, d):
 
 @query("K4_region_trees")
 def k4(spark, d):
-    obs = observations(spark, d)
-    samples = labelled(spark, d).select("sample_id", "label_idx", F.col("official_split").alias("split"))
-    summary = beta.sample_summary(obs, obs.select("locus_key").distinct().count()).na.fill(0.0)
-    long = summary.select("sample_id", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in ("n_observed", "mean_beta", "var_beta", "mean_coverage")))).alias("f")).select("sample_id", "f.*")
-    return models.fit_predict(models.assemble(long, "sample_id", "name", "value"), samples, trees=20)
+    return models.fit_predict(*region_features(spark, d), trees=300)
 
 
 # Sequence text
@@ -813,4 +815,4 @@ def i5(spark, d):
 def j4(spark, d):
     top = metrics.predicted(predictions(spark, d), ["arm"])
     long = top.select(F.col("arm").cast("string").alias("arm"), "sample_id", "y", (F.col("y") == F.col("label")).cast("int").alias("hit"))
-    return resampling.compare_arms(long, [("0", "1"), ("1", "0"), ("0", "absent")], 100, 17)
+    return resampling.compare_arms(long, [("0", "1"), ("1", "0"), ("0", "absent")], 2000, 17)

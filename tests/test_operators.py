@@ -1,6 +1,7 @@
 """Hand-computed cases of single operators."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from locusframe.functions import stats
 from locusframe.functions.loci import contig_code, key_code, key_position, make_key, strict_key
 from locusframe.operators import beta, calls, intervals, metrics, pooling, represent, resampling, splits
+from locusframe.plans import registry
 
 
 def k(code, pos):
@@ -157,3 +159,18 @@ def test_representations(spark):
         represent.gather(spark.createDataFrame([(1,)], "locus_key long"), store).collect()
     with pytest.raises(Exception, match="missing key"):
         represent.gather(spark.createDataFrame([(9,)], "locus_key long"), store).collect()
+
+
+def test_region_trees_and_arm_table_run_in_full(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    if not Path(d).is_dir():
+        pytest.skip("needs the driver's tables")
+    fitted = []
+    monkeypatch.setattr(registry.models, "fit_predict", lambda features, samples, trees=0: fitted.append((features.first().features.size, trees)))
+    registry.QUERIES["K3_region_logistic"](spark, d)
+    registry.QUERIES["K4_region_trees"](spark, d)
+    assert fitted[0][0] == fitted[1][0] > 4 and [t for _, t in fitted] == [0, 300]
+    replicates = []
+    monkeypatch.setattr(registry.resampling, "compare_arms", lambda hits, pairs, n, seed: replicates.append(n))
+    registry.QUERIES["J4_compare_arms"](spark, d)
+    assert replicates == [2000]
