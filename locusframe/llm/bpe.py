@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 GAP, DEAD, NONE = -1, -2, 1 << 30
 WIDE = -1  # stands for a part with white space beside a space
 BATCH_BYTES = 6 << 20  # texts of about so many bytes are replayed together
-CACHE_PARTS = 250_000  # distinct parts of texts that a task keeps before it starts anew
+CACHE_BYTES = 96 << 20  # bytes of parts and pieces that a task keeps before it starts anew
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -122,18 +122,22 @@ class Encoder:
 
     def reset(self) -> None:
         self.known: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.heads: dict[str, int] = {}
         self.parts: dict[str, int] = {}
         self.wide: set[str] = set()
         self.ids: list[bytes] = []
         self.said: list[str] = []
         self.decoded: list[bytes] = []
+        self.lasting = self.held = 0  # entries of the lists above that outlive a call; bytes kept in all
 
     def learn(self, pieces: set[str]) -> None:
         """Replay the merges over all new pieces together."""
         if new := list(pieces.difference(self.known)):
-            flat, ends = self.merges.replay([p.encode() for p in new])
+            coded = [p.encode() for p in new]
+            flat, ends = self.merges.replay(coded)
             raw, cuts = flat.tobytes(), [4 * e for e in ends]
             self.known.update(zip(new, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
+            self.held += len(raw) + sum(map(len, coded)) + 200 * len(new)
 
     def keep(self, found: list[str]) -> int:
         """The position, in the lists above, of the tokens of some pieces."""
@@ -145,29 +149,35 @@ class Encoder:
         return len(self.ids) - 1
 
     def codes(self, texts: list[str]) -> list[list[int]]:
-        """For each text, positions in the lists above of its tokens, part by part.
+        """For each text, positions in the lists above of its tokens, part by part; they hold until the next call.
 
-        A part is what stands between two spaces, with the space before it. The pattern's pieces never reach over a space
-        that has no white space beside it, so a part is split into pieces once and remembered. Texts with other spaces are
-        one part.
+        A part is what stands between two spaces, with the space before it; a head is what stands before a text's first space.
+        The pattern's pieces never reach over a space that has no white space beside it, so a part is split into pieces once
+        and remembered. Texts with other spaces are one part, which is forgotten again.
         """
-        if len(self.parts) > CACHE_PARTS:
+        if self.held > CACHE_BYTES:
             self.reset()
-        split = [("\0" + t).split(" ") for t in texts]  # the first part, marked by NUL, has no space before it
-        fresh: dict[str, list[str]] = {}
-        for x in set().union(*split).difference(self.parts):
-            own = x.removeprefix("\0")
-            if own and not own[0].isspace() and not own[-1].isspace() and "\0" not in own:
-                fresh[x] = self.find(own if own is not x else " " + x)
-            else:
-                self.parts[x] = WIDE
-                self.wide.add(x)
+        for kept in (self.ids, self.said, self.decoded):
+            del kept[self.lasting :]
+        split = [t.split(" ") for t in texts]
+        heads, tails = [p[0] for p in split], [p[1:] for p in split]
+        fresh: list[tuple[dict[str, int], str, list[str]]] = []
+        for known, space, new in ((self.heads, "", set(heads)), (self.parts, " ", set().union(*tails))):
+            for x in new.difference(known):
+                if x and not x[0].isspace() and not x[-1].isspace():
+                    fresh.append((known, x, self.find(space + x)))
+                else:
+                    known[x] = WIDE
+                    self.wide.add(x)
+                    self.held += 200 + 4 * len(x)
         whole = {i: self.find(texts[i]) for i, p in enumerate(split) if texts[i] and not self.wide.isdisjoint(p)} if self.wide else {}
-        self.learn(set().union(*fresh.values(), *whole.values()))
-        for x, found in fresh.items():
-            self.parts[x] = self.keep(found)
-        code = self.parts.__getitem__
-        return [[self.keep(whole[i])] if i in whole else list(map(code, p)) if texts[i] else [] for i, p in enumerate(split)]
+        self.learn(set().union(*(x[2] for x in fresh), *whole.values()))
+        for known, x, found in fresh:
+            at = known[x] = self.keep(found)
+            self.held += 400 + 4 * len(x) + len(self.ids[at]) + len(self.said[at]) + len(self.decoded[at])
+        self.lasting = len(self.ids)
+        head, code = self.heads.__getitem__, self.parts.__getitem__
+        return [[self.keep(whole[i])] if i in whole else [head(heads[i]), *map(code, tails[i])] if texts[i] else [] for i in range(len(texts))]
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
