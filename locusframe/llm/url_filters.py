@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MOST_BROADCAST = 200_000  # intervals; a longer list is joined by a shuffle
+ADDRESS = r"^([0-9.]+|\[.*)$"
 
 
 def host(url: Column) -> Column:
@@ -16,9 +17,10 @@ def host(url: Column) -> Column:
 
 
 def suffixes(name: Column) -> Column:
-    """A host and its parent domains of two labels or more."""
+    """A host and its parent domains of two labels or more; a host of one label and an IP address stand alone."""
     labels = F.split(name, r"\.")
-    starts = F.when(F.size(labels) > 1, F.sequence(F.lit(1), F.size(labels) - 1)).otherwise(F.array().cast("array<int>"))
+    alone = (F.size(labels) < 3) | F.rlike(name, F.lit(ADDRESS))
+    starts = F.when(name == "", F.array().cast("array<int>")).when(alone, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.size(labels) - 1))
     return F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
@@ -26,14 +28,14 @@ def validity(entries: DataFrame) -> DataFrame:
     """(pattern, category, valid_from, valid_to) from entries (pattern, category, listed_on date, action add or remove).
 
     An `add` holds from its day until the next later entry of its pattern and category, open-ended if there is none. Of several
-    entries on one day, one `remove` makes the day a removal. Repeated entries count once; entries with a null pattern,
-    day or other action are dropped, and a null category is the empty one.
+    entries on one day, one `remove` makes the day a removal. Patterns are names of hosts in any case. Repeated entries count
+    once; entries with a null pattern, day or other action are dropped, and a null category is the empty one.
     """
     usable = entries.where("pattern is not null and listed_on is not null and action in ('add', 'remove')")
-    days = usable.groupBy("pattern", F.coalesce("category", F.lit("")).alias("category"), "listed_on").agg(F.max("action").alias("action"))
+    days = usable.groupBy(F.lower("pattern").alias("pattern"), F.coalesce("category", F.lit("")).alias("category"), "listed_on").agg(F.max("action").alias("action"))
     following = F.lead("listed_on").over(W.partitionBy("pattern", "category").orderBy("listed_on"))
     spans = days.withColumn("valid_to", following).where("action = 'add'")
-    return spans.select(F.lower("pattern").alias("pattern"), "category", F.col("listed_on").alias("valid_from"), "valid_to")
+    return spans.select("pattern", "category", F.col("listed_on").alias("valid_from"), "valid_to")
 
 
 def url_verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -90,7 +92,8 @@ ORACLE_SQL = r"""
 WITH cap AS (SELECT page_id, DATE '2024-01-01' + (page_id % 366)::INTEGER AS fetched_on,
  regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', '') AS host FROM pages),
 lab AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM cap),
-suf AS (SELECT host, unnest([array_to_string(l[i:], '.') for i in range(1, len(l))]) AS pattern FROM lab),
+suf AS (SELECT host, unnest([array_to_string(l[i:], '.') for i in range(1, CASE WHEN len(l) < 3 OR regexp_matches(host, '^([0-9.]+|\[.*)$') THEN 2 ELSE len(l) END)]) AS pattern
+ FROM lab WHERE host <> ''),
 pick AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 8))::BIGINT AS k FROM (SELECT DISTINCT pattern FROM suf)),
 ent AS (SELECT pattern, ['spam', 'malware', 'adult'][(k // 3 % 3 + 1)::INTEGER] AS category, unnest([
  {'d': DATE '2024-01-01' + (k % 200)::INTEGER, 'a': 'add'},
