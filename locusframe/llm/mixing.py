@@ -33,17 +33,18 @@ def _weight(name: str, weights: Mapping[str, int]) -> Column:
     if not weights:
         return F.lit(1).cast("long")
     listed = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
-    return F.coalesce(F.try_element_at(listed, F.col(name)), F.lit(1)).cast("long")
+    return F.greatest(F.coalesce(F.try_element_at(listed, F.col(name)), F.lit(1)), F.lit(0)).cast("long")
 
 
 def _share(children: DataFrame, parents: list[str], name: str) -> DataFrame:
     """children (name, cap, weight, budget of the parent) with their own `budget` instead; parts of a token are dropped.
 
+    A child of weight 0 must have cap 0.
     In order of capacity by weight, a child is full if its share of what is left, among itself and those after it, reaches
     its capacity; the others share the rest by weight.
     """
     one = W.partitionBy(*parents) if parents else W.partitionBy()
-    order = one.orderBy(F.col("cap") / F.col("weight"), name)
+    order = one.orderBy(F.coalesce(F.try_divide("cap", "weight"), F.lit(0.0)), name)
     wide = lambda c: c.cast("decimal(38,0)")
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
     after = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
@@ -52,16 +53,21 @@ def _share(children: DataFrame, parents: list[str], name: str) -> DataFrame:
     taken = F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(one), F.lit(0).cast("long"))
     free = F.sum(F.when(~F.col("full"), F.col("weight"))).over(one)
     df = df.withColumn("taken", taken).withColumn("free", free)
-    return df.withColumn("budget", F.when(F.col("full"), F.col("cap")).otherwise(F.expr("(budget - taken) * weight div free"))).drop("full", "taken", "free")
+    return df.withColumn("budget", F.when(F.col("full"), F.col("cap")).otherwise(F.expr("cast(budget - taken AS decimal(38,0)) * weight div free"))).drop("full", "taken", "free")
 
 
 def leaf_budgets(leaves: DataFrame, percent: int, epochs: int, domain_weights: Mapping[str, int], lang_weights: Mapping[str, int], source_weights: Mapping[str, int]) -> DataFrame:
-    """LEAF, tokens, docs and budget for each leaf of leaves (LEAF, tokens, docs): percent of all tokens, at most `epochs` of each leaf."""
-    caps = leaves.withColumn("cap", F.col("tokens") * epochs)
+    """LEAF, tokens, docs and budget for each leaf of leaves (LEAF, tokens, docs): percent of all tokens, at most `epochs` of each leaf.
+
+    A weight of 0 or less leaves its node out: its leaves have a capacity of 0, so others fill the budget.
+    """
+    weights = (("domain", domain_weights), ("lang", lang_weights), ("source", source_weights))
+    wanted = F.least(*(_weight(name, own) for name, own in weights)) > 0
+    caps = leaves.withColumn("cap", F.when(wanted, F.col("tokens") * epochs).otherwise(0))
     langs = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
     domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
     whole = W.partitionBy()
-    budget = F.least(F.expr(f"sum(tokens) OVER () * {percent} div 100"), F.sum("cap").over(whole))
+    budget = F.least(F.expr(f"cast(sum(tokens) OVER () AS decimal(38,0)) * {percent} div 100"), F.sum("cap").over(whole))
     domains = _share(domains.withColumn("weight", _weight("domain", domain_weights)).withColumn("budget", budget), [], "domain").select("domain", "budget")
     langs = langs.join(domains, "domain").withColumn("weight", _weight("lang", lang_weights))
     langs = _share(langs, ["domain"], "lang").select("domain", "lang", "budget")
