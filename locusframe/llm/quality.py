@@ -30,11 +30,11 @@ def _at(w: Column, i: Column) -> Column:
     return F.get(w, i)
 
 
-def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, prior: int = 30) -> DataFrame:
+def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, prior: float = 1.5) -> DataFrame:
     """(bucket, weight): 1000 times the log ratio of each bucket's target and corpus shares, rounded.
 
-    Both counts of a bucket, the target's scaled to the corpus's size, are raised by `prior`, so rare n-grams weigh little.
-    Without trusted documents all weights are zero. trusted must be bounded: it is broadcast.
+    Both shares are raised by `prior` times the mean share of a bucket, so rare n-grams weigh little and a corpus repeated
+    ten times has the same weights. Without trusted documents all weights are zero. trusted must be bounded: it is broadcast.
     """
     target = F.broadcast(trusted.select("doc_id", F.lit(1).alias("target")))
     split = docs.select("doc_id", words(F.col("text")).alias("w")).join(target, "doc_id", "left")
@@ -45,7 +45,8 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, p
     counted = grams.groupBy("bucket").agg(F.count("*").alias("r"), F.count("target").alias("t"))
     everything = W.partitionBy()  # of at most `buckets` rows
     all_r, all_t = F.sum("r").over(everything), F.sum("t").over(everything)
-    ratio = (F.coalesce(F.try_divide(F.col("t") * all_r, all_t), F.col("r")) + prior) / (F.col("r") + prior)
+    share = F.col("r") / all_r
+    ratio = (F.coalesce(F.try_divide(F.col("t"), all_t), share) + prior / buckets) / (share + prior / buckets)
     return counted.select("bucket", F.round(F.log(ratio) * SCALE).cast("int").alias("weight"))
 
 
@@ -65,13 +66,13 @@ def _repeated(w: Column, hashes: Column, again: Column) -> Column:
     return F.when(F.size(again) == 0, 0).otherwise(let(F.sort_array(windows), covered))
 
 
-def quality_rules(docs: DataFrame, weights: DataFrame, buckets: int = 1 << 16, min_score: float = -0.1) -> DataFrame:
-    """docs with a column `quality`: a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs), base_failed,
+def quality_rules(docs: DataFrame, weights: DataFrame, buckets: int = 1 << 16, min_score: float = -0.1, name: str = "quality") -> DataFrame:
+    """docs with a column `name`: a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs), base_failed,
     score (mean log ratio in nats, null without words) and kept.
 
     base_failed: under 50 words, or over half of them in repeated 3-word windows. kept: not base_failed and score >= min_score.
     A null or empty text has no words and fails. Rows are judged one by one, so repeated rows and nulls in other columns
-    change nothing; an existing column `quality` is replaced. weights holds at most `buckets` rows and goes to the plan as
+    change nothing; an existing column of that name is replaced. weights holds at most `buckets` rows and goes to the plan as
     one constant array. No row is shuffled.
     """
     found = dict(weights.collect())
@@ -105,6 +106,6 @@ def quality_rules(docs: DataFrame, weights: DataFrame, buckets: int = 1 << 16, m
         kept = ~failed & F.coalesce(m["score"] >= min_score, F.lit(False))
         return F.struct(*(m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.alias("base_failed"), m["score"].alias("score"), kept.alias("kept"))
 
-    # The row number keeps filters on `quality` above these steps; pushed down, they would repeat them many times over.
-    out = df.withColumn("quality", F.when(F.monotonically_increasing_id() >= 0, let(measured, judge)))
+    # The row number keeps filters on the result above these steps; pushed down, they would repeat them many times over.
+    out = df.withColumn(name, F.when(F.monotonically_increasing_id() >= 0, let(measured, judge)))
     return out.drop(*(f"__quality_{x}" for x in "wgts"))

@@ -137,11 +137,11 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     return F.when(F.rlike(text, pattern), let(F.split(text, rule.pattern, -1), whole)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
-def find_secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """docs with a column `secrets`: sorted array of (start, kind, end); kind is the rule's place in rules.
+def find_secrets(docs: DataFrame, rules: list[Rule] = RULES, name: str = "secrets") -> DataFrame:
+    """docs with a column `name`: sorted array of (start, kind, end); kind is the rule's place in rules.
 
     Offsets are in code points, end exclusive. A null text has none. Rows that share a doc_id, or have none, are verified
-    one by one; an existing column `secrets` is replaced.
+    one by one; an existing column of that name is replaced.
     """
     queried = [r for r in rules if trigram_query(r.pattern)]
     found = candidates(docs, queried).select(F.col("doc_id").alias("__secret_id"), F.col("rules").alias("__secret_rules"))
@@ -153,7 +153,7 @@ def find_secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         if r in queried:
             spans = F.when(F.coalesce(F.array_contains("__secret_rules", r.kind), F.lit(False)), spans).otherwise(none)
         df = df.withColumn(f"__secret_{i}", spans)
-    df = df.withColumn("secrets", F.sort_array(F.concat(*(f"__secret_{i}" for i in range(len(rules))))))
+    df = df.withColumn(name, F.sort_array(F.concat(*(f"__secret_{i}" for i in range(len(rules))))))
     return df.drop("__secret_id", "__secret_rules", *(f"__secret_{i}" for i in range(len(rules))))
 
 
@@ -180,7 +180,7 @@ def mask_secrets(docs: DataFrame, rules: list[Rule] = RULES, mask: str = "[SECRE
 
     n_chars, if there, follows the new text where that has changed.
     """
-    found = find_secrets(docs, rules)
+    found = find_secrets(docs, rules, "__secrets")
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
@@ -189,10 +189,10 @@ def mask_secrets(docs: DataFrame, rules: list[Rule] = RULES, mask: str = "[SECRE
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], before, F.lit(mask))).otherwise(acc["out"]).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("secrets", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    out = found.withColumn("text", F.when(F.size("secrets") > 0, masked).otherwise(text))
+    masked = F.aggregate("__secrets", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+    out = found.withColumn("text", F.when(F.size("__secrets") > 0, masked).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
