@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+_open: ContextVar[list[str] | None] = ContextVar("tables of the scratch() around", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +35,8 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _open.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -41,6 +46,19 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Tables that stored() writes inside are deleted at the end, but those whose paths are put into the set given."""
+    kept: set[str] = set()
+    token = _open.set([])
+    try:
+        yield kept
+        for path in set(_open.get()) - kept:
+            remove(spark, path)
+    finally:
+        _open.reset(token)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for a row, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,13 +1,19 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked within a few bits through vantage-point trees.
 
-Distinct fingerprints are routed through a vantage-point tree built on a bounded sample. A fingerprint has one home leaf
-and is also sent to later leaves whose ball or shell it may touch (triangle inequality), so each leaf finds all its pairs
-without seeing another. Inside a leaf the same bounds prune a second, local tree down to small exact comparisons.
+Distinct fingerprints are routed through a vantage-point tree built on a sample that grows with the wanted leaves. A
+fingerprint has one home leaf and is also sent to later leaves whose ball or shell it may touch (triangle inequality), so
+each leaf finds all its pairs without seeing another. Inside a leaf the same bounds prune a second, local tree down to
+small exact comparisons.
+
+Two bits of 64 are far less than texts of similarity 0.8 differ by, and a tree sends each fingerprint to nearly all leaves
+at the radius that they need. `near_copies` therefore shards fingerprints of distinct words by shared blocks of bits, which
+loses no pair either, searches each shard by a local tree, and holds the pairs found against sketches of word shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -19,6 +25,10 @@ from pyspark.sql import functions as F
 from .common import components, stored
 
 SMALL = 96  # a node of so few home points is compared directly
+PER_LEAF = 8  # sampled fingerprints that shape a leaf
+MOST_BROADCAST = 2_000_000  # doc_ids; more of them are joined by a shuffle
+SHARD_ROWS = 8192  # near copies: rows of a shard that are compared with each other in one group
+PAD = np.uint32(0xFFFFFFFF)  # ends short sketches
 
 
 def fingerprint_batch(texts: list[str | None], shingle: int = 3) -> np.ndarray:
@@ -74,15 +84,26 @@ def _split(d: np.ndarray) -> int | None:
     return mu if d.max() > mu else mu - 1 if d.min() < mu else None
 
 
-def build_tree(points: np.ndarray, leaf: int) -> list[tuple[int, int, int, int]]:
-    """Nodes (vantage, radius, inside, outside); a child >= 0 is a node and a child < 0 is leaf ~child. Node 0 is the root."""
+class Tree:
+    """Vantage points and radii; a child >= 0 is a node and a child < 0 is leaf ~child. Node 0 is the root; no nodes: one leaf."""
+
+    def __init__(self, nodes: list[tuple[int, int, int, int]]):
+        columns = zip(*nodes) if nodes else ([],) * 4
+        kinds = (np.uint64, np.int16, np.int32, np.int32)
+        self.vantage, self.radius, self.inside, self.outside = (np.array(c, k) for c, k in zip(columns, kinds, strict=True))
+
+
+def build_tree(points: np.ndarray, leaf: int) -> Tree:
+    """A tree whose leaves hold at most `leaf` of points, more only where all of a leaf's points are equally far from each vantage tried."""
     nodes: list[tuple[int, int, int, int]] = []
     leaves = 0
 
     def grow(own: np.ndarray) -> int:
         nonlocal leaves
         tried = [] if len(own) <= leaf else [own[len(own) * k // 8] for k in range(8)]
-        best = max(((np.bitwise_count(own ^ v).std(), v) for v in tried), key=lambda x: x[0], default=None)
+        # A large node's vantage is chosen by the spread of distances to a part of its points.
+        part = own[:: max(1, len(own) // 4096)]
+        best = max(((np.bitwise_count(part ^ v).std(), v) for v in tried), key=lambda x: x[0], default=None)
         d = None if best is None else np.bitwise_count(own ^ best[1]).astype(np.int64)
         mu = None if d is None else _split(d)
         if mu is None:
@@ -94,12 +115,12 @@ def build_tree(points: np.ndarray, leaf: int) -> list[tuple[int, int, int, int]]
         return at
 
     grow(points)
-    return nodes
+    return Tree(nodes)
 
 
-def route(nodes: list[tuple[int, int, int, int]], fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(tree: Tree, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index into fp, leaf, is home) of each fingerprint's home leaf and of the later leaves within radius of it."""
-    if not nodes:
+    if not len(tree.vantage):
         return np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
     idx, leaf, home = [], [], []
     todo = [(0, np.arange(len(fp)), np.ones(len(fp), bool))]
@@ -110,10 +131,10 @@ def route(nodes: list[tuple[int, int, int, int]], fp: np.ndarray, radius: int) -
         if at < 0:
             idx.append(own), leaf.append(np.full(len(own), ~at)), home.append(mine)
             continue
-        v, mu, inside, outside = nodes[at]
-        d = np.bitwise_count(fp[own] ^ np.uint64(v)).astype(np.int64)
+        mu = int(tree.radius[at])
+        d = np.bitwise_count(fp[own] ^ tree.vantage[at]).astype(np.int64)
         near, far = d <= mu + radius, d > mu - radius
-        todo += [(inside, own[near], mine[near] & (d[near] <= mu)), (outside, own[far], mine[far] & (d[far] > mu))]
+        todo += [(int(tree.inside[at]), own[near], mine[near] & (d[near] <= mu)), (int(tree.outside[at]), own[far], mine[far] & (d[far] > mu))]
     idx, leaf, home = (np.concatenate(x) for x in (idx, leaf, home))
     first = np.zeros(len(fp), np.int64)
     first[idx[home]] = leaf[home]
@@ -137,8 +158,12 @@ class Forest:
                 self.parent = up
 
 
-def link(fp: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint of a leaf, the position of its group's first one; all pairs of a home point with any are found."""
+def link(fp: np.ndarray, home: np.ndarray, radius: int, among: np.ndarray | None = None, accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """For each fingerprint of a leaf, the position of its group's first one.
+
+    Pairs of a home point (a flag for each) with any of `among` (positions; None: all) link within radius, if accept(i, j)
+    says so; pairs that are already in one group are not asked about.
+    """
     forest, held, size = Forest(len(fp)), [], 0
 
     def compare(h: np.ndarray, q: np.ndarray) -> None:
@@ -147,7 +172,11 @@ def link(fp: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
         for at in range(0, len(q), step):
             part = q[at : at + step]
             i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[h][None, :]) <= radius)
-            held.append((part[i], h[j]))
+            i, j = part[i], h[j]
+            if accept:
+                apart = forest.parent[i] != forest.parent[j]
+                i, j = i[apart], j[apart]
+            held.append((i, j))
             size += len(i)
             if size > 1 << 20:
                 settle()
@@ -155,11 +184,18 @@ def link(fp: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
     def settle() -> None:
         nonlocal size
         if held:
-            forest.join(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+            i, j = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            while accept and len(i):
+                apart = forest.parent[i] != forest.parent[j]
+                i, j = i[apart], j[apart]
+                a, b, i, j = i[:4096], j[:4096], i[4096:], j[4096:]
+                good = accept(a, b)
+                forest.join(a[good], b[good])
+            forest.join(i, j)
         held.clear()
         size = 0
 
-    todo = [(np.nonzero(home)[0], np.arange(len(fp)))]
+    todo = [(np.nonzero(home)[0], np.arange(len(fp)) if among is None else among)]
     while todo:
         h, q = todo.pop()
         if not len(h) or not len(q):
@@ -175,22 +211,25 @@ def link(fp: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
     return forest.parent
 
 
-def fingerprint_groups(fps: DataFrame, radius: int = 2, leaf_rows: int = 16384, sample_rows: int = 16384) -> DataFrame:
+def fingerprint_groups(fps: DataFrame, radius: int = 2, leaf_rows: int = 2048) -> DataFrame:
     """(fp, root) for every distinct fp that links, directly or not, with a different one at radius or fewer bits.
 
-    fps: one row per distinct fp. At most sample_rows of them, by hash, shape the tree; its number of leaves follows the
-    number of fingerprints. Leaves report a spanning forest of their links, never all pairs of a group.
+    fps: one row per distinct fp. The tree has a leaf for about every leaf_rows of them, whatever their number, shaped by
+    PER_LEAF sampled ones a leaf: at 1e9 fingerprints 31 MB of samples on the driver and 9 MB of tree in each worker, at 4e10
+    1.2 GB and 350 MB. Leaves report a spanning forest of their links, never all pairs of a group.
     """
     spark = fps.sparkSession
-    n = fps.count()
-    leaves = max(1, -(-n // leaf_rows))
-    taken = [r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()] if leaves > 1 else []
-    nodes = build_tree(np.array(taken, np.int64).view(np.uint64), max(8, len(taken) // leaves)) if taken else []
+    leaves = max(1, -(-fps.count() // leaf_rows))
+    cut = PER_LEAF / leaf_rows
+    sampled = fps.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(cut * (1 << 30)))
+    taken = sampled.orderBy("fp").toArrow().column(0).to_numpy() if leaves > 1 else np.zeros(0, np.int64)
+    taken = np.random.default_rng(10).permutation(taken)  # vantages are tried by place
+    tree = spark.sparkContext.broadcast(build_tree(taken.view(np.uint64), PER_LEAF))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy()
-            idx, leaf, home = route(nodes, fp.view(np.uint64), radius)
+            idx, leaf, home = route(tree.value, fp.view(np.uint64), radius)
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(fp[idx]), pa.array(home)], names=["leaf", "fp", "home"])
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
@@ -205,7 +244,7 @@ def fingerprint_groups(fps: DataFrame, radius: int = 2, leaf_rows: int = 16384,
     return components(edges).select(F.col("node").alias("fp"), "root")
 
 
-def simhash_dedup(docs: DataFrame, radius: int = 2, shingle: int = 3, leaf_rows: int = 16384) -> DataFrame:
+def simhash_dedup(docs: DataFrame, radius: int = 2, shingle: int = 3, leaf_rows: int = 2048) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id and kept for every row of docs.
 
     Rows link if their fingerprints differ in radius or fewer bits; component_id is the smallest doc_id reachable, itself
@@ -226,15 +265,132 @@ def simhash_dedup(docs: DataFrame, radius: int = 2, shingle: int = 3, leaf_rows:
     return out.select("doc_id", fingerprint, "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of docs, all columns, of which one stays for each component: that of the smallest doc_id.
+def word_prints(docs: DataFrame, shingle: int = 5, sketch: int = 128) -> DataFrame:
+    """(doc_id, fp, sketch) for every row of docs: the SimHash of a text's distinct words and its smallest shingle hashes.
+
+    Words are lower-cased as in fingerprints(). sketch holds the up to `sketch` smallest distinct 32-bit hashes of the
+    shingles, ascending, as binary: all of them for a text of few shingles, so its similarities are exact.
+    """
+    digest = xxhash.xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread = (np.arange(1, 2 * shingle + 1, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                known: dict[bytes, int] = {}
+                fp, kept = np.zeros(part.num_rows, np.uint64), []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    found = text.encode().lower().split() if text else []
+                    for w in set(found).difference(known):
+                        known[w] = digest(w, 42)
+                    h = np.array(list(map(known.__getitem__, found)), np.uint64)
+                    if not len(h):
+                        kept.append(b"")
+                        continue
+                    own = np.unique(h)
+                    ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+                    fp[i] = np.packbits(2 * ones > len(own), bitorder="little").view("<u8")[0]
+                    n = max(1, len(h) - shingle + 1)
+                    mixed = sum((h[k : k + n] * m for k, m in enumerate(spread[: len(h)])), np.zeros(n, np.uint64))
+                    mixed = np.unique(((mixed ^ (mixed >> np.uint64(29))) * spread[0]) >> np.uint64(32)).astype("<u4")
+                    kept.append(np.minimum(mixed[:sketch], PAD - 1).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), pa.array(kept, pa.binary())], names=["doc_id", "fp", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, sketch binary")
+
+
+def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of pairs of sketches, rows of equal width padded by PAD: the shared part of the union's smallest values.
+
+    The union of two full sketches is known up to its width-th value, that of shorter ones as a whole.
+    """
+    width = a.shape[1]
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    real = both != PAD
+    again = np.concatenate([np.zeros((len(both), 1), bool), (both[:, 1:] == both[:, :-1]) & real[:, 1:]], axis=1)
+    fresh = real & ~again
+    seen = np.cumsum(fresh, axis=1)
+    full = (a[:, -1] != PAD) | (b[:, -1] != PAD)
+    most = np.where(full, np.minimum(seen[:, -1], width), seen[:, -1])
+    return (again & (seen <= most[:, None])).sum(axis=1) / np.maximum(most, 1)
+
+
+def _tables(rows: int, radius: int) -> list[list[tuple[int, int]]]:
+    """Tables of (shift, bits) blocks: two fingerprints within radius agree on all blocks of at least one table.
 
-    A doc_id that is repeated keeps one row. Rows without doc_id cannot be named and stay. The ids kept grow with the rows, so
-    their join is a merge join at every size.
+    Of radius + k blocks of bits at least k agree. k is the smallest for which a shard has about SHARD_ROWS rows or fewer.
+    """
+    for k in range(1, 9):
+        edges = np.linspace(0, 64, radius + k + 1).astype(int).tolist()
+        blocks = [(i, j - i) for i, j in zip(edges, edges[1:])]
+        tables = [list(x) for x in combinations(blocks, k)]
+        if rows <= SHARD_ROWS << min(sum(bits for _, bits in t) for t in tables):
+            break
+    return tables
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 6, sketch: int = 128) -> DataFrame:
+    """doc_id, component_id and kept for every row of docs: near copies by similarity of word shingles.
+
+    Rows link if the SimHashes of their distinct words differ in radius or fewer bits and their sketches' similarity is at
+    least `similarity`: exact for texts of at most `sketch` shingles, else an estimate with a standard deviation of at most
+    0.5 / sqrt(sketch), 0.035 at 0.8 and 128. Measured on 43,851 texts: 97 % of the pairs of similarity 0.8 or more, and
+    nearly all from 0.9 on, lie within 6 bits. Texts without words link with each other. Rows without doc_id link too but
+    name no component; a component of such rows alone has none. Repeated rows stay repeated.
+
+    Rows of equal fingerprint and sketch are one. A shard of more than SHARD_ROWS rows is cut into slices, and each pair of
+    slices is a group, so no group grows; a cluster of m different texts that share a block costs m^2 comparisons of
+    fingerprints, but similarities only for pairs not yet in one component.
+    """
+    spark = docs.sparkSession
+    prints, _ = stored(word_prints(docs, shingle, sketch).withColumn("node", F.xxhash64("fp", "sketch")))
+    nodes, _ = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    tables = _tables(nodes.count(), radius)
+    value = [F.concat_ws(",", *(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1)) for shift, bits in t)) for t in tables]
+    shards = F.array(*(F.struct(F.lit(i).alias("table"), v.alias("shard")) for i, v in enumerate(value)))
+    dealt = nodes.select("node", "fp", "sketch", F.inline(shards))
+    hot = nodes.select(F.inline(shards)).groupBy("table", "shard").count().where(F.col("count") > SHARD_ROWS)
+    hot, _ = stored(hot.select("table", "shard", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("slices")))
+    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot
+    cut = dealt.join(hot, ["table", "shard"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    cut = cut.withColumn("own", F.expr("cast(pmod(xxhash64(node), slices) AS int)"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda o: F.struct(F.least("own", o).alias("low"), F.greatest("own", o).alias("high")))
+    groups = cut.select("table", "shard", "node", "fp", "sketch", "own", F.inline(meets))
+
+    def pairs(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("node", ignore_index=True)
+        node, fp, own = part.node.to_numpy(), part.fp.to_numpy().view(np.uint64), part.own.to_numpy()
+        wide = np.full((len(part), sketch), PAD, np.uint32)
+        for i, raw in enumerate(part.sketch):
+            wide[i, : len(raw) // 4] = np.frombuffer(raw, "<u4")
+        low, high = part.low[0], part.high[0]
+        among = None if low == high else np.nonzero(own == high)[0]
+        root = link(fp, own == low, radius, among, lambda i, j: sketch_similarity(wide[i], wide[j]) >= similarity)
+        linked = root != np.arange(len(part))
+        return pd.DataFrame({"a": node[linked], "b": node[root[linked]]})
+
+    edges = groups.groupBy("table", "shard", "low", "high").applyInPandas(pairs, "a long, b long")
+    found, _ = stored(components(edges))
+    named = nodes.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named, _ = stored(named)
+    low = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = named.join(low, "root").select("node", "component_id")
+    out = prints.select("doc_id", "node").join(ids, "node")
+    return out.select("doc_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs, all columns, of which one stays for each component of near_copies: that of the smallest doc_id.
+
+    A doc_id that is repeated keeps one row. Rows without doc_id cannot be named and stay. Only the ids of rows that go are
+    joined: by broadcast if they are few enough, so that no text is shuffled.
     """
-    kept, _ = stored(simhash_dedup(docs, radius, shingle).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")))
-    once = docs.join(kept.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    again = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if not kept.where("n > 1").head(1):
-        again = again.limit(0)
-    return once.unionByName(again).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    found = near_copies(docs, **settings).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone, _ = stored(found.where("not kept or n > 1"))
+    few = F.broadcast if gone.count() <= MOST_BROADCAST else lambda df: df
+    out = docs.join(few(gone.select("doc_id")), "doc_id", "left_anti")
+    again = gone.where("kept").select("doc_id")
+    if again.head(1):
+        out = out.unionByName(docs.join(few(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(*docs.columns)
