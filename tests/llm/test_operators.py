@@ -81,6 +81,26 @@ def test_quality_rules_match_brute_force(spark, docs):
     assert found.where("quality.kept").count() == sum(r.quality.kept for r in found.collect())
 
 
+def test_ngram_weights_equal_independent_counts(spark, docs):
+    labels = spark.createDataFrame([(6, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    found = {r.bucket: r.weight for r in quality.ngram_weights(rows, quality.trusted_ids(labels), buckets=512, prior=1.5).collect()}
+    counts, trusted = Counter(), Counter()
+    for i, t in enumerate(TEXTS):
+        w = words(t)
+        own = [_chain([x]) % 512 for x in w] + [_chain(p) % 512 for p in zip(w, w[1:])]
+        counts.update(own)
+        trusted.update(own if i in (6, 9) else [])
+    share = lambda c, b: c[b] / c.total() + 1.5 / 512
+    assert set(found) == set(counts)
+    for b, weight in found.items():
+        assert abs(weight - 1000 * math.log(share(trusted, b) / share(counts, b))) <= 0.51
+    # A corpus repeated ten times has the same weights.
+    ten = rows.crossJoin(spark.range(10)).select((F.col("doc_id") + 1000 * F.col("id")).alias("doc_id"), "text")
+    more = spark.createDataFrame([(i + 1000 * k, 1, 0) for i in (6, 9) for k in range(10)], "doc_id long, quality int, toxic int")
+    assert {r.bucket: r.weight for r in quality.ngram_weights(ten, quality.trusted_ids(more), buckets=512, prior=1.5).collect()} == found
+
+
 def _chain(parts):
     seed = 42
     for p in parts:
@@ -112,6 +132,17 @@ def test_url_filters_intervals_and_ties(spark):
     assert url_filters.url_verdicts(captures.limit(0), entries.limit(0)).count() == 0
 
 
+def test_url_filters_case_single_labels_and_addresses(spark):
+    entries = spark.createDataFrame(
+        [("Bad.com", "spam", date(2024, 1, 5), "add"), ("bad.com", "spam", date(2024, 1, 10), "remove"), ("localhost", "own", date(2024, 1, 1), "add"), ("3.4", "x", date(2024, 1, 1), "add"), ("1.2.3.4", "ip", date(2024, 1, 1), "add"), ("com", "tld", date(2024, 1, 1), "add")],
+        "pattern string, category string, listed_on date, action string",
+    )
+    rows = [(1, "http://bad.com/", date(2024, 1, 6), "c"), (2, "http://bad.com/", date(2024, 1, 11), "c"), (3, "http://localhost:8080/x", date(2024, 2, 1), "c"), (4, "http://1.2.3.4/", date(2024, 2, 1), "c"), (5, "http://9.2.3.4/", date(2024, 2, 1), "c")]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_on date, host string")
+    got = {r.page_id: (r.n_active, r.categories) for r in url_filters.url_verdicts(captures.withColumn("n_active", F.lit(7)), entries).collect()}
+    assert got == {1: (1, "spam"), 2: (0, ""), 3: (1, "own"), 4: (1, "ip"), 5: (0, "")}
+
+
 def test_license_scan_inherits_from_the_nearest_directory(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/COPYING.txt", "text\nLicensed under CC BY-NC 4.0.\n"), (3, "a/b/c/f.txt", "plain words"), (4, "a/x/f.txt", None),
@@ -289,6 +320,12 @@ def test_mask_secrets_hides_every_span(spark, docs):
     assert secret_scan.secret_report(masked).where("spans <> ''").count() == 0
 
 
+def test_columns_of_the_operators_names_survive(spark, docs):
+    named = docs.select("doc_id", "text", F.lit("mine").alias("secrets"), F.lit(3).alias("quality"))
+    masked = secret_scan.mask_secrets(named)
+    assert masked.columns == named.columns and {(r.secrets, r.quality) for r in masked.collect()} == {("mine", 3)}
+
+
 def test_language_identification(spark):
     r = random.Random(3)
     kinds = {"en": "the and ing tion of with", "de": "der und ung keit sch ein", "fr": "les eau que ment oui ère", "es": "los que ción ado mente ñas"}
@@ -320,6 +357,18 @@ def test_mixing_budgets_fill_siblings_before_ancestors(spark):
     assert got == {("a", "x", "1"): 10, ("a", "x", "2"): 100, ("a", "y", "1"): 839, ("b", "x", "1"): 949}
 
 
+def test_mixing_leaves_out_weights_of_zero_and_less(spark, docs):
+    rows = [("a", "x", "1", 10, 1), ("a", "x", "2", 100, 1), ("a", "y", "1", 1000, 1), ("b", "x", "1", 1000, 1), ("c", "z", "1", 5 * 10**17, 1)]
+    leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long, docs long")
+    budgets = lambda *w: {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(leaves, 100, 1, *w).collect()}
+    got = budgets({"c": 0}, {"x": -3}, {})
+    assert got == {("a", "x", "1"): 0, ("a", "x", "2"): 0, ("a", "y", "1"): 1000, ("b", "x", "1"): 0, ("c", "z", "1"): 0}
+    assert budgets({"c": 10**6}, {}, {"2": 0})[("c", "z", "1")] == 5 * 10**17
+    assert set(budgets({"a": 0, "b": 0, "c": 0}, {}, {}).values()) == {0}
+    taken = mixing.mix_report(docs, percent=100, lang_weights={"en": 0}).collect()
+    assert taken and all(r.lang != "en" or r.n_tokens == 0 for r in taken)
+
+
 def test_mixing_takes_whole_epochs_and_a_prefix(spark, docs):
     report = mixing.mix_report(docs, percent=150, epochs=3)
     tokens, cuts = mixing.plan_mix(docs, percent=150, epochs=3)
@@ -350,11 +399,23 @@ def test_merge_replay_fuzz():
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(8)
-    texts = ["".join(r.choice(r.choice(["ab", "aeiou rst", " \n\t", "é漢🙂", "0123,.'s"])) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["a" * 5000, "ab" * 3000]
+    texts = ["".join(r.choice(r.choice(["ab", "aeiou rst", " \n\t", "é漢🙂", "0123,.'s", "\x00", "\x1c\x85\xa0\u2003\u3000 "])) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["a" * 5000, "ab" * 3000, "a \x00b", "hello \x00world again", "\x00", "\x00 \x00", "\x00\x00 a\x00 "]
     encoder = bpe.Encoder(bpe.Merges(ranks), public_tokenizers.PATTERN)
     assert [np.frombuffer(b"".join(encoder.ids[k] for k in own), np.int32).tolist() for own in encoder.codes(texts)] == library.encode_ordinary_batch(texts)
 
 
+def test_encoder_keeps_bounded_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1 << 20)
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoder, r = bpe.Encoder(bpe.Merges(ranks), public_tokenizers.PATTERN), random.Random(2)
+    for i in range(60):
+        texts = [f"  indented {r.random()} text  {i} " + "x  y " * 50 for _ in range(50)]
+        codes = encoder.codes(texts)
+        assert [b"".join(encoder.decoded[k] for k in own).decode() for own in codes] == texts
+        kept = sum(map(len, encoder.ids[: encoder.lasting])) + sum(map(len, encoder.decoded[: encoder.lasting]))
+        assert kept <= encoder.held < 3 << 20 and len(encoder.ids) - encoder.lasting <= len(texts)
+
+
 def brute_fingerprint(text):
     w = (text or "").encode().lower().split()
     shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
@@ -373,17 +434,86 @@ def test_simhash_matches_brute_force(spark, docs):
             assert r.fingerprint == f"{fps[r.doc_id]:016x}" and r.component_id == near[r.doc_id]
         else:
             assert not r.kept
-    kept = simhash_dedup.drop_near_copies(docs)
-    assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([*(i for i in near if near[i] == i), None, None])
     assert simhash_dedup.simhash_dedup(docs.limit(0)).count() == 0
 
 
+def brute_near(texts, radius=6, similarity=0.8):
+    """{id: smallest id reachable} for texts of at most 128 shingles, or texts that share none."""
+    own = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        bits = [xxhash.xxh64_intdigest(x, 42) for x in set(w)]
+        fp = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in bits) > len(bits))
+        own[i] = fp, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    def linked(a, b):
+        (f, x), (g, y) = own[a], own[b]
+        alike = len(x & y) >= similarity * len(x | y) if x and y else not x and not y
+        return (f ^ g).bit_count() <= radius and alike
+
+    near = {i: [j for j in own if linked(i, j)] for i in own}
+    root = {i: i for i in own}
+    while (after := {i: min(root[j] for j in near[i]) for i in own}) != root:
+        root = after
+    return root
+
+
+def edited(text, every):
+    return " ".join(f"new{k}" if k % every == every - 1 else w for k, w in enumerate(text.split()))
+
+
+def test_near_copies_match_brute_force(spark, docs):
+    texts = dict(enumerate(TEXTS))
+    texts |= {100 + k: edited(prose(120, 40 + k // 6), (3, 10, 30, 50, 60, 1000)[k % 6]) for k in range(36)}
+    more = spark.createDataFrame([(i, t, *[None] * 6) for i, t in texts.items() if i >= 100], DOCS)
+    both = docs.unionByName(more)
+    root = brute_near(texts)
+    assert len(set(root.values())) < len(texts) - 15
+    for settings in ({}, {"radius": 6}):
+        rows = simhash_dedup.near_copies(both, **settings).collect()
+        assert len(rows) == both.count()
+        for r in rows:
+            assert (r.component_id, r.kept) == ((root[r.doc_id], root[r.doc_id] == r.doc_id) if r.doc_id is not None else (r.component_id, False))
+    kept = simhash_dedup.drop_near_copies(both)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([*(i for i in root if root[i] == i), None, None])
+    assert simhash_dedup.near_copies(docs.limit(0)).count() == 0 and simhash_dedup.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_near_copies_in_slices_of_a_hot_shard(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "SHARD_ROWS", 16)
+    texts = {i: prose(100, 7).replace(" ", f" q{i} ", 1) for i in range(90)} | {1000 + i: prose(100, 100 + i) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    root = brute_near(texts)
+    assert {r.doc_id: r.component_id for r in simhash_dedup.near_copies(df).collect()} == root and sum(v == 0 for v in root.values()) == 90
+
+
+def test_block_tables_lose_no_pair():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 6, replace=False).astype(np.uint64)) for _ in a])
+    for rows in (10, 10**7, 10**9):
+        tables = simhash_dedup._tables(rows, 6)
+        masks = [np.bitwise_or.reduce([np.uint64(((1 << bits) - 1) << shift) for shift, bits in t]) for t in tables]
+        assert np.any([(flips & m) == 0 for m in masks], axis=0).all()
+    assert [len(simhash_dedup._tables(n, 6)) for n in (10, 10**7, 10**9)] == [7, 28, 84]
+
+
+def test_trees_grow_with_the_wanted_leaves():
+    points = np.random.default_rng(3).integers(0, 1 << 63, 200_000, dtype=np.uint64)
+    tree = simhash_dedup.build_tree(points, 8)
+    _, leaf, home = simhash_dedup.route(tree, points, 0)
+    held = np.bincount(leaf[home])
+    assert len(held) >= 200_000 / 8 and held.max() <= 8 and home.all()
+    same = simhash_dedup.build_tree(np.full(100, 7, np.uint64), 8)
+    assert not len(same.vantage)
+
+
 def test_vantage_point_leaves_find_every_pair(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     fp = np.unique(np.concatenate([base, base ^ np.uint64(1 << 5), base[:100] ^ np.uint64(3 << 40), base[:50] ^ np.uint64(7 << 20)])).view(np.int64)
-    found = {r.fp: r.root for r in simhash_dedup.fingerprint_groups(spark.createDataFrame([(int(x),) for x in fp], "fp long"), leaf_rows=40, sample_rows=200).collect()}
+    found = {r.fp: r.root for r in simhash_dedup.fingerprint_groups(spark.createDataFrame([(int(x),) for x in fp], "fp long"), leaf_rows=40).collect()}
     u = fp.view(np.uint64)
     forest = simhash_dedup.Forest(len(u))
     forest.join(*np.nonzero(np.bitwise_count(u[:, None] ^ u[None, :]) <= 2))
