@@ -6,12 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from locusframe.llm import bpe, mixing, quality, secret_scan, simhash_dedup
-from locusframe.llm.common import stored, table
+from locusframe.llm.common import remove, scratch, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weights = quality.ngram_weights(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
-    return quality.quality_rules(docs, weights).where("quality.kept").select(*docs.columns)
+    return quality.quality_rules(docs, weights, name="__quality").where("__quality.kept").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs)
+    return mixing.mix_documents(docs, percent=90, epochs=2)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +43,16 @@ ORACLE_SQL = None  # hashes of 64 bits, components and merges have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs, _ = stored(docs)
-    return docs
+    """All stages over documents, each written as Parquet to the shared folder and read again for the next.
+
+    A stage's own tables and its input are deleted when its output is written; the last stage reads the one before it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as kept:
+            docs, path = stored(stage(spark, docs, sf_dir))
+            kept.add(path)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
