@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.loci import draw, make_key
+from .intervals import carry
 
 BAD_FLAGS = 0x4 | 0x100 | 0x200 | 0x400 | 0x800
 
@@ -43,6 +44,11 @@ def decode_calls(reads: DataFrame) -> DataFrame:
     return placed.withColumn("locus_key", make_key(F.col("code"), base)).withColumn("state", F.when(F.col("mark") == "Z", 1).otherwise(0)).drop("blocks", "block", "mark")
 
 
+def five_prime(read_pos: Column, length: Column, flag: Column) -> Column:
+    """Position from the read's 5' end: records of reverse reads are stored from their far end."""
+    return F.when(flag.bitwiseAND(0x10) != 0, length - 1 - read_pos).otherwise(read_pos)
+
+
 def merge_mates(calls: DataFrame) -> DataFrame:
     """(sample_id, fragment_id, locus_key, state, n): one call for each locus of a fragment; loci whose reads disagree are dropped."""
     merged = calls.groupBy("sample_id", "fragment_id", "locus_key").agg(F.min("state").alias("state"), F.max("state").alias("high"), F.count("*").alias("n"))
@@ -52,7 +58,12 @@ def merge_mates(calls: DataFrame) -> DataFrame:
 def mate_stats(calls: DataFrame) -> DataFrame:
     """One row: fragments, calls, loci called by both mates, and conflicts."""
     merged = calls.groupBy("sample_id", "fragment_id", "locus_key").agg(F.min("state").alias("low"), F.max("state").alias("high"), F.countDistinct("mate").alias("mates"))
-    return merged.agg(F.countDistinct("fragment_id").alias("fragments"), F.count("*").alias("calls"), F.count_if(F.col("mates") > 1).alias("both_mates"), F.count_if(F.col("low") != F.col("high")).alias("conflicts"))
+    return merged.agg(F.countDistinct("sample_id", "fragment_id").alias("fragments"), F.count("*").alias("calls"), F.count_if(F.col("mates") > 1).alias("both_mates"), F.count_if(F.col("low") != F.col("high")).alias("conflicts"))
+
+
+def by_lifted_position(calls: DataFrame, status: DataFrame, by: list[str]) -> DataFrame:
+    """calls at their kept targets, with `rank`: the place by target within a fragment. Liftover may turn their order around."""
+    return carry(calls, status).withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("locus_key")))
 
 
 def filter_calls(calls: DataFrame, keep: DataFrame) -> DataFrame:

@@ -44,12 +44,13 @@ def lift_status(lifted: DataFrame, reference: DataFrame, stores: list[DataFrame]
     reference and each of stores have a column locus_key; not_covered keys lack an entry in some store.
     """
     known = reference.select(F.col("locus_key").alias("target")).distinct().withColumn("in_target", F.lit(True))
-    df = lifted.join(known, "target", "left")
-    valid = df.groupBy("target").agg(F.count_if(F.col("in_target")).alias("sources")).where("target is not null")
-    df = df.join(valid, "target", "left").withColumn("covered", F.lit(True))
+    # Keys without a target would all meet in one partition of the joins: they get no part in them.
+    df = lifted.where("target is not null").join(known, "target", "left")
+    df = df.withColumn("sources", F.count_if(F.col("in_target")).over(W.partitionBy("target"))).withColumn("covered", F.lit(True))
     for store in stores:
         held = store.select(F.col("locus_key").alias("target")).distinct().withColumn("held", F.lit(True))
         df = df.join(held, "target", "left").withColumn("covered", F.col("covered") & F.coalesce("held", F.lit(False))).drop("held")
+    df = df.unionByName(lifted.where("target is null"), allowMissingColumns=True)
     status = F.when(F.col("n_blocks") == 0, "unmapped").when(F.col("n_blocks") > 1, "ambiguous").when(F.col("in_target").isNull(), "not_in_target").when(F.col("sources") > 1, "collision").when(~F.col("covered"), "not_covered").otherwise("kept")
     return df.select("locus_key", "n_blocks", "target", status.alias("status"))
 
@@ -85,6 +86,47 @@ def missing_keys(wanted: DataFrame, have: DataFrame, key: str = "locus_key") ->
     return wanted.select(key).distinct().join(have.select(key), key, "left_anti")
 
 
+def require_covered(loci: DataFrame, universe: DataFrame, key: str = "locus_key") -> DataFrame:
+    """loci, if every key is in universe; else fails with their number and the first five."""
+    n, first = missing_summary(loci, universe, key).first()
+    if n:
+        raise ValueError(f"{n} keys outside the store, first {first}")
+    return loci
+
+
+def missing_summary(loci: DataFrame, universe: DataFrame, key: str = "locus_key", most: int = 5) -> DataFrame:
+    """One row (n, first): how many keys universe lacks, and the first few of them, joined by commas."""
+    missing = missing_keys(loci, universe, key)
+    first = missing.orderBy(key).limit(most).agg(F.array_join(F.array_sort(F.collect_list(key)), ",").alias("first"))
+    return missing.agg(F.count("*").alias("n")).join(F.broadcast(first), F.lit(True))  # a row each
+
+
+def merge_shards(base: DataFrame, extension: DataFrame, key: str = "locus_key") -> DataFrame:
+    """The rows of two shards of a store; a key that is in both, or twice in one, fails."""
+    both = base.unionByName(extension)
+    checked = F.when(F.count("*").over(W.partitionBy(key)) == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("key in the shards twice: "), F.col(key))).cast("long"))
+    return both.withColumn(key, checked)
+
+
+def shard_report(base: DataFrame, extension: DataFrame, reference: DataFrame, key: str = "locus_key") -> DataFrame:
+    """One row: keys of either shard, keys held twice, and what the merged keys and the reference do not share."""
+    marked = base.select(key, F.lit(1).alias("b"), F.lit(0).alias("e")).union(extension.select(key, F.lit(0), F.lit(1)))
+    per = marked.groupBy(key).agg(F.sum("b").alias("b"), F.sum("e").alias("e"))
+    both = per.join(reference.select(key).distinct().withColumn("r", F.lit(True)), key, "full_outer")
+    return both.agg(
+        F.coalesce(F.sum("b"), F.lit(0)).alias("n_base"), F.coalesce(F.sum("e"), F.lit(0)).alias("n_extension"), F.count_if(F.col("b") + F.col("e") > 1).alias("repeated"),
+        F.count_if(F.col("b").isNull()).alias("missing"), F.count_if(F.col("r").isNull()).alias("unexpected"),
+    )
+
+
+def index_map(keys: DataFrame, total: int | None = None) -> DataFrame:
+    """(index, code, pos): a running number from 1 over the keys in order of contig and position. Another total than the one given fails."""
+    ids = dense_ids(keys)
+    if total is not None and (n := ids.count()) != total:
+        raise ValueError(f"{n} loci, {total} expected")
+    return ids.select((F.col("row_id") + 1).alias("index"), key_code(F.col("locus_key")).alias("code"), key_position(F.col("locus_key")).alias("pos"))
+
+
 def dense_ids(keys: DataFrame) -> DataFrame:
     """(locus_key, row_id): rank of each distinct key from 0, ranked within contigs and shifted by the contigs before."""
     own = keys.select("locus_key").distinct().withColumn("code", key_code(F.col("locus_key")))

@@ -6,18 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.loci import contig_code
+from ..functions.loci import contig_code, make_key
 
 METHRATIO = "chr string, pos long, strand string, context string, ratio double, eff_CT_count double, C_count long, CT_count long, rev_G_count string, rev_GA_count string, CI_lower double, CI_upper double"
 MEMBER = r"^(GSM\d+)_(KRp\d)-(\d+)_bsmap_meth\.txt(\.gz)?$"  # fixed format of the files' names
 
 
+def member(name: Column) -> list[Column]:
+    """sample_id, batch and number from an archive member's name; null for other names."""
+    part = lambda i, c: F.when(F.rlike(name, F.lit(MEMBER)), F.regexp_extract(name, MEMBER, i)).alias(c)
+    return [part(1, "sample_id"), part(2, "batch"), part(3, "number").cast("int").alias("number")]
+
+
 def read_methratio(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, batch, chr, code, pos, strand, context, c_count, ct_count) of all tables in a folder; the file's name gives sample and batch."""
     rows = spark.read.schema(METHRATIO).csv(path, sep="\t", header=True, nullValue="NA")
-    name = F.col("_metadata.file_name")
+    sample, batch, _ = member(F.col("_metadata.file_name"))
     return rows.select(
-        F.regexp_extract(name, MEMBER, 1).alias("sample_id"), F.regexp_extract(name, MEMBER, 2).alias("batch"), "chr", contig_code(F.col("chr")).alias("code"), "pos", "strand", "context",
+        sample, batch, "chr", contig_code(F.col("chr")).alias("code"), "pos", "strand", "context",
         F.col("C_count").alias("c_count"), F.col("CT_count").alias("ct_count"),
     )
 
@@ -65,15 +71,21 @@ def reconcile(samples: DataFrame, files: DataFrame) -> DataFrame:
     return both.select(problem.alias("problem"), "sample_id").where("problem is not null")
 
 
-def cohort_table(patients: DataFrame, files: DataFrame) -> DataFrame:
-    """Second cohort: headers' white space made `_`, BAM rows of files only, sizes from text, Training/Test recoded, batch by hospital; any mismatch fails."""
-    renamed = patients.select(*(F.col(f"`{c}`").alias("_".join(c.split())) for c in patients.columns))
+def cohort_table(patients: DataFrame, files: DataFrame, scores: tuple[str, ...] = ()) -> DataFrame:
+    """Second cohort: headers' white space made `_`, columns that begin with one of scores left out, BAM rows of files only, sizes from text, Training/Test recoded, batch by hospital.
+
+    A sample in one table only, one listed twice in a table, or a Set that is neither, fails.
+    """
+    renamed = patients.select(*(F.col(f"`{c}`").alias("_".join(c.split())) for c in patients.columns if not "_".join(c.split()).startswith(scores)))
     bams = files.where(F.rlike("Files", F.lit(r"\.bam(\s|$)"))).select("sample_id", F.regexp_extract("Files", r"(\d+) bytes", 1).cast("long").alias("bytes"), F.lit(True).alias("has_bam"))
     both = renamed.withColumn("listed", F.lit(True)).join(bams, "sample_id", "full_outer")
-    ok = F.col("listed").isNotNull() & F.col("has_bam").isNotNull()
-    sample = F.when(ok, F.col("sample_id")).otherwise(F.raise_error(F.concat(F.lit("in one table only: "), F.col("sample_id"))))
+    known = F.coalesce(F.col("Set").isin("Training", "Test"), F.lit(False))
+    alone = F.count("*").over(W.partitionBy("sample_id")) == 1
+    wrong = F.when(F.col("listed").isNull() | F.col("has_bam").isNull(), "in one table only: ").when(~known, "unexpected set: ").when(~alone, "listed twice: ")
+    both = both.withColumn("wrong", wrong)
+    sample = F.when(F.col("wrong").isNull(), F.col("sample_id")).otherwise(F.raise_error(F.concat("wrong", "sample_id")))
     part = F.when(F.col("Set") == "Training", "train").when(F.col("Set") == "Test", "test")
-    return both.withColumn("sample_id", sample).withColumn("official_split", part).withColumn("batch", F.concat(F.lit("hospital_"), F.col("Source"))).drop("listed", "has_bam")
+    return both.withColumn("sample_id", sample).withColumn("official_split", part).withColumn("batch", F.concat(F.lit("hospital_"), F.col("Source"))).drop("listed", "has_bam", "wrong")
 
 
 def chain_blocks(lines: DataFrame) -> DataFrame:
@@ -100,10 +112,51 @@ def chain_blocks(lines: DataFrame) -> DataFrame:
     return out.where("src_code is not null and dst_code is not null")
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, id, line) of text files of any size. A block is one split of a file; ids put its lines in order."""
+    rows = spark.read.option("lineSep", "\n").text(path)
+    return rows.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line")
+    )
+
+
+def fasta_lines(lines: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """(contig, offset, line) of the sequence lines of FASTA files, from placed_lines; offset: letters of the contig before.
+
+    Splits of a file are worked on apart. Where a contig goes on over splits, its name and length so far come from a table
+    with a row or a few for each split. wanted keeps those contigs alone.
+    """
+    own = W.partitionBy("file", "block").orderBy("id")
+    head = F.when(F.startswith("line", F.lit(">")), F.regexp_extract("line", r"^>(\S*)", 1))
+    df = lines.withColumn("head", head).withColumn("local", F.last("head", ignorenulls=True).over(own))
+    ends = df.groupBy("file", "block").agg(F.max(F.when(F.col("head").isNotNull(), F.struct("id", "head"))).alias("end"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select("file", "block", F.last("end.head", ignorenulls=True).over(before).alias("carried"))
+    rows = df.where(F.col("head").isNull() & (F.col("line") != "")).join(carried, ["file", "block"])
+    rows = rows.withColumn("contig", F.coalesce("local", "carried")).where("contig is not null")
+    if wanted is not None:
+        rows = rows.where(F.col("contig").isin(wanted))
+    held = rows.groupBy("file", "block", "contig").agg(F.sum(F.length("line")).alias("held"))
+    earlier = W.partitionBy("contig").orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)
+    shift = held.select("file", "block", "contig", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("shift"))
+    inside = W.partitionBy("file", "block", "contig").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum(F.length("line")).over(inside), F.lit(0)))
+    return rows.join(shift, ["file", "block", "contig"]).select("contig", (F.col("shift") + F.col("inside")).alias("offset"), "line")
+
+
+def fasta_sequences(lines: DataFrame) -> DataFrame:
+    """(contig, sequence) from fasta_lines, for contigs that fit into a string."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "line"))), lambda x: x["line"]), "")
+    return lines.groupBy("contig").agg(whole.alias("sequence"))
+
+
 def motif_positions(lines: DataFrame, by: str, motif: str) -> DataFrame:
-    """(by, pos): 1-based places of a motif in the lines (by, line_no, line) of a sequence, any case, also across line ends."""
-    order = W.partitionBy(by).orderBy("line_no")
-    offset = F.coalesce(F.sum(F.length("line")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    """(by, pos): 1-based places of a motif in the lines of a sequence, any case, also across line ends.
+
+    lines: by, line and offset, the letters before (as fasta_lines gives), or line_no, from which offsets are summed up.
+    """
+    order = W.partitionBy(by).orderBy("offset" if "offset" in lines.columns else "line_no")
+    offset = F.col("offset") if "offset" in lines.columns else F.coalesce(F.sum(F.length("line")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # A following line may be shorter than the rest of a motif, so as many lines as it has letters are put behind.
     behind = F.concat(*(F.coalesce(F.lead("line", i).over(order), F.lit("")) for i in range(1, len(motif)))) if len(motif) > 1 else F.lit("")
     text = F.lower(F.concat("line", F.substring(behind, 1, len(motif) - 1)))
@@ -120,11 +173,13 @@ def motif_positions(lines: DataFrame, by: str, motif: str) -> DataFrame:
     return df.select(by, "offset", F.explode("found").alias("at")).select(by, (F.col("offset") + F.col("at")).alias("pos"))
 
 
-def fasta_lines(lines: DataFrame) -> DataFrame:
-    """(contig, line_no, line) of FASTA sequence lines."""
-    order = W.partitionBy("file").orderBy("line_no")
-    head = F.when(F.startswith("line", F.lit(">")), F.regexp_extract("line", r"^>(\S+)", 1))
-    return lines.withColumn("contig", F.last(head, ignorenulls=True).over(order)).where(head.isNull() & (F.col("line") != "")).select("contig", "line_no", "line")
+def reference_keys(lines: DataFrame, contigs: list[str], motif: str = "CG") -> DataFrame:
+    """locus_key of every place of motif on the wanted contigs, from fasta_lines; a contig without any sequence fails."""
+    seen = {r[0] for r in lines.where(F.col("contig").isin(contigs)).select("contig").distinct().collect()}  # at most the wanted names
+    if missing := sorted(set(contigs) - seen):
+        raise ValueError(f"contigs without a sequence: {missing}")
+    found = motif_positions(lines.where(F.col("contig").isin(contigs)), "contig", motif)
+    return found.select(make_key(contig_code(F.col("contig")), F.col("pos")).alias("locus_key"))
 
 
 def mbias_report(lines: DataFrame) -> DataFrame:
@@ -142,10 +197,10 @@ def mbias_report(lines: DataFrame) -> DataFrame:
 
 
 def dedup_report(spark: SparkSession, path: str) -> DataFrame:
-    """(file, total, removed, rate) from reports that name the alignments analysed and the duplicates removed."""
+    """(file, total, removed, rate and folder columns) from reports that name the alignments analysed and the duplicates removed."""
     whole = spark.read.text(path, wholetext=True)
     number = lambda p: F.expr(f"try_cast(regexp_extract(value, r'{p}', 1) AS BIGINT)")
-    df = whole.select(F.col("_metadata.file_name").alias("file"), number(r"Total number of alignments analysed[^:]*:\s*(\d+)").alias("total"), number(r"Total number duplicated alignments removed:\s*(\d+)").alias("removed"))
+    df = whole.select(*whole.drop("value").columns, F.col("_metadata.file_name").alias("file"), number(r"Total number of alignments analysed[^:]*:\s*(\d+)").alias("total"), number(r"Total number duplicated alignments removed:\s*(\d+)").alias("removed"))
     return df.withColumn("rate", F.try_divide("removed", "total"))
 
 
@@ -170,3 +225,29 @@ def resolve_columns(store: DataFrame, aliases: dict[str, list[str]]) -> DataFram
             raise ValueError(f"{name}: {len(found)} of the columns {options} in {store.columns}")
         picked.append(F.col(found[0]).alias(name))
     return store.select(*picked)
+
+
+def open_store(store: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """(locus_key, vec) of a vector table whatever its columns are called; a repeated or null key, a null vector or vectors of different lengths fail."""
+    found = resolve_columns(store, aliases)
+    size = found.select(F.size("vec").alias("n")).head(1)
+    grouped = found.groupBy("locus_key").agg(F.count("*").alias("k"), F.first("vec").alias("vec"))
+    wrong = F.when(F.col("locus_key").isNull(), "null key").when(F.col("k") > 1, "repeated key").when(F.col("vec").isNull(), "null vector").when(F.size("vec") != (size[0][0] if size else 0), "length of vector")
+    key = F.when(wrong.isNull(), F.col("locus_key")).otherwise(F.raise_error(F.concat(F.lit("store: "), wrong)).cast("long"))
+    return grouped.select(key.alias("locus_key"), "vec")
+
+
+def missing_inputs(expected: DataFrame, listing: DataFrame, name: str = "file_name") -> DataFrame:
+    """Rows of expected whose file is not in listing; listed files without bytes count as missing."""
+    return expected.join(listing.where("length > 0").select(name).distinct(), name, "left_anti")
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file_name, length) of the files below a folder; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
+
+
+def completed_runs(predictions: DataFrame, markers: DataFrame, cell: tuple[str, ...] = ("representation", "seed", "fold")) -> DataFrame:
+    """The predictions of runs whose marker is there; both tables carry the run's columns, as folders representation=/seed=/fold= give them."""
+    return predictions.join(markers.select(*cell).distinct(), list(cell), "left_semi")

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from locusframe.plans.registry import ORACLE_SQL, QUERIES
+from locusframe.plans.catalog import ORACLE_SQL, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.is_dir(), reason="needs the driver's tables")
