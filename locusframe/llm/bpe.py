@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 GAP, DEAD, NONE = -1, -2, 1 << 30
 WIDE = -1  # stands for a part with white space beside a space
-BATCH_BYTES = 6 << 20  # texts of about so many bytes are replayed together
-CACHE_BYTES = 96 << 20  # bytes of parts and pieces that a task keeps before it starts anew
+BATCH_BYTES = 3 << 20  # texts of about so many bytes are replayed together
+CACHE_BYTES = 40 << 20  # bytes of parts and pieces that a task keeps before it starts anew
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
