@@ -59,6 +59,11 @@ def scratch(spark: SparkSession) -> Iterator[set[str]]:
         _open.reset(token)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df partitioned by keys for a grouped function: few bytes may be much work, so partitions are not merged by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for a row, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -12,6 +12,7 @@ loses no pair either, searches each shard by a local tree, and holds the pairs f
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -22,12 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, spread, stored
 
 SMALL = 96  # a node of so few home points is compared directly
 PER_LEAF = 8  # sampled fingerprints that shape a leaf
 MOST_BROADCAST = 2_000_000  # doc_ids; more of them are joined by a shuffle
 SHARD_ROWS = 8192  # near copies: rows of a shard that are compared with each other in one group
+SHARD = ["table", "shard", "low", "high"]
 PAD = np.uint32(0xFFFFFFFF)  # ends short sketches
 
 
@@ -240,7 +242,7 @@ def fingerprint_groups(fps: DataFrame, radius: int = 2, leaf_rows: int = 2048) -
         return pd.DataFrame({"a": fp[linked], "b": fp[root[linked]]})
 
     dealt = fps.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean")
-    edges = dealt.groupBy("leaf").applyInPandas(pairs, "a long, b long")
+    edges = spread(dealt, "leaf").groupBy("leaf").applyInPandas(pairs, "a long, b long")
     return components(edges).select(F.col("node").alias("fp"), "root")
 
 
@@ -319,15 +321,36 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _tables(rows: int, radius: int) -> list[list[tuple[int, int]]]:
     """Tables of (shift, bits) blocks: two fingerprints within radius agree on all blocks of at least one table.
 
-    Of radius + k blocks of bits at least k agree. k is the smallest for which a shard has about SHARD_ROWS rows or fewer.
+    Of radius + k blocks of bits at least k agree. k is the smallest for which a shard has about SHARD_ROWS rows or fewer;
+    of each block only as many bits are used as make shards of about a quarter of that.
     """
+    wanted = math.ceil(math.log2(max(2, 4 * rows / SHARD_ROWS)))
     for k in range(1, 9):
         edges = np.linspace(0, 64, radius + k + 1).astype(int).tolist()
-        blocks = [(i, j - i) for i, j in zip(edges, edges[1:])]
-        tables = [list(x) for x in combinations(blocks, k)]
+        tables = [list(x) for x in combinations([(i, j - i) for i, j in zip(edges, edges[1:])], k)]
         if rows <= SHARD_ROWS << min(sum(bits for _, bits in t) for t in tables):
             break
-    return tables
+    return [[(shift, min(bits, -(-wanted // k))) for shift, bits in t] for t in tables]
+
+
+def _shards(rows: DataFrame, radius: int) -> DataFrame:
+    """rows (node, fp and others) once for each group of SHARD that they are compared in, with their slice `own`.
+
+    A group is a shard of a table, or, of one with more than SHARD_ROWS rows, a pair of slices low <= high.
+    """
+    shards = []
+    for i, table in enumerate(_tables(rows.count(), radius)):
+        key = F.lit(0).cast("long")
+        for shift, bits in table:
+            key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1)))
+        shards.append(F.struct(F.lit(i).alias("table"), key.alias("shard")))
+    hot = rows.select(F.inline(F.array(*shards))).groupBy("table", "shard").count().where(F.col("count") > SHARD_ROWS)
+    hot, _ = stored(hot.select("table", "shard", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("slices")))
+    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot
+    dealt = rows.select("*", F.inline(F.array(*shards))).join(hot, ["table", "shard"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(node), slices) AS int)"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda o: F.struct(F.least("own", o).alias("low"), F.greatest("own", o).alias("high")))
+    return dealt.select(*rows.columns, "own", "table", "shard", F.inline(meets))
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 6, sketch: int = 128) -> DataFrame:
@@ -343,20 +366,19 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radi
     slices is a group, so no group grows; a cluster of m different texts that share a block costs m^2 comparisons of
     fingerprints, but similarities only for pairs not yet in one component.
     """
-    spark = docs.sparkSession
     prints, _ = stored(word_prints(docs, shingle, sketch).withColumn("node", F.xxhash64("fp", "sketch")))
     nodes, _ = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
-    tables = _tables(nodes.count(), radius)
-    value = [F.concat_ws(",", *(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1)) for shift, bits in t)) for t in tables]
-    shards = F.array(*(F.struct(F.lit(i).alias("table"), v.alias("shard")) for i, v in enumerate(value)))
-    dealt = nodes.select("node", "fp", "sketch", F.inline(shards))
-    hot = nodes.select(F.inline(shards)).groupBy("table", "shard").count().where(F.col("count") > SHARD_ROWS)
-    hot, _ = stored(hot.select("table", "shard", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("slices")))
-    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot
-    cut = dealt.join(hot, ["table", "shard"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    cut = cut.withColumn("own", F.expr("cast(pmod(xxhash64(node), slices) AS int)"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda o: F.struct(F.least("own", o).alias("low"), F.greatest("own", o).alias("high")))
-    groups = cut.select("table", "shard", "node", "fp", "sketch", "own", F.inline(meets))
+
+    def near(part: pd.DataFrame) -> pd.DataFrame:
+        fp, own = part.fp.to_numpy().view(np.uint64), part.own.to_numpy()
+        low, high = part.low[0], part.high[0]
+        root = link(fp, own == low, radius, None if low == high else np.nonzero(own == high)[0])
+        alone = (root == np.arange(len(part))) & (np.bincount(root, minlength=len(part)) == 1)
+        return pd.DataFrame({"node": part.node[~alone]})
+
+    # Most fingerprints have no other near them: only the rest carry their sketches through a shuffle.
+    touched = spread(_shards(nodes.select("node", "fp"), radius), *SHARD).groupBy(*SHARD).applyInPandas(near, "node long").distinct()
+    some, _ = stored(nodes.select("node", "fp", "sketch").join(touched, "node", "left_semi"))
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node", ignore_index=True)
@@ -370,7 +392,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radi
         linked = root != np.arange(len(part))
         return pd.DataFrame({"a": node[linked], "b": node[root[linked]]})
 
-    edges = groups.groupBy("table", "shard", "low", "high").applyInPandas(pairs, "a long, b long")
+    edges = spread(_shards(some, radius), *SHARD).groupBy(*SHARD).applyInPandas(pairs, "a long, b long")
     found, _ = stored(components(edges))
     named = nodes.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named, _ = stored(named)
