@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 AUTOSOMES = 22
@@ -35,6 +36,16 @@ def key_position(key: Column) -> Column:
     return key.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def random_positions(lengths: DataFrame, n: int, seed: int) -> DataFrame:
+    """Distinct locus_key of n draws over contigs (code, length), each position of the whole as likely as any other. lengths has a row for each contig."""
+    before = F.coalesce(F.sum("length").over(W.orderBy("code").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = lengths.withColumn("before", before).agg(F.array_sort(F.collect_list(F.struct("before", "code"))).alias("ranges"), F.sum("length").alias("whole"))
+    slots = lengths.sparkSession.range(n).join(F.broadcast(ranges), F.lit(True))
+    at = F.pmod(draw(f"{seed}-high", F.col("id")) * (1 << 20) + F.pmod(draw(f"{seed}-low", F.col("id")), F.lit(1 << 20)), F.col("whole"))
+    hit = slots.withColumn("at", at).withColumn("hit", F.element_at(F.filter("ranges", lambda r: r["before"] <= F.col("at")), -1))
+    return hit.select(make_key(F.col("hit.code"), F.col("at") - F.col("hit.before") + 1).alias("locus_key")).distinct()
+
+
 def draw(seed: int | str, *parts: Column) -> Column:
     """A number in [0, 2^32) from the seed and the parts, the same on every engine with md5."""
     text = F.concat_ws("|", F.lit(str(seed)), *(p.cast("string") for p in parts))

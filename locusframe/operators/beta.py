@@ -46,8 +46,13 @@ def token_features(obs: DataFrame) -> DataFrame:
     return obs.withColumn("beta_c", F.col("beta") - 0.5).withColumn("log_cov", F.log1p("coverage") / 5)
 
 
-def sample_summary(obs: DataFrame, n_loci: int) -> DataFrame:
-    """Per sample: observed loci, missing share of n_loci, mean and population variance of beta, mean and median coverage."""
+def sample_summary(obs: DataFrame, n_loci: int | None = None) -> DataFrame:
+    """Per sample: observed loci, missing share of n_loci (of all loci observed, if not given), mean and population variance of beta, mean and median coverage."""
+    if n_loci is None:
+        loci = obs.select("locus_key").distinct().agg(F.count("*").alias("n_loci"))  # one row
+        return sample_summary(obs, 1).drop("missing_fraction").join(F.broadcast(loci), F.lit(True)).select(
+            "sample_id", "n_observed", (1 - F.col("n_observed") / F.col("n_loci")).alias("missing_fraction"), "mean_beta", "var_beta", "mean_coverage", "median_coverage"
+        )
     return obs.groupBy("sample_id").agg(
         F.count("*").alias("n_observed"),
         (1 - F.count("*") / F.lit(n_loci)).alias("missing_fraction"),
@@ -58,6 +63,11 @@ def sample_summary(obs: DataFrame, n_loci: int) -> DataFrame:
     )
 
 
+def summary_features(summary: DataFrame, samples: DataFrame, columns: list[str]) -> DataFrame:
+    """(place, sample_id, columns) in the order of samples' place; samples without a summary have nulls."""
+    return samples.select("place", "sample_id").join(summary.select("sample_id", *columns), "sample_id", "left").select("place", "sample_id", *columns)
+
+
 def candidate_regions(loci: DataFrame, max_gap: int) -> DataFrame:
     """(locus_key, region_id): runs of loci of a contig no further apart than max_gap, numbered from 0 in key order."""
     own = loci.select("locus_key").distinct().withColumn("code", key_code(F.col("locus_key")))
@@ -88,7 +98,7 @@ def one_vs_rest(values: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, region_id, n, n_rest, delta, t, df): Welch's statistics of each class against the others in each region.
 
     The rest's moments come from the classes' own means and central sums, so no difference of large squares is taken. Classes
-    with fewer than two observed samples on either side are left out.
+    with fewer than two observed samples on either side are left out. A standard error under 1e-6 counts as none: t and df are null.
     """
     joined = values.join(labels.select("sample_id", "label"), "sample_id")
     own = joined.groupBy("region_id", "label").agg(F.count("*").alias("n"), F.avg("region_beta").alias("m"), F.var_pop("region_beta").alias("v"))
@@ -102,9 +112,10 @@ def one_vs_rest(values: DataFrame, labels: DataFrame) -> DataFrame:
     across = F.col("n") * F.col("n_rest") / F.col("all_n") * F.pow(F.col("m") - F.col("m_rest"), 2.0)
     df = df.withColumn("s_rest", F.greatest(F.col("all_s") - F.col("s") - across, F.lit(0.0)))
     df = df.withColumn("a", F.col("s") / (F.col("n") - 1) / F.col("n")).withColumn("b", F.col("s_rest") / (F.col("n_rest") - 1) / F.col("n_rest"))
-    df = df.withColumn("delta", F.col("m") - F.col("m_rest")).withColumn("t", F.try_divide(F.col("delta"), F.sqrt(F.col("a") + F.col("b"))))
+    spread = F.col("a") + F.col("b") > 1e-12
+    df = df.withColumn("delta", F.col("m") - F.col("m_rest")).withColumn("t", F.when(spread, F.col("delta") / F.sqrt(F.col("a") + F.col("b"))))
     freedom = F.try_divide(F.pow(F.col("a") + F.col("b"), 2.0), F.pow(F.col("a"), 2.0) / (F.col("n") - 1) + F.pow(F.col("b"), 2.0) / (F.col("n_rest") - 1))
-    return df.select("label", "region_id", "n", "n_rest", "delta", "t", freedom.alias("df"))
+    return df.select("label", "region_id", "n", "n_rest", "delta", "t", F.when(spread, freedom).alias("df"))
 
 
 def select_regions(tests: DataFrame, n_per_class: int, min_delta: float = 0.0) -> DataFrame:

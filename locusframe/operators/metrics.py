@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import chi2_p, normal_p, t_p
+
 
 def softmax(scores: DataFrame, by: list[str]) -> DataFrame:
     """scores with prob: softmax of `score` within by, shifted by the largest."""
@@ -27,7 +29,11 @@ def confusion(top: DataFrame, by: list[str]) -> DataFrame:
 
 def class_metrics(top: DataFrame, classes: int, by: list[str]) -> DataFrame:
     """Per class: support, predicted, hits, sensitivity (null without support), specificity and F1 (0 where undefined)."""
-    cells = confusion(top, by)
+    return class_tally(confusion(top, by), classes, by)
+
+
+def class_tally(cells: DataFrame, classes: int, by: list[str]) -> DataFrame:
+    """class_metrics from a confusion table (by, y, label, n)."""
     each = cells.select(*by, "y", "label", "n", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("cls"))
     tally = each.groupBy(*by, "cls").agg(
         F.sum("n").alias("total"),
@@ -44,6 +50,19 @@ def class_metrics(top: DataFrame, classes: int, by: list[str]) -> DataFrame:
     )
 
 
+def primary_metrics(top: DataFrame, pred: DataFrame, classes: int, by: list[str]) -> DataFrame:
+    """(by, metric, value): accuracy, balanced_accuracy, macro_f1 and macro_auroc, where rows count as often as their weight w says.
+
+    top: by, y, label, w, a row for each sample; pred: by, y, cls, prob, w, a row for each sample and class.
+    """
+    cells = top.groupBy(*by, "y", "label").agg(F.sum("w").alias("n"))
+    per = class_tally(cells, classes, by)
+    counted = per.groupBy(*by).agg((F.sum("hits") / F.max("total")).alias("accuracy"), F.avg("sensitivity").alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"))
+    ranked = auroc(pred, by, "w").groupBy(*by).agg(F.avg("auc").alias("macro_auroc"))
+    named = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "balanced_accuracy", "macro_f1", "macro_auroc")))
+    return counted.join(ranked, by).select(*by, F.inline(named))
+
+
 def summary_metrics(pred: DataFrame, classes: int, by: list[str]) -> DataFrame:
     """accuracy, top-2 accuracy, balanced accuracy over present classes, macro and weighted F1 over all classes, log loss."""
     top = predicted(pred, by)
@@ -67,17 +86,28 @@ def calibration_error(top: DataFrame, by: list[str], bins: int = 10) -> DataFram
     return joined.groupBy(*by).agg(F.sum(F.col("n") / F.col("total") * F.abs(F.col("a") - F.col("c"))).alias("ece"))
 
 
-def average_rank(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, value, n, rank): average rank of each distinct value within by. Equal values are counted first, so windows run over distinct ones."""
-    counted = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counted.withColumn("rank", before + (F.col("n") + 1) / 2)
-
+def average_rank(df: DataFrame, by: list[str], value: str, ranges: int = 64) -> DataFrame:
+    """(by, value, n, rank): average rank of each distinct value within by. Equal values are counted first, so windows run over distinct ones.
 
-def auroc(pred: DataFrame, by: list[str]) -> DataFrame:
-    """(by, cls, auc): one-against-rest Mann-Whitney AUROC with ties halved; null if a class has no member or only members."""
+    Without by, values are ranked in ranges cut at approximate quantiles and shifted by the ranges before, so no task ranks all.
+    """
+    counted = df.groupBy(*by, value).agg(F.count("*").alias("n"))
+    if by:
+        before = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        return counted.withColumn("rank", before + (F.col("n") + 1) / 2)
+    cuts = counted.agg(F.percentile_approx(value, F.array(*(F.lit(i / ranges) for i in range(1, ranges))), 1000).alias("cuts"))  # one row
+    placed = counted.join(F.broadcast(cuts), F.lit(True)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    shift = placed.groupBy("range").agg(F.sum("n").alias("held"))  # a row for each range
+    shift = shift.select("range", F.coalesce(F.sum("held").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("before", before).join(F.broadcast(shift), "range").select(value, "n", (F.col("shift") + F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def auroc(pred: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """(by, cls, auc): one-against-rest Mann-Whitney AUROC with ties halved; null if a class has no member or only members. weight: how often a row counts."""
     keys = [*by, "cls"]
-    counted = pred.groupBy(*keys, "prob").agg(F.count("*").alias("n"), F.count_if(F.col("y") == F.col("cls")).alias("pos"))
+    w = F.col(weight) if weight else F.lit(1)
+    counted = pred.groupBy(*keys, "prob").agg(F.sum(w).alias("n"), F.sum(F.when(F.col("y") == F.col("cls"), w).otherwise(0)).alias("pos"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("prob").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = counted.withColumn("rank", before + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
@@ -95,8 +125,11 @@ def probability_violations(pred: DataFrame, by: list[str], classes: int) -> Data
 
 
 def seed_ensemble(pred: DataFrame) -> DataFrame:
-    """(arm, sample_id, y, cls, prob, seeds): mean probability over seeds."""
-    return pred.groupBy("arm", "sample_id", "y", "cls").agg(F.avg("prob").alias("prob"), F.countDistinct("seed").alias("seeds"))
+    """(arm, sample_id, y, cls, prob, seeds): mean probability over seeds; an arm whose samples have different numbers of seeds fails."""
+    each = pred.groupBy("arm", "sample_id", "y", "cls").agg(F.avg("prob").alias("prob"), F.countDistinct("seed").alias("seeds"))
+    spans = each.groupBy("arm").agg(F.min("seeds").alias("low"), F.max("seeds").alias("high"))  # a row for each arm
+    even = F.when(F.col("low") == F.col("high"), F.col("seeds")).otherwise(F.raise_error(F.lit("samples have predictions from different numbers of seeds")).cast("long"))
+    return each.join(F.broadcast(spans), "arm").select("arm", "sample_id", "y", "cls", "prob", even.alias("seeds"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -106,6 +139,13 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return df.join(rx, [*by, x]).join(ry, [*by, y]).groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
+def spearman_p(correlations: DataFrame) -> DataFrame:
+    """spearman's rows with the two-sided p of Student's t with n - 2 degrees of freedom; 0 at a correlation of one."""
+    t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))
+    full = F.abs(F.col("rho")) >= 1 - 1e-12
+    return correlations.withColumn("__t", t).withColumn("__df", (F.col("n") - 2).cast("double")).withColumn("p", F.when(full, 0.0).otherwise(t_p("__t", "__df"))).drop("__t", "__df")
+
+
 def rank_tests(df: DataFrame, group: str, value: str) -> DataFrame:
     """(k, n, h, tie): Kruskal-Wallis statistic over groups, corrected for ties, on one row."""
     ranks = average_rank(df, [], value)
@@ -130,6 +170,31 @@ def mann_whitney(df: DataFrame, group: str, value: str, first: str) -> DataFrame
     return df2.select("n1", "n2", "u", (F.sign(off) * F.greatest(F.abs(off) - 0.5, F.lit(0.0)) / spread).alias("z"))
 
 
+def with_normal_p(tests: DataFrame) -> DataFrame:
+    """Rows with the two-sided normal p of their deviate z."""
+    return tests.withColumn("p", normal_p("z"))
+
+
+def with_chi2_p(tests: DataFrame) -> DataFrame:
+    """rank_tests' rows with the p of h on k - 1 degrees of freedom."""
+    return tests.withColumn("__df", (F.col("k") - 1).cast("double")).withColumn("p", chi2_p("h", "__df")).drop("__df")
+
+
+def grouped_mann_whitney(df: DataFrame, by: list[str], group: str, value: str, first: str) -> DataFrame:
+    """(by, n1, n2, mean1, mean2, u, z): mann_whitney within each stratum of by, with the two groups' means; z is null where a group is empty or all values are equal."""
+    ranks = average_rank(df, by, value)
+    mine = F.col(group) == first
+    marked = df.join(ranks.select(*by, value, "rank"), [*by, value]).groupBy(*by).agg(
+        F.count_if(mine).alias("n1"), F.count_if(~mine).alias("n2"), F.avg(F.when(mine, F.col(value))).alias("mean1"), F.avg(F.when(~mine, F.col(value))).alias("mean2"), F.sum(F.when(mine, F.col("rank"))).alias("r")
+    )
+    ties = ranks.groupBy(*by).agg(F.sum(F.pow(F.col("n").cast("double"), 3.0) - F.col("n")).alias("ties"))
+    both = marked.join(ties, by).withColumn("u", F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2)
+    n = (F.col("n1") + F.col("n2")).cast("double")
+    spread = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0))))
+    off = F.col("u") - F.col("n1") * F.col("n2") / 2.0
+    return both.select(*by, "n1", "n2", "mean1", "mean2", "u", F.try_divide(F.sign(off) * F.greatest(F.abs(off) - 0.5, F.lit(0.0)), spread).alias("z"))
+
+
 def win_rates(runs: DataFrame, ref: str) -> DataFrame:
     """(arm, cells, wins, mean_delta): how often and by how much ref beats each other arm over (seed, fold) cells."""
     base = runs.where(F.col("arm") == ref).select("seed", "fold", F.col("value").alias("ref_value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -22,12 +24,28 @@ def assemble(values: DataFrame, key: str, name: str, value: str) -> DataFrame:
     return values.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(name, value))).alias("v")).select(key, array_to_vector(F.transform("v", lambda x: x[value].cast("double"))).alias("features"))
 
 
+def fold_loop(features: Callable[[DataFrame, DataFrame], DataFrame], samples: DataFrame, splits: DataFrame, **settings) -> DataFrame:
+    """(fold, sample_id, y, cls, prob) of every fold's test samples, each fold's model fitted on its train and validation part alone.
+
+    features(fit samples, all samples) gives (key, features); it sees the labels of the fit samples only. samples: sample_id,
+    patient_id, label_idx and others; splits: fold, patient_id, split. A short loop on the driver starts the folds' jobs.
+    """
+    out = None
+    for fold in sorted(r[0] for r in splits.select("fold").distinct().collect()):  # a handful
+        placed = samples.join(splits.where(F.col("fold") == fold).select("patient_id", "split"), "patient_id")
+        fit = placed.where("split <> 'test'")
+        found = fit_predict(features(fit, placed.drop("label", "label_idx")), placed.select("sample_id", "label_idx", "split"), **settings)
+        found = found.select(F.lit(fold).alias("fold"), "*")
+        out = found if out is None else out.union(found)
+    return out
+
+
 def fit_predict(features: DataFrame, samples: DataFrame, c: float = 1.0, trees: int = 0) -> DataFrame:
     """(sample_id, y, cls, prob) of the test split; fitted on the rest (sample_id, label_idx, split) with balanced weights.
 
     Multinomial logistic regression with an L2 penalty of 1 / (c * total weight), or, with trees, a random forest of that size.
     """
-    rows = features.join(samples, "sample_id")
+    rows = features.join(samples, "sample_id").persist()  # a row for each sample; fitting reads it many times
     train = balanced_weights(rows.where("split <> 'test'"))
     if trees:
         model = RandomForestClassifier(labelCol="label_idx", weightCol="weight", numTrees=trees, maxDepth=3, seed=7).fit(train)

@@ -20,6 +20,13 @@ def softmax_pool(rows: DataFrame, group: str) -> DataFrame:
     return each.groupBy(group, "dim").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("pooled"))
 
 
+def pool_weights(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with `weight`: the softmax of score within by, so that a group's weights add up to one. With a head in by, each head has its own."""
+    own = W.partitionBy(*by)
+    shifted = rows.withColumn("e", F.exp(F.col("score") - F.max("score").over(own)))
+    return shifted.withColumn("weight", F.col("e") / F.sum("e").over(own)).drop("e")
+
+
 def pool_parts(rows: DataFrame, group: str, part: str) -> DataFrame:
     """(group, part, dim, m, s, v): each part's largest score, sum of exp(score - m), and the same sum times the component."""
     own = W.partitionBy(group, part)

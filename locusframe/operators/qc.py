@@ -11,8 +11,13 @@ from ..functions.stats import fisher_p
 
 
 def fingerprint(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """(by, n, print): an order-free fingerprint of each group's rows."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor(draw("", *map(F.col, columns))).alias("print"))
+    """(by, n, print, total): an order-free fingerprint of each group's rows.
+
+    print is the XOR of one half of each row's 64-bit hash and total the sum of the other, so repeated rows do not cancel.
+    """
+    text = F.md5(F.concat_ws("|", F.lit(""), *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns)))
+    half = lambda at: F.conv(F.substring(text, at, 8), 16, 10).cast("long")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor(half(1)).alias("print"), F.sum(half(9)).alias("total"))
 
 
 def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

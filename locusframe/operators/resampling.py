@@ -1,4 +1,4 @@
-"""Paired bootstrap and permutation of two arms' accuracy, as grouped aggregates over replicates."""
+"""Paired bootstrap and permutation of two arms' metrics, as grouped aggregates over replicates."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.loci import draw
+from .metrics import predicted, primary_metrics
 
 
 def stratified_resample(people: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -19,40 +20,62 @@ def stratified_resample(people: DataFrame, replicates: int, seed: int) -> DataFr
     return drawn.join(placed.select("y", "at", "sample_id"), ["y", "at"]).select("rep", "sample_id")
 
 
-def paired_bootstrap(hits: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(delta, low, high, share_le_0) of accuracy, arm a minus arm b; hits: sample_id, y, hit_a, hit_b."""
-    drawn = stratified_resample(hits.select("sample_id", "y"), replicates, seed).join(hits, "sample_id")
-    each = drawn.groupBy("rep").agg((F.avg("hit_a") - F.avg("hit_b")).alias("delta"))
-    seen = hits.agg((F.avg("hit_a") - F.avg("hit_b")).alias("observed"))
-    out = each.agg(F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"), F.avg((F.col("delta") <= 0).cast("double")).alias("share_le_0"))
-    return out.join(F.broadcast(seen), F.lit(True)).select(F.col("observed").alias("delta"), F.get("ci", F.lit(0)).alias("low"), F.get("ci", F.lit(1)).alias("high"), "share_le_0")
+def _deltas(values: DataFrame, a: str, by: list[str]) -> DataFrame:
+    """(by, metric, a, b, delta) of two arms' rows (by, arm, metric, value). Differences under 1e-12 are none."""
+    first = F.col("arm") == a
+    both = values.groupBy(*by, "metric").agg(F.max(F.when(first, F.col("value"))).alias("a"), F.max(F.when(~first, F.col("value"))).alias("b"))
+    return both.withColumn("delta", F.round(F.col("a") - F.col("b"), 12))
 
 
-def paired_permutation(hits: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(delta, p): share of replicates, arms swapped at random for each sample, whose difference is at least as large."""
-    each = hits.select("sample_id", "hit_a", "hit_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+def _observed(pred: DataFrame, classes: int, a: str) -> DataFrame:
+    whole = pred.withColumn("w", F.lit(1))
+    return _deltas(primary_metrics(predicted(pred, ["arm"]).withColumn("w", F.lit(1)), whole, classes, ["arm"]), a, [])
+
+
+def paired_bootstrap(pred: DataFrame, a: str, b: str, classes: int, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """(metric, a, b, delta, low, high, share_le_0) for each primary metric of arm a minus arm b; pred: arm, sample_id, y, cls, prob.
+
+    Both arms are measured on the same resamples of the samples within their classes; a sample drawn k times counts k times.
+    """
+    pred = pred.where(F.col("arm").isin(a, b))
+    top = predicted(pred, ["arm"])
+    drawn = stratified_resample(top.where(F.col("arm") == a).select("sample_id", "y"), replicates, seed).groupBy("rep", "sample_id").agg(F.count("*").alias("w"))
+    each = primary_metrics(top.join(drawn, "sample_id"), pred.join(drawn, "sample_id"), classes, ["rep", "arm"])
+    spread = _deltas(each, a, ["rep"]).groupBy("metric").agg(F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"), F.avg((F.col("delta") <= 0).cast("double")).alias("share_le_0"))
+    return _observed(pred, classes, a).join(spread, "metric").select("metric", "a", "b", "delta", F.get("ci", F.lit(0)).alias("low"), F.get("ci", F.lit(1)).alias("high"), "share_le_0")
+
+
+def paired_permutation(pred: DataFrame, a: str, b: str, classes: int, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """(metric, delta, p): share of replicates, arms swapped at random for each sample, whose difference is at least as large."""
+    pred = pred.where(F.col("arm").isin(a, b))
+    other = F.when(F.col("arm") == a, b).otherwise(a)
     swap = draw(seed, F.col("rep"), F.col("sample_id")) % 2 == 1
-    diff = F.when(swap, F.col("hit_b") - F.col("hit_a")).otherwise(F.col("hit_a") - F.col("hit_b"))
-    deltas = each.groupBy("rep").agg(F.avg(diff).alias("delta"))
-    seen = hits.agg((F.avg(F.col("hit_a") - F.col("hit_b"))).alias("observed"))
-    both = deltas.join(F.broadcast(seen), F.lit(True))
-    return both.groupBy(F.col("observed").alias("delta")).agg(((F.count_if(F.abs("delta") >= F.abs("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
+
+    def swapped(df: DataFrame) -> DataFrame:
+        each = df.withColumn("w", F.lit(1)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        return each.withColumn("arm", F.when(swap, other).otherwise(F.col("arm")))
+
+    each = primary_metrics(swapped(predicted(pred, ["arm"])), swapped(pred), classes, ["rep", "arm"])
+    seen = _observed(pred, classes, a).select("metric", F.col("delta").alias("observed"))
+    both = _deltas(each, a, ["rep"]).join(F.broadcast(seen), "metric")  # a row for each metric
+    return both.groupBy("metric", F.col("observed").alias("delta")).agg(((F.count_if(F.abs("delta") >= F.abs("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
 
 
-def compare_arms(hits: DataFrame, pairs: list[tuple[str, str]], replicates: int, seed: int) -> DataFrame:
-    """(arm_a, arm_b, delta, low, high, share_le_0, p) for a short list of pairs of arms; hits: arm, sample_id, y, hit.
+def compare_arms(pred: DataFrame, pairs: list[tuple[str, str]], classes: int, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """(arm_a, arm_b, metric, a, b, delta, low, high, share_le_0, p, n) for a short list of pairs of arms; pred: arm, sample_id, y, cls, prob.
 
-    A pair with an absent arm is skipped. Arms on different samples, or a sample twice in an arm, fail.
+    A pair with an absent arm is skipped. Arms on different samples or classes of samples fail, as does a sample with several
+    rows of a class in an arm.
     """
-    known = {r.arm: (r.n, r.k, r.x) for r in hits.groupBy("arm").agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("k"), F.bit_xor(F.xxhash64("sample_id")).alias("x")).collect()}
+    mark = F.xxhash64("sample_id", "y")
+    rows = pred.where("cls = 0").groupBy("arm").agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("k"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 30))).alias("s"))
+    known = {r.arm: (r.n, r.k, r.x, r.s) for r in rows.collect()}  # a row for each arm
     out = None
     for a, b in ((a, b) for a, b in pairs if a in known and b in known):
         if known[a] != known[b] or known[a][0] != known[a][1]:
             raise ValueError(f"arms {a} and {b} are not on the same samples")
-        sides = [hits.where(F.col("arm") == arm).select("sample_id", "y", F.col("hit").alias(name)) for arm, name in ((a, "hit_a"), (b, "hit_b"))]
-        both = sides[0].join(sides[1], ["sample_id", "y"])
-        p = paired_permutation(both, replicates, seed).select("p")
-        row = paired_bootstrap(both, replicates, seed).join(F.broadcast(p), F.lit(True)).select(F.lit(a).alias("arm_a"), F.lit(b).alias("arm_b"), "delta", "low", "high", "share_le_0", "p")
+        p = paired_permutation(pred, a, b, classes, replicates, seed).select("metric", "p")
+        row = paired_bootstrap(pred, a, b, classes, replicates, seed).join(p, "metric").select(F.lit(a).alias("arm_a"), F.lit(b).alias("arm_b"), "*", F.lit(known[a][0]).cast("long").alias("n"))
         out = row if out is None else out.union(row)
     if out is None:
         raise ValueError("no pair of arms is present")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.loci import draw
+from .qc import fingerprint
 
 
 def apply_labels(samples: DataFrame, scheme: dict[str, str | None], classes: list[str]) -> DataFrame:
@@ -28,17 +30,25 @@ def sample_violations(samples: DataFrame) -> DataFrame:
     return nulls.union(repeated).union(mixed)
 
 
+def failing(wrong: Column, value: Column, said: str, kind: str = "string") -> Column:
+    """value, or an error that says what is wrong."""
+    return F.when(wrong, F.raise_error(F.lit(said)).cast(kind)).otherwise(value)
+
+
 def patients(samples: DataFrame, strata: list[str]) -> DataFrame:
-    """(patient_id, label, stratum, n_labels): each patient by its first sample."""
+    """(patient_id, label, stratum, n_labels): each patient by its first sample. A patient with several labels fails."""
     joined = F.concat_ws("|", *strata)
-    return samples.groupBy("patient_id").agg(F.min_by("label", "sample_id").alias("label"), F.min_by(joined, "sample_id").alias("stratum"), F.countDistinct("label").alias("n_labels"))
+    each = samples.groupBy("patient_id").agg(F.min_by("label", "sample_id").alias("label"), F.min_by(joined, "sample_id").alias("stratum"), F.countDistinct("label").alias("n_labels"))
+    return each.withColumn("label", failing(F.col("n_labels") > 1, F.col("label"), "a patient has samples with different labels"))
 
 
 def fold_of(people: DataFrame, k: int, seed: int) -> DataFrame:
     """people with `fold`: within a stratum, patients take turns in hash order, and strata follow on from each other.
 
-    Strata with fewer than k patients are dealt by label instead.
+    Strata with fewer than k patients are dealt by label instead; a label with fewer than k patients fails.
     """
+    few = F.count("*").over(W.partitionBy("label")) < k
+    people = people.withColumn("label", failing(few, F.col("label"), f"a class has fewer than {k} patients"))
     size = F.count("*").over(W.partitionBy("stratum"))
     df = people.withColumn("stratum", F.when(size < k, F.concat(F.lit("label:"), F.col("label"))).otherwise(F.col("stratum")))
     sizes = df.groupBy("stratum").agg(F.count("*").alias("n"))
@@ -68,7 +78,9 @@ def kfold_splits(people: DataFrame, k: int, percent: int, seed: int) -> DataFram
 
 
 def official_splits(samples: DataFrame, percent: int, seed: int) -> DataFrame:
-    """One fold by the official column; validation comes out of its training part. A patient in both parts fails."""
+    """One fold by the official column; validation comes out of its training part. A patient in both parts, or another part than train and test, fails."""
+    known = F.coalesce(F.col("official_split").isin("train", "test"), F.lit(False))
+    samples = samples.withColumn("official_split", failing(~known, F.col("official_split"), "official_split must be train or test"))
     people = samples.groupBy("patient_id").agg(F.min_by("label", "sample_id").alias("label"), F.min("official_split").alias("low"), F.max("official_split").alias("high"))
     part = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.raise_error(F.lit("a patient is in both official splits")))
     people = people.select(F.lit(0).alias("fold"), "patient_id", "label", part.alias("split"))
@@ -77,9 +89,13 @@ def official_splits(samples: DataFrame, percent: int, seed: int) -> DataFrame:
 
 
 def cross_batch_splits(samples: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Fold k tests on the k-th batch by name and trains on the others."""
-    batches = [r[0] for r in samples.select("batch").distinct().orderBy("batch").collect()]  # a handful of names
-    people = samples.groupBy("patient_id").agg(F.min_by("label", "sample_id").alias("label"), F.min("batch").alias("batch"))
+    """Fold k tests on the k-th batch by name and trains on the others. A class that a batch lacks, or a patient in two batches, fails."""
+    cells = samples.groupBy("batch", "label").count().collect()  # a handful of batches and classes
+    batches, labels = sorted({r.batch for r in cells}), {r.label for r in cells}
+    if missing := sorted({(b, c) for b in batches for c in labels} - {(r.batch, r.label) for r in cells}):
+        raise ValueError(f"every class must be in every batch; missing: {missing}")
+    people = samples.groupBy("patient_id").agg(F.min_by("label", "sample_id").alias("label"), F.min("batch").alias("batch"), F.max("batch").alias("last"))
+    people = people.withColumn("batch", failing(F.col("batch") != F.col("last"), F.col("batch"), "a patient has samples in several batches")).drop("last")
     folds = F.array(*(F.struct(F.lit(i).alias("fold"), F.lit(b).alias("tested")) for i, b in enumerate(batches)))
     each = people.select("patient_id", "label", "batch", F.inline(folds))
     rest = carve_validation(each.where("batch <> tested").select("fold", "patient_id", "label"), percent, seed)
@@ -94,9 +110,38 @@ def leakage(splits: DataFrame) -> DataFrame:
 
 
 def manifest(splits: DataFrame) -> DataFrame:
-    """(fold, split, label, n, hash): counts, and an order-free hash of who is where."""
-    bits = draw("", F.col("fold"), F.col("patient_id"), F.col("split"))
-    return splits.groupBy("fold", "split", "label").agg(F.count("*").alias("n"), F.bit_xor(bits).alias("hash"))
+    """(fold, split, label, n, print, total): counts, and an order-free fingerprint of who is where."""
+    return fingerprint(splits, ["fold", "patient_id", "split"], ["fold", "split", "label"])
+
+
+def keep_splits(splits: DataFrame, path: str) -> DataFrame:
+    """splits, written to path with their manifest; if path holds an assignment already, that one, unless it is another: then it fails."""
+    spark = splits.sparkSession
+    own = manifest(splits)
+    try:
+        held = spark.read.parquet(f"{path}/manifest")
+    except AnalysisException:  # nothing there yet
+        splits.write.parquet(f"{path}/assignment")
+        own.coalesce(1).write.parquet(f"{path}/manifest")
+        return spark.read.parquet(f"{path}/assignment")
+    if own.exceptAll(held).head(1) or held.exceptAll(own).head(1):
+        raise ValueError(f"{path} holds a different assignment; delete it if the change is meant")
+    return spark.read.parquet(f"{path}/assignment")
+
+
+def task_samples(samples: DataFrame, excluded: tuple[str, ...] = (), least: int = 0, by_batch: bool = False) -> DataFrame:
+    """samples of a protocol, with label_idx in the order of the labels left.
+
+    Excluded classes go; with least, so do classes with fewer patients than that in some batch; with by_batch, the label is
+    the batch and tissue_label keeps the class.
+    """
+    df = samples.where(~F.col("label").isin(*excluded)) if excluded else samples
+    if least:
+        df = df.join(robust_classes(df, least).select("label"), "label", "left_semi")
+    if by_batch:
+        df = df.withColumn("tissue_label", F.col("label")).withColumn("label", F.col("batch"))
+    order = df.select("label").distinct().agg(F.array_sort(F.collect_list("label")).alias("labels"))  # as long as there are classes
+    return df.drop("label_idx").join(F.broadcast(order), F.lit(True)).withColumn("label_idx", (F.array_position("labels", F.col("label")) - 1).cast("int")).drop("labels")
 
 
 def guarded(samples: DataFrame, labels: list[str], revealed: bool = False) -> DataFrame:
@@ -107,12 +152,16 @@ def guarded(samples: DataFrame, labels: list[str], revealed: bool = False) -> Da
 
 
 def content_twins(calls: DataFrame, splits: DataFrame) -> DataFrame:
-    """(fold, sample_a, sample_b): samples with the same calls in different splits, found by an order-free fingerprint."""
+    """(fold, twin, sample_id, split): samples with the same calls as one in another split; twin is the smallest sample of the group.
+
+    Groups are found by an order-free fingerprint and listed member by member, never as pairs.
+    """
     mark = F.xxhash64("locus_key", "state")
     prints = calls.groupBy("sample_id").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 30))).alias("s"))
     placed = prints.join(splits.select("fold", "split", F.col("patient_id").alias("sample_id")), "sample_id")
-    other = placed.select("fold", "n", "x", "s", F.col("sample_id").alias("sample_b"), F.col("split").alias("split_b"))
-    return placed.join(other, ["fold", "n", "x", "s"]).where("split <> split_b and sample_id < sample_b").select("fold", F.col("sample_id").alias("sample_a"), "sample_b")
+    same = ["fold", "n", "x", "s"]
+    groups = placed.groupBy(*same).agg(F.min("sample_id").alias("twin"), F.min("split").alias("low"), F.max("split").alias("high")).where("low <> high")
+    return placed.join(groups, same).select("fold", "twin", "sample_id", "split")
 
 
 def robust_classes(samples: DataFrame, least: int) -> DataFrame:

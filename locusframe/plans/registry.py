@@ -60,17 +60,22 @@ def embedding_store(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("locus_key"), F.col("embedding").alias("vec"))
 
 
+ARMS = 6
+
+
 def scores(spark: SparkSession, d: str) -> DataFrame:
+    """Six arms of ten class scores from the 64 components; the last four are added to the first four."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    each = e.select(F.col("vec_id").alias("sample_id"), F.col("label").alias("y"), F.posexplode(F.slice("embedding", 1, 20)).alias("i", "x"))
-    return each.select("sample_id", "y", F.expr("int(i div 10)").alias("arm"), F.expr("int(i % 10)").alias("cls"), (4 * F.col("x").cast("double")).alias("score"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.get("embedding", i).cast("double") + F.coalesce(F.get("embedding", i + 60).cast("double"), F.lit(0.0)))
+    each = e.select(F.col("vec_id").alias("sample_id"), F.col("label").alias("y"), F.posexplode(whole).alias("i", "x"))
+    return each.select("sample_id", "y", F.expr("int(i div 10)").alias("arm"), F.expr("int(i % 10)").alias("cls"), (4 * F.col("x")).alias("score"))
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     return metrics.softmax(scores(spark, d), ["arm", "sample_id"]).drop("score")
 
 
-SCORES = "sc AS (SELECT vec_id AS sample_id, label AS y, ((i - 1) // 10)::INTEGER AS arm, ((i - 1) % 10)::INTEGER AS cls, 4 * embedding[i]::DOUBLE AS score FROM (SELECT *, unnest(range(1, 21)) AS i FROM embeddings))"
+SCORES = "sc AS (SELECT vec_id AS sample_id, label AS y, ((i - 1) // 10)::INTEGER AS arm, ((i - 1) % 10)::INTEGER AS cls, 4 * (embedding[i]::DOUBLE + coalesce(embedding[i + 60]::DOUBLE, 0)) AS score FROM (SELECT *, unnest(range(1, 61)) AS i FROM embeddings))"
 PRED = SCORES + ", pr AS (SELECT sample_id, y, arm, cls, exp(score - max(score) OVER w) / sum(exp(score)) OVER w * exp(max(score) OVER w) AS prob FROM sc WINDOW w AS (PARTITION BY arm, sample_id))"
 TOP = PRED + ", top AS (SELECT arm, sample_id, y, cls AS label, prob AS conf FROM (SELECT *, row_number() OVER (PARTITION BY arm, sample_id ORDER BY prob DESC, cls) AS rn FROM pr) WHERE rn = 1)"
 OBS = "ob AS (SELECT sample_id, locus_key, c_count / ct_count AS beta, least(ct_count, 65535) AS coverage FROM v_obs WHERE ct_count > 0)"
@@ -140,16 +145,6 @@ def b16(spark, d):
     return rounded(metrics.predicted(predictions(spark, d), ["arm"]).select("arm", "sample_id", "label", "conf"))
 
 
-@query("B12_position_vectors")
-def b12(spark, d):
-    return view(spark, d, "v_obs").select("locus_key").distinct().select("locus_key", represent.position_vector(F.col("locus_key"), 32).alias("vec"))
-
-
-@query("B11_random_vectors")
-def b11(spark, d):
-    return represent.random_vectors(view(spark, d, "v_obs").select("locus_key").distinct(), 16, 17)
-
-
 # Liftover
 
 
@@ -217,7 +212,7 @@ def e3(spark, d):
 @query("D1_sample_summary", f"WITH {OBS}, u AS (SELECT count(DISTINCT locus_key) AS n FROM v_obs) SELECT sample_id, count(*) AS n_observed, round(1 - count(*) / any_value(u.n), 6) AS missing_fraction, round(avg(beta), 6) AS mean_beta, round(var_pop(beta), 6) AS var_beta, round(avg(coverage), 6) AS mean_coverage, round(median(coverage), 6) AS median_coverage FROM ob CROSS JOIN u GROUP BY sample_id")
 def d1(spark, d):
     obs = observations(spark, d)
-    return rounded(beta.sample_summary(obs, obs.select("locus_key").distinct().count()))
+    return rounded(beta.sample_summary(obs))
 
 
 @query("E1_regions", f"WITH {REGIONS} SELECT locus_key, region_id FROM rg")
@@ -250,10 +245,10 @@ lab AS (SELECT DISTINCT diagnosis AS label FROM v_samples), pairs AS (SELECT l.l
 wt AS (SELECT label, region_id, count(*) FILTER (own) AS n, count(*) FILTER (NOT own) AS n_rest, avg(region_beta) FILTER (own) AS m1, avg(region_beta) FILTER (NOT own) AS m2, var_samp(region_beta) FILTER (own) AS v1, var_samp(region_beta) FILTER (NOT own) AS v2 FROM pairs GROUP BY ALL)"""
 
 
-@query("D5_welch_one_vs_rest", f"WITH {WELCH} SELECT label, region_id, n, n_rest, round(m1 - m2, 6) AS delta, round((m1 - m2) / sqrt(v1 / n + v2 / n_rest), 4) AS t FROM wt WHERE n >= 2 AND n_rest >= 2 AND v1 / n + v2 / n_rest > 1e-12")
+@query("D5_welch_one_vs_rest", f"WITH {WELCH}, se AS (SELECT *, v1 / n AS a, v2 / n_rest AS b FROM wt WHERE n >= 2 AND n_rest >= 2) SELECT label, region_id, n, n_rest, round(m1 - m2, 6) AS delta, CASE WHEN a + b > 1e-12 THEN round((m1 - m2) / sqrt(a + b), 4) END AS t, CASE WHEN a + b > 1e-12 THEN round((a + b) ** 2 / (a ** 2 / (n - 1) + b ** 2 / (n_rest - 1)), 3) END AS df FROM se")
 def d5(spark, d):
     tests = beta.one_vs_rest(values(spark, d), labelled(spark, d))
-    return tests.where(F.abs(F.try_divide("delta", "t")) > 1e-6).select("label", "region_id", "n", "n_rest", F.round("delta", 6).alias("delta"), F.round("t", 4).alias("t"))
+    return tests.select("label", "region_id", "n", "n_rest", F.round("delta", 6).alias("delta"), F.round("t", 4).alias("t"), F.round("df", 3).alias("df"))
 
 
 @query("D6_select_regions")
@@ -282,7 +277,7 @@ def c9(spark, d):
     return calls.merge_mates(view(spark, d, "v_calls"))
 
 
-@query("C9_mate_stats", "SELECT count(DISTINCT fragment_id) AS fragments, count(*) AS calls, count(*) FILTER (m > 1) AS both_mates, count(*) FILTER (lo <> hi) AS conflicts FROM (SELECT fragment_id, min(state) AS lo, max(state) AS hi, count(DISTINCT mate) AS m FROM v_calls GROUP BY sample_id, fragment_id, locus_key)")
+@query("C9_mate_stats", "SELECT count(DISTINCT (sample_id, fragment_id)) AS fragments, count(*) AS calls, count(*) FILTER (m > 1) AS both_mates, count(*) FILTER (lo <> hi) AS conflicts FROM (SELECT sample_id, fragment_id, min(state) AS lo, max(state) AS hi, count(DISTINCT mate) AS m FROM v_calls GROUP BY sample_id, fragment_id, locus_key)")
 def c9b(spark, d):
     return calls.mate_stats(view(spark, d, "v_calls"))
 
@@ -295,13 +290,13 @@ def c11(spark, d):
     return calls.heldout(view(spark, d, "v_calls"), 0.2, 17)
 
 
-@query("C12_fragments_excluding", f"WITH {HELD} SELECT DISTINCT sample_id, fragment_id FROM v_calls WHERE fragment_id NOT IN (SELECT fragment_id FROM v_calls JOIN ho USING (locus_key))")
+@query("C12_fragments_excluding", f"WITH {HELD} SELECT DISTINCT sample_id, fragment_id FROM v_calls WHERE (sample_id, fragment_id) NOT IN (SELECT (sample_id, fragment_id) FROM v_calls JOIN ho USING (locus_key))")
 def c12(spark, d):
     c = view(spark, d, "v_calls")
     return calls.fragments_touching(c, calls.heldout(c, 0.2, 17), "exclude")
 
 
-@query("C12_fragments_only", f"WITH {HELD} SELECT DISTINCT sample_id, fragment_id FROM v_calls WHERE fragment_id IN (SELECT fragment_id FROM v_calls JOIN ho USING (locus_key))")
+@query("C12_fragments_only", f"WITH {HELD} SELECT DISTINCT sample_id, fragment_id FROM v_calls WHERE (sample_id, fragment_id) IN (SELECT (sample_id, fragment_id) FROM v_calls JOIN ho USING (locus_key))")
 def c12b(spark, d):
     c = view(spark, d, "v_calls")
     return calls.fragments_touching(c, calls.heldout(c, 0.2, 17), "only")
@@ -365,10 +360,24 @@ def g2(spark, d):
     return splits.fold_of(splits.patients(labelled(spark, d), ["label", "batch"]), 5, 17).select("patient_id", "fold")
 
 
-@query("G3_split_counts")
+FOLDS = f"""fa AS (SELECT patient_id, diagnosis AS label, diagnosis || '|' || batch AS stratum, {seeded_hash('17', 'patient_id')} AS h FROM v_samples),
+fz AS (SELECT stratum, coalesce(sum(count(*)) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM fa GROUP BY 1),
+fo AS (SELECT patient_id, label, ((shift + row_number() OVER (PARTITION BY fa.stratum ORDER BY h, patient_id) - 1) % 5)::INTEGER AS own FROM fa JOIN fz ON fa.stratum = fz.stratum),
+al AS (SELECT f.fold, patient_id, label, own = f.fold AS test FROM fo CROSS JOIN (SELECT unnest(range(5))::INTEGER AS fold) f),
+qa AS (SELECT fold, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY fold) AS m FROM al WHERE NOT test GROUP BY fold, label),
+qb AS (SELECT *, n * ((m * 20 + 99) // 100) // m AS base, n * ((m * 20 + 99) // 100) % m AS rest, (m * 20 + 99) // 100 AS want FROM qa),
+qc AS (SELECT fold, label, base + CASE WHEN row_number() OVER (PARTITION BY fold ORDER BY rest DESC, label) <= want - sum(base) OVER (PARTITION BY fold) THEN 1 ELSE 0 END AS quota FROM qb),
+ra AS (SELECT al.*, row_number() OVER (PARTITION BY fold, label ORDER BY {seeded_hash('17', 'fold', 'patient_id')}, patient_id) AS rn FROM al WHERE NOT test),
+sp AS (SELECT ra.fold, patient_id, ra.label, CASE WHEN rn <= quota THEN 'val' ELSE 'train' END AS split FROM ra JOIN qc ON ra.fold = qc.fold AND ra.label = qc.label UNION ALL SELECT fold, patient_id, label, 'test' FROM al WHERE test)"""
+
+
+def split_table(spark, d):
+    return splits.kfold_splits(splits.patients(labelled(spark, d), ["label", "batch"]), 5, 20, 17)
+
+
+@query("G3_split_assignment", f"WITH {FOLDS} SELECT * FROM sp")
 def g3(spark, d):
-    people = splits.patients(labelled(spark, d), ["label", "batch"])
-    return splits.manifest(splits.kfold_splits(people, 5, 20, 17))
+    return split_table(spark, d)
 
 
 @query("G4_official_splits", f"""WITH t AS (SELECT 0 AS fold, patient_id, diagnosis AS label FROM v_samples WHERE official_split = 'train'),
@@ -385,10 +394,22 @@ def g5(spark, d):
     return splits.cross_batch_splits(labelled(spark, d), 20, 17).groupBy(F.col("fold").cast("long").alias("fold"), "split").agg(F.count("*").alias("n"))
 
 
-@query("G6_leakage", "SELECT unnest(range(5))::INTEGER AS fold, 0::BIGINT AS repeated, 0::BIGINT AS spanning, 0::BIGINT AS missing_splits FROM (SELECT 1 FROM v_samples LIMIT 1)")
+LEAKY = """tb AS (SELECT f.fold, patient_id, diagnosis AS label, CASE (patient_id + f.fold) % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM v_samples CROSS JOIN (SELECT unnest(range(5))::INTEGER AS fold) f),
+lk AS (SELECT * FROM tb WHERE NOT (fold = 4 AND split = 'val') UNION ALL SELECT fold, patient_id, label, 'train' FROM tb WHERE patient_id % 37 = fold)"""
+
+
+def leaky_splits(spark, d):
+    """A split table with leaks: some patients are in train a second time, and the last fold has no validation part."""
+    people = view(spark, d, "v_samples").select("patient_id", F.col("diagnosis").alias("label"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
+    at = (F.col("patient_id") + F.col("fold")) % 5
+    table = people.select("fold", "patient_id", "label", F.when(at == 0, "test").when(at == 1, "val").otherwise("train").alias("split"))
+    again = table.where("patient_id % 37 = fold").withColumn("split", F.lit("train"))
+    return table.where("not (fold = 4 and split = 'val')").union(again)
+
+
+@query("G6_leakage", f"WITH {LEAKY}, p AS (SELECT fold, patient_id, count(*) AS n, count(DISTINCT split) AS k FROM lk GROUP BY ALL), m AS (SELECT fold, 3 - count(DISTINCT split) AS missing_splits FROM lk GROUP BY 1) SELECT p.fold, count(*) FILTER (n > 1) AS repeated, count(*) FILTER (k > 1) AS spanning, any_value(missing_splits) AS missing_splits FROM p JOIN m ON p.fold = m.fold GROUP BY 1")
 def g6(spark, d):
-    people = splits.patients(labelled(spark, d), ["label", "batch"])
-    return splits.leakage(splits.kfold_splits(people, 5, 20, 17))
+    return splits.leakage(leaky_splits(spark, d))
 
 
 @query("D18_contingency", "SELECT diagnosis, batch, count(*) AS n FROM v_samples GROUP BY ALL")
@@ -406,9 +427,10 @@ def d19b(spark, d):
     return rounded(audit.chi_square_p(view(spark, d, "v_samples"), "diagnosis", "batch"))
 
 
-@query("D21_confounded", "SELECT diagnosis AS label, min(batch) AS batch FROM v_samples WHERE diagnosis <> 'BUILDING' OR batch = 'B0' GROUP BY 1 HAVING count(DISTINCT batch) = 1")
+@query("D21_confounded", "SELECT diagnosis AS label, min(b) AS batch FROM (SELECT diagnosis, CASE WHEN diagnosis = 'BUILDING' THEN 'B0' ELSE batch END AS b FROM v_samples) GROUP BY 1 HAVING count(DISTINCT b) = 1")
 def d21(spark, d):
-    return splits.confounded_classes(labelled(spark, d).where("diagnosis <> 'BUILDING' OR batch = 'B0'"))
+    planted = F.when(F.col("diagnosis") == "BUILDING", "B0").otherwise(F.col("batch"))
+    return splits.confounded_classes(labelled(spark, d).withColumn("batch", planted))
 
 
 @query("D22_robust_classes", "SELECT label, min(n) AS fewest FROM (SELECT diagnosis AS label, batch, count(DISTINCT patient_id) AS n FROM v_samples GROUP BY ALL) GROUP BY 1 HAVING count(*) = 2 AND min(n) >= 10")
@@ -507,23 +529,63 @@ def d31(spark, d):
     return rounded(metrics.spearman(metrics.predicted(predictions(spark, d), ["arm"]), "conf", "sample_id", ["arm"]))
 
 
-HITS = TOP + ", hit AS (SELECT a.sample_id, a.y, CASE WHEN a.y = a.label THEN 1 ELSE 0 END AS ha, CASE WHEN b.y = b.label THEN 1 ELSE 0 END AS hb FROM top a JOIN top b ON a.sample_id = b.sample_id AND a.arm = 0 AND b.arm = 1)"
+REPLICATES = 200  # as in the published comparison; the operators' default is 2000
+
 
+def arm_pair(a: int, b: int) -> str:
+    return PRED + f""", pa AS (SELECT * FROM pr WHERE arm IN ({a}, {b})),
+to_ AS (SELECT arm, sample_id, y, cls AS label FROM (SELECT *, row_number() OVER (PARTITION BY arm, sample_id ORDER BY prob DESC, cls) AS rn FROM pa) WHERE rn = 1)"""
 
-def hits(spark, d):
-    top = metrics.predicted(predictions(spark, d), ["arm"]).withColumn("hit", (F.col("y") == F.col("label")).cast("int"))
-    a, b = (top.where(F.col("arm") == i).select("sample_id", "y", F.col("hit").alias(n)) for i, n in ((0, "hit_a"), (1, "hit_b")))
-    return a.join(b, ["sample_id", "y"])
 
+# Metrics by (rep, arm) of wt (rep, arm, y, label, w) and wp (rep, arm, y, cls, prob, w), then the first arm's minus the second's.
+METRICS = """ce AS (SELECT rep, arm, y, label, sum(w) AS n FROM wt GROUP BY ALL),
+pe AS (SELECT rep, arm, c.cls, sum(n) AS total, coalesce(sum(n) FILTER (y = c.cls), 0) AS support, coalesce(sum(n) FILTER (label = c.cls), 0) AS predicted, coalesce(sum(n) FILTER (y = c.cls AND label = c.cls), 0) AS hits FROM ce CROSS JOIN (SELECT unnest(range(10)) AS cls) c GROUP BY ALL),
+me AS (SELECT rep, arm, sum(hits) / max(total) AS accuracy, avg(hits / nullif(support, 0)) AS balanced_accuracy, avg(coalesce(2 * hits / nullif(support + predicted, 0), 0)) AS macro_f1 FROM pe GROUP BY ALL),
+cn AS (SELECT rep, arm, cls, prob, sum(w) AS n, coalesce(sum(w) FILTER (y = cls), 0) AS p FROM wp GROUP BY ALL),
+rk AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rep, arm, cls ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS r FROM cn),
+au AS (SELECT rep, arm, avg(auc) AS macro_auroc FROM (SELECT rep, arm, cls, (sum(r * p) - sum(p) * (sum(p) + 1) / 2) / nullif(sum(p) * (sum(n) - sum(p)), 0) AS auc FROM rk GROUP BY ALL) GROUP BY ALL),
+lo_ AS (SELECT rep, arm, unnest(['accuracy', 'balanced_accuracy', 'macro_f1', 'macro_auroc']) AS metric, unnest([accuracy, balanced_accuracy, macro_f1, macro_auroc]) AS value FROM me JOIN au USING (rep, arm)),
+dl AS (SELECT rep, metric, max(value) FILTER (arm = {a}) AS a, max(value) FILTER (arm <> {a}) AS b, round(max(value) FILTER (arm = {a}) - max(value) FILTER (arm <> {a}), 12) AS delta FROM lo_ GROUP BY ALL)"""
 
-@query("J2_paired_bootstrap", f"WITH {HITS}, p AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY sample_id) - 1 AS at, count(*) OVER (PARTITION BY y) AS n FROM hit), s AS (SELECT r.rep, p.y, ({seeded_hash('17', 'r.rep', 'p.y', 'p.at')} % n) AS k FROM p CROSS JOIN (SELECT unnest(range(100)) AS rep) r), x AS (SELECT s.rep, avg(p.ha) - avg(p.hb) AS delta FROM s JOIN p ON s.y = p.y AND s.k = p.at GROUP BY 1) SELECT (SELECT round(avg(ha) - avg(hb), 6) FROM hit) AS delta, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high, round(avg(CASE WHEN round(delta, 12) <= 0 THEN 1 ELSE 0 END), 6) AS share_le_0 FROM x")
+
+def bootstrap_sql(a: int, b: int) -> str:
+    return f"""{arm_pair(a, b)}, pp AS (SELECT sample_id, y, row_number() OVER (PARTITION BY y ORDER BY sample_id) - 1 AS at, count(*) OVER (PARTITION BY y) AS n FROM to_ WHERE arm = {a}),
+dr AS (SELECT s.rep, p.sample_id, count(*) AS w FROM (SELECT r.rep, y, {seeded_hash('17', 'r.rep', 'pp.y', 'pp.at')} % n AS k FROM pp CROSS JOIN (SELECT unnest(range({REPLICATES})) AS rep) r) s JOIN pp p ON s.y = p.y AND s.k = p.at GROUP BY ALL UNION ALL SELECT -1, sample_id, 1 FROM pp),
+wt AS (SELECT rep, t.*, w FROM to_ t JOIN dr USING (sample_id)), wp AS (SELECT rep, pa.*, w FROM pa JOIN dr USING (sample_id)), {METRICS.format(a=a)},
+bo AS (SELECT s.metric, any_value(o.a) AS a, any_value(o.b) AS b, any_value(o.delta) AS delta, quantile_cont(s.delta, 0.025) AS low, quantile_cont(s.delta, 0.975) AS high, avg(CASE WHEN s.delta <= 0 THEN 1 ELSE 0 END) AS share_le_0 FROM dl s JOIN dl o ON s.metric = o.metric AND s.rep >= 0 AND o.rep = -1 GROUP BY 1)"""
+
+
+def permutation_sql(a: int, b: int) -> str:
+    return f"""{arm_pair(a, b)}, sw AS (SELECT rep, sample_id, rep >= 0 AND {seeded_hash('17', 'rep', 'sample_id')} % 2 = 1 AS swap FROM (SELECT DISTINCT sample_id FROM to_) CROSS JOIN (SELECT unnest(range(-1, {REPLICATES})) AS rep)),
+wt AS (SELECT rep, CASE WHEN swap THEN {a + b} - arm ELSE arm END AS arm, y, label, 1 AS w FROM to_ JOIN sw USING (sample_id)),
+wp AS (SELECT rep, CASE WHEN swap THEN {a + b} - arm ELSE arm END AS arm, y, cls, prob, 1 AS w FROM pa JOIN sw USING (sample_id)), {METRICS.format(a=a)},
+pm AS (SELECT s.metric, any_value(o.delta) AS delta, (count(*) FILTER (abs(s.delta) >= abs(o.delta) - 1e-12) + 1) / (count(*) + 1) AS p FROM dl s JOIN dl o ON s.metric = o.metric AND s.rep >= 0 AND o.rep = -1 GROUP BY 1)"""
+
+
+def arm_table(spark, d):
+    return predictions(spark, d).withColumn("arm", F.col("arm").cast("string"))
+
+
+@query("J2_paired_bootstrap", f"WITH {bootstrap_sql(0, 1)} SELECT metric, round(a, 6) AS a, round(b, 6) AS b, round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, round(share_le_0, 6) AS share_le_0 FROM bo")
 def j2(spark, d):
-    return rounded(resampling.paired_bootstrap(hits(spark, d), 100, 17))
+    return rounded(resampling.paired_bootstrap(arm_table(spark, d), "0", "1", 10, REPLICATES, 17))
 
 
-@query("J3_paired_permutation", f"WITH {HITS}, x AS (SELECT r.rep, avg(CASE WHEN {seeded_hash('17', 'r.rep', 'sample_id')} % 2 = 1 THEN hb - ha ELSE ha - hb END) AS delta FROM hit CROSS JOIN (SELECT unnest(range(100)) AS rep) r GROUP BY 1), o AS (SELECT avg(ha - hb) AS seen FROM hit) SELECT round(any_value(seen), 6) AS delta, round((count(*) FILTER (abs(delta) >= abs(seen) - 1e-12) + 1) / (count(*) + 1), 6) AS p FROM x, o")
+@query("J3_paired_permutation", f"WITH {permutation_sql(0, 1)} SELECT metric, round(delta, 6) AS delta, round(p, 6) AS p FROM pm")
 def j3(spark, d):
-    return rounded(resampling.paired_permutation(hits(spark, d), 100, 17))
+    return rounded(resampling.paired_permutation(arm_table(spark, d), "0", "1", 10, REPLICATES, 17))
+
+
+def compared_sql(a: int, b: int) -> str:
+    boot = f"(WITH {bootstrap_sql(a, b)} SELECT * FROM bo)"
+    perm = f"(WITH {permutation_sql(a, b)} SELECT metric, p FROM pm)"
+    rest = ", ".join(f"round({c}, 6) AS {c}" for c in ("a", "b", "delta", "low", "high", "share_le_0", "p"))
+    return f"SELECT '{a}' AS arm_a, '{b}' AS arm_b, metric, {rest}, (SELECT count(*) FROM embeddings) AS n FROM {boot} x JOIN {perm} y USING (metric)"
+
+
+@query("J4_compare_arms", f"{compared_sql(0, 1)} UNION ALL {compared_sql(2, 5)}")
+def j4(spark, d):
+    return rounded(resampling.compare_arms(arm_table(spark, d), [("0", "1"), ("2", "5"), ("0", "absent")], 10, REPLICATES, 17))
 
 
 # Representations and pooling
@@ -539,10 +601,11 @@ def h3(spark, d):
     return rounded(represent.standardise(embedding_store(spark, d)), 5)
 
 
-@query("C6_gather", "SELECT vec_id AS locus_key, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id % 3 = 0")
+@query("C6_gather", "SELECT vec_id AS locus_key, (i - 1)::INTEGER AS dim, round(embedding[i]::DOUBLE, 6) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)")
 def c6(spark, d):
     store = embedding_store(spark, d)
-    return rounded(represent.gather(store.where("locus_key % 3 = 0").select("locus_key"), store).select("locus_key", F.get("vec", F.lit(0)).cast("double").alias("first")))
+    found = represent.gather(store.select("locus_key"), store)
+    return rounded(found.select("locus_key", F.posexplode(F.col("vec").cast("array<double>")).alias("dim", "x")))
 
 
 @query("F5_hash_sample", f"SELECT vec_id AS locus_key FROM embeddings ORDER BY {seeded_hash('17', 'vec_id')}, vec_id LIMIT 100")
@@ -562,10 +625,10 @@ def h1(spark, d):
 
 def pooled_rows(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return e.select("vec_id", F.col("label").alias("bag"), (5 * F.get("embedding", F.lit(0)).cast("double")).alias("score"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("vec"))
+    return e.select("vec_id", F.col("label").alias("bag"), (5 * F.get("embedding", F.lit(0)).cast("double")).alias("score"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
-POOL = "SELECT label AS bag, (i - 1)::INTEGER AS dim, round(sum(exp(5 * embedding[1]::DOUBLE) * embedding[i]::DOUBLE) / sum(exp(5 * embedding[1]::DOUBLE)), 6) AS pooled FROM (SELECT *, unnest(range(1, 9)) AS i FROM embeddings) GROUP BY ALL"
+POOL = "SELECT label AS bag, (i - 1)::INTEGER AS dim, round(sum(exp(5 * embedding[1]::DOUBLE) * embedding[i]::DOUBLE) / sum(exp(5 * embedding[1]::DOUBLE)), 6) AS pooled FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL"
 
 
 @query("I1_softmax_pool", POOL)
@@ -579,7 +642,7 @@ def i2(spark, d):
     return rounded(pooling.merge_parts(pooling.pool_parts(rows, "bag", "part"), "bag"))
 
 
-@query("I3_mean_max_pool", "SELECT label AS bag, (i - 1)::INTEGER AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean, round(max(embedding[i]::DOUBLE), 6) AS max FROM (SELECT *, unnest(range(1, 9)) AS i FROM embeddings) GROUP BY ALL")
+@query("I3_mean_max_pool", "SELECT label AS bag, (i - 1)::INTEGER AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean, round(max(embedding[i]::DOUBLE), 6) AS max FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL")
 def i3(spark, d):
     return rounded(pooling.mean_max_pool(pooled_rows(spark, d), "bag"))
 
@@ -590,7 +653,7 @@ def i3(spark, d):
 @query("K5_summary_logistic")
 def k5(spark, d):
     obs = observations(spark, d)
-    summary = beta.sample_summary(obs, obs.select("locus_key").distinct().count()).na.fill(0.0)
+    summary = beta.sample_summary(obs).na.fill(0.0)
     long = summary.select("sample_id", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in ("n_observed", "mean_beta", "var_beta", "mean_coverage")))).alias("f")).select("sample_id", "f.*")
     samples = labelled(spark, d).select("sample_id", "label_idx", F.col("official_split").alias("split"))
     return models.fit_predict(models.assemble(long, "sample_id", "name", "value"), samples)
@@ -615,7 +678,7 @@ def k3(spark, d):
 # Quality control and consistency
 
 
-@query("B18_fingerprint", "SELECT sample_id, count(*) AS n, bit_xor(('0x' || substr(md5('|' || locus_key || '|' || state), 1, 8))::BIGINT) AS print FROM v_calls GROUP BY 1")
+@query("B18_fingerprint", "SELECT sample_id, count(*) AS n, bit_xor(('0x' || substr(h, 1, 8))::BIGINT) AS print, sum(('0x' || substr(h, 9, 8))::BIGINT)::BIGINT AS total FROM (SELECT sample_id, md5('|' || locus_key || '|' || state) AS h FROM v_calls) GROUP BY 1")
 def b18(spark, d):
     return qc.fingerprint(view(spark, d, "v_calls"), ["locus_key", "state"], ["sample_id"])
 
@@ -708,13 +771,15 @@ def g1(spark, d):
     return splits.patients(labelled(spark, d), ["label", "batch"])
 
 
-@query("G9_content_twins")
+@query("G9_content_twins", f"WITH {LEAKY}, ca AS (SELECT sample_id, locus_key, state FROM v_calls UNION ALL SELECT sample_id + 1000000, locus_key, state FROM v_calls WHERE sample_id % 25 = 1), co AS (SELECT sample_id, string_agg(locus_key || ':' || state, ',' ORDER BY locus_key, state) AS content FROM ca GROUP BY 1), pl AS (SELECT fold, patient_id AS sample_id, split FROM tb UNION ALL SELECT fold, patient_id + 1000000, CASE split WHEN 'test' THEN 'test' ELSE 'val' END FROM tb WHERE patient_id % 25 = 1), bo AS (SELECT pl.*, content FROM pl JOIN co ON pl.sample_id = co.sample_id), gr AS (SELECT fold, content, min(sample_id) AS twin FROM bo GROUP BY ALL HAVING count(DISTINCT split) > 1) SELECT bo.fold, twin, sample_id, split FROM bo JOIN gr ON bo.fold = gr.fold AND bo.content = gr.content")
 def g9(spark, d):
-    people = splits.patients(labelled(spark, d), ["label", "batch"])
-    table = splits.kfold_splits(people, 5, 20, 17)
     c = view(spark, d, "v_calls")
-    copied = c.where("sample_id % 25 <> 2").union(c.where("sample_id % 25 = 1").withColumn("sample_id", F.col("sample_id") + 1).select(c.columns))
-    return splits.content_twins(copied, table)
+    copied = c.union(c.where("sample_id % 25 = 1").withColumn("sample_id", F.col("sample_id") + 1000000).select(c.columns))
+    at = (F.col("patient_id") + F.col("fold")) % 5
+    table = view(spark, d, "v_samples").select("patient_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
+    table = table.select("fold", "patient_id", F.when(at == 0, "test").when(at == 1, "val").otherwise("train").alias("split"))
+    more = table.where("patient_id % 25 = 1").select("fold", (F.col("patient_id") + 1000000).alias("patient_id"), F.when(F.col("split") == "test", "test").otherwise("val").alias("split"))
+    return splits.content_twins(copied, table.union(more))
 
 
 @query("G11_completeness", "SELECT count(*) FILTER (p.k IS NULL) AS missing, count(*) FILTER (e.sample_id IS NULL) AS unexpected, count(*) FILTER (p.k > 1) AS repeated FROM (SELECT sample_id, count(*) AS k FROM (SELECT sample_id FROM v_samples WHERE sample_id % 3 <> 0 UNION ALL SELECT sample_id FROM v_samples WHERE sample_id % 7 = 0) GROUP BY 1) p FULL JOIN (SELECT sample_id FROM v_samples WHERE official_split = 'test') e ON p.sample_id = e.sample_id")
@@ -809,10 +874,3 @@ def i5(spark, d):
     x = np.arange(1, 1 + 3 * 64).reshape(3, 64)
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("grp"), F.col("embedding").alias("vec"))
     return pooling.softmax_pool(pooling.query_scores(rows, np.sin(x), np.eye(3)).where("head = 0"), "grp")
-
-
-@query("J4_compare_arms")
-def j4(spark, d):
-    top = metrics.predicted(predictions(spark, d), ["arm"])
-    long = top.select(F.col("arm").cast("string").alias("arm"), "sample_id", "y", (F.col("y") == F.col("label")).cast("int").alias("hit"))
-    return resampling.compare_arms(long, [("0", "1"), ("1", "0"), ("0", "absent")], 2000, 17)
