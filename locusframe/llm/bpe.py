@@ -19,9 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 
 GAP, DEAD, NONE = -1, -2, 1 << 30
-WIDE = -1  # stands for a part with white space beside a space
 BATCH_BYTES = 3 << 20  # texts of about so many bytes are replayed together
-CACHE_BYTES = 40 << 20  # bytes of parts and pieces that a task keeps before it starts anew
+CACHE_BYTES = 112 << 20  # bytes of parts and pieces that a task keeps before it starts anew
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -113,22 +112,18 @@ class Merges:
 
 
 class Encoder:
-    """Texts to tokens. Keeps, for each distinct part between spaces, its ids, their decimal text and their decoded bytes."""
+    """Texts to token ids, as 32-bit integers in bytes. Keeps the ids of each distinct part between spaces, up to CACHE_BYTES."""
 
     def __init__(self, merges: Merges, pattern: str):
         self.merges, self.find = merges, regex.compile(pattern).findall
-        self.decimal = {r: str(r) for r in merges.bytes}
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
-        self.heads: dict[str, int] = {}
-        self.parts: dict[str, int] = {}
+        self.known: dict[str, bytes] = {}  # pieces
+        self.heads: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.wide: set[str] = set()
-        self.ids: list[bytes] = []
-        self.said: list[str] = []
-        self.decoded: list[bytes] = []
-        self.lasting = self.held = 0  # entries of the lists above that outlive a call; bytes kept in all
+        self.held = 0  # about the bytes kept
 
     def learn(self, pieces: set[str]) -> None:
         """Replay the merges over all new pieces together."""
@@ -137,47 +132,44 @@ class Encoder:
             flat, ends = self.merges.replay(coded)
             raw, cuts = flat.tobytes(), [4 * e for e in ends]
             self.known.update(zip(new, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
-            self.held += len(raw) + sum(map(len, coded)) + 200 * len(new)
+            self.held += len(raw) + sum(map(len, coded)) + 180 * len(new)
 
-    def keep(self, found: list[str]) -> int:
-        """The position, in the lists above, of the tokens of some pieces."""
-        raw = b"".join(map(self.known.__getitem__, found))
-        own = memoryview(raw).cast("i").tolist()
-        self.ids.append(raw)
-        self.said.append(" ".join(map(self.decimal.__getitem__, own)))
-        self.decoded.append(b"".join(map(self.merges.bytes.__getitem__, own)))
-        return len(self.ids) - 1
-
-    def codes(self, texts: list[str]) -> list[list[int]]:
-        """For each text, positions in the lists above of its tokens, part by part; they hold until the next call.
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text.
 
         A part is what stands between two spaces, with the space before it; a head is what stands before a text's first space.
         The pattern's pieces never reach over a space that has no white space beside it, so a part is split into pieces once
-        and remembered. Texts with other spaces are one part, which is forgotten again.
+        and remembered. Texts with other spaces are split as a whole.
         """
         if self.held > CACHE_BYTES:
             self.reset()
-        for kept in (self.ids, self.said, self.decoded):
-            del kept[self.lasting :]
         split = [t.split(" ") for t in texts]
         heads, tails = [p[0] for p in split], [p[1:] for p in split]
-        fresh: list[tuple[dict[str, int], str, list[str]]] = []
+        single: list[tuple[dict[str, bytes], str, str]] = []
+        several: list[tuple[dict[str, bytes], str, list[str]]] = []
         for known, space, new in ((self.heads, "", set(heads)), (self.parts, " ", set().union(*tails))):
             for x in new.difference(known):
                 if x and not x[0].isspace() and not x[-1].isspace():
-                    fresh.append((known, x, self.find(space + x)))
+                    found = self.find(space + x)
+                    if len(found) == 1:
+                        single.append((known, x, found[0]))
+                    else:
+                        several.append((known, x, found))
                 else:
-                    known[x] = WIDE
+                    known[x] = b""
                     self.wide.add(x)
-                    self.held += 200 + 4 * len(x)
+                    self.held += 180 + 4 * len(x)
         whole = {i: self.find(texts[i]) for i, p in enumerate(split) if texts[i] and not self.wide.isdisjoint(p)} if self.wide else {}
-        self.learn(set().union(*(x[2] for x in fresh), *whole.values()))
-        for known, x, found in fresh:
-            at = known[x] = self.keep(found)
-            self.held += 400 + 4 * len(x) + len(self.ids[at]) + len(self.said[at]) + len(self.decoded[at])
-        self.lasting = len(self.ids)
-        head, code = self.heads.__getitem__, self.parts.__getitem__
-        return [[self.keep(whole[i])] if i in whole else [head(heads[i]), *map(code, tails[i])] if texts[i] else [] for i in range(len(texts))]
+        self.learn({x[2] for x in single}.union(*(x[2] for x in several), *whole.values()))
+        ids = self.known.__getitem__
+        for known, x, piece in single:
+            known[x] = ids(piece)
+            self.held += 160 + len(x)
+        for known, x, found in several:
+            raw = known[x] = b"".join(map(ids, found))
+            self.held += 200 + 4 * len(x) + len(raw)
+        head, part = self.heads.__getitem__, self.parts.__getitem__
+        return [b"".join(map(ids, whole[i])) if i in whole else head(heads[i]) + b"".join(map(part, tails[i])) if texts[i] else b"" for i in range(len(texts))]
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -199,15 +191,14 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(merges.value, pattern)
+        decimal, token = {r: str(r) for r in merges.value.bytes}.__getitem__, merges.value.bytes.__getitem__
         for part in (x for b in batches for x in _slices(b)):
-            n, said_sha, decoded_sha, ids = [], [], [], []
-            for own in encoder.codes([t or "" for t in part.column(1).to_pylist()]):
-                said = " ".join(map(encoder.said.__getitem__, own))
-                n.append(said.count(" ") + 1 if said else 0)
-                said_sha.append(hashlib.sha256(said.encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(b"".join(map(encoder.decoded.__getitem__, own))).hexdigest())
-                if with_ids:
-                    ids.append(b"".join(map(encoder.ids.__getitem__, own)))
+            ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+            n, said_sha, decoded_sha = [len(raw) // 4 for raw in ids], [], []
+            for raw in ids:
+                own = memoryview(raw).cast("i").tolist()
+                said_sha.append(hashlib.sha256(" ".join(map(decimal, own)).encode()).hexdigest())
+                decoded_sha.append(hashlib.sha256(b"".join(map(token, own))).hexdigest())
             columns = [part.column(0), pa.array(n, pa.int64()), pa.array(said_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
