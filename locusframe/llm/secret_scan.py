@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, stored
 
 
 class Rule(NamedTuple):
@@ -42,6 +42,7 @@ MORE = [
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0),
 ]
 RULES = BASE + MORE
+MOST_BROADCAST = 1_000_000  # candidates, of some tens of bytes; more of them are joined by a shuffle
 MOST_STRINGS = 64  # a run of a regex is cut where it could be more strings than this
 
 
@@ -140,12 +141,16 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
 def find_secrets(docs: DataFrame, rules: list[Rule] = RULES, name: str = "secrets") -> DataFrame:
     """docs with a column `name`: sorted array of (start, kind, end); kind is the rule's place in rules.
 
-    Offsets are in code points, end exclusive. A null text has none. Rows that share a doc_id, or have none, are verified
-    one by one; an existing column of that name is replaced.
+    Offsets are in code points, end exclusive. A null text has none. Rows that share a doc_id are verified one by one, those
+    without one by every rule; an existing column of that name is replaced.
     """
     queried = [r for r in rules if trigram_query(r.pattern)]
-    found = candidates(docs, queried).select(F.col("doc_id").alias("__secret_id"), F.col("rules").alias("__secret_rules"))
-    df = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__secret_id")), "left")
+    named = docs.where("doc_id is not null")
+    found, _ = stored(candidates(named, queried).select("doc_id", F.col("rules").alias("__secret_rules")))
+    # The candidates are ids alone: while they are few, no text is shuffled to meet them.
+    df = named.join(F.broadcast(found) if found.count() <= MOST_BROADCAST else found, "doc_id", "left")
+    every = F.array(*(F.lit(r.kind) for r in queried)).cast("array<string>")
+    df = df.unionByName(docs.where("doc_id is null").withColumn("__secret_rules", every)).select(*docs.columns, "__secret_rules")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     for i, r in enumerate(rules):
@@ -154,7 +159,7 @@ def find_secrets(docs: DataFrame, rules: list[Rule] = RULES, name: str = "secret
             spans = F.when(F.coalesce(F.array_contains("__secret_rules", r.kind), F.lit(False)), spans).otherwise(none)
         df = df.withColumn(f"__secret_{i}", spans)
     df = df.withColumn(name, F.sort_array(F.concat(*(f"__secret_{i}" for i in range(len(rules))))))
-    return df.drop("__secret_id", "__secret_rules", *(f"__secret_{i}" for i in range(len(rules))))
+    return df.drop("__secret_rules", *(f"__secret_{i}" for i in range(len(rules))))
 
 
 def spans_text(secrets: Column, rules: list[Rule]) -> Column:
