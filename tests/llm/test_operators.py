@@ -401,7 +401,7 @@ def test_merge_replay_fuzz():
     r = random.Random(8)
     texts = ["".join(r.choice(r.choice(["ab", "aeiou rst", " \n\t", "é漢🙂", "0123,.'s", "\x00", "\x1c\x85\xa0\u2003\u3000 "])) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["a" * 5000, "ab" * 3000, "a \x00b", "hello \x00world again", "\x00", "\x00 \x00", "\x00\x00 a\x00 "]
     encoder = bpe.Encoder(bpe.Merges(ranks), public_tokenizers.PATTERN)
-    assert [np.frombuffer(b"".join(encoder.ids[k] for k in own), np.int32).tolist() for own in encoder.codes(texts)] == library.encode_ordinary_batch(texts)
+    assert [np.frombuffer(raw, np.int32).tolist() for raw in encoder.encode(texts)] == library.encode_ordinary_batch(texts)
 
 
 def test_encoder_keeps_bounded_bytes(monkeypatch):
@@ -410,10 +410,10 @@ def test_encoder_keeps_bounded_bytes(monkeypatch):
     encoder, r = bpe.Encoder(bpe.Merges(ranks), public_tokenizers.PATTERN), random.Random(2)
     for i in range(60):
         texts = [f"  indented {r.random()} text  {i} " + "x  y " * 50 for _ in range(50)]
-        codes = encoder.codes(texts)
-        assert [b"".join(encoder.decoded[k] for k in own).decode() for own in codes] == texts
-        kept = sum(map(len, encoder.ids[: encoder.lasting])) + sum(map(len, encoder.decoded[: encoder.lasting]))
-        assert kept <= encoder.held < 3 << 20 and len(encoder.ids) - encoder.lasting <= len(texts)
+        ids = [np.frombuffer(raw, np.int32) for raw in encoder.encode(texts)]
+        assert [b"".join(encoder.merges.bytes[k] for k in own.tolist()).decode() for own in ids] == texts
+        kept = [*encoder.known.items(), *encoder.parts.items(), *encoder.heads.items()]
+        assert sum(len(a.encode()) + len(b) for a, b in kept) <= encoder.held < 3 << 20
 
 
 def brute_fingerprint(text):
