@@ -7,17 +7,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _shifted(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with their group's largest score m and e = exp(score - m). Maxima are joined, so a busy group is no single task."""
+    top = rows.groupBy(*by).agg(F.max("score").alias("m"))
+    return rows.join(top, by).withColumn("e", F.exp(F.col("score") - F.col("m")))
+
+
+def _summary(*metrics: str, weight: str | None = None) -> Column:
+    """Spark ML's summary of vec, combined before the shuffle: vectors are neither taken apart nor sent."""
+    x = array_to_vector(F.col("vec").cast("array<double>"))
+    kind = Summarizer.metrics(*metrics)
+    return kind.summary(x, F.col(weight)) if weight else kind.summary(x)
+
+
 def softmax_pool(rows: DataFrame, group: str) -> DataFrame:
-    """(group, dim, pooled): sum of softmax(score) times each component of vec within a group."""
-    own = W.partitionBy(group)
-    weighed = rows.withColumn("w", F.exp(F.col("score") - F.max("score").over(own)))
-    each = weighed.select(group, "w", F.posexplode("vec").alias("dim", "x"))
-    return each.groupBy(group, "dim").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("pooled"))
+    """(group, dim, pooled): sum of softmax(score) times each component of vec within a group. Rows without group or vec are left out."""
+    each = _shifted(rows.where("vec is not null"), [group]).groupBy(group).agg(_summary("mean", weight="e").alias("s"))
+    return each.select(group, F.posexplode(vector_to_array("s.mean")).alias("dim", "pooled"))
 
 
 def pool_weights(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -29,10 +42,9 @@ def pool_weights(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def pool_parts(rows: DataFrame, group: str, part: str) -> DataFrame:
     """(group, part, dim, m, s, v): each part's largest score, sum of exp(score - m), and the same sum times the component."""
-    own = W.partitionBy(group, part)
-    shifted = rows.withColumn("m", F.max("score").over(own)).withColumn("e", F.exp(F.col("score") - F.col("m")))
-    each = shifted.select(group, part, "m", "e", F.posexplode("vec").alias("dim", "x"))
-    return each.groupBy(group, part, "dim", "m").agg(F.sum("e").alias("s"), F.sum(F.col("e") * F.col("x")).alias("v"))
+    each = _shifted(rows.where("vec is not null"), [group, part]).groupBy(group, part, "m").agg(F.sum("e").alias("s"), _summary("mean", weight="e").alias("mean"))
+    apart = each.select(group, part, "m", "s", F.posexplode(vector_to_array("mean.mean")).alias("dim", "x"))
+    return apart.select(group, part, "dim", "m", "s", (F.col("x") * F.col("s")).alias("v"))
 
 
 def merge_parts(parts: DataFrame, group: str) -> DataFrame:
@@ -43,8 +55,10 @@ def merge_parts(parts: DataFrame, group: str) -> DataFrame:
 
 
 def mean_max_pool(rows: DataFrame, group: str) -> DataFrame:
-    each = rows.select(group, F.posexplode("vec").alias("dim", "x"))
-    return each.groupBy(group, "dim").agg(F.avg("x").alias("mean"), F.max("x").alias("max"))
+    """(group, dim, mean, max) of each component within a group; rows without vec are left out."""
+    each = rows.where("vec is not null").groupBy(group).agg(_summary("mean", "max").alias("s"))
+    both = F.arrays_zip(vector_to_array("s.mean").alias("mean"), vector_to_array("s.max").alias("max"))
+    return each.select(group, F.posexplode(both).alias("dim", "z")).select(group, "dim", "z.mean", "z.max")
 
 
 def gated_scores(rows: DataFrame, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> DataFrame:

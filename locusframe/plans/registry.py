@@ -149,7 +149,7 @@ def b16(spark, d):
 
 
 def chain_status(spark, d):
-    lifted = intervals.lift(view(spark, d, "v_points"), view(spark, d, "v_chain"))
+    lifted = intervals.lift(view(spark, d, "v_points"), view(spark, d, "v_chain")).persist()  # reference and store come from it too
     target = lifted.where("target is not null").select(F.col("target").alias("locus_key"))
     return intervals.lift_status(lifted, target.where("locus_key % 3 <> 0"), [target.where("locus_key % 5 <> 0")])
 
@@ -221,7 +221,7 @@ def e1(spark, d):
 
 
 def values(spark, d):
-    obs = observations(spark, d)
+    obs = observations(spark, d).persist()  # regions and their values
     return beta.region_beta(obs, beta.candidate_regions(obs, 150))
 
 
@@ -529,7 +529,7 @@ def d31(spark, d):
     return rounded(metrics.spearman(metrics.predicted(predictions(spark, d), ["arm"]), "conf", "sample_id", ["arm"]))
 
 
-REPLICATES = 200  # as in the published comparison; the operators' default is 2000
+REPLICATES = 200  # as in the published comparison; the operators take 2000 unless told otherwise
 
 
 def arm_pair(a: int, b: int) -> str:

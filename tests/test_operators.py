@@ -131,12 +131,57 @@ def test_metrics(spark):
     assert metrics.auroc(tied, ["arm"]).where("auc is not null").count() == 0
 
 
+def two_arms(spark, other):
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(45):
+        p = r.dirichlet([1, 1, 1])
+        q = r.dirichlet([1, 1, 1]) if other else p
+        rows += [(arm, i, i % 3, c, float(v[c])) for arm, v in (("a", p), ("b", q)) for c in range(3)]
+    return spark.createDataFrame(rows, "arm string, sample_id long, y int, cls int, prob double")
+
+
 def test_resampling_of_equal_arms(spark):
-    hits = spark.createDataFrame([(i, i % 3, i % 2, i % 2) for i in range(30)], "sample_id long, y int, hit_a int, hit_b int")
-    assert tuple(resampling.paired_bootstrap(hits, 20, 1).first())[:3] == (0, 0, 0)
-    assert tuple(resampling.paired_permutation(hits, 20, 1).first()) == (0, 1)
-    drawn = resampling.stratified_resample(hits.select("sample_id", "y"), 20, 1).join(hits, "sample_id").groupBy("rep", "y").count()
-    assert {r["count"] for r in drawn.collect()} == {10}
+    pred = two_arms(spark, False)
+    boot, perm = (f(pred, "a", "b", 3, 20, 1).collect() for f in (resampling.paired_bootstrap, resampling.paired_permutation))
+    assert {r.metric for r in boot} == {"accuracy", "balanced_accuracy", "macro_f1", "macro_auroc"}
+    assert all((r.delta, r.low, r.high, r.share_le_0) == (0, 0, 0, 1) for r in boot) and all((r.delta, r.p) == (0, 1) for r in perm)
+    people = pred.where("arm = 'a' and cls = 0").select("sample_id", "y")
+    drawn = resampling.stratified_resample(people, 20, 1).join(people, "sample_id").groupBy("rep", "y").count()
+    assert {r["count"] for r in drawn.collect()} == {15}
+
+
+def test_arm_comparison_against_plain_loops(spark):
+    pred = two_arms(spark, True)
+    rows = {(r.arm, r.sample_id, r.cls): r.prob for r in pred.collect()}
+    prob = {arm: np.array([[rows[arm, i, c] for c in range(3)] for i in range(45)]) for arm in "ab"}
+    y = np.arange(45) % 3
+
+    def plain(y, p):
+        label = p.argmax(axis=1)
+        hit = [[((y == c) & (label == c)).sum(), (y == c).sum(), (label == c).sum()] for c in range(3)]
+        wins = []
+        for c in range(3):
+            a, b = p[y == c, c][:, None], p[y != c, c][None, :]
+            wins.append(((a > b) + 0.5 * (a == b)).mean())
+        return {"accuracy": (label == y).mean(), "balanced_accuracy": np.mean([h / n for h, n, _ in hit if n]), "macro_f1": np.mean([2 * h / (n + m) if n + m else 0 for h, n, m in hit]), "macro_auroc": np.mean(wins)}
+
+    drawn = {}
+    for r in resampling.stratified_resample(pred.where("arm = 'a' and cls = 0").select("sample_id", "y"), 40, 3).collect():
+        drawn.setdefault(r.rep, []).append(r.sample_id)
+    each = [{arm: plain(y[i], prob[arm][i]) for arm in "ab"} for i in drawn.values()]
+    seen = {arm: plain(y, prob[arm]) for arm in "ab"}
+    found = resampling.compare_arms(pred, [("a", "b"), ("a", "zz")], 3, 40, 3).collect()
+    assert len(found) == 4 and all((r.arm_a, r.arm_b, r.n) == ("a", "b", 45) for r in found)
+    for r in found:
+        delta = np.array([x["a"][r.metric] - x["b"][r.metric] for x in each])
+        assert (r.a, r.b) == pytest.approx((seen["a"][r.metric], seen["b"][r.metric]))
+        assert (r.low, r.high) == pytest.approx(tuple(np.percentile(delta, [2.5, 97.5]))) and r.share_le_0 == pytest.approx((np.round(delta, 12) <= 0).mean())
+        assert 0 < r.p <= 1
+    with pytest.raises(ValueError, match="not on the same samples"):
+        resampling.compare_arms(pred.where("arm = 'a' or sample_id < 40"), [("a", "b")], 3, 5, 3)
+    with pytest.raises(ValueError, match="no pair"):
+        resampling.compare_arms(pred, [("x", "y")], 3, 5, 3)
 
 
 def test_pooling_in_parts_equals_one_step(spark):
@@ -161,7 +206,7 @@ def test_representations(spark):
         represent.gather(spark.createDataFrame([(9,)], "locus_key long"), store).collect()
 
 
-def test_region_trees_and_arm_table_run_in_full(spark, monkeypatch):
+def test_region_trees_take_the_logistic_models_features(spark, monkeypatch):
     d = "/root/testdata/sf0.001"
     if not Path(d).is_dir():
         pytest.skip("needs the driver's tables")
@@ -170,7 +215,59 @@ def test_region_trees_and_arm_table_run_in_full(spark, monkeypatch):
     registry.QUERIES["K3_region_logistic"](spark, d)
     registry.QUERIES["K4_region_trees"](spark, d)
     assert fitted[0][0] == fitted[1][0] > 4 and [t for _, t in fitted] == [0, 300]
-    replicates = []
-    monkeypatch.setattr(registry.resampling, "compare_arms", lambda hits, pairs, n, seed: replicates.append(n))
-    registry.QUERIES["J4_compare_arms"](spark, d)
-    assert replicates == [2000]
+
+
+def test_contradicting_inputs_fail(spark, tmp_path):
+    people = spark.createDataFrame([(i, i // 2, "x" if i % 4 < 2 else "y", f"B{i // 2 % 2}", "train" if i < 30 else "test") for i in range(40)], "sample_id long, patient_id long, label string, batch string, official_split string")
+    flipped = people.withColumn("label", F.when(F.col("sample_id") == 1, "y").otherwise(F.col("label")))
+    with pytest.raises(Exception, match="different labels"):
+        splits.patients(flipped, ["label"]).collect()
+    with pytest.raises(Exception, match="fewer than 11 patients"):
+        splits.fold_of(splits.patients(people, ["label"]), 11, 1).collect()
+    with pytest.raises(ValueError, match="every class must be in every batch"):
+        splits.cross_batch_splits(people, 20, 1)
+    with pytest.raises(Exception, match="several batches"):
+        splits.cross_batch_splits(people.withColumn("batch", F.concat(F.lit("B"), F.col("sample_id") % 2)), 20, 1).collect()
+    with pytest.raises(Exception, match="train or test"):
+        splits.official_splits(people.withColumn("official_split", F.lit("other")), 20, 1).collect()
+    seeds = spark.createDataFrame([("a", 1, 0, 0, s, 0.5) for s in (1, 2)] + [("a", 2, 0, 0, 1, 0.5)], "arm string, sample_id int, y int, cls int, seed int, prob double")
+    with pytest.raises(Exception, match="numbers of seeds"):
+        metrics.seed_ensemble(seeds).collect()
+    table, path = splits.kfold_splits(splits.patients(people, ["label"]), 5, 20, 17), str(tmp_path / "splits")
+    assert splits.keep_splits(table, path).count() == splits.keep_splits(table, path).count() == 100
+    with pytest.raises(ValueError, match="different assignment"):
+        splits.keep_splits(splits.kfold_splits(splits.patients(people, ["label"]), 5, 20, 18), path)
+
+
+def test_stores_refuse_what_does_not_fit(spark, tmp_path):
+    store = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "locus_key long, vec array<float>")
+    path = str(tmp_path / "own")
+    info = represent.materialise(store, store.where("locus_key < 8"), path).first()
+    assert (info.n_loci, info.dim, info.shuffle_seed) == (8, 2, None)
+    assert {r.locus_key: r.vec for r in represent.load_materialised(store.where("locus_key < 8"), path).collect()} == {i: [float(i), 1.0] for i in range(8)}
+    with pytest.raises(ValueError, match="another set of loci"):
+        represent.load_materialised(store, path)
+    with pytest.raises(ValueError, match="2 keys outside the store, first 10,11"):
+        represent.materialise(store, spark.range(12).withColumnRenamed("id", "locus_key"), str(tmp_path / "other"))
+    with pytest.raises(Exception, match="key in the shards twice"):
+        intervals.merge_shards(store, store.limit(1)).collect()
+    with pytest.raises(ValueError, match="10 loci, 11 expected"):
+        intervals.index_map(store.select((F.col("locus_key") + k(1, 1)).alias("locus_key")), 11)
+
+
+def test_welch_counts_tiny_spreads_as_none(spark):
+    values = spark.createDataFrame([(i, 0, 0.1) for i in range(6)] + [(i, 1, float(i % 2)) for i in range(6)], "sample_id int, region_id int, region_beta double")
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(6)], "sample_id int, label string")
+    found = {(r.region_id, r.label): (r.delta, r.t, r.df) for r in beta.one_vs_rest(values, labels).collect()}
+    assert all(found[0, c][1:] == (None, None) and found[0, c][0] == pytest.approx(0) for c in "ab") and found[1, "b"] == (1.0, None, None)
+
+
+def test_fingerprints_see_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 3), (2, 3), (2, 2)], "g int, x int")
+    a, b = (tuple(r)[1:] for r in splits.fingerprint(rows, ["x"], ["g"]).orderBy("g").collect())
+    assert a[0] == b[0] == 3 and a != b
+
+
+def test_mate_stats_tell_samples_apart(spark):
+    calls_ = spark.createDataFrame([("a", 1, 5, 1, 1), ("b", 1, 5, 1, 1)], "sample_id string, fragment_id long, locus_key long, mate int, state int")
+    assert calls.mate_stats(calls_).first().fragments == 2

@@ -5,7 +5,7 @@ import gzip
 import pytest
 
 from locusframe.functions.loci import make_key
-from locusframe.operators import beta
+from locusframe.operators import beta, pooling
 from locusframe.sources import text
 from locusframe.streaming import incremental
 
@@ -48,9 +48,28 @@ def test_chain_blocks(spark, tmp_path):
 
 
 def test_fasta_motifs_cross_lines(spark, tmp_path):
-    (tmp_path / "r.fa").write_text(">chr1 x\nACGc\nGTTC\ng\n>chr2\nC\nG\n")
-    got = sorted(tuple(r) for r in text.motif_positions(text.fasta_lines(text.numbered_lines(spark, str(tmp_path))), "contig", "CG").collect())
-    assert got == [("chr1", 2), ("chr1", 4), ("chr1", 8), ("chr2", 1)]
+    (tmp_path / "r.fa").write_text(">chr1 x\nACGc\nGTTC\ng\n>chr2\nC\nG\n>chrUn\nCG\n")
+    lines = text.fasta_lines(text.placed_lines(spark, str(tmp_path)))
+    assert {r.contig: r.sequence for r in text.fasta_sequences(lines).collect()} == {"chr1": "ACGcGTTCg", "chr2": "CG", "chrUn": "CG"}
+    got = sorted(tuple(r) for r in text.motif_positions(lines, "contig", "CG").collect())
+    assert got == [("chr1", 2), ("chr1", 4), ("chr1", 8), ("chr2", 1), ("chrUn", 1)]
+    assert sorted(r[0] for r in text.reference_keys(lines, ["chr1", "chr2"]).collect()) == [k(1, 2), k(1, 4), k(1, 8), k(2, 1)]
+    with pytest.raises(ValueError, match="chr3"):
+        text.reference_keys(lines, ["chr1", "chr3"])
+
+
+def test_fasta_in_many_splits(spark, tmp_path):
+    seq = {f"chr{c}": "".join("ACGT"[(i * i * c + i // 7) % 4] for i in range(3000 * c)) for c in (1, 2, 3)}
+    record = lambda c: f">{c}\r\n" + "".join(seq[c][i : i + 50] + "\r\n" for i in range(0, len(seq[c]), 50))
+    (tmp_path / "r.fa").write_bytes("".join(map(record, seq)).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = text.placed_lines(spark, str(tmp_path))
+        assert lines.select("block").distinct().count() > 10
+        assert {r.contig: r.sequence for r in text.fasta_sequences(text.fasta_lines(lines, ["chr1", "chr3"])).collect()} == {c: seq[c] for c in ("chr1", "chr3")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_reports_and_sam(spark, tmp_path):
@@ -83,3 +102,35 @@ def test_streams(spark, tmp_path):
     out = incremental.running_regions(stream, regions).writeStream.format("memory").queryName("regions").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     out.awaitTermination(120)
     assert [tuple(r) for r in spark.table("regions").collect()] == [("s", 0, 3, 8)]
+
+
+def test_stores_under_other_names(spark):
+    aliases = {"locus_key": ["locus_key", "cpg_idx"], "vec": ["vec", "embedding"]}
+    good = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "cpg_idx long, embedding array<double>")
+    assert {r.locus_key: r.vec for r in text.open_store(good, aliases).collect()} == {1: [1.0, 2.0], 2: [3.0, 4.0]}
+    assert text.open_store(good.limit(0), aliases).count() == 0
+    for row, said in (((2, [1.0, 1.0]), "repeated key"), ((None, [1.0, 1.0]), "null key"), ((3, None), "null vector"), ((3, [1.0]), "length of vector")):
+        with pytest.raises(Exception, match=said):
+            text.open_store(good.union(spark.createDataFrame([row], good.schema)), aliases).collect()
+
+
+def test_running_summary_and_softmax(spark, tmp_path):
+    counts = spark.createDataFrame([("s", i, i % 5, 4 + i) for i in range(20)], "sample_id string, locus_key long, c_count long, ct_count long")
+    rows = spark.createDataFrame([(i % 2, float((i * 37) % 11 - 400 * (i % 3)), [float(i), float(-i)]) for i in range(30)], "g long, score double, vec array<double>")
+    counts.repartition(3).write.parquet(str(tmp_path / "c"))
+    rows.repartition(5).write.parquet(str(tmp_path / "r"))
+
+    def run(make, source, name, mode):
+        stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / ("c" if source is counts else "r")))
+        q = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        return spark.table(name)
+
+    got = run(incremental.running_summary, counts, "summaries", "complete").first()
+    want = beta.sample_summary(beta.observe(counts), 20).first()
+    assert (got.n_observed, got.mean_beta, got.var_beta, got.mean_coverage) == pytest.approx((want.n_observed, want.mean_beta, want.var_beta, want.mean_coverage))
+    last = {}
+    for r in run(lambda s: incremental.running_softmax(s, "g"), rows, "pools", "update").collect():
+        last[r.g] = [v / r.s for v in r.v]  # rows come batch by batch
+    pooled = {(r.g, r.dim): r.pooled for r in pooling.softmax_pool(rows, "g").collect()}
+    assert {(g, i): x for g, v in last.items() for i, x in enumerate(v)} == pytest.approx(pooled)
