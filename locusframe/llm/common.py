@@ -48,13 +48,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[set[str]]:
-    """Tables that stored() writes inside are deleted at the end, but those whose paths are put into the set given."""
+    """Tables that stored() writes inside are deleted at the end, but those whose paths are put into the set given; a scratch() around takes these over."""
     kept: set[str] = set()
-    token = _open.set([])
+    outer, own = _open.get(), []
+    token = _open.set(own)
     try:
         yield kept
-        for path in set(_open.get()) - kept:
+        for path in set(own) - kept:
             remove(spark, path)
+        if outer is not None:
+            outer.extend(kept.intersection(own))
     finally:
         _open.reset(token)
 

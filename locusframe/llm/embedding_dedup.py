@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, scratch, stored
 from .simhash_dedup import Forest
 
 RUN = 8  # earlier units that a unit meets in one group
@@ -114,11 +114,23 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, count: int = 16
     but never all pairs of rows. component_id is the smallest vec_id reachable; rows without vec_id link and count, but
     name no component, and where they link with nothing their component_id is null. An empty table gives an empty result.
     """
-    width, need = calibrate(threshold, count)
-    reach = block_reach(threshold, count)
     valid = "label is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(F.expr(valid), F.lit(False)).alias("valid"))
     keyed = rows.withColumn("point", F.when(F.col("valid"), F.xxhash64("label", "embedding")))
+    with scratch(vectors.sparkSession) as kept:
+        named, path = _named_points(keyed, threshold, count, block_rows)
+        kept.add(path)
+    low = named.groupBy("root").agg(F.min("least").alias("low"))
+    info = named.join(low, "root").select("point", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "low")
+    linked = keyed.where("valid").select("vec_id", "point").join(info, "point").select("vec_id", "n_links", F.col("low").alias("component_id"))
+    alone = keyed.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _named_points(keyed: DataFrame, threshold: float, count: int, block_rows: int) -> tuple[DataFrame, str]:
+    """(point, n, least, links, root), stored, for every distinct valid vector; and the table's path."""
+    width, need = calibrate(threshold, count)
+    reach = block_reach(threshold, count)
     points = keyed.where("valid").groupBy("label", "embedding").agg(F.first("point").alias("point"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
     points, _ = stored(points)
 
@@ -172,12 +184,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, count: int = 16
     counted = found.groupBy("point").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("point").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "point")
     named = points.select("point", "n", "least").join(counted, "point", "left").join(roots, "point", "left").withColumn("root", F.coalesce("root", "point"))
-    named, _ = stored(named)
-    low = named.groupBy("root").agg(F.min("least").alias("low"))
-    info = named.join(low, "root").select("point", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "low")
-    linked = keyed.where("valid").select("vec_id", "point").join(info, "point").select("vec_id", "n_links", F.col("low").alias("component_id"))
-    alone = keyed.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return stored(named)
 
 
 def _block_edges(first: DataFrame, sized: DataFrame, block_rows: int) -> DataFrame:

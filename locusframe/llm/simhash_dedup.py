@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, spread, stored
+from .common import components, scratch, spread, stored
 
 SMALL = 96  # a node of so few home points is compared directly
 PER_LEAF = 8  # sampled fingerprints that shape a leaf
@@ -366,7 +366,19 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radi
     slices is a group, so no group grows; a cluster of m different texts that share a block costs m^2 comparisons of
     fingerprints, but similarities only for pairs not yet in one component.
     """
-    prints, _ = stored(word_prints(docs, shingle, sketch).withColumn("node", F.xxhash64("fp", "sketch")))
+    with scratch(docs.sparkSession) as kept:
+        prints, path = stored(word_prints(docs, shingle, sketch).withColumn("node", F.xxhash64("fp", "sketch")))
+        kept.add(path)
+        named, path = _named_nodes(prints, similarity, radius, sketch)
+        kept.add(path)
+    low = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = named.join(low, "root").select("node", "component_id")
+    out = prints.select("doc_id", "node").join(ids, "node")
+    return out.select("doc_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _named_nodes(prints: DataFrame, similarity: float, radius: int, sketch: int) -> tuple[DataFrame, str]:
+    """(node, least, root), stored, for every distinct fingerprint and sketch of prints; and the table's path."""
     nodes, _ = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
 
     def near(part: pd.DataFrame) -> pd.DataFrame:
@@ -395,11 +407,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radi
     edges = spread(_shards(some, radius), *SHARD).groupBy(*SHARD).applyInPandas(pairs, "a long, b long")
     found, _ = stored(components(edges))
     named = nodes.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named, _ = stored(named)
-    low = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = named.join(low, "root").select("node", "component_id")
-    out = prints.select("doc_id", "node").join(ids, "node")
-    return out.select("doc_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return stored(named)
 
 
 def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
