@@ -35,7 +35,7 @@ def b10(spark, d):
     return represent.locus_uniform(loci, 17).select("locus_key", F.round("u", 9).alias("u"))
 
 
-@query("B11_random_vectors", f"WITH {SLOTS} SELECT a.k::BIGINT AS locus_key, a.j::INTEGER AS dim, round(sqrt(-2 * ln(a.u)) * cos(2 * pi() * b.u), 4) AS x FROM un a JOIN un b ON a.k = b.k AND b.j = a.j + 16 WHERE a.j < 16")
+@query("B11_random_vectors", f"WITH {SLOTS} SELECT a.k::BIGINT AS locus_key, a.j::INTEGER AS dim, round((sqrt(-2 * ln(a.u)) * cos(2 * pi() * b.u))::FLOAT::DOUBLE, 4) AS x FROM un a JOIN un b ON a.k = b.k AND b.j = a.j + 16 WHERE a.j < 16")
 def b11(spark, d):
     found = represent.random_vectors(view(spark, d, "v_obs").select("locus_key").distinct(), 16, 17)
     return found.select("locus_key", F.posexplode("vec").alias("dim", "x")).select("locus_key", "dim", F.round(F.col("x").cast("double"), 4).alias("x"))
