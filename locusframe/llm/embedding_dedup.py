@@ -5,8 +5,8 @@ most a window; pairs that collide on enough directions are verified by cosine. W
 the threshold is missed with a stated probability. Vectors of one label are sorted by their first projection into blocks
 and these cut into units of a bounded size. A unit meets itself and the earlier units of all blocks within its reach, a run
 of at most RUN units at a time, so no group grows with its label. The reach is wider than a window: the chance that it
-parts a pair is what collision counting leaves of the stated one. The further directions split a group again, each with
-the window's margin, until few enough are left to count collisions pair by pair.
+parts a pair is what collision counting leaves of the stated one. In a group every projection is sorted, and a vector's
+windows become ranges of ranks.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import components, scratch, stored
 from .simhash_dedup import Forest
 
 RUN = 8  # earlier units that a unit meets in one group
-PAIRS = 1 << 21  # pairs whose collisions are counted at once
+PAIRS = 1 << 20  # candidates that are verified at once
 MISSED = 1e-4  # chance that a pair right at the threshold collides too rarely or is parted by the blocks
 
 
@@ -63,46 +63,37 @@ def block_reach(threshold: float, count: int, missed: float = MISSED) -> float:
 def candidate_pairs(proj: np.ndarray, home: np.ndarray, width: float, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Arrays (i, j), each pair once, of a home row j and any other row i that collide on at least `need` of proj's columns.
 
-    A pair that passes misses at most (columns - need) windows, so in one of (columns - need + 1) groups of directions it
-    misses none: each group sorts and splits by its own directions, and reports pairs that no earlier group has reported.
+    Every column is sorted once. A home row's window in it is a range of ranks, so all rows' collisions with that row are
+    counted by a comparison of ranks for each column.
     """
-    columns = proj.shape[1]
-    groups = np.array_split(np.arange(columns), columns - need + 1)
-    for g, own in enumerate(groups):
-        todo = [(np.arange(len(proj)), np.nonzero(home)[0], 0)]
-        while todo:
-            rows, homes, depth = todo.pop()
-            if not len(rows) or not len(homes):
-                continue
-            if depth < len(own) and len(homes) > 64:
-                a, b = proj[rows, own[depth]], proj[homes, own[depth]]
-                cut = float(np.median(b))
-                left, right = a <= cut + width, a > cut - width
-                if left.mean() + right.mean() < 1.6:  # else the margins undo the split
-                    todo += [(rows[left], homes[b <= cut], depth + 1), (rows[right], homes[b > cut], depth + 1)]
-                else:
-                    todo.append((rows, homes, depth + 1))
-                continue
-            step = max(1, PAIRS // len(homes))
-            for at in range(0, len(rows), step):
-                part = rows[at : at + step]
-                other = homes[homes > part.min()] if home[part].all() else homes  # pairs of two home rows count once
-                met = np.abs(proj[part, own[0]][:, None] - proj[other, own[0]][None, :]) <= width
-                if len(own) > 1:
-                    met &= np.abs(proj[part, own[1]][:, None] - proj[other, own[1]][None, :]) <= width
-                i, j = np.nonzero(met)
-                i, j = part[i], other[j]
-                for c in own[2:]:
-                    hit = np.abs(proj[i, c] - proj[j, c]) <= width
-                    i, j = i[hit], j[hit]
-                once = (i < j) | ~home[i]
-                i, j = i[once], j[once]
-                hits = np.abs(proj[i] - proj[j]) <= width
-                earlier = np.zeros(len(i), bool)
-                for x in groups[:g]:
-                    earlier |= hits[:, x].all(axis=1)
-                found = ~earlier & (hits.sum(axis=1) >= need)
-                yield i[found], j[found]
+    n, columns = proj.shape
+    kind = np.uint16 if n <= 1 << 16 else np.uint32
+    homes = np.nonzero(home)[0]
+    ranks, low, span = np.empty((columns, n), kind), np.empty((columns, len(homes)), kind), np.empty((columns, len(homes)), kind)
+    for c in range(columns):
+        order = np.argsort(proj[:, c], kind="stable")
+        ranks[c, order] = np.arange(n)
+        line = proj[order, c]
+        start = np.searchsorted(line, proj[homes, c] - width, "left")
+        low[c], span[c] = start, np.searchsorted(line, proj[homes, c] + width, "right") - start - 1
+    past, inside, count = np.empty(n, kind), np.empty(n, bool), np.empty(n, np.uint8)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for k, h in enumerate(homes):
+        count.fill(0)
+        for c in range(columns):
+            np.subtract(ranks[c], low[c, k], out=past)  # ranks below the window wrap around to large numbers
+            np.less_equal(past, span[c, k], out=inside)
+            np.add(count, inside.view(np.uint8), out=count)
+        found = np.nonzero(count >= need)[0]
+        found = found[(found < h) | ~home[found]]  # pairs of two home rows count once
+        held.append((found, np.full(len(found), h)))
+        size += len(found)
+        if size > PAIRS:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, count: int = 16, block_rows: int = 4096) -> DataFrame:
