@@ -346,6 +346,16 @@ def test_language_identification(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_languages_that_tie_are_told_apart_by_margins_then_by_name():
+    none = np.zeros(1)
+    ring = langid.Pairwise(["a", "b", "c"], [(0, 1, none, 2.0), (1, 2, none, 1.0), (0, 2, none, -1.5)])  # each wins once; a and c by 0.5
+    assert ring.predict(np.zeros((2, 1)))[0].tolist() == [0, 0]
+    ring = langid.Pairwise(["a", "b", "c"], [(0, 1, none, 2.0), (1, 2, none, 1.0), (0, 2, none, -3.0)])
+    best, chance = ring.predict(np.zeros((1, 1)))
+    assert best.tolist() == [2] and 0 < chance[0] < 1
+    assert langid.Pairwise(["a"], []).predict(np.zeros((1, 1))) == (np.array([0]), np.array([1.0]))
+
+
 def test_mixing_budgets_fill_siblings_before_ancestors(spark):
     rows = [("a", "x", "1", 10, 1), ("a", "x", "2", 100, 1), ("a", "y", "1", 1000, 1), ("b", "x", "1", 1000, 1)]
     leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long, docs long")
