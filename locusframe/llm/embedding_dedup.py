@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, scratch, stored
+from .common import components, scratch, spread, stored
 from .simhash_dedup import Forest
 
 RUN = 8  # earlier units that a unit meets in one group
@@ -171,7 +171,8 @@ def _named_points(keyed: DataFrame, threshold: float, count: int, block_rows: in
         out = pd.DataFrame({"point": part.point, "links": links, "root": part.point.to_numpy()[forest.parent]})
         return out[(out.links > 0) | (out.root != out.point)]
 
-    found, _ = stored(dealt.groupBy(*sets, "unit", "run").applyInPandas(link, "point long, links long, root long"))
+    groups = [*sets, "unit", "run"]
+    found, _ = stored(spread(dealt, *groups).groupBy(*groups).applyInPandas(link, "point long, links long, root long"))
     counted = found.groupBy("point").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("point").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "point")
     named = points.select("point", "n", "least").join(counted, "point", "left").join(roots, "point", "left").withColumn("root", F.coalesce("root", "point"))
