@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, langid, licenses, mixing, quality, secret_scan, simhash_dedup, token_counts, url_filters
+from . import bpe, embedding_dedup, hard_negatives, hidden_markov, importance, langid, licenses, mixing, quality, secret_scan, simhash_dedup, token_counts, url_filters
 from .common import table
 
 
@@ -56,5 +56,17 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_license_scan, op4_embedding_dedup, op5_token_counts, op6_secret_scan, op7_language_id, op8_source_mixing, op9_byte_bpe, op10_simhash_dedup)}
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": url_filters.ORACLE_SQL, "op3_license_scan": licenses.oracle_sql(), "op6_secret_scan": secret_scan.oracle_sql(), "op8_source_mixing": mixing.oracle_sql()}
+def op11_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.hmm_scores(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_license_scan, op4_embedding_dedup, op5_token_counts, op6_secret_scan, op7_language_id, op8_source_mixing, op9_byte_bpe, op10_simhash_dedup, op11_hmm_scores, op12_importance_resampling, op13_hard_negatives)}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": url_filters.ORACLE_SQL, "op3_license_scan": licenses.oracle_sql(), "op6_secret_scan": secret_scan.oracle_sql(), "op8_source_mixing": mixing.oracle_sql(), "op13_hard_negatives": hard_negatives.ORACLE_SQL}
