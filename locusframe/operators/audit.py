@@ -14,20 +14,25 @@ def contingency(df: DataFrame, row: str, col: str) -> DataFrame:
 
 
 def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
-    """(n, dof, chi2, min_expected, share_expected_5, cramers_v) of independence; Yates' correction at one degree of freedom, not in V."""
-    cells = contingency(df, row, col)
-    rows, cols = cells.groupBy(row).agg(F.sum("n").alias("rn")), cells.groupBy(col).agg(F.sum("n").alias("cn"))
+    """(n, dof, chi2, min_expected, share_expected_5, cramers_v) of independence; Yates' correction at one degree of freedom, not in V.
+
+    With one row or one column there are no degrees of freedom: chi2 is 0 and V null. Any names of columns may be given.
+    """
+    cells = df.groupBy(F.col(row).alias("__row"), F.col(col).alias("__col")).agg(F.count("*").alias("__o"))
+    rows, cols = cells.groupBy("__row").agg(F.sum("__o").alias("__rn")), cells.groupBy("__col").agg(F.sum("__o").alias("__cn"))
     # Every combination, also unseen ones: the list of column totals is as long as there are columns.
-    listed = cols.agg(F.collect_list(F.struct(col, "cn")).alias("cols"), F.count("*").alias("c"), F.sum("cn").alias("n"))
-    grid = rows.join(F.broadcast(listed), F.lit(True)).withColumn("r", F.count("*").over(W.partitionBy())).select(row, "rn", "r", "c", "n", F.inline("cols"))
-    seen = grid.join(cells.withColumnRenamed("n", "o"), [row, col], "left").withColumn("o", F.coalesce("o", F.lit(0))).withColumn("e", F.col("rn") * F.col("cn") / F.col("n"))
-    dof = (F.col("r") - 1) * (F.col("c") - 1)
-    gap = F.abs(F.col("o") - F.col("e"))
+    listed = cols.agg(F.collect_list(F.struct("__col", "__cn")).alias("__cols"), F.count("*").alias("__c"), F.sum("__cn").alias("n"))
+    grid = rows.join(F.broadcast(listed), F.lit(True)).withColumn("__r", F.count("*").over(W.partitionBy())).select("__row", "__rn", "__r", "__c", "n", F.inline("__cols"))  # a row for each row of the table
+    same = grid["__row"].eqNullSafe(cells["__row"]) & grid["__col"].eqNullSafe(cells["__col"])
+    seen = grid.join(cells, same, "left").select("n", "__r", "__c", F.coalesce("__o", F.lit(0)).alias("__o"), (F.col("__rn") * F.col("__cn") / F.col("n")).alias("__e"))
+    dof = (F.col("__r") - 1) * (F.col("__c") - 1)
+    gap = F.abs(F.col("__o") - F.col("__e"))
     yates = F.when(dof == 1, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    out = seen.withColumn("dof", dof).groupBy("n", "dof", "r", "c").agg(
-        F.sum(F.pow(yates, 2.0) / F.col("e")).alias("chi2"), F.sum(F.pow(gap, 2.0) / F.col("e")).alias("plain"), F.min("e").alias("min_expected"), F.avg((F.col("e") >= 5).cast("double")).alias("share_expected_5")
+    out = seen.withColumn("dof", dof).groupBy("n", "dof", "__r", "__c").agg(
+        F.sum(F.pow(yates, 2.0) / F.col("__e")).alias("chi2"), F.sum(F.pow(gap, 2.0) / F.col("__e")).alias("__plain"), F.min("__e").alias("min_expected"), F.avg((F.col("__e") >= 5).cast("double")).alias("share_expected_5")
     )
-    return out.select("n", "dof", "chi2", "min_expected", "share_expected_5", F.sqrt(F.col("plain") / F.col("n") / F.least(F.col("r") - 1, F.col("c") - 1)).alias("cramers_v"))
+    v = F.sqrt(F.try_divide(F.col("__plain") / F.col("n"), F.least(F.col("__r") - 1, F.col("__c") - 1)))
+    return out.select("n", "dof", "chi2", "min_expected", "share_expected_5", v.alias("cramers_v"))
 
 
 def chi_square_p(df: DataFrame, row: str, col: str) -> DataFrame:

@@ -132,6 +132,13 @@ def top_contributions(obs: DataFrame, means: DataFrame, k: int) -> DataFrame:
     return centred.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("sample_id", "locus_key", "contribution", "rank")
 
 
+def recurrent_loci(top: DataFrame, samples: DataFrame, k: int = 10) -> DataFrame:
+    """(label, locus_key, samples, rank): the k loci that most samples of a class have among their top ones, ties by locus."""
+    counted = top.join(samples.select("sample_id", "label"), "sample_id").groupBy("label", "locus_key").agg(F.count("*").alias("samples"))
+    order = W.partitionBy("label").orderBy(F.desc("samples"), "locus_key")
+    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def impute_medians(values: DataFrame, fit: DataFrame, samples: DataFrame, regions: DataFrame) -> DataFrame:
     """(sample_id, region_id, region_beta) for every sample and every selected region; unobserved ones take the median of the fit rows.
 

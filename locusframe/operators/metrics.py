@@ -29,12 +29,7 @@ def confusion(top: DataFrame, by: list[str]) -> DataFrame:
 
 def class_metrics(top: DataFrame, classes: int, by: list[str]) -> DataFrame:
     """Per class: support, predicted, hits, sensitivity (null without support), specificity and F1 (0 where undefined)."""
-    return class_tally(confusion(top, by), classes, by)
-
-
-def class_tally(cells: DataFrame, classes: int, by: list[str]) -> DataFrame:
-    """class_metrics from a confusion table (by, y, label, n)."""
-    each = cells.select(*by, "y", "label", "n", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("cls"))
+    each = confusion(top, by).select(*by, "y", "label", "n", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("cls"))
     tally = each.groupBy(*by, "cls").agg(
         F.sum("n").alias("total"),
         F.sum(F.when(F.col("y") == F.col("cls"), F.col("n")).otherwise(0)).alias("support"),
@@ -50,19 +45,6 @@ def class_tally(cells: DataFrame, classes: int, by: list[str]) -> DataFrame:
     )
 
 
-def primary_metrics(top: DataFrame, pred: DataFrame, classes: int, by: list[str]) -> DataFrame:
-    """(by, metric, value): accuracy, balanced_accuracy, macro_f1 and macro_auroc, where rows count as often as their weight w says.
-
-    top: by, y, label, w, a row for each sample; pred: by, y, cls, prob, w, a row for each sample and class.
-    """
-    cells = top.groupBy(*by, "y", "label").agg(F.sum("w").alias("n"))
-    per = class_tally(cells, classes, by)
-    counted = per.groupBy(*by).agg((F.sum("hits") / F.max("total")).alias("accuracy"), F.avg("sensitivity").alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"))
-    ranked = auroc(pred, by, "w").groupBy(*by).agg(F.avg("auc").alias("macro_auroc"))
-    named = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "balanced_accuracy", "macro_f1", "macro_auroc")))
-    return counted.join(ranked, by).select(*by, F.inline(named))
-
-
 def summary_metrics(pred: DataFrame, classes: int, by: list[str]) -> DataFrame:
     """accuracy, top-2 accuracy, balanced accuracy over present classes, macro and weighted F1 over all classes, log loss."""
     top = predicted(pred, by)
@@ -103,11 +85,10 @@ def average_rank(df: DataFrame, by: list[str], value: str, ranges: int = 64) ->
     return placed.withColumn("before", before).join(F.broadcast(shift), "range").select(value, "n", (F.col("shift") + F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def auroc(pred: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
-    """(by, cls, auc): one-against-rest Mann-Whitney AUROC with ties halved; null if a class has no member or only members. weight: how often a row counts."""
+def auroc(pred: DataFrame, by: list[str]) -> DataFrame:
+    """(by, cls, auc): one-against-rest Mann-Whitney AUROC with ties halved; null if a class has no member or only members."""
     keys = [*by, "cls"]
-    w = F.col(weight) if weight else F.lit(1)
-    counted = pred.groupBy(*keys, "prob").agg(F.sum(w).alias("n"), F.sum(F.when(F.col("y") == F.col("cls"), w).otherwise(0)).alias("pos"))
+    counted = pred.groupBy(*keys, "prob").agg(F.count("*").alias("n"), F.count_if(F.col("y") == F.col("cls")).alias("pos"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("prob").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = counted.withColumn("rank", before + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
@@ -147,27 +128,27 @@ def spearman_p(correlations: DataFrame) -> DataFrame:
 
 
 def rank_tests(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(k, n, h, tie): Kruskal-Wallis statistic over groups, corrected for ties, on one row."""
+    """(k, n, h, tie): Kruskal-Wallis statistic over groups, corrected for ties, on one row; h is null if all values are equal."""
     ranks = average_rank(df, [], value)
     per = df.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.count("*").alias("n"), F.sum("rank").alias("r"))
     ties = ranks.agg(F.sum(F.pow(F.col("n").cast("double"), 3.0) - F.col("n")).alias("ties"))
     each = per.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.pow("r", 2.0) / F.col("n")).alias("s"))
     both = each.join(F.broadcast(ties), F.lit(True))
     n = F.col("n").cast("double")
-    tie = 1 - F.col("ties") / (F.pow(n, 3.0) - n)
-    return both.select("k", "n", ((12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / tie).alias("h"), tie.alias("tie"))
+    tie = 1 - F.try_divide("ties", F.pow(n, 3.0) - n)
+    return both.select("k", "n", F.try_divide(F.try_divide(F.lit(12.0), n * (n + 1)) * F.col("s") - 3 * (n + 1), tie).alias("h"), tie.alias("tie"))
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, first: str) -> DataFrame:
-    """(n1, n2, u, z): U of the first group against all others, and its normal deviate with tie and continuity corrections."""
+    """(n1, n2, u, z): U of the first group against all others, and its normal deviate with tie and continuity corrections; z is null if all values are equal or a group is empty."""
     ranks = average_rank(df, [], value)
     marked = df.join(ranks.select(value, "rank"), value).agg(F.count_if(F.col(group) == first).alias("n1"), F.count_if(F.col(group) != first).alias("n2"), F.sum(F.when(F.col(group) == first, F.col("rank"))).alias("r"))
     ties = ranks.agg(F.sum(F.pow(F.col("n").cast("double"), 3.0) - F.col("n")).alias("ties"))
     df2 = marked.join(F.broadcast(ties), F.lit(True)).withColumn("u", F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2)
     n = (F.col("n1") + F.col("n2")).cast("double")
-    spread = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    spread = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.try_divide("ties", n * (n - 1))))
     off = F.col("u") - F.col("n1") * F.col("n2") / 2.0
-    return df2.select("n1", "n2", "u", (F.sign(off) * F.greatest(F.abs(off) - 0.5, F.lit(0.0)) / spread).alias("z"))
+    return df2.select("n1", "n2", "u", F.try_divide(F.sign(off) * F.greatest(F.abs(off) - 0.5, F.lit(0.0)), spread).alias("z"))
 
 
 def with_normal_p(tests: DataFrame) -> DataFrame:

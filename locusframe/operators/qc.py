@@ -50,6 +50,60 @@ def extrapolated_bytes(per_sample: DataFrame) -> DataFrame:
     return own.join(F.broadcast(overall), F.lit(True)).select("batch", "n", used.alias("ratio"), (F.col("pairs") * used).alias("expected"))
 
 
+def sample_thresholds(calls: DataFrame, most: int = 5) -> DataFrame:
+    """For each sample and threshold from 1 to most: fragments with so many calls, their calls, shares of the sample's, mean size, states and stored bytes."""
+    each = calls.groupBy("sample_id", "fragment_id").agg(F.count("*").alias("n"), F.sum("state").alias("up"))
+    counted = each.groupBy("sample_id", "n", "up").agg(F.count("*").alias("f"))
+    by = counted.select("*", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(most)).cast("int"))).alias("threshold"))
+    total = by.groupBy("sample_id", "threshold").agg(
+        F.sum("f").alias("fragments"),
+        F.sum(F.col("f") * F.col("n")).alias("calls"),
+        F.sum(F.col("f") * F.col("up")).alias("up"),
+        F.sum(F.when(F.col("up") == F.col("n"), F.col("f")).otherwise(0)).alias("full_up"),
+        F.sum(F.when(F.col("up") == 0, F.col("f")).otherwise(0)).alias("full_down"),
+    )
+    own = W.partitionBy("sample_id")  # a row for each threshold
+    return total.select(
+        "sample_id", "threshold", "fragments", "calls",
+        (F.col("fragments") / F.max("fragments").over(own)).alias("fragment_share"), (F.col("calls") / F.max("calls").over(own)).alias("call_share"),
+        (F.col("calls") / F.col("fragments")).alias("mean_cpgs"), (100 * F.col("up") / F.col("calls")).alias("pct_up"),
+        (F.col("full_up") / F.col("fragments")).alias("fully_up"), (F.col("full_down") / F.col("fragments")).alias("fully_down"), (5 * F.col("calls") + 8 * (F.col("fragments") + 1)).alias("bytes"),
+    )
+
+
+def storage_forecast(pilot: DataFrame, samples: DataFrame) -> DataFrame:
+    """(threshold, n_pilot, n_target, ratio_median, total_median, total_min, total_max, total_batch_median): bytes of all samples (batch, pairs).
+
+    pilot: measured samples by threshold (threshold, batch, pairs, bytes). Its bytes a pair, at their median, least and most,
+    are carried to all pairs; for the last column each batch takes its own median, or that of all if the pilot has none of it.
+    """
+    ratio = F.col("bytes") / F.col("pairs")
+    every = pilot.groupBy("threshold").agg(F.count("*").alias("n_pilot"), F.median(ratio).alias("ratio_median"), F.min(ratio).alias("low"), F.max(ratio).alias("high"))
+    own = pilot.groupBy("threshold", "batch").agg(F.median(ratio).alias("own"))
+    sizes = samples.groupBy("batch").agg(F.count("*").alias("n"), F.sum("pairs").alias("pairs"))  # a row for each batch
+    each = every.join(F.broadcast(sizes), F.lit(True)).join(own, ["threshold", "batch"], "left")
+    whole = each.groupBy("threshold", "n_pilot", "ratio_median", "low", "high").agg(F.sum("n").alias("n_target"), F.sum("pairs").alias("pairs"), F.sum(F.col("pairs") * F.coalesce("own", "ratio_median")).alias("total_batch_median"))
+    total = lambda c: F.col("pairs") * F.col(c)
+    return whole.select("threshold", "n_pilot", "n_target", "ratio_median", total("ratio_median").alias("total_median"), total("low").alias("total_min"), total("high").alias("total_max"), "total_batch_median")
+
+
+SHARES = ("fragment_share", "call_share", "mean_cpgs", "pct_up", "fully_up", "fully_down")
+
+
+def threshold_summary(pilot: DataFrame, samples: DataFrame) -> DataFrame:
+    """sample_thresholds of the pilot summed up by threshold, with storage_forecast's columns."""
+    rolled = pilot.groupBy("threshold").agg(
+        F.avg("fragment_share").alias("fragment_share_mean"), F.min("fragment_share").alias("fragment_share_min"), F.max("fragment_share").alias("fragment_share_max"), F.avg("call_share").alias("call_share_mean"),
+        F.sum("fragments").alias("fragments"), F.sum("calls").alias("calls"), *(F.avg(c).alias(c) for c in SHARES[2:]), F.sum("bytes").alias("pilot_bytes"),
+    )
+    return rolled.join(storage_forecast(pilot, samples), "threshold")
+
+
+def threshold_groups(pilot: DataFrame) -> DataFrame:
+    """Means of sample_thresholds by threshold, batch and diagnosis."""
+    return pilot.groupBy("threshold", "batch", "diagnosis").agg(F.count("*").alias("samples"), *(F.avg(c).alias(c) for c in SHARES))
+
+
 def end_distances(calls: DataFrame, most: int) -> DataFrame:
     """(end, read, dist, n, up): calls by distance from each end of their fragment, under `most`."""
     own = W.partitionBy("sample_id", "fragment_id")
@@ -117,6 +171,13 @@ def completeness(predicted: DataFrame, expected: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("k").isNull()).alias("missing"), F.count_if(F.col("due").isNull()).alias("unexpected"), F.count_if(F.col("k") > 1).alias("repeated"))
 
 
+def finite_metrics(values: DataFrame, run: list[str]) -> DataFrame:
+    """(run, not_finite, which, complete) of metrics (run, metric, value): a run is complete if all of them are finite numbers."""
+    wrong = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
+    each = values.groupBy(*run).agg(F.count_if(wrong).alias("not_finite"), F.array_join(F.sort_array(F.collect_list(F.when(wrong, F.col("metric")))), ",").alias("which"))
+    return each.withColumn("complete", F.col("not_finite") == 0)
+
+
 def simplest_within(scores: DataFrame, tie: float) -> DataFrame:
     """(candidate, mean): the first candidate by `place` whose mean value is within tie of the best."""
     means = scores.groupBy("candidate", "place").agg(F.avg("value").alias("mean"))
@@ -162,6 +223,12 @@ def run_rollup(placed: DataFrame, reads: DataFrame) -> DataFrame:
     return placed.join(reads, "sample_id", "left").groupBy("split", "label").agg(F.countDistinct("patient_id").alias("patients"), F.sum("n_fragments").alias("fragments"), F.sum("n_valid").alias("valid"))
 
 
+def run_totals(placed: DataFrame, reads: DataFrame, obs: DataFrame) -> DataFrame:
+    """One row (patients, fragments, valid, loci) of a run: run_rollup over all splits, and the loci that its observations cover."""
+    whole = placed.join(reads, "sample_id", "left").agg(F.countDistinct("patient_id").alias("patients"), F.sum("n_fragments").alias("fragments"), F.sum("n_valid").alias("valid"))
+    return whole.join(obs.select("locus_key").distinct().agg(F.count("*").alias("loci")), F.lit(True))
+
+
 def loading_mass(loadings: DataFrame) -> DataFrame:
     """(pc, group, mass): share of a component's squared loadings (pc, group, w) that falls on each group of features."""
     each = loadings.groupBy("pc", "group").agg(F.sum(F.col("w") * F.col("w")).alias("s"))

@@ -1,35 +1,168 @@
-"""Paired bootstrap and permutation of two arms' metrics, as grouped aggregates over replicates."""
+"""Paired bootstrap and permutation of two arms' metrics: every sample has a vector of replicate weights, and one ordering serves all replicates."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.loci import draw
-from .metrics import predicted, primary_metrics
+from .metrics import predicted
+from .numbering import numbered
+
+HELD = 1 << 24  # weights that are broadcast at once: samples times replicates
+TILE = 1 << 21  # weights that a task multiplies at once
+DRAWN = 64  # replicates of a class that are drawn together
+NAMES = ("accuracy", "balanced_accuracy", "macro_f1", "macro_auroc")
+
+
+def _placed(people: DataFrame) -> DataFrame:
+    """people (y, sample_id) with `at`, the place in the class from 0, and the class's size n."""
+    sizes = people.groupBy("y").agg(F.count("*").alias("n"))
+    return numbered(people.select("y", "sample_id"), ["y"], ["sample_id"], "at").withColumn("at", F.col("at") - 1).join(F.broadcast(sizes), "y")  # a row for each class
 
 
 def stratified_resample(people: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(rep, sample_id): in each replicate, as many draws with replacement from each class as it has members."""
-    order = W.partitionBy("y").orderBy("sample_id")
-    placed = people.withColumn("at", F.row_number().over(order) - 1)
-    n = people.groupBy("y").agg(F.count("*").alias("n"))
-    slots = placed.join(F.broadcast(n), "y").select("y", F.col("at").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    drawn = slots.withColumn("at", F.pmod(draw(seed, F.col("rep"), F.col("y"), F.col("slot")), F.col("n")).cast("int"))
+    placed = _placed(people)
+    slots = placed.select("y", F.col("at").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    drawn = slots.withColumn("at", F.pmod(draw(seed, F.col("rep"), F.col("y"), F.col("slot")), F.col("n")))
     return drawn.join(placed.select("y", "at", "sample_id"), ["y", "at"]).select("rep", "sample_id")
 
 
-def _deltas(values: DataFrame, a: str, by: list[str]) -> DataFrame:
-    """(by, metric, a, b, delta) of two arms' rows (by, arm, metric, value). Differences under 1e-12 are none."""
-    first = F.col("arm") == a
-    both = values.groupBy(*by, "metric").agg(F.max(F.when(first, F.col("value"))).alias("a"), F.max(F.when(~first, F.col("value"))).alias("b"))
-    return both.withColumn("delta", F.round(F.col("a") - F.col("b"), 12))
+def bootstrap_weights(people: DataFrame, first: int, last: int, seed: int) -> DataFrame:
+    """(sample_id, part, w): how often each of the replicates first to last, DRAWN of them a part, draws a sample; stratified_resample's draws.
+
+    A group is a class's slots in one part: as many rows as the class has samples, with one number a replicate.
+    """
+    draws = F.transform(F.sequence(F.col("low"), F.least(F.col("low") + DRAWN, F.lit(last)) - 1), lambda r: F.pmod(draw(seed, r, F.col("y"), F.col("at")), F.col("n")).cast("int"))
+    slots = _placed(people).withColumn("low", F.explode(F.sequence(F.lit(first), F.lit(last - 1), F.lit(DRAWN))))
+    kind = dict(people.dtypes)["sample_id"]
+
+    def tally(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("at", ignore_index=True)
+        drawn = np.stack(part.draws.to_numpy())
+        n, columns = drawn.shape
+        w = np.bincount((drawn * columns + np.arange(columns)).ravel(), minlength=n * columns).reshape(n, columns)
+        return pd.DataFrame({"sample_id": part.sample_id, "part": part.low, "w": list(w.astype(np.int16))})
+
+    return slots.select("y", "low", "at", "sample_id", draws.alias("draws")).groupBy("y", "low").applyInPandas(tally, f"sample_id {kind}, part int, w array<short>")
+
+
+def swap_weights(people: DataFrame, first: int, last: int, seed: int) -> DataFrame:
+    """(sample_id, part, w): whether each of the replicates first to last swaps the arms of a sample."""
+    bits = F.transform(F.sequence(F.lit(first), F.lit(last - 1)), lambda r: (draw(seed, r, F.col("sample_id")) % 2).cast("short"))
+    return people.select("sample_id", F.lit(0).alias("part"), bits.alias("w"))
+
+
+def _matrix(weights: DataFrame) -> tuple[pd.Index, np.ndarray]:
+    """The samples and their weights, a row each; at most HELD weights."""
+    table = weights.toArrow().sort_by([("part", "ascending"), ("sample_id", "ascending")])
+    parts = np.asarray(table.column("part"))
+    blocks = [table.filter(pa.array(parts == p)) for p in np.unique(parts)]
+    ids = pd.Index(blocks[0].column("sample_id").to_pandas())
+    return ids, np.concatenate([np.asarray(b.column("w").combine_chunks().flatten(), np.int16).reshape(len(ids), -1) for b in blocks], axis=1)
+
 
+def _own(arm: np.ndarray, w: np.ndarray, swap: bool) -> np.ndarray:
+    """How often rows count for the first arm, of those that are its own (arm true) and the other's."""
+    return np.where(arm[:, None], 1 - w, w) if swap else w * arm[:, None]
 
-def _observed(pred: DataFrame, classes: int, a: str) -> DataFrame:
-    whole = pred.withColumn("w", F.lit(1))
-    return _deltas(primary_metrics(predicted(pred, ["arm"]).withColumn("w", F.lit(1)), whole, classes, ["arm"]), a, [])
+
+def _replicates(pred: DataFrame, top: DataFrame, a: str, classes: int, weights: DataFrame, first: int, swap: bool) -> DataFrame:
+    """(rep, arm, metric, value): the primary metrics of both arms in all replicates of weights, numbered from first; arm: 1 for a, 0 for the other.
+
+    Before replicate 0 comes -1, in which every sample counts once and none is swapped.
+
+    Each task turns its rows into sums by replicate. For AUROC the predictions lie in ranges of (class, probability): a range
+    gives the weight of positives, of negatives and its own rank sum, and ranges are put together by the negatives before them.
+    """
+    ids, matrix = _matrix(weights)
+    if first == 0:
+        matrix, first = np.insert(matrix, 0, 0 if swap else 1, axis=1), -1
+    reps = matrix.shape[1]
+    spread = pred.sparkSession.sparkContext.broadcast((ids, matrix))
+
+    def parts(rows: int) -> Iterator[slice]:
+        step = max(1, TILE // max(1, rows))
+        return (slice(at, min(at + step, reps)) for at in range(0, reps, step))
+
+    def table(keys: dict[str, object], rep: np.ndarray, sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        columns = {k: pa.array(np.full(len(rep), v, np.int32)) for k, v in keys.items()} | {"rep": pa.array(rep.astype(np.int32))} | {k: pa.array(v.astype(float)) for k, v in sums.items()}
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = spread.value
+        sums = np.zeros((2, 3, classes, reps))
+        for b in batches:
+            arm, y, label = np.asarray(b.column("mine")), np.asarray(b.column("y")), np.asarray(b.column("label"))
+            at = ids.get_indexer(b.column("sample_id").to_pandas())
+            for s in parts(b.num_rows):
+                for target in (0, 1):
+                    w = _own(arm if target else ~arm, matrix[at, s].astype(float), swap)
+                    for i, (kind, rows) in enumerate(((y, slice(None)), (label, slice(None)), (y, y == label))):
+                        sums[target, i, :, s] += (kind[rows] == np.arange(classes)[:, None]).astype(float) @ w[rows]
+        for target in (0, 1):
+            for c in range(classes):
+                yield table({"arm": target, "cls": c}, np.arange(first, first + reps), dict(zip(("support", "predicted", "hits"), sums[target, :, c])))
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = spread.value
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        cls, prob, arm = (np.asarray(rows.column(c)) for c in ("cls", "prob", "mine"))
+        hit, at = np.asarray(rows.column("y")) == cls, ids.get_indexer(rows.column("sample_id").to_pandas())
+        for c in np.unique(cls):
+            own = np.nonzero(cls == c)[0]
+            starts = np.nonzero(np.diff(prob[own], prepend=np.nan) != 0)[0]  # equal probabilities are one step
+            for s in parts(len(own)):
+                w = matrix[at[own], s].astype(float)
+                for target in (0, 1):
+                    mine = _own(arm[own] if target else ~arm[own], w, swap)
+                    pos, neg = (np.add.reduceat(mine * side[:, None], starts) for side in (hit[own], ~hit[own]))
+                    before = np.cumsum(neg, axis=0) - neg / 2
+                    yield table({"arm": target, "cls": int(c), "place": TaskContext.get().partitionId()}, np.arange(reps)[s] + first, {"pos": pos.sum(axis=0), "neg": neg.sum(axis=0), "u": (pos * before).sum(axis=0)})
+
+    keys = ["rep", "arm", "cls"]
+    mine = (F.col("arm") == a).alias("mine")
+    counted = top.select("sample_id", mine, F.col("y").cast("int").alias("y"), F.col("label").cast("int").alias("label")).mapInArrow(tallies, "arm int, cls int, rep int, support double, predicted double, hits double")
+    per = counted.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("support", "predicted", "hits")))
+    f1 = F.coalesce(F.try_divide(2 * F.col("hits"), F.col("support") + F.col("predicted")), F.lit(0.0))
+    named = per.groupBy("rep", "arm").agg((F.sum("hits") / F.sum("support")).alias("accuracy"), F.avg(F.try_divide("hits", "support")).alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"))
+    cuts = int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = pred.select("sample_id", mine, F.col("y").cast("int").alias("y"), F.col("cls").cast("int").alias("cls"), "prob").repartitionByRange(cuts, "cls", "prob").sortWithinPartitions("cls", "prob")
+    ranged = sorted_.mapInArrow(ranks, "arm int, cls int, place int, rep int, pos double, neg double, u double")
+    before = F.coalesce(F.sum("neg").over(W.partitionBy(*keys).orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))  # a row for each range of a class
+    joined = ranged.withColumn("u", F.col("u") + F.col("pos") * before).groupBy(*keys).agg(F.sum("u").alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    areas = joined.groupBy("rep", "arm").agg(F.avg(F.try_divide(F.col("u"), F.col("pos") * F.col("neg"))).alias("macro_auroc"))
+    return named.join(areas, ["rep", "arm"]).select("rep", "arm", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in NAMES))))
+
+
+def _deltas(pred: DataFrame, a: str, b: str, classes: int, replicates: int, seed: int, swap: bool) -> DataFrame:
+    """(rep, metric, a, b, delta); rep -1 holds what was observed. Differences under 1e-12 are none.
+
+    Replicates are worked through in blocks of at most HELD weights, so what is broadcast does not grow with the samples.
+    """
+    pred = pred.where(F.col("arm").isin(a, b))
+    top = predicted(pred, ["arm"])
+    people = top.where(F.col("arm") == a).select("sample_id", "y")
+    weigh = swap_weights if swap else bootstrap_weights
+    step = max(1, HELD // max(1, people.count()))
+    values = None
+    for at in range(0, replicates, step):
+        block = _replicates(pred, top, a, classes, weigh(people, at, min(at + step, replicates), seed), at, swap)
+        values = block if values is None else values.union(block)
+    own = F.col("arm") == 1
+    both = values.groupBy("rep", "metric").agg(F.max(F.when(own, F.col("value"))).alias("a"), F.max(F.when(~own, F.col("value"))).alias("b"))
+    return both.withColumn("delta", F.round(F.col("a") - F.col("b"), 12))
 
 
 def paired_bootstrap(pred: DataFrame, a: str, b: str, classes: int, replicates: int = 2000, seed: int = 0) -> DataFrame:
@@ -37,28 +170,20 @@ def paired_bootstrap(pred: DataFrame, a: str, b: str, classes: int, replicates:
 
     Both arms are measured on the same resamples of the samples within their classes; a sample drawn k times counts k times.
     """
-    pred = pred.where(F.col("arm").isin(a, b))
-    top = predicted(pred, ["arm"])
-    drawn = stratified_resample(top.where(F.col("arm") == a).select("sample_id", "y"), replicates, seed).groupBy("rep", "sample_id").agg(F.count("*").alias("w"))
-    each = primary_metrics(top.join(drawn, "sample_id"), pred.join(drawn, "sample_id"), classes, ["rep", "arm"])
-    spread = _deltas(each, a, ["rep"]).groupBy("metric").agg(F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"), F.avg((F.col("delta") <= 0).cast("double")).alias("share_le_0"))
-    return _observed(pred, classes, a).join(spread, "metric").select("metric", "a", "b", "delta", F.get("ci", F.lit(0)).alias("low"), F.get("ci", F.lit(1)).alias("high"), "share_le_0")
+    seen, drawn = F.col("rep") < 0, F.col("rep") >= 0
+    first = [F.max(F.when(seen, F.col(c))).alias(c) for c in ("a", "b", "delta")]
+    ends = F.percentile(F.when(drawn, F.col("delta")), F.array(F.lit(0.025), F.lit(0.975)))
+    spread = _deltas(pred, a, b, classes, replicates, seed, False).groupBy("metric").agg(*first, ends.alias("ci"), F.avg(F.when(drawn, (F.col("delta") <= 0).cast("double"))).alias("share_le_0"))
+    return spread.select("metric", "a", "b", "delta", F.get("ci", F.lit(0)).alias("low"), F.get("ci", F.lit(1)).alias("high"), "share_le_0")
 
 
 def paired_permutation(pred: DataFrame, a: str, b: str, classes: int, replicates: int = 2000, seed: int = 0) -> DataFrame:
     """(metric, delta, p): share of replicates, arms swapped at random for each sample, whose difference is at least as large."""
-    pred = pred.where(F.col("arm").isin(a, b))
-    other = F.when(F.col("arm") == a, b).otherwise(a)
-    swap = draw(seed, F.col("rep"), F.col("sample_id")) % 2 == 1
-
-    def swapped(df: DataFrame) -> DataFrame:
-        each = df.withColumn("w", F.lit(1)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        return each.withColumn("arm", F.when(swap, other).otherwise(F.col("arm")))
-
-    each = primary_metrics(swapped(predicted(pred, ["arm"])), swapped(pred), classes, ["rep", "arm"])
-    seen = _observed(pred, classes, a).select("metric", F.col("delta").alias("observed"))
-    both = _deltas(each, a, ["rep"]).join(F.broadcast(seen), "metric")  # a row for each metric
-    return both.groupBy("metric", F.col("observed").alias("delta")).agg(((F.count_if(F.abs("delta") >= F.abs("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
+    deltas = _deltas(pred, a, b, classes, replicates, seed, True)
+    observed = F.max(F.when(F.col("rep") < 0, F.col("delta"))).over(W.partitionBy("metric"))  # a row for each replicate
+    marked = deltas.withColumn("observed", observed).where("rep >= 0")
+    as_large = F.count_if(F.abs("delta") >= F.abs("observed") - 1e-12)
+    return marked.groupBy("metric", F.col("observed").alias("delta")).agg(((as_large + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def compare_arms(pred: DataFrame, pairs: list[tuple[str, str]], classes: int, replicates: int = 2000, seed: int = 0) -> DataFrame:

@@ -57,23 +57,37 @@ def fold_of(people: DataFrame, k: int, seed: int) -> DataFrame:
     return df.withColumn("at", at).join(shift, "stratum").withColumn("fold", F.pmod(F.col("shift") + F.col("at") - 1, F.lit(k)).cast("int")).drop("at", "shift")
 
 
-def carve_validation(train: DataFrame, percent: int, seed: int, stratum: str = "label") -> DataFrame:
-    """train (fold, patient_id, stratum) with split val or train: percent of each fold, rounded up, by largest remainders of the strata."""
-    sizes = train.groupBy("fold", stratum).agg(F.count("*").alias("n"))
+def carve_validation(train: DataFrame, percent: int, seed: int, strata: tuple[str, ...] = ("stratum", "label")) -> DataFrame:
+    """train (fold, patient_id, strata and others) with split val or train, and `level`: percent of each fold, rounded up.
+
+    A fold is carved by the first column of strata, by largest remainders, whose groups all have two patients or more and
+    are no more than the validation's and the training's patients; level names it. If none will do, patients are drawn from
+    the whole fold and level is `none`.
+    """
+    sizes = train.groupBy("fold").agg(F.count("*").alias("all_n")).withColumn("want", F.expr(f"(all_n * {percent} + 99) div 100"))
+    level, part = F.lit("none"), F.lit("")
+    for column in reversed(strata):
+        groups = train.groupBy("fold", column).agg(F.count("*").alias("n")).groupBy("fold").agg(F.min("n").alias("least"), F.count("*").alias("groups"))
+        sizes = sizes.join(groups, "fold").withColumn(f"__{column}", F.expr("least >= 2 and groups <= least(want, all_n - want)")).drop("least", "groups")
+        level = F.when(F.col(f"__{column}"), column).otherwise(level)
+        part = F.when(F.col(f"__{column}"), F.col(column)).otherwise(part)
+    sizes = sizes.select("fold", "all_n", "want", level.alias("level"), *(f"__{c}" for c in strata))
+    placed = train.join(F.broadcast(sizes), "fold").withColumn("part", part)  # a row for each fold
     fold = W.partitionBy("fold")
-    quota = sizes.withColumn("all_n", F.sum("n").over(fold)).withColumn("want", F.expr(f"(all_n * {percent} + 99) div 100"))
+    quota = placed.groupBy("fold", "part", "all_n", "want").agg(F.count("*").alias("n"))
     quota = quota.withColumn("base", F.expr("n * want div all_n")).withColumn("rest", F.expr("n * want % all_n"))
-    quota = quota.withColumn("short", F.col("want") - F.sum("base").over(fold)).withColumn("place", F.row_number().over(fold.orderBy(F.desc("rest"), stratum)))
-    quota = quota.select("fold", stratum, (F.col("base") + F.when(F.col("place") <= F.col("short"), 1).otherwise(0)).alias("quota"))
-    order = W.partitionBy("fold", stratum).orderBy(draw(seed, F.col("fold"), F.col("patient_id")), "patient_id")
-    return train.withColumn("at", F.row_number().over(order)).join(quota, ["fold", stratum]).withColumn("split", F.when(F.col("at") <= F.col("quota"), "val").otherwise("train")).drop("at", "quota")
+    quota = quota.withColumn("short", F.col("want") - F.sum("base").over(fold)).withColumn("place", F.row_number().over(fold.orderBy(F.desc("rest"), "part")))
+    quota = quota.select("fold", "part", (F.col("base") + F.when(F.col("place") <= F.col("short"), 1).otherwise(0)).alias("quota"))
+    order = W.partitionBy("fold", "part").orderBy(draw(seed, F.col("fold"), F.col("patient_id")), "patient_id")
+    out = placed.withColumn("at", F.row_number().over(order)).join(quota, ["fold", "part"])
+    return out.select(*train.columns, "level", F.when(F.col("at") <= F.col("quota"), "val").otherwise("train").alias("split"))
 
 
 def kfold_splits(people: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
     """(fold, patient_id, label, split): each patient is test in one fold, and train or val in the others."""
-    dealt = fold_of(people, k, seed).select("patient_id", "label", F.col("fold").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
+    dealt = fold_of(people.withColumn("fine", F.col("stratum")), k, seed).select("patient_id", "label", F.col("fine").alias("stratum"), F.col("fold").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
     test = dealt.where("fold = own").select("fold", "patient_id", "label", F.lit("test").alias("split"))
-    rest = carve_validation(dealt.where("fold <> own").select("fold", "patient_id", "label"), percent, seed)
+    rest = carve_validation(dealt.where("fold <> own").select("fold", "patient_id", "label", "stratum"), percent, seed)
     return test.unionByName(rest.select("fold", "patient_id", "label", "split"))
 
 
@@ -84,8 +98,8 @@ def official_splits(samples: DataFrame, percent: int, seed: int) -> DataFrame:
     people = samples.groupBy("patient_id").agg(F.min_by("label", "sample_id").alias("label"), F.min("official_split").alias("low"), F.max("official_split").alias("high"))
     part = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.raise_error(F.lit("a patient is in both official splits")))
     people = people.select(F.lit(0).alias("fold"), "patient_id", "label", part.alias("split"))
-    rest = carve_validation(people.where("split = 'train'").drop("split"), percent, seed)
-    return people.where("split = 'test'").unionByName(rest)
+    rest = carve_validation(people.where("split = 'train'").drop("split"), percent, seed, ("label",))
+    return people.where("split = 'test'").unionByName(rest.drop("level"))
 
 
 def cross_batch_splits(samples: DataFrame, percent: int, seed: int) -> DataFrame:
@@ -98,7 +112,7 @@ def cross_batch_splits(samples: DataFrame, percent: int, seed: int) -> DataFrame
     people = people.withColumn("batch", failing(F.col("batch") != F.col("last"), F.col("batch"), "a patient has samples in several batches")).drop("last")
     folds = F.array(*(F.struct(F.lit(i).alias("fold"), F.lit(b).alias("tested")) for i, b in enumerate(batches)))
     each = people.select("patient_id", "label", "batch", F.inline(folds))
-    rest = carve_validation(each.where("batch <> tested").select("fold", "patient_id", "label"), percent, seed)
+    rest = carve_validation(each.where("batch <> tested").select("fold", "patient_id", "label"), percent, seed, ("label",))
     return each.where("batch = tested").select("fold", "patient_id", "label", F.lit("test").alias("split")).unionByName(rest.select("fold", "patient_id", "label", "split"))
 
 

@@ -10,6 +10,7 @@ VIEWS = {
     "v_samples": "SELECT c_custkey AS sample_id, c_custkey AS patient_id, c_mktsegment AS diagnosis, concat('B', CAST(c_nationkey % 2 AS VARCHAR(9))) AS batch, CASE WHEN c_custkey % 10 < 7 THEN 'train' ELSE 'test' END AS official_split, c_acctbal AS age FROM {customer}",
     "v_obs": "SELECT o_custkey AS sample_id, (l_partkey % 22 + 1) * 4294967296 + 1000 + CAST(floor(l_partkey / 22) AS BIGINT) * 60 + CAST(floor(l_partkey / 220) AS BIGINT) * 400 AS locus_key, CAST(sum(CAST(floor(l_quantity * l_discount * 10 + 1e-9) AS BIGINT)) AS BIGINT) AS c_count, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS ct_count FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY 1, 2",
     "v_calls": "SELECT o_custkey AS sample_id, l_orderkey AS fragment_id, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS mate, (o_custkey % 22 + 1) * 4294967296 + 10000 + l_orderkey * 40 + l_linenumber * 5 AS locus_key, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS state FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey",
+    "v_reads": "SELECT o_custkey AS sample_id, l_orderkey AS fragment_id, 1 + l_linenumber % 2 AS mate, (o_custkey % 22 + 1) * 4294967296 + 10000 + l_orderkey * 40 + CAST(floor(l_linenumber / 2) AS BIGINT) * 5 AS locus_key, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS state, l_partkey % 50 AS read_pos, 52 + l_suppkey % 9 AS read_len FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey",
     "v_chain": "SELECT p_partkey AS block_id, p_partkey % 22 + 1 AS src_code, CAST(floor(p_partkey / 22) AS BIGINT) * 500 AS src_start, 300 + CAST(p_size AS BIGINT) * 6 AS size, (p_partkey * 7) % 22 + 1 AS dst_code, 1000000 + CAST(floor(p_partkey / 22) AS BIGINT) * 450 AS dst_start, CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE 1 END AS strand FROM {part}",
     "v_points": "SELECT DISTINCT (l_partkey % 22 + 1) * 4294967296 + (l_orderkey * 37) % 46000 + 1 AS locus_key FROM {lineitem}",
     "v_methratio": "SELECT o_custkey AS sample_id, l_partkey % 24 + 1 AS code, CAST(100 + l_orderkey * 8 + l_linenumber AS BIGINT) AS pos, '+' AS strand, CASE WHEN l_returnflag = 'N' THEN 'CHG' ELSE 'CG' END AS context, CAST(floor(l_quantity * l_discount * 10 + 1e-9) AS BIGINT) AS c_count, CAST(l_quantity AS BIGINT) AS ct_count FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey",
