@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -61,26 +61,31 @@ def mean_max_pool(rows: DataFrame, group: str) -> DataFrame:
     return each.select(group, F.posexplode(both).alias("dim", "z")).select(group, "dim", "z.mean", "z.max")
 
 
-def gated_scores(rows: DataFrame, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> DataFrame:
-    """rows (id, grp, vec) as (id, grp, head, score, vec): w times tanh(v x) * sigmoid(u x), one score for each row of w."""
+def head_scores(rows: DataFrame, score: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """rows (id, grp, vec) with `scores`: what score makes of a block of vectors, one column a head. A vector is sent once, whatever the heads."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.stack(b.vec.to_numpy()).astype(float)
-            s = (np.tanh(x @ v.T) / (1 + np.exp(-(x @ u.T)))) @ w.T
-            for head in range(s.shape[1]):
-                yield pd.DataFrame({"id": b.id, "grp": b.grp, "head": head, "score": s[:, head], "vec": b.vec})
+            vec = b.column(2)
+            x = np.asarray(vec.flatten(), float).reshape(len(vec), -1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(score(x)), pa.list_(pa.float64()))], names=["id", "grp", "vec", "scores"])
+
+    return rows.where("vec is not null").select("id", "grp", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "id long, grp long, vec array<double>, scores array<double>")
 
-    return rows.select("id", "grp", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(run, "id long, grp long, head int, score double, vec array<double>")
+
+def gated_scores(rows: DataFrame, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> DataFrame:
+    """head_scores of gated attention: w times tanh(v x) * sigmoid(u x), a head for each row of w."""
+    return head_scores(rows, lambda x: (np.tanh(x @ v.T) / (1 + np.exp(-(x @ u.T)))) @ w.T)
 
 
 def query_scores(rows: DataFrame, k: np.ndarray, q: np.ndarray) -> DataFrame:
-    """rows (id, grp, vec) as (id, grp, head, score, vec): scaled products of k x with each learned query."""
+    """head_scores of learned queries: scaled products of k x with each row of q."""
+    return head_scores(rows, lambda x: x @ k.T @ q.T / math.sqrt(q.shape[1]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = np.stack(b.vec.to_numpy()).astype(float) @ k.T @ q.T / math.sqrt(q.shape[1])
-            for head in range(s.shape[1]):
-                yield pd.DataFrame({"id": b.id, "grp": b.grp, "head": head, "score": s[:, head], "vec": b.vec})
 
-    return rows.select("id", "grp", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(run, "id long, grp long, head int, score double, vec array<double>")
+def pool_heads(rows: DataFrame, heads: int) -> DataFrame:
+    """(grp, head, dim, pooled) of rows (grp, scores, vec): softmax_pool for each of `heads` scores; each head weighs the vectors anew in one aggregate."""
+    top = rows.groupBy("grp").agg(F.array(*(F.max(F.get("scores", F.lit(h))) for h in range(heads))).alias("m"))
+    weighed = rows.join(top, "grp").select("grp", "vec", *(F.exp(F.get("scores", F.lit(h)) - F.get("m", F.lit(h))).alias(f"e{h}") for h in range(heads)))
+    each = weighed.groupBy("grp").agg(F.array(*(vector_to_array(_summary("mean", weight=f"e{h}")["mean"]) for h in range(heads))).alias("heads"))
+    return each.select("grp", F.posexplode("heads").alias("head", "mean")).select("grp", "head", F.posexplode("mean").alias("dim", "pooled"))

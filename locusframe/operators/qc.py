@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.loci import draw
 from ..functions.stats import fisher_p
+from .numbering import numbered
 
 
 def fingerprint(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
@@ -155,8 +156,7 @@ def random_bag(items: DataFrame, group: str, item: str, k: int, seed: int) -> Da
 
 def balanced_schedule(samples: DataFrame, draws: int, seed: int) -> DataFrame:
     """(slot, label, sample_id): draws with replacement, each class as likely as any other."""
-    order = W.partitionBy("label").orderBy("sample_id")
-    placed = samples.select("label", "sample_id").withColumn("at", F.row_number().over(order) - 1)
+    placed = numbered(samples.select("label", "sample_id"), ["label"], ["sample_id"], "at").withColumn("at", F.col("at") - 1)
     classes = samples.groupBy("label").agg(F.count("*").alias("n")).withColumn("cls", F.row_number().over(W.orderBy("label")) - 1)  # a row for each class
     k = classes.count()
     slots = samples.sparkSession.range(draws).select(F.col("id").alias("slot"), F.pmod(draw(f"{seed}-class", F.col("id")), F.lit(k)).cast("int").alias("cls"))

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, VectorAssembler
+import pyarrow as pa
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -139,27 +140,54 @@ def shuffled_control(store: DataFrame, seed: int, key: str = "locus_key") -> Dat
     return placed([draw(seed, k)], key).join(placed([draw(f"{seed}-source", k)], "source"), "at").drop("at")
 
 
+def by_matrix(store: DataFrame, matrix: np.ndarray, centre: np.ndarray | None = None, key: str = "locus_key") -> DataFrame:
+    """(key, vec): (vec - centre) times matrix, a block of rows at a time. The matrix is broadcast: width times rank numbers."""
+    spread = store.sparkSession.sparkContext.broadcast((matrix, centre))
+    kind = dict(store.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, centre = spread.value
+        for b in batches:
+            x = np.asarray(b.column(1).flatten(), float).reshape(b.num_rows, -1)
+            y = (x if centre is None else x - centre) @ matrix
+            vec = pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), y.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), vec], names=[key, "vec"])
+
+    return store.where("vec is not null").select(key, F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, f"`{key}` {kind}, vec array<double>")
+
+
+def signed(axes: np.ndarray) -> np.ndarray:
+    """Axes, one a column, turned so that the component of the largest size is positive."""
+    top = np.abs(axes).argmax(axis=0)
+    return axes * np.sign(axes[top, np.arange(axes.shape[1])])
+
+
+def principal_axes(store: DataFrame, rank: int, sample: int, seed: int, key: str = "locus_key") -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(mean, axes times the common scale, explained shares) of a hash sample of store; width times width numbers are gathered, as PCA does."""
+    fit = hash_sample(store, sample, seed, key).select(array_to_vector(F.col("vec").cast("array<double>")).alias("x"))
+    found = fit.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("x")).alias("s")).select("s.mean", "s.variance", "s.count").first()
+    model = PCA(k=rank, inputCol="x", outputCol="y").fit(fit)  # its covariance is centred
+    shares = model.explainedVariance.toArray()
+    # Mean square of the projected sample: the axes' share of the population variances.
+    spread = found["variance"].toArray().sum() * (found["count"] - 1) / found["count"] * shares.sum()
+    return found["mean"].toArray(), signed(model.pc.toArray()) / math.sqrt(spread / rank), list(shares)
+
+
 def project(store: DataFrame, rank: int, sample: int, seed: int, key: str = "locus_key") -> tuple[DataFrame, list[float]]:
-    """(key, vec) on `rank` principal axes fitted to a hash sample, centred by its mean, all scaled by one factor; and the explained shares."""
-    dim = store.select(F.size("vec")).first()[0]
-    names = [f"c{i}" for i in range(dim)]
-    fit = hash_sample(store, sample, seed, key)
-    mean = [r[0] for r in fit.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m")).orderBy("dim").select("m").collect()]
-    centre = lambda df: df.select(key, *((F.get("vec", F.lit(i)).cast("double") - mean[i]).alias(names[i]) for i in range(dim)))
-    assemble = VectorAssembler(inputCols=names, outputCol="x")
-    model = PCA(k=rank, inputCol="x", outputCol="y").fit(assemble.transform(centre(fit)))
-    fitted = vector_to_array(F.col("y"))
-    spread = model.transform(assemble.transform(centre(fit))).select(F.aggregate(fitted, F.lit(0.0), lambda a, v: a + v * v).alias("q")).agg(F.avg("q")).first()[0]
-    scale = 1 / math.sqrt(spread / rank)
-    out = model.transform(assemble.transform(centre(store))).select(key, F.transform(vector_to_array(F.col("y")), lambda v: (v * scale).cast("float")).alias("vec"))
-    return out, list(model.explainedVariance.toArray())
+    """(key, vec) on `rank` principal axes fitted to a hash sample, centred by its mean, all scaled by one factor; and the explained shares.
+
+    Of each axis the largest component is positive. The plan does not grow with the store's width or the rank.
+    """
+    mean, axes, shares = principal_axes(store, rank, sample, seed, key)
+    return by_matrix(store, axes, mean, key).withColumn("vec", F.col("vec").cast("array<float>")), shares
 
 
 def block_svd(store: DataFrame, rank: int, sample: int, seed: int) -> tuple[DataFrame, list[float]]:
     """(locus_key, vec): loci of store (locus_key, bits, vec) on the `rank` leading right singular vectors of [scaled bits | standardised vec]; and the singular values.
 
     Fitted, uncentred, on a hash sample that takes from each contig its share of `sample`, with the sample's own moments. Bits
-    share one scale, that of a mean square of one. Contigs are sampled apart; the product matrix is summed up in the JVM.
+    share one scale, that of a mean square of one. Contigs are sampled apart; the product matrix is summed up in the JVM. Of
+    each axis the largest component is positive.
     """
     sizes = store.groupBy(key_code(F.col("locus_key")).alias("code")).agg(F.count("*").alias("n"))
     quota = sizes.select("code", F.round(F.col("n") * sample / F.sum("n").over(W.partitionBy())).alias("quota"))  # a row for each contig
@@ -173,13 +201,11 @@ def block_svd(store: DataFrame, rank: int, sample: int, seed: int) -> tuple[Data
 
     def combined(df: DataFrame) -> DataFrame:
         dense = F.zip_with(F.col("vec").cast("array<double>"), F.col("moments"), lambda x, m: (x - m["mean"]) / m["std"])
-        return df.join(F.broadcast(listed), F.lit(True)).select("locus_key", F.concat(F.transform("bits", lambda b: b * scale), dense).alias("x"))
+        return df.join(F.broadcast(listed), F.lit(True)).select("locus_key", F.concat(F.transform("bits", lambda b: b * scale), dense).alias("vec"))
 
-    rows = combined(fit).select("x").rdd.map(lambda r: Vectors.dense(r[0]))  # the decomposition is one of Spark's RDD classes
-    svd = RowMatrix(rows).computeSVD(rank)
-    axes = svd.V.toArray().T.tolist()
-    dot = lambda axis: F.aggregate(F.zip_with("x", F.array(*map(F.lit, axis)), lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
-    return combined(store).select("locus_key", F.array(*map(dot, axes)).alias("vec")), svd.s.toArray().tolist()
+    rows = MLUtils.convertVectorColumnsFromML(combined(fit).select(array_to_vector("vec").alias("x")), "x")
+    svd = RowMatrix(rows).computeSVD(rank)  # the decomposition takes vectors of the older class
+    return by_matrix(combined(store), signed(svd.V.toArray())), svd.s.toArray().tolist()
 
 
 def materialise(store: DataFrame, loci: DataFrame, path: str, shuffle_seed: int | None = None, projection: tuple[int, int, int] | None = None) -> DataFrame:

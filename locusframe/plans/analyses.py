@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.loci import draw, make_key, random_positions
-from ..operators import beta, calls, intervals, metrics, models, pooling, represent, splits
+from ..operators import beta, calls, intervals, metrics, models, numbering, pooling, represent, splits
 from ..sources import shared
 from .benchviews import view
 from .files import BASES, LETTER
@@ -26,7 +26,7 @@ def mixed(x: str, name: str, source: str, keep: str) -> str:
 
 
 UNIFORM = f"lc AS (SELECT locus_key::UHUGEINT AS k FROM {LOCI}), " + mixed("17::UHUGEINT", "sd", "(SELECT 1 AS one)", "one") + ", " + mixed("xor(k, (SELECT sd_x FROM sd))", "ba", "lc", "k")
-SLOTS = UNIFORM + ", sl AS (SELECT k, j, (ba_x + j::UHUGEINT) % " + WHOLE + " AS slot FROM ba CROSS JOIN (SELECT unnest(range(32)) AS j)), " + mixed("slot", "mx", "sl", "k, j") + ", un AS (SELECT k, j, ((mx_x >> 11)::DOUBLE + 0.5) / 9007199254740992 AS u FROM mx)"
+SLOTS = UNIFORM + ", sl AS MATERIALIZED (SELECT k, j, (ba_x + j::UHUGEINT) % " + WHOLE + " AS slot FROM ba CROSS JOIN (SELECT unnest(range(32)) AS j)), " + mixed("slot", "mx", "sl", "k, j") + ", un AS MATERIALIZED (SELECT k, j, ((mx_x >> 11)::DOUBLE + 0.5) / 9007199254740992 AS u FROM mx)"
 
 
 @query("B10_unit_uniform", f"WITH {UNIFORM} SELECT k::BIGINT AS locus_key, round(((ba_x >> 11)::DOUBLE + 0.5) / 9007199254740992, 9) AS u FROM ba")
@@ -128,6 +128,45 @@ def h5(spark, d):
     return found.select("locus_key", F.posexplode("vec").alias("dim", "x"))
 
 
+def turned(df, key="locus_key"):
+    """(key, length, next): each vector's square and its product with the following one's, which no rotation of the axes changes."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    following = df.select((F.col(key) - 1).alias(key), F.col("vec").alias("after"))
+    return df.join(following, key, "left").select(key, F.round(dot("vec", "vec"), 6).alias("length"), F.round(dot("vec", "after"), 6).alias("next"))
+
+
+@query("H1_projection_products", f"""WITH fi AS (SELECT * FROM embeddings ORDER BY {seeded_hash('17', 'vec_id')}, vec_id LIMIT 2000), mo AS (SELECT i, avg(embedding[i]::DOUBLE) AS m, var_pop(embedding[i]::DOUBLE) AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM fi) GROUP BY 1),
+me AS (SELECT list(m ORDER BY i) AS m, 64 / sum(v) AS f FROM mo), ce AS (SELECT vec_id, f, list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE - m[i]) AS x FROM embeddings, me)
+SELECT a.vec_id AS locus_key, round(list_inner_product(a.x, a.x) * a.f, 6) AS length, round(list_inner_product(a.x, b.x) * a.f, 6) AS next FROM ce a LEFT JOIN ce b ON b.vec_id = a.vec_id + 1""")
+def h1p(spark, d):
+    """All 64 axes: products of projected vectors are those of the centred ones, times the common scale."""
+    store = embedding_store(spark, d)
+    mean, axes, _ = represent.principal_axes(store, 64, 2000, 17)
+    return turned(represent.by_matrix(store, axes, mean))
+
+
+BLOCKS = f"""bk AS (SELECT vec_id, (vec_id % 22 + 1) * 4294967296 + vec_id AS k, embedding, lpad(bin(('0x' || substr(md5(vec_id::VARCHAR), 1, 4))::BIGINT), 16, '0') AS bits FROM embeddings),
+bq AS (SELECT k // 4294967296 AS code, round(count(*) * 2000 / sum(count(*)) OVER ()) AS quota FROM bk GROUP BY 1),
+bf AS (SELECT * FROM (SELECT bk.*, quota, row_number() OVER (PARTITION BY k // 4294967296 ORDER BY {seeded_hash('17', 'k')}, k) AS rn FROM bk JOIN bq ON k // 4294967296 = code) WHERE rn <= quota),
+bs AS (SELECT 1 / greatest(sqrt(avg(length(replace(bits, '0', '')) / 16)), 1e-8) AS scale FROM bf), bm AS (SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m, CASE WHEN stddev_pop(embedding[i]::DOUBLE) < 1e-6 THEN 1 ELSE stddev_pop(embedding[i]::DOUBLE) END AS s FROM (SELECT *, unnest(range(1, 65)) AS i FROM bf) GROUP BY 1)),
+bx AS (SELECT vec_id, k, list_transform(range(1, 81), lambda i: CASE WHEN i <= 16 THEN CASE WHEN bits[i] = '1' THEN scale ELSE 0 END ELSE (embedding[i - 16]::DOUBLE - m[i - 16]) / s[i - 16] END) AS x FROM bk, bs, bm)"""
+
+
+@query("H5_block_products", f"WITH {BLOCKS} SELECT a.k AS locus_key, round(list_inner_product(a.x, a.x), 6) AS length, round(list_inner_product(a.x, b.x), 6) AS next FROM bx a LEFT JOIN bx b ON b.k = a.k + 22 AND a.k // 4294967296 = b.k // 4294967296")
+def h5p(spark, d):
+    """All 80 axes: products of projected rows are those of the combined ones."""
+    e = embedding_store(spark, d)
+    bits = represent.unpack_bits(F.unhex(F.substring(F.md5(F.col("locus_key").cast("string")), 1, 4)), 16)
+    keyed = e.select(((F.col("locus_key") % 22 + 1) * (1 << 32) + F.col("locus_key")).alias("locus_key"), bits.alias("bits"), "vec")
+    found, _ = represent.block_svd(keyed, 80, 2000, 17)
+    dense = found.withColumn("locus_key", F.col("locus_key").bitwiseAND(F.lit((1 << 32) - 1)))
+    following = dense.select((F.col("locus_key") - 22).alias("locus_key"), F.col("vec").alias("after"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    both = dense.join(following, "locus_key", "left")
+    key = ((F.col("locus_key") % 22 + 1) * (1 << 32) + F.col("locus_key")).alias("locus_key")
+    return both.select(key, F.round(dot("vec", "vec"), 6).alias("length"), F.round(dot("vec", "after"), 6).alias("next"))
+
+
 @query("F4_random_positions", f"WITH {BASES}, ln AS (SELECT code, length(seq) AS length, coalesce(sum(length(seq)) OVER (ORDER BY code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ba), w AS (SELECT sum(length) AS whole FROM ln), s AS (SELECT ((({seeded_hash('17-high', 'id')}) * 1048576 + ({seeded_hash('17-low', 'id')}) % 1048576) % whole)::BIGINT AS x FROM (SELECT unnest(range(5000)) AS id), w) SELECT DISTINCT code * 4294967296 + (x - before)::BIGINT + 1 AS locus_key FROM s JOIN ln ON x >= before AND x < before + length")
 def f4(spark, d):
     lengths = spark.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_partkey") % 22 + 1).alias("code")).agg(F.count(F.expr(LETTER)).alias("length"))
@@ -164,7 +203,8 @@ def g10(spark, d):
 
 @query("D2_summary_features", f"WITH {OBS} SELECT row_number() OVER (ORDER BY {seeded_hash('17', 'c.sample_id')}, c.sample_id) AS place, c.sample_id, n_observed, mean_beta FROM v_samples c LEFT JOIN (SELECT sample_id, count(*) AS n_observed, round(avg(beta), 6) AS mean_beta FROM ob GROUP BY 1) s ON c.sample_id = s.sample_id")
 def d2(spark, d):
-    samples = view(spark, d, "v_samples").select("sample_id", F.row_number().over(W.orderBy(draw("17", F.col("sample_id")), "sample_id")).cast("long").alias("place"))
+    drawn = view(spark, d, "v_samples").select("sample_id", draw("17", F.col("sample_id")).alias("drawn"))
+    samples = numbering.numbered(drawn, [], ["drawn", "sample_id"], "place").drop("drawn")
     return rounded(beta.summary_features(beta.sample_summary(observations(spark, d)), samples, ["n_observed", "mean_beta"]))
 
 
@@ -239,7 +279,7 @@ SUMMARY = ("n_observed", "mean_beta", "var_beta", "mean_coverage")
 @query("K6_fold_loop")
 def k6(spark, d):
     """Five folds of the summary baseline: every sample is predicted once, by the model of the fold that did not see it."""
-    summary = beta.sample_summary(observations(spark, d)).persist()
+    summary = shared.kept(beta.sample_summary(observations(spark, d)))
 
     def features(fit, placed):
         each = F.array(*(F.struct(F.lit(c).alias("name"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for c in SUMMARY))
@@ -247,4 +287,20 @@ def k6(spark, d):
         return models.assemble(long, "sample_id", "name", "value")
 
     samples = labelled(spark, d).select("sample_id", "patient_id", "label", "label_idx")
-    return models.fold_loop(features, samples, split_table(spark, d).persist())
+    return models.fold_loop(features, samples, shared.kept(split_table(spark, d)))
+
+
+@query("K6_region_folds")
+def k6r(spark, d):
+    """Two seeds of three folds of K3: regions are tested, selected and filled on each fold's own fit samples."""
+    region, samples = shared.kept(values(spark, d)), labelled(spark, d)
+
+    def features(fit, placed):
+        seen = beta.observed_regions(region.join(fit.select("sample_id"), "sample_id"), fit.count(), 0.1)
+        chosen = beta.select_regions(beta.one_vs_rest(region.join(seen.select("region_id"), "region_id"), fit), 4, 0.0)
+        return models.assemble(beta.impute_medians(region, fit, placed, chosen), "sample_id", "region_id", "region_beta")
+
+    people = splits.patients(samples, ["label", "batch"])
+    own = samples.select("sample_id", "patient_id", "label", "label_idx")
+    first, second = (models.fold_loop(features, own, shared.kept(splits.kfold_splits(people, 3, 20, seed))).select(F.lit(seed).alias("seed"), "*") for seed in (17, 42))
+    return first.union(second)

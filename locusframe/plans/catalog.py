@@ -1,4 +1,4 @@
 """All registered queries: importing this module runs every registration."""
 
-from . import analyses, audits, files  # noqa: F401
+from . import analyses, audits, files, streams  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.loci import draw, key_code, key_position, make_key
 from ..operators import audit, beta, calls, intervals, metrics, models, pooling, qc, represent, resampling, splits
-from ..sources import text
+from ..sources import shared, text
 from .benchviews import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,7 +149,7 @@ def b16(spark, d):
 
 
 def chain_status(spark, d):
-    lifted = intervals.lift(view(spark, d, "v_points"), view(spark, d, "v_chain")).persist()  # reference and store come from it too
+    lifted = shared.kept(intervals.lift(view(spark, d, "v_points"), view(spark, d, "v_chain")))  # reference and store come from it too
     target = lifted.where("target is not null").select(F.col("target").alias("locus_key"))
     return intervals.lift_status(lifted, target.where("locus_key % 3 <> 0"), [target.where("locus_key % 5 <> 0")])
 
@@ -221,7 +221,7 @@ def e1(spark, d):
 
 
 def values(spark, d):
-    obs = observations(spark, d).persist()  # regions and their values
+    obs = shared.kept(observations(spark, d))  # regions and their values
     return beta.region_beta(obs, beta.candidate_regions(obs, 150))
 
 
@@ -678,6 +678,11 @@ def k3(spark, d):
     return models.fit_predict(*region_features(spark, d))
 
 
+@query("K4_region_boosting")
+def k4b(spark, d):
+    return models.fit_predict(*region_features(spark, d), boosts=300)
+
+
 # Quality control and consistency
 
 
@@ -864,16 +869,24 @@ def h7(spark, d):
     return rounded(qc.loading_mass(each.select("pc", ((F.col("i") + 1) % 4).cast("long").alias("group"), F.col("w").cast("double").alias("w"))))
 
 
-@query("I4_gated_attention_pool")
+def grouped_vectors(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("grp"), F.col("embedding").alias("vec"))
+
+
+# (id, grp, head, s) of a CTE sc, pooled for each group and head.
+POOLED = "pw AS (SELECT id, grp, head, exp(s - max(s) OVER (PARTITION BY grp, head)) AS e FROM sc), SELECTED AS (SELECT pw.*, embedding, unnest(range(1, 65)) AS i FROM pw JOIN embeddings ON id = vec_id) SELECT grp, (head - 1)::INTEGER AS head, (i - 1)::INTEGER AS dim, round(sum(e * embedding[i]::DOUBLE) / sum(e), 6) AS pooled FROM SELECTED GROUP BY ALL".replace("SELECTED", "px")
+ROW = "list_sum(list_transform(range(1, 65), lambda i: {f}(64 * ({j} - 1) + i) * embedding[i]::DOUBLE))"
+GATES, QUERIES_ASKED = 10, 3
+
+
+@query("I4_gated_attention_pool", f"WITH gt AS (SELECT vec_id AS id, label AS grp, j, tanh({ROW.format(f='sin', j='j')}) / (1 + exp(-{ROW.format(f='cos', j='j')})) AS g FROM (SELECT *, unnest(range(1, 4)) AS j FROM embeddings)), sc AS (SELECT id, grp, head, sum(cos(3 * (head - 1) + j) * g) AS s FROM gt CROSS JOIN (SELECT unnest(range(1, {GATES + 1})) AS head) GROUP BY ALL), {POOLED}")
 def i4(spark, d):
-    x = np.arange(1, 1 + 3 * 64).reshape(3, 64)
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("grp"), F.col("embedding").alias("vec"))
-    scored = pooling.gated_scores(rows, np.sin(x), np.cos(x), np.array([[1.0, -0.5, 0.25]]))
-    return pooling.softmax_pool(scored.where("head = 0"), "grp")
+    """Ten heads, one a class, over three gated units."""
+    x, w = np.arange(1, 1 + 3 * 64).reshape(3, 64), np.arange(1, 1 + 3 * GATES).reshape(GATES, 3)
+    return rounded(pooling.pool_heads(pooling.gated_scores(grouped_vectors(spark, d), np.sin(x), np.cos(x), np.cos(w)), GATES))
 
 
-@query("I5_query_attention_pool")
+@query("I5_query_attention_pool", f"WITH sc AS (SELECT vec_id AS id, label AS grp, head, {ROW.format(f='sin', j='head')} / sqrt(3) AS s FROM (SELECT *, unnest(range(1, 4)) AS head FROM embeddings)), {POOLED}")
 def i5(spark, d):
     x = np.arange(1, 1 + 3 * 64).reshape(3, 64)
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("grp"), F.col("embedding").alias("vec"))
-    return pooling.softmax_pool(pooling.query_scores(rows, np.sin(x), np.eye(3)).where("head = 0"), "grp")
+    return rounded(pooling.pool_heads(pooling.query_scores(grouped_vectors(spark, d), np.sin(x), np.eye(3)), QUERIES_ASKED))

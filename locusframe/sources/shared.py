@@ -20,7 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    """A path for one table in the shared folder; what is written there is deleted when the driver's JVM ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/files-{uuid.uuid4().hex}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{folder.toString()}/table"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written once and read again, for queries that use it several times: nothing stays in the executors' memory."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_text(records: DataFrame, by: str | None = None) -> str:
