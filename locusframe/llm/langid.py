@@ -56,19 +56,18 @@ def held_out(doc_id: Column, fold: int = 2, folds: int = 4) -> Column:
 
 
 def training_sample(docs: DataFrame, most: int = 400) -> DataFrame:
-    """(lang, features): of each language at most `most` labelled rows outside the held-out fold, the first by a hash of doc_id.
+    """(lang, features): of each language at most `most` labelled rows outside the held-out fold, the first by a hash of doc_id and text.
 
     Only rows whose hash is under a cut are ranked. The cut follows from the language's rows, so that about one and a half
-    times `most` pass, however many rows a language has.
+    times `most` pass, however many rows a language has; the row of the least hash always does. Copies of a row have one hash
+    and pass together, but count one by one: rows that share a doc_id differ by their text.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    cuts = known.groupBy("lang").agg((F.least(F.lit(1.0), (1.5 * most + 50) / F.count("*")) * (1 << 40)).alias("cut"))  # a row for each language
-    near = known.select("doc_id", "lang").join(F.broadcast(cuts), "lang").where(place <= F.col("cut"))
-    order = W.partitionBy("lang").orderBy(place, "doc_id")
-    picked = near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).select("doc_id").distinct()
-    # most rows of each language: a bounded list of ids
-    rows = known.join(F.broadcast(picked), "doc_id").select("lang", "text")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", place.alias("place"))
+    share = F.least(F.lit(1.0), (1.5 * most + 50) / F.count("*")) * (1 << 40)
+    cuts = known.groupBy("lang").agg(F.greatest(share, F.min("place")).alias("cut"))  # a row for each language
+    near = known.join(F.broadcast(cuts), "lang").where("place <= cut")
+    rows = near.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("place"))).where(F.col("at") <= most).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -36,7 +36,6 @@ LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\..*)?$"
 FULL_TEXTS = tuple((p.name.removesuffix(".txt").removesuffix(".header"), p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
 FULL_THRESHOLD = 0.9  # full texts share most of their words with other licences' full texts
 MOST_BROADCAST = 200_000  # lending directories; more of them are joined by a shuffle, where the skew join splits busy ones
-HEAD = 8192  # characters in which a leading comment is looked for
 COMMENT = r"\A\s*+((?:/\*[\s\S]*?\*/|<!--[\s\S]*?-->|(?:(?:#|//|--|;|%)[^\n]*+(?:\n\s*+|\z))++))"
 
 
@@ -111,10 +110,10 @@ def is_licence_file(path: Column) -> Column:
 
 
 def full_licenses(files: DataFrame, n: int, held: dict[str, int], texts: Iterable[tuple[str, str]] = FULL_TEXTS, threshold: float = FULL_THRESHOLD) -> DataFrame:
-    """(block, full_license, full_cosine) for the blocks of files (path, text) whose cosine to one of texts reaches threshold.
+    """(block_id, full_license, full_cosine) for the blocks of files (path, text) whose cosine to one of texts reaches threshold.
 
-    A block is what `block()` gives; each distinct one is counted once, term by term, so long texts need no room of their
-    own. n and held: document_frequencies of at least the terms of texts. Weights are those of line_licenses.
+    A block is what `block()` gives and block_id its 128-bit hash; each distinct one is counted once, term by term, so long
+    texts need no room of their own. n and held: document_frequencies of at least the terms of texts. Weights are those of line_licenses.
     """
     texts = [(name, Counter(terms(text))) for name, text in texts]
     idf = {t: math.log((1 + n) / (1 + held.get(t, 0))) + 1 for _, counted in texts for t in counted}
@@ -122,20 +121,23 @@ def full_licenses(files: DataFrame, n: int, held: dict[str, int], texts: Iterabl
     sizes = [math.sqrt(sum((c * idf[t]) ** 2 for t, c in counted.items())) for _, counted in texts]
     rows = [(t, w, [counted[t] * w / size for (_, counted), size in zip(texts, sizes, strict=True)]) for t, w in sorted(idf.items())]
     weights = F.broadcast(files.sparkSession.createDataFrame(rows, "term string, weight double, parts array<double>"))
-    blocks = files.select(block().alias("block")).where(F.rlike(F.lower("block"), F.lit(r"\b(" + "|".join(sorted(anchors)) + r")\b"))).distinct()
-    blocks, _ = stored(blocks.withColumn("id", F.monotonically_increasing_id()))
+    blocks = files.select(block().alias("block")).where(F.rlike(F.lower("block"), F.lit(r"\b(" + "|".join(sorted(anchors)) + r")\b")))
+    blocks = blocks.groupBy(F.md5("block").alias("id")).agg(F.first("block").alias("block"))
     counted = blocks.select("id", F.explode(F.regexp_extract_all(F.lower("block"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
     weighed = counted.join(weights, "term", "left").withColumn("w", F.col("c") * F.coalesce("weight", F.lit(math.log(1 + n) + 1)))
     sums = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *(F.sum(F.col("w") * F.get("parts", F.lit(i))).alias(f"d{i}") for i in range(len(texts))))
     # Of equal cosines the first name wins, as with lines.
     cosines = F.array(*(F.struct((-F.coalesce(f"d{i}", F.lit(0.0)) / F.col("norm")).alias("less"), F.lit(name).alias("name")) for i, (name, _) in enumerate(texts)))
     best = sums.select("id", F.array_min(cosines).alias("best")).where(F.col("best.less") <= -threshold)
-    return blocks.join(best, "id").select("block", F.col("best.name").alias("full_license"), (-F.col("best.less")).alias("full_cosine"))
+    return best.select(F.col("id").alias("block_id"), F.col("best.name").alias("full_license"), (-F.col("best.less")).alias("full_cosine"))
 
 
 def block() -> Column:
-    """The whole text of a licence file; of any other, the comment in the first HEAD characters that it begins with, or null."""
-    head = F.regexp_extract(F.substring("text", 1, HEAD), COMMENT, 1)
+    """The whole text of a licence file; of any other, the comment of any length that it begins with, or null.
+
+    Lines of one comment sign, or one bracketed comment up to its end; a bracket that is never closed begins none.
+    """
+    head = F.regexp_extract("text", COMMENT, 1)
     return F.when(is_licence_file(F.col("path")), F.col("text")).otherwise(F.when(head != "", head))
 
 
@@ -155,10 +157,10 @@ def license_scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     files = files.select("doc_id", "path", "text")
     n, held = document_frequencies(files, sorted({t for text in (*templates.values(), *(x for _, x in FULL_TEXTS)) for t in terms(text)}))
     full, _ = stored(full_licenses(files, n, held))
-    lines = _line_licenses(files, templates, threshold, n, held).withColumn("block", block())
+    lines = _line_licenses(files, templates, threshold, n, held).withColumn("block_id", F.md5(block()))
     kept = ["doc_id", "path", "own_license", "own_cosine", directory(F.col("path")).alias("dir")]
     if full.head(1):
-        lines = lines.join(full, "block", "left")
+        lines = lines.join(full, "block_id", "left")
         fuller = F.col("full_license").isNotNull() & (F.col("own_cosine").isNull() | (F.col("full_cosine") > F.col("own_cosine")))
         lines = lines.withColumn("own_license", F.when(fuller, F.col("full_license")).otherwise(F.col("own_license")))
         lines = lines.withColumn("own_cosine", F.greatest("full_cosine", "own_cosine"))

@@ -11,8 +11,8 @@ ADDRESS = r"^([0-9.]+|\[.*)$"
 
 
 def host(url: Column) -> Column:
-    """The lower-case host of an absolute URL, without user, port and final dot; empty if there is none."""
-    found = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    """The lower-case host of an absolute URL, without user, port and final dot; empty if there is none. An address in brackets stays whole."""
+    found = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
     return F.regexp_replace(F.lower(found), r"\.$", "")
 
 
@@ -90,7 +90,7 @@ def page_list(pages: DataFrame) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH cap AS (SELECT page_id, DATE '2024-01-01' + (page_id % 366)::INTEGER AS fetched_on,
- regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', '') AS host FROM pages),
+ regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1)), '\.$', '') AS host FROM pages),
 lab AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM cap),
 suf AS (SELECT host, unnest([array_to_string(l[i:], '.') for i in range(1, CASE WHEN len(l) < 3 OR regexp_matches(host, '^([0-9.]+|\[.*)$') THEN 2 ELSE len(l) END)]) AS pattern
  FROM lab WHERE host <> ''),

@@ -530,3 +530,37 @@ def test_vantage_point_leaves_find_every_pair(spark):
     want = {int(x): int(fp[r]) for x, r in zip(fp, forest.parent)}
     groups = lambda d: {frozenset(k for k in d if d[k] == v) for v in set(d.values())}
     assert groups({k: found.get(k, k) for k in want}) == groups(want)
+
+
+def test_url_filters_keep_addresses_in_brackets_whole(spark):
+    entries = spark.createDataFrame([("[2001:DB8::1]", "ip", date(2024, 1, 1), "add"), ("[::2]", "ip", date(2024, 1, 1), "add")], "pattern string, category string, listed_on date, action string")
+    urls = {"http://[2001:db8::1]:80/x": ("[2001:db8::1]", 1), "http://[2001:db8::2]/": ("[2001:db8::2]", 0), "https://u:p@[::2]?q": ("[::2]", 1), "http://[::22]/": ("[::22]", 0), "http://[::2": ("[", 0), "http://a.b/[::2]": ("a.b", 0)}
+    captures = spark.createDataFrame([(u, date(2024, 2, 1)) for u in urls], "url string, fetched_on date")
+    assert {r.url: (r.host, r.n_active) for r in url_filters.url_verdicts(captures, entries).collect()} == urls
+
+
+def test_licences_in_leading_comments_of_any_length(spark):
+    styles = {"/*": lambda t: f"/*\n{t}\n*/\nint x;\n", "#": lambda t: "".join(f"# {x}\n" for x in t.splitlines()) + "x = 1\n", "//": lambda t: "".join(f"// {x}\n" for x in t.splitlines()) + "let x\n", "<!--": lambda t: f"<!--\n{t}\n-->\n<p>\n"}
+    texts = sorted(set(licenses.FULL_TEXTS))
+    rows = [(i * 10 + k, f"d{i}/{k}.x", style(text)) for i, (_, text) in enumerate(texts) for k, style in enumerate(styles.values())]
+    plain = [(1000 + i, f"p{i}/LICENSE", text) for i, (_, text) in enumerate(texts)]
+    rows += [(2000, "u/a.c", "/* " + texts[0][1]), (2001, "u/b.c", "int x;\n/* " + texts[0][1] + "*/"), (2002, "u/c.c", "# " + "word " * 3_000_000), (2003, "u/d.c", "/* " + "x\n" * 2_000_000 + "*/")]
+    files = spark.createDataFrame(rows + plain, "doc_id long, path string, text string")
+    found = {r.doc_id: (r.own_license, r.own_cosine) for r in licenses.license_scan(files).collect()}
+    for i, (name, _) in enumerate(texts):
+        whole = found[1000 + i]
+        assert whole[0] == name
+        for k in range(len(styles)):
+            assert found[i * 10 + k][0] == name and found[i * 10 + k][1] == pytest.approx(whole[1], abs=0.02), (name, k)
+    assert found[2002] == found[2003] == (None, None)
+
+
+def test_language_samples_of_repeated_ids(spark):
+    same = [(1, prose(20, i), "xx") for i in range(1000)]
+    copies = [(4, "always the same words here", "yy")] * 900
+    few = [(10 + i, prose(20, 5000 + i), "zz") for i in range(30)]
+    docs = spark.createDataFrame(same + copies + few, "doc_id long, text string, lang string").repartition(7)
+    training = {1, 4, *(10 + i for i in range(30))} - {i for i in (1, 4, *range(10, 40)) if zlib.crc32(str(i).encode()) % 4 == 2}
+    counts = Counter(r.lang for r in langid.training_sample(docs, 400).collect())
+    wanted = {"xx": 400 if 1 in training else 0, "yy": 400 if 4 in training else 0, "zz": sum(i in training for i in range(10, 40))}
+    assert counts == Counter({k: v for k, v in wanted.items() if v}) and max(counts.values()) == 400
