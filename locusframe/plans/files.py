@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-from ..operators import calls, intervals
+from ..operators import calls, intervals, numbering
 from ..sources import shared, text
 from .benchviews import view
 from .registry import query, rounded
@@ -101,11 +100,16 @@ CPG = BASES + ", cg AS (SELECT code, pos FROM (SELECT code, seq, unnest(range(1,
 
 
 def fasta(spark, d):
-    """Lines of a FASTA file with a contig for each residue of l_partkey, 60 letters to a line, in lower case on every third."""
-    bases = rows_of(spark, d, "lineitem").groupBy((F.col("l_partkey") % 22 + 1).alias("code")).agg(F.expr(f"listagg({LETTER}, '') WITHIN GROUP (ORDER BY l_orderkey, l_linenumber, l_quantity)").alias("seq"))
-    cased = F.when(F.col("code") % 3 == 0, F.lower("seq")).otherwise(F.col("seq"))
-    record = lines(say(">chr", F.col("code"), " made up"), F.regexp_replace(cased, "(.{60})", "$1\n"))
-    return text.placed_lines(spark, shared.write_text(bases.select(record)))
+    """Lines of FASTA files, one for each residue of l_partkey, 60 letters to a line, in lower case on every third contig."""
+    rows = rows_of(spark, d, "lineitem").select((F.col("l_partkey") % 22 + 1).alias("code"), "l_orderkey", "l_linenumber", "l_quantity", F.expr(LETTER).alias("letter"))
+    placed = numbering.numbered(rows, ["code"], ["l_orderkey", "l_linenumber", "l_quantity"], "at").withColumn("line", F.expr("(at - 1) div 60 + 1"))
+    sequence = placed.groupBy("code", "line").agg(F.expr("listagg(letter, '') WITHIN GROUP (ORDER BY at)").alias("value"))
+    cased = F.when(F.col("code") % 3 == 0, F.lower("value")).otherwise(F.col("value"))
+    heads = rows.select("code").distinct().select("code", F.lit(0).cast("long").alias("line"), say(">chr", F.col("code"), " made up").alias("value"))
+    records = heads.union(sequence.select("code", "line", cased)).repartition("code").sortWithinPartitions("code", "line")
+    path = shared.new_path(spark)
+    records.select("value", "code").write.partitionBy("code").text(path)
+    return text.placed_lines(spark, path)
 
 
 AUTOSOMES = [f"chr{i}" for i in range(1, 23)]

@@ -150,21 +150,40 @@ def fasta_sequences(lines: DataFrame) -> DataFrame:
     return lines.groupBy("contig").agg(whole.alias("sequence"))
 
 
-def motif_positions(lines: DataFrame, by: str, motif: str) -> DataFrame:
+def motif_positions(lines: DataFrame, by: str, motif: str, chunk: int = 1 << 20) -> DataFrame:
     """(by, pos): 1-based places of a motif in the lines of a sequence, any case, also across line ends.
 
-    lines: by, line and offset, the letters before (as fasta_lines gives), or line_no, from which offsets are summed up.
+    lines: by, line and offset, the letters before (as fasta_lines gives), or line_no, from which offsets are summed up. Lines
+    are taken in runs of about `chunk` letters (or of as many lines as that makes of 256 letters); the letters that a motif
+    may need beyond a run come from a table with a row for each run, so no window holds a whole sequence.
     """
-    order = W.partitionBy(by).orderBy("offset" if "offset" in lines.columns else "line_no")
-    offset = F.col("offset") if "offset" in lines.columns else F.coalesce(F.sum(F.length("line")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    need = len(motif) - 1
+    by_offset = "offset" in lines.columns
+    place = "offset" if by_offset else "line_no"
+    runs = lines.where(F.col("line") != "").select(by, place, "line", F.floor(F.col(place) / (chunk if by_offset else -(-chunk // 256))).alias("run"))
+    order = W.partitionBy(by, "run").orderBy(place)
+    rows = runs.withColumn("at", F.row_number().over(order)).withColumn("inside", F.coalesce(F.sum(F.length("line")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # A line has a letter at least, so a run's first lines, as many as the motif needs letters, hold what the run before may need.
+    first = F.when(F.col("at") <= need, F.struct("at", "line"))
+    heads = rows.groupBy(by, "run").agg(F.array_sort(F.collect_list(first)).alias("first"), F.sum(F.length("line")).alias("held"))
+    along = W.partitionBy(by).orderBy("run")  # a row for each run
+    head = F.substring(F.array_join(F.transform("first", lambda x: x["line"]), ""), 1, need)
+    next_letters = F.concat(F.lit(""), *(F.coalesce(F.lead("head", i).over(along), F.lit("")) for i in range(1, need + 1)))
+    before = F.coalesce(F.sum("held").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    beside = heads.withColumn("head", head).select(by, "run", F.substring(next_letters, 1, need).alias("beyond"), before.alias("before"))
     # A following line may be shorter than the rest of a motif, so as many lines as it has letters are put behind.
-    behind = F.concat(*(F.coalesce(F.lead("line", i).over(order), F.lit("")) for i in range(1, len(motif)))) if len(motif) > 1 else F.lit("")
-    text = F.lower(F.concat("line", F.substring(behind, 1, len(motif) - 1)))
-    # Cut before every match: the pieces' lengths give the places, in one pass over the line.
+    behind = F.concat(F.lit(""), *(F.coalesce(F.lead("line", i).over(order), F.lit("")) for i in range(1, need + 1)))
+    rows = rows.withColumn("behind", behind).join(beside, [by, "run"])
+    offset = F.col("offset") if by_offset else F.col("before") + F.col("inside")
+    behind = F.concat("behind", "beyond")
+    lines = rows
+    text = F.lower(F.concat("line", F.substring(behind, 1, need)))
+    # Cut before every match, also of matches that overlap: a piece starts at one, the first only if the line does. Their
+    # lengths give the places, in one pass over the line.
     pieces = F.split(text, rf"(?=\Q{motif.lower()}\E)")
 
     def step(acc: Column, piece: Column) -> Column:
-        own = F.when(F.startswith(piece, F.lit(motif.lower())), F.array(acc["at"])).otherwise(F.array().cast("array<int>"))
+        own = F.when((acc["at"] > 1) | F.startswith(text, F.lit(motif.lower())), F.array(acc["at"])).otherwise(F.array().cast("array<int>"))
         return F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["found"], own).alias("found"))
 
     zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))

@@ -13,7 +13,7 @@ from locusframe.plans.catalog import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="needs the driver's tables")
-TESTED = {"D6_select_regions", "D19_chi_square_p", "D20_fisher_p", "D31_spearman_p", "D32_rank_tests_p", "D37_batch_shapes_p", "H1_projection", "H5_block_svd", "I4_gated_attention_pool", "I5_query_attention_pool", "K3_region_logistic", "K4_region_trees", "K5_summary_logistic", "K6_fold_loop"}
+TESTED = {"D6_select_regions", "D19_chi_square_p", "D20_fisher_p", "D31_spearman_p", "D32_rank_tests_p", "D37_batch_shapes_p", "H1_projection", "H5_block_svd", "K3_region_logistic", "K4_region_boosting", "K4_region_trees", "K5_summary_logistic", "K6_fold_loop", "K6_region_folds"}
 
 
 def run(spark, name):
@@ -91,19 +91,6 @@ def test_block_svd_equals_numpy(spark):
     assert np.allclose(got, want, atol=1e-6)
 
 
-def test_attention_pools_equal_numpy(spark):
-    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
-    x, group = np.array([r.embedding for r in rows], float), np.array([r.label for r in rows])
-    a = np.arange(1, 1 + 3 * 64).reshape(3, 64)
-    gated = (np.tanh(x @ np.sin(a).T) / (1 + np.exp(-(x @ np.cos(a).T)))) @ np.array([1.0, -0.5, 0.25])
-    asked = x @ np.sin(a).T[:, 0] / math.sqrt(3)
-    for name, score in (("I4_gated_attention_pool", gated), ("I5_query_attention_pool", asked)):
-        for r in run(spark, name).where("dim in (0, 63)").collect():
-            mine = group == r.grp
-            w = np.exp(score[mine] - score[mine].max())
-            assert r.pooled == pytest.approx((w @ x[mine, r.dim]) / w.sum())
-
-
 def softmax_fit(x, y, w, reg):
     """Multinomial logistic regression by Newton's steps: weighted mean loss plus half reg times the squares of standardised coefficients."""
     k, n = y.max() + 1, x.shape[1] + 1
@@ -126,11 +113,8 @@ def softmax_fit(x, y, w, reg):
     return beta_
 
 
-def test_summary_logistic_reaches_the_optimum(spark):
-    summary = beta.sample_summary(registry.observations(spark, DATA)).na.fill(0.0)
-    samples = registry.labelled(spark, DATA).select("sample_id", "label_idx", F.col("official_split").alias("split"))
-    rows = samples.join(summary, "sample_id").collect()
-    x = np.array([[r.mean_beta, r.mean_coverage, r.n_observed, r.var_beta] for r in rows], float)  # in the order of the names
+def expected_probabilities(rows, x):
+    """{sample_id: probabilities} of the test rows (label_idx, split) by a fit on the others with balanced weights."""
     y, fit = np.array([r.label_idx for r in rows]), np.array([r.split != "test" for r in rows])
     size = np.bincount(y[fit])
     w = fit.sum() / (len(size) * size[y[fit]])
@@ -139,12 +123,30 @@ def test_summary_logistic_reaches_the_optimum(spark):
     coefficients = softmax_fit((x[fit] - mean) / std, y[fit], w, 1 / w.sum())
     s = np.hstack([(x - mean) / std, np.ones((len(x), 1))]) @ coefficients.T
     p = np.exp(s) / np.exp(s).sum(axis=1, keepdims=True)
-    want = {r.sample_id: p[i] for i, r in enumerate(rows) if not fit[i]}
-    found = {}
-    for r in run(spark, "K5_summary_logistic").collect():
-        found.setdefault(r.sample_id, {})[r.cls] = r.prob
-    assert set(found) == set(want)
-    assert max(abs(found[i][c] - want[i][c]) for i in want for c in range(5)) < 2e-3
+    return {r.sample_id: p[i] for i, r in enumerate(rows) if not fit[i]}
+
+
+def furthest(found, want):
+    probs = {}
+    for r in found:
+        probs.setdefault(r.sample_id, {})[r.cls] = r.prob
+    assert set(probs) == set(want)
+    return max(abs(probs[i][c] - want[i][c]) for i in want for c in range(5))
+
+
+def test_summary_logistic_reaches_the_optimum(spark):
+    summary = beta.sample_summary(registry.observations(spark, DATA)).na.fill(0.0)
+    samples = registry.labelled(spark, DATA).select("sample_id", "label_idx", F.col("official_split").alias("split"))
+    rows = samples.join(summary, "sample_id").collect()
+    x = np.array([[r.mean_beta, r.mean_coverage, r.n_observed, r.var_beta] for r in rows], float)  # in the order of the names
+    assert furthest(run(spark, "K5_summary_logistic").collect(), expected_probabilities(rows, x)) < 2e-3
+
+
+def test_region_logistic_reaches_the_optimum(spark):
+    features, samples = registry.region_features(spark, DATA)
+    rows = features.join(samples, "sample_id").collect()
+    x = np.array([r.features.toArray() for r in rows])
+    assert furthest(run(spark, "K3_region_logistic").collect(), expected_probabilities(rows, x)) < 5e-3
 
 
 @pytest.mark.parametrize("name", ["K3_region_logistic", "K4_region_trees"])
@@ -165,6 +167,15 @@ def test_fold_loop_predicts_each_sample_in_its_own_fold(spark):
     assert {(r.fold, r.sample_id, r.cls) for r in rows} == {(f, i, c) for i, f in own.items() for c in range(5)} and len(rows) == 5 * len(own)
 
 
+def test_region_folds_predict_each_sample_once_a_seed(spark):
+    rows = run(spark, "K6_region_folds").collect()
+    people = {r.sample_id for r in registry.labelled(spark, DATA).collect()}
+    for seed in (17, 42):
+        own = [(r.sample_id, r.cls) for r in rows if r.seed == seed]
+        assert len(own) == len(set(own)) and set(own) == {(i, c) for i in people for c in range(5)}
+    assert {r.fold for r in rows} == {0, 1, 2} and {(r.seed, r.sample_id): r.fold for r in rows if r.cls == 0} != {}
+
+
 def test_fold_loop_learns_and_never_sees_test_labels(spark):
     rng = np.random.default_rng(2)
     rows = [(i, i, "ab"[i % 2], i % 2, float(i % 2 + rng.normal(0, 0.3))) for i in range(120)]
