@@ -2,24 +2,25 @@
 
 Every vector is projected on many fixed directions. Two vectors collide on a direction if their projections differ by at
 most a window; pairs that collide on enough directions are verified by cosine. Window and count are set so that a pair at
-the threshold is missed with a stated probability. Vectors of one label are sorted by their first projection into blocks
-and these cut into units of a bounded size. A unit meets itself and the earlier units of all blocks within its reach, a run
-of at most RUN units at a time, so no group grows with its label. The reach is wider than a window: the chance that it
-parts a pair is what collision counting leaves of the stated one. In a group every projection is sorted, and a vector's
-windows become ranges of ranks.
+the threshold is missed with a stated probability.
+
+Vectors of a label of twice cell_rows rows or more meet in cells: a cell is the signs of a few other projections, a vector
+lies in one cell of each of several tables, and the tables are so many that a pair shares a cell but for a part of the
+stated chance. Bits follow the logarithm of the label's size, so a vector is sent to as many tables as that asks for, not to
+a share of its label. A pair counts in the first table that it shares a cell of. A dense cell is cut into units of a bounded
+size, and a unit meets itself and the cell's earlier units, a run of at most RUN units at a time. In a group every
+projection is sorted, and a vector's windows become ranges of ranks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, scratch, spread, stored
@@ -27,11 +28,12 @@ from .simhash_dedup import Forest
 
 RUN = 8  # earlier units that a unit meets in one group
 PAIRS = 1 << 20  # candidates that are verified at once
-MISSED = 1e-4  # chance that a pair right at the threshold collides too rarely or is parted by the blocks
+MISSED = 1e-4  # chance that a pair right at the threshold collides too rarely or shares no cell
+MOST_BROADCAST = 100_000  # dense cells
 
 
-def directions(dim: int, count: int) -> np.ndarray:
-    return np.random.default_rng(4).standard_normal((dim, count))
+def directions(dim: int, count: int, seed: int = 4) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((dim, count))
 
 
 def calibrate(threshold: float, count: int, missed: float = MISSED) -> tuple[float, int]:
@@ -51,13 +53,30 @@ def calibrate(threshold: float, count: int, missed: float = MISSED) -> tuple[flo
     return width, need
 
 
-def block_reach(threshold: float, count: int, missed: float = MISSED) -> float:
-    """How far apart a pair's first projections may be: a pair at the threshold is parted or collides too rarely with a chance of `missed`."""
+def cell_bits(rows: int, cell_rows: int) -> int:
+    """Signs that tell the cells of a label apart: its cells would have cell_rows to twice as many rows each, were they equal."""
+    return max(0, (rows // cell_rows).bit_length() - 1)
+
+
+def cell_tables(bits: int, threshold: float, count: int, missed: float = MISSED) -> int:
+    """Tables of cells of so many signs such that a pair at the threshold shares none, or collides too rarely, with a chance of `missed`.
+
+    Two vectors at cosine c lie on the same side of a random plane with a chance of 1 - acos(c) / pi.
+    """
+    if not bits:
+        return 1
     need = calibrate(threshold, count, missed)[1]
     p = math.erf(2.5 / math.sqrt(2))
     rare = sum(math.comb(count, k) * p**k * (1 - p) ** (count - k) for k in range(need))
     left = max(missed - rare, missed / 100)
-    return NormalDist().inv_cdf(1 - left / 2) * math.sqrt(2 - 2 * threshold)
+    same = (1 - math.acos(threshold) / math.pi) ** bits
+    return math.ceil(math.log(left) / math.log(1 - same))
+
+
+def cells(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The cell of each unit vector in each table, as a number of `bits` bits."""
+    signs = (unit @ directions(unit.shape[1], bits * tables, 5) > 0).reshape(len(unit), tables, bits)
+    return (signs << np.arange(bits)).sum(axis=2)
 
 
 def candidate_pairs(proj: np.ndarray, home: np.ndarray, width: float, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -96,7 +115,7 @@ def candidate_pairs(proj: np.ndarray, home: np.ndarray, width: float, need: int)
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, count: int = 16, block_rows: int = 4096) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, count: int = 16, cell_rows: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding, label).
 
     Rows link if their labels are equal and not null, their vectors have the same length and their cosine, in double
@@ -109,7 +128,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, count: int = 16
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(F.expr(valid), F.lit(False)).alias("valid"))
     keyed = rows.withColumn("point", F.when(F.col("valid"), F.xxhash64("label", "embedding")))
     with scratch(vectors.sparkSession) as kept:
-        named, path = _named_points(keyed, threshold, count, block_rows)
+        named, path = _named_points(keyed, threshold, count, cell_rows)
         kept.add(path)
     low = named.groupBy("root").agg(F.min("least").alias("low"))
     info = named.join(low, "root").select("point", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "low")
@@ -118,35 +137,39 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, count: int = 16
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _named_points(keyed: DataFrame, threshold: float, count: int, block_rows: int) -> tuple[DataFrame, str]:
+def _named_points(keyed: DataFrame, threshold: float, count: int, cell_rows: int) -> tuple[DataFrame, str]:
     """(point, n, least, links, root), stored, for every distinct valid vector; and the table's path."""
     width, need = calibrate(threshold, count)
-    reach = block_reach(threshold, count)
     points = keyed.where("valid").groupBy("label", "embedding").agg(F.first("point").alias("point"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
-    points, _ = stored(points)
+    points, _ = stored(points.withColumn("dim", F.size("embedding")))
+    sets = ["label", "dim"]
+    kind = dict(points.dtypes)["label"]
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first = []
-            for v in b.column(2).to_pylist():
-                x = np.array(v)
-                x = x / np.abs(x).max()
-                first.append(float(x @ directions(len(x), 1)[:, 0] / np.linalg.norm(x)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(first)], names=["point", "label", "dim", "first"])
-
-    sets = ["label", "dim"]
-    points = points.withColumn("dim", F.size("embedding"))
-    first, _ = stored(points.select("point", "label", "embedding", "dim").mapInArrow(project, f"point long, label {dict(points.dtypes)['label']}, dim int, first double"))
-    # Blocks of about block_rows by first projection within a label; labels with fewer rows are one block.
-    sized = first.groupBy(*sets).agg(F.count("*").alias("rows"))
-    cuts, _ = stored(_block_edges(first, sized, block_rows))
-    own = F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e <= F.col("first"))).alias("own")
-    homes, _ = stored(first.join(cuts, sets, "left").select("point", *sets, own))
-    units = _units(homes.groupBy(*sets, "own").agg(F.count("*").alias("held")), cuts, block_rows, reach)
-    placed = points.join(homes, ["point", *sets]).join(units, [*sets, "own"]).withColumn("at", F.expr("start + pmod(xxhash64(point), slices)"))
-    meets = f"""concat(transform(sequence(low div {RUN}, at div {RUN}), r -> struct(at as unit, r as run, true as home)),
-        if(at < high, transform(sequence(at + 1, greatest(high, at + 1)), u -> struct(u as unit, at div {RUN} as run, false as home)), array()))"""
-    dealt = placed.select(*sets, F.inline(F.expr(meets)), "point", "n", "embedding")
+            dims = np.asarray(b.column(1))
+            bits = np.array([cell_bits(int(r), cell_rows) for r in np.asarray(b.column(5))], int)
+            found: list[np.ndarray | None] = [None] * b.num_rows
+            for dim, k in set(zip(dims.tolist(), bits.tolist())):
+                own = np.nonzero((dims == dim) & (bits == k))[0]
+                x = np.asarray(b.column(4).take(pa.array(own)).flatten()).reshape(len(own), dim)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                for i, c in zip(own, cells(x / np.linalg.norm(x, axis=1, keepdims=True), k, cell_tables(k, threshold, count))):
+                    found[i] = c.astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(found, pa.list_(pa.int32()))], names=[*sets, "point", "n", "embedding", "cells"])
+
+    sized = points.groupBy(*sets).agg(F.count("*").alias("rows"))
+    wide = points.join(sized, sets).select(*sets, "point", "n", "embedding", "rows")
+    placed, _ = stored(wide.mapInArrow(place, f"label {kind}, dim int, point long, n long, embedding array<double>, cells array<int>"))
+    where = [*sets, "table", "cell"]
+    held = placed.select(*sets, F.posexplode("cells").alias("table", "cell")).groupBy(*where).agg(F.count("*").alias("held"))
+    dense, _ = stored(held.select(*where, F.round(F.col("held") / cell_rows).cast("long").alias("slices")).where("slices > 1"))
+    dense = F.broadcast(dense) if dense.count() <= MOST_BROADCAST else dense
+    copies = placed.select(*sets, F.posexplode("cells").alias("table", "cell"), "point", "n", "embedding", "cells").join(dense, where, "left")
+    own = copies.withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("at", F.expr("pmod(xxhash64(point), slices)"))
+    meets = f"""concat(transform(sequence(0, at div {RUN}), r -> struct(at as unit, r as run, true as home)),
+        if(at + 1 < slices, transform(sequence(at + 1, greatest(slices - 1, at + 1)), u -> struct(u as unit, at div {RUN} as run, false as home)), array()))"""
+    dealt = own.select(*where, F.inline(F.expr(meets)), "point", "n", "embedding", "cells")
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["point"], ignore_index=True)
@@ -154,7 +177,8 @@ def _named_points(keyed: DataFrame, threshold: float, count: int, block_rows: in
         x /= np.abs(x).max(axis=1, keepdims=True)
         squares = (x * x).sum(axis=1)
         unit = x / np.sqrt(squares)[:, None]
-        home, n = part.home.to_numpy(), part.n.to_numpy()
+        home, n, table = part.home.to_numpy(), part.n.to_numpy(), int(part.table[0])
+        earlier = np.stack(part.cells.to_numpy())[:, :table]
         among = part.unit[0] // RUN == part.run[0]  # a unit's own pairs count in one of its groups
         links, forest = np.zeros(len(x), np.int64), Forest(len(x))
         for i, j in candidate_pairs(unit @ directions(x.shape[1], count), home, width, need):
@@ -165,50 +189,17 @@ def _named_points(keyed: DataFrame, threshold: float, count: int, block_rows: in
                 a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
                 cos = np.einsum("ij,ij->i", x[a], x[b]) / np.sqrt(squares[a] * squares[b])
                 a, b = a[cos >= threshold], b[cos >= threshold]
+                fresh = ~(earlier[a] == earlier[b]).any(axis=1)  # else the pair was met in an earlier table
+                a, b = a[fresh], b[fresh]
                 np.add.at(links, a, n[b])
                 np.add.at(links, b, n[a])
                 forest.join(a, b)
         out = pd.DataFrame({"point": part.point, "links": links, "root": part.point.to_numpy()[forest.parent]})
         return out[(out.links > 0) | (out.root != out.point)]
 
-    groups = [*sets, "unit", "run"]
+    groups = [*where, "unit", "run"]
     found, _ = stored(spread(dealt, *groups).groupBy(*groups).applyInPandas(link, "point long, links long, root long"))
     counted = found.groupBy("point").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("point").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "point")
     named = points.select("point", "n", "least").join(counted, "point", "left").join(roots, "point", "left").withColumn("root", F.coalesce("root", "point"))
     return stored(named)
-
-
-def _block_edges(first: DataFrame, sized: DataFrame, block_rows: int) -> DataFrame:
-    """(label, dim, edges): for labels with more than block_rows points, first projections that cut them into blocks of about so many.
-
-    A histogram of the projections (unit vectors, so within a few units of zero) finds the edges; a bin holds whole ties. A
-    block reaches from an edge, included, to the next, and holds at least a bin.
-    """
-    sets = ["label", "dim"]
-    bins = first.groupBy(*sets, F.floor(F.col("first") * 256).alias("bin")).agg(F.count("*").alias("held"))
-    up_to = F.sum("held").over(W.partitionBy(*sets).orderBy("bin"))
-    steps = bins.withColumn("up_to", up_to).join(sized, sets).where(F.col("rows") > block_rows)
-    crossed = steps.where(F.expr(f"up_to div {block_rows} > (up_to - held) div {block_rows}")).where("up_to < rows")
-    return crossed.groupBy(*sets).agg(F.sort_array(F.collect_list((F.col("bin") + 1) / 256)).alias("edges"))
-
-
-def _units(blocks: DataFrame, cuts: DataFrame, block_rows: int, reach: float) -> DataFrame:
-    """(label, dim, own, start, slices, low, high) for each block `own` of blocks (label, dim, own, held): its units are the
-    `slices` from `start` on, and those of all blocks within reach are `low` to `high`.
-
-    Bins of a dense label hold more than block_rows points; slices keep a unit at one and a half times that or fewer.
-    """
-    sets = ["label", "dim"]
-    slices = F.greatest(F.round(F.col("held") / block_rows), F.lit(1)).cast("long")
-    order = W.partitionBy(*sets).orderBy("own")
-    numbered, _ = stored(blocks.withColumn("slices", slices).withColumn("start", F.sum("slices").over(order) - F.col("slices")))
-    below, above = (F.get("edges", F.col("own") + i) for i in (-1, 0))
-    near = numbered.join(cuts, sets, "left").select(
-        *sets, "own", "start", "slices",
-        F.coalesce(F.size(F.filter("edges", lambda e: e < below - reach)), F.lit(0)).alias("least"),
-        F.when(above.isNull(), F.col("own")).otherwise(F.size(F.filter("edges", lambda e: e <= above + reach))).alias("most"),
-    )
-    lows = numbered.select(*sets, F.col("own").alias("least"), F.col("start").alias("low"))
-    highs = numbered.select(*sets, F.col("own").alias("most"), (F.col("start") + F.col("slices") - 1).alias("high"))
-    return near.join(lows, [*sets, "least"]).join(highs, [*sets, "most"]).drop("least", "most")

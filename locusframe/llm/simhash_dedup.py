@@ -1,9 +1,10 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked within a few bits through vantage-point trees.
 
-Distinct fingerprints are routed through a vantage-point tree built on a sample that grows with the wanted leaves. A
-fingerprint has one home leaf and is also sent to later leaves whose ball or shell it may touch (triangle inequality), so
-each leaf finds all its pairs without seeing another. Inside a leaf the same bounds prune a second, local tree down to
-small exact comparisons.
+Distinct fingerprints are routed through a vantage-point tree shaped by a sample of a fixed size. A fingerprint has one home
+leaf and is also sent to later leaves whose ball or shell it may touch (triangle inequality), so each leaf finds all its
+pairs without seeing another. Where one tree cannot make leaves small enough, each leaf is split by a tree of its own,
+built in a task from its own sample, and so on. Inside a last leaf the same bounds prune a local tree down to small exact
+comparisons.
 
 Two bits of 64 are far less than texts of similarity 0.8 differ by, and a tree sends each fingerprint to nearly all leaves
 at the radius that they need. `near_copies` therefore shards fingerprints of distinct words by shared blocks of bits, which
@@ -20,13 +21,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, scratch, spread, stored
 
 SMALL = 96  # a node of so few home points is compared directly
 PER_LEAF = 8  # sampled fingerprints that shape a leaf
+SAMPLED = 1 << 16  # sampled fingerprints that shape a tree
+SLICE = 1 << 20  # fingerprints of a leaf that are routed through its tree at once
 MOST_BROADCAST = 2_000_000  # doc_ids; more of them are joined by a shuffle
 SHARD_ROWS = 8192  # near copies: rows of a shard that are compared with each other in one group
 SHARD = ["table", "shard", "low", "high"]
@@ -89,10 +92,22 @@ def _split(d: np.ndarray) -> int | None:
 class Tree:
     """Vantage points and radii; a child >= 0 is a node and a child < 0 is leaf ~child. Node 0 is the root; no nodes: one leaf."""
 
-    def __init__(self, nodes: list[tuple[int, int, int, int]]):
+    KINDS = {"vantage": np.uint64, "radius": np.int16, "inside": np.int32, "outside": np.int32}
+
+    def __init__(self, vantage: np.ndarray, radius: np.ndarray, inside: np.ndarray, outside: np.ndarray):
+        self.vantage, self.radius, self.inside, self.outside = vantage, radius, inside, outside
+
+    @classmethod
+    def of(cls, nodes: list[tuple[int, int, int, int]]) -> Tree:
         columns = zip(*nodes) if nodes else ([],) * 4
-        kinds = (np.uint64, np.int16, np.int32, np.int32)
-        self.vantage, self.radius, self.inside, self.outside = (np.array(c, k) for c, k in zip(columns, kinds, strict=True))
+        return cls(*(np.array(c, k) for c, k in zip(columns, cls.KINDS.values(), strict=True)))
+
+    def packed(self) -> dict[str, bytes]:
+        return {k: getattr(self, k).tobytes() for k in self.KINDS}
+
+    @classmethod
+    def unpacked(cls, row: dict[str, bytes]) -> Tree:
+        return cls(*(np.frombuffer(row[k], kind) for k, kind in cls.KINDS.items()))
 
 
 def build_tree(points: np.ndarray, leaf: int) -> Tree:
@@ -117,28 +132,34 @@ def build_tree(points: np.ndarray, leaf: int) -> Tree:
         return at
 
     grow(points)
-    return Tree(nodes)
+    return Tree.of(nodes)
+
 
+def route(tree: Tree, fp: np.ndarray, radius: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into fp, leaf, is home) of each fingerprint's home leaf and of the later leaves within radius of it.
 
-def route(tree: Tree, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index into fp, leaf, is home) of each fingerprint's home leaf and of the later leaves within radius of it."""
+    own: which of them have their home in this tree (None: all). The others have it before, and go to all leaves within radius.
+    """
+    own = np.ones(len(fp), bool) if own is None else own
     if not len(tree.vantage):
-        return np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
+        return np.arange(len(fp)), np.zeros(len(fp), np.int64), own
     idx, leaf, home = [], [], []
-    todo = [(0, np.arange(len(fp)), np.ones(len(fp), bool))]
+    todo = [(0, np.arange(len(fp)), own)]
     while todo:
-        at, own, mine = todo.pop()
-        if not len(own):
+        at, part, mine = todo.pop()
+        if not len(part):
             continue
         if at < 0:
-            idx.append(own), leaf.append(np.full(len(own), ~at)), home.append(mine)
+            idx.append(part), leaf.append(np.full(len(part), ~at)), home.append(mine)
             continue
         mu = int(tree.radius[at])
-        d = np.bitwise_count(fp[own] ^ tree.vantage[at]).astype(np.int64)
+        d = np.bitwise_count(fp[part] ^ tree.vantage[at]).astype(np.int64)
         near, far = d <= mu + radius, d > mu - radius
-        todo += [(int(tree.inside[at]), own[near], mine[near] & (d[near] <= mu)), (int(tree.outside[at]), own[far], mine[far] & (d[far] > mu))]
+        todo += [(int(tree.inside[at]), part[near], mine[near] & (d[near] <= mu)), (int(tree.outside[at]), part[far], mine[far] & (d[far] > mu))]
+    if not idx:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     idx, leaf, home = (np.concatenate(x) for x in (idx, leaf, home))
-    first = np.zeros(len(fp), np.int64)
+    first = np.full(len(fp), -1, np.int64)
     first[idx[home]] = leaf[home]
     keep = home | (leaf > first[idx])
     return idx[keep], leaf[keep], home[keep]
@@ -213,26 +234,71 @@ def link(fp: np.ndarray, home: np.ndarray, radius: int, among: np.ndarray | None
     return forest.parent
 
 
-def fingerprint_groups(fps: DataFrame, radius: int = 2, leaf_rows: int = 2048) -> DataFrame:
+def levels(rows: int, leaf_rows: int, fan: int) -> int:
+    """How many trees of `fan` leaves, one below another, make leaves of about leaf_rows."""
+    found, reach = 1, leaf_rows * fan
+    while reach < rows:
+        found, reach = found + 1, reach * fan
+    return found
+
+
+def sampled_tree(points: np.ndarray) -> Tree:
+    return build_tree(np.random.default_rng(10).permutation(np.sort(points)), PER_LEAF)  # vantages are tried by place
+
+
+def _place(rows: int) -> Column:
+    """A number under rows that follows from the fingerprint, and is another than what its part was chosen by."""
+    return F.pmod(F.xxhash64("fp"), F.lit(rows))
+
+
+def _split_parts(parts: DataFrame, radius: int, leaf_rows: int, fan: int) -> DataFrame:
+    """parts (part, fp, home) with every part cut into up to `fan` by a tree of its own.
+
+    A tree is built in one task from about PER_LEAF sampled fingerprints a leaf, at most about PER_LEAF * fan, and goes to
+    every slice of its part, so that no task holds more than a slice.
+    """
+    sizes = parts.groupBy("part").agg(F.count("*").alias("rows"), F.count_if("home").alias("homes"))
+    wanted = F.least(F.lit(fan), F.ceil(F.col("rows") / leaf_rows))
+    sized, _ = stored(sizes.select("part", (wanted * PER_LEAF / F.col("homes") * (1 << 30)).cast("long").alias("cut"), F.ceil(F.col("rows") / SLICE).cast("int").alias("slices")))
+    kinds = ", ".join(f"{k} binary" for k in Tree.KINDS)
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"part": part.part[0], **sampled_tree(part.fp.to_numpy().view(np.uint64)).packed()}])
+
+    def deal(part: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        fp = part.fp.to_numpy()
+        own = Tree.unpacked(tree.iloc[0].to_dict()) if len(tree) else Tree.of([])
+        idx, leaf, home = route(own, fp.view(np.uint64), radius, part.home.to_numpy())
+        return pd.DataFrame({"part": part.part.to_numpy()[idx] * fan + leaf, "fp": fp[idx], "home": home})
+
+    joined = parts.join(sized, "part")
+    sample = joined.where("home").where(_place(1 << 30) < F.col("cut")).select("part", "fp")
+    trees = spread(sample, "part").groupBy("part").applyInPandas(build, f"part long, {kinds}")
+    trees = trees.join(sized.select("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")), "part")
+    sliced = joined.select("part", F.expr("cast(pmod(xxhash64(fp, 1), slices) as int)").alias("slice"), "fp", "home")
+    return sliced.groupBy("part", "slice").cogroup(trees.groupBy("part", "slice")).applyInPandas(deal, "part long, fp long, home boolean")
+
+
+def fingerprint_groups(fps: DataFrame, radius: int = 2, leaf_rows: int = 2048, sampled: int = SAMPLED) -> DataFrame:
     """(fp, root) for every distinct fp that links, directly or not, with a different one at radius or fewer bits.
 
-    fps: one row per distinct fp. The tree has a leaf for about every leaf_rows of them, whatever their number, shaped by
-    PER_LEAF sampled ones a leaf: at 1e9 fingerprints 31 MB of samples on the driver and 9 MB of tree in each worker, at 4e10
-    1.2 GB and 350 MB. Leaves report a spanning forest of their links, never all pairs of a group.
+    fps: one row per distinct fp. The first tree is built on the driver from at most about `sampled` of them, and broadcast
+    (150 kB at most); it has up to sampled / PER_LEAF leaves. From about leaf_rows times as many fingerprints on (17 million),
+    each leaf is split again by a tree of the same bounds, built in a task. Leaves report a spanning forest of their links,
+    never all pairs of a group.
     """
-    spark = fps.sparkSession
-    leaves = max(1, -(-fps.count() // leaf_rows))
-    cut = PER_LEAF / leaf_rows
-    sampled = fps.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(cut * (1 << 30)))
-    taken = sampled.orderBy("fp").toArrow().column(0).to_numpy() if leaves > 1 else np.zeros(0, np.int64)
-    taken = np.random.default_rng(10).permutation(taken)  # vantages are tried by place
-    tree = spark.sparkContext.broadcast(build_tree(taken.view(np.uint64), PER_LEAF))
+    spark, rows, fan = fps.sparkSession, fps.count(), max(2, sampled // PER_LEAF)
+    depth = levels(rows, leaf_rows, fan)
+    leaves = max(1, min(fan, -(-rows // leaf_rows)))
+    picked = fps.select("fp").where(_place(1 << 30) < int(min(1.0, leaves * PER_LEAF / max(1, rows)) * (1 << 30)))
+    taken = picked.toArrow().column(0).to_numpy() if leaves > 1 else np.zeros(0, np.int64)
+    tree = spark.sparkContext.broadcast(sampled_tree(taken.view(np.uint64)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy()
             idx, leaf, home = route(tree.value, fp.view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(fp[idx]), pa.array(home)], names=["leaf", "fp", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(fp[idx]), pa.array(home)], names=["part", "fp", "home"])
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("fp", ignore_index=True)
@@ -241,8 +307,10 @@ def fingerprint_groups(fps: DataFrame, radius: int = 2, leaf_rows: int = 2048) -
         linked = root != np.arange(len(fp))
         return pd.DataFrame({"a": fp[linked], "b": fp[root[linked]]})
 
-    dealt = fps.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean")
-    edges = spread(dealt, "leaf").groupBy("leaf").applyInPandas(pairs, "a long, b long")
+    dealt = fps.select("fp").mapInArrow(deal, "part long, fp long, home boolean")
+    for _ in range(depth - 1):
+        dealt, _path = stored(_split_parts(stored(dealt)[0], radius, leaf_rows, fan))
+    edges = spread(dealt, "part").groupBy("part").applyInPandas(pairs, "a long, b long")
     return components(edges).select(F.col("node").alias("fp"), "root")
 
 

@@ -187,7 +187,7 @@ def test_embedding_dedup_matches_brute_force(spark):
     rows += [(200 + i, base[0].tolist(), 0) for i in range(5)] + [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, base[0].tolist(), None), (304, [None] * 16, 1), (305, [], 1), (306, base[0].tolist()[:8], 0), (307, [float("inf")] + [1.0] * 15, 1)]
     rows += [rows[0], (None, base[1].tolist(), 1)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, label int, kept string")
-    found = embedding_dedup.embedding_dedup(df, block_rows=32)
+    found = embedding_dedup.embedding_dedup(df, cell_rows=32)
     assert found.count() == len(rows)
 
     def usable(v, label):
@@ -227,11 +227,40 @@ def test_embedding_dedup_links_pairs_across_blocks(spark):
     cos = rng.uniform(0.9301, 0.94, (1500, 1))
     both = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * b])
     df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(both)], "vec_id long, embedding array<double>, label int")
-    found = embedding_dedup.embedding_dedup(df, block_rows=64).orderBy("vec_id").toPandas()
+    found = embedding_dedup.embedding_dedup(df, cell_rows=64).orderBy("vec_id").toPandas()
     assert (found.n_links == 1).sum() == 3000
     assert (found.component_id == found.vec_id % 1500).all()
 
 
+@pytest.mark.parametrize("cell_rows", [150, 4096])
+def test_embedding_pairs_at_the_threshold_share_a_cell(spark, cell_rows):
+    """2,500 pairs between 0.930 and 0.935: of one label, in cells of several bits or in one."""
+    rng = np.random.default_rng(21)
+    a = rng.standard_normal((2500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((2500, 64))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.uniform(0.930001, 0.935, (2500, 1))
+    both = np.concatenate([a, c * a + np.sqrt(1 - c * c) * b])
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(both)], "vec_id long, embedding array<double>, label int").repartition(4)
+    bits = embedding_dedup.cell_bits(5000, cell_rows)
+    assert bits == (5 if cell_rows == 150 else 0) and embedding_dedup.cell_tables(bits, 0.93, 16) == (13 if bits else 1)
+    found = embedding_dedup.embedding_dedup(df, cell_rows=cell_rows).toPandas()
+    assert (found.n_links != 1).sum() <= 2 and (found.n_links > 1).sum() == 0  # a chance of 1e-4 for each of 2,500 pairs
+
+
+def test_cells_of_a_label_follow_its_size():
+    assert [embedding_dedup.cell_bits(n, 4096) for n in (1, 8191, 8192, 17_000_000)] == [0, 0, 1, 12]
+    copies = [embedding_dedup.cell_tables(k, 0.93, 16) for k in range(13)]
+    assert copies[0] == 1 and copies == sorted(copies) and copies[12] < 45
+    rng = np.random.default_rng(22)
+    unit = rng.standard_normal((5, 8))
+    got = embedding_dedup.cells(unit, 3, 4)
+    signs = unit @ embedding_dedup.directions(8, 12, 5) > 0
+    assert got.shape == (5, 4) and all(got[i, t] == sum(int(signs[i, 3 * t + k]) << k for k in range(3)) for i in range(5) for t in range(4))
+
+
 def test_embedding_dedup_groups_do_not_grow_with_their_label(spark, monkeypatch, tmp_path):
     plain, log = embedding_dedup.candidate_pairs, str(tmp_path / "groups")
 
@@ -244,7 +273,7 @@ def test_embedding_dedup_groups_do_not_grow_with_their_label(spark, monkeypatch,
     x = np.random.default_rng(6).standard_normal((1000, 64))
     x = np.concatenate([x, x + 1e-3, x - 1e-3])
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    found = embedding_dedup.embedding_dedup(df, block_rows=32).toPandas()
+    found = embedding_dedup.embedding_dedup(df, cell_rows=32).toPandas()
     assert (found.n_links == 2).all() and found.component_id.nunique() == 1000
     seen = np.loadtxt(log, dtype=int)
     assert len(seen) > 100
@@ -509,6 +538,43 @@ def test_block_tables_lose_no_pair():
     assert [len(simhash_dedup._tables(n, 6)) for n in (10, 10**7, 10**9)] == [7, 28, 84]
 
 
+def test_trees_below_trees_find_every_pair(spark, monkeypatch):
+    """Eight leaves a tree: 1e6 rows to a leaf of one would be seven trees deep; here four."""
+    assert simhash_dedup.levels(10**6, 1, 8) == 7 and simhash_dedup.levels(16_000_000, 2048, 8192) == 1 and simhash_dedup.levels(10**12, 2048, 8192) == 3
+    seen = []
+    plain = simhash_dedup.build_tree
+    monkeypatch.setattr(simhash_dedup, "build_tree", lambda points, leaf: seen.append(len(points)) or plain(points, leaf))
+    monkeypatch.setattr(simhash_dedup, "SLICE", 100)
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 63, 2500, dtype=np.uint64)
+    near = [base[:600] ^ np.uint64(1 << 9), base[300:900] ^ np.uint64(5 << 33), base[:200] ^ np.uint64(7 << 50), np.arange(300, dtype=np.uint64) << np.uint64(3)]
+    fp = np.unique(np.concatenate([base, *near])).view(np.int64)
+    rows = spark.createDataFrame([(int(x),) for x in fp], "fp long")
+    assert simhash_dedup.levels(len(fp), 4, 8) == 4
+    found = {r.fp: r.root for r in simhash_dedup.fingerprint_groups(rows, leaf_rows=4, sampled=64).collect()}
+    assert max(seen) < 2 * 64  # the driver's sample keeps to its bound, whatever the leaves wanted
+    u = fp.view(np.uint64)
+    forest = simhash_dedup.Forest(len(u))
+    forest.join(*np.nonzero(np.bitwise_count(u[:, None] ^ u[None, :]) <= 2))
+    want = {int(x): int(fp[r]) for x, r in zip(fp, forest.parent)}
+    groups = lambda d: {frozenset(k for k in d if d[k] == v) for v in set(d.values())}
+    assert groups({k: found.get(k, k) for k in want}) == groups(want)
+
+
+def test_routes_of_guests_reach_every_leaf_near_them():
+    rng = np.random.default_rng(13)
+    fp = rng.integers(0, 1 << 20, 2000, dtype=np.uint64)
+    tree = simhash_dedup.build_tree(fp[:400], 8)
+    again = simhash_dedup.Tree.unpacked(tree.packed())
+    own = np.arange(2000) < 1000
+    idx, leaf, home = simhash_dedup.route(again, fp, 2, own)
+    assert (np.bincount(idx[home], minlength=2000) == own).all()
+    at = {(i, x) for i, x in zip(idx.tolist(), leaf.tolist())}
+    first = {i: x for i, x, h in zip(idx.tolist(), leaf.tolist(), home) if h}
+    for i, j in zip(*np.nonzero(np.bitwise_count(fp[:1000, None] ^ fp[None, 1000:]) <= 2)):
+        assert (j + 1000, first[i]) in at  # a guest meets every home point where that lives
+
+
 def test_trees_grow_with_the_wanted_leaves():
     points = np.random.default_rng(3).integers(0, 1 << 63, 200_000, dtype=np.uint64)
     tree = simhash_dedup.build_tree(points, 8)
