@@ -2,7 +2,9 @@
 
 Each task gathers the distinct pieces of its texts. An inverted index leads from a merge rank to the positions of its pair;
 ranks are taken in order, all positions of a rank are merged together, and only the pairs beside a merged one are looked
-up again and put into the index. A piece is replayed once for a task, however often its texts hold it.
+up again and put into the index. A piece is replayed once for a task, however often its texts hold it. One table of pieces
+for the whole corpus would have to meet the texts again, which costs more shuffle than this operator may use; the README has
+the figures.
 """
 
 from __future__ import annotations
@@ -185,7 +187,8 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids:
 
     A text is split by pattern, each match is encoded by itself from the ranks, no special tokens exist, and the ids are
     decoded again. ids_sha256 is over the decimal ids joined by a space; decoded_sha256 over the decoded bytes. A null text
-    is an empty one: no tokens, hashes of nothing. Repeated rows stay repeated; other columns are ignored.
+    is an empty one: no tokens, hashes of nothing. Repeated rows stay repeated, an empty table gives an empty result; other
+    columns are ignored.
     """
     merges = docs.sparkSession.sparkContext.broadcast(Merges(ranks))
 

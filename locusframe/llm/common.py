@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -11,6 +10,8 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 _open: ContextVar[list[str] | None] = ContextVar("tables of the scratch() around", default=None)
 
@@ -19,17 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; unset, a temporary folder, which only a local master may use."""
-    sc = spark.sparkContext
-    if found := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
-        return found.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """df written to a table in the shared folder and read again: its lineage ends there. Also the table's path."""
     spark = df.sparkSession

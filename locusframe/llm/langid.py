@@ -133,7 +133,8 @@ def identify(docs: DataFrame, most: int = 400, family_of: Mapping[str, str] = FA
     Learns from at most `most` rows of each language outside the held-out fold. `und` with score 0 for a null text, one
     without a letter, and for all if nothing was learned. The score is the family's chance times the language's. Rows
     without doc_id are predicted but not learned from; repeated rows stay repeated; other columns are ignored. A text of any
-    length counts as a whole; languages that win equally often are told apart by their margins, then by name.
+    length counts as a whole; languages that win equally often are told apart by their margins, then by name. An empty table
+    gives an empty result.
     """
     sample, _ = stored(training_sample(docs, most))
     model = docs.sparkSession.sparkContext.broadcast(fit(sample, family_of))

@@ -152,7 +152,8 @@ def license_scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     A licence file (LICENSE, LICENCE, COPYING or NOTICE, any case, any suffix) with a licence of its own lends it to its
     directory; of several, the highest cosine and then the first name counts. Of a file's equal cosines the first name counts
     too. Texts of any length are scored line by line and block by block. Paths are split at slashes; the root is the empty
-    directory. A null path lies in no directory and inherits nothing. Repeated rows stay repeated.
+    directory. A null path lies in no directory and inherits nothing. Repeated rows stay repeated. An empty
+    table gives an empty result.
     """
     files = files.select("doc_id", "path", "text")
     n, held = document_frequencies(files, sorted({t for text in (*templates.values(), *(x for _, x in FULL_TEXTS)) for t in terms(text)}))

@@ -73,7 +73,7 @@ def quality_rules(docs: DataFrame, weights: DataFrame, buckets: int = 1 << 16, m
     base_failed: under 50 words, or over half of them in repeated 3-word windows. kept: not base_failed and score >= min_score.
     A null or empty text has no words and fails. Rows are judged one by one, so repeated rows and nulls in other columns
     change nothing; an existing column of that name is replaced. weights holds at most `buckets` rows and goes to the plan as
-    one constant array. No row is shuffled.
+    one constant array. No row is shuffled. An empty table gives an empty result.
     """
     found = dict(weights.collect())
     table = F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(buckets))), ",").cast("array<int>")
@@ -98,7 +98,7 @@ def quality_rules(docs: DataFrame, weights: DataFrame, buckets: int = 1 << 16, m
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeated(w, t, s).cast("long").alias("n_repeat_words"),
-        F.when(F.size(w) > 0, (single + double) / (SCALE * (2 * F.size(w) - 1))).alias("score"),
+        F.when(F.size(w) > 0, (single + double) / (SCALE * (2 * F.size(w).cast("long") - 1))).alias("score"),
     )
 
     def judge(m: Column) -> Column:

@@ -173,7 +173,8 @@ def token_counts(docs: DataFrame, spec: dict, limit: int = 2048) -> DataFrame:
 
     n_tokens: tokens of the whole text, without begin, end or added special tokens; a special string inside a text is one
     token. pieces_in_limit: how many leading pieces between spaces of the normalized text hold at most limit tokens, from
-    the same prefix counts. A null text is an empty one. Repeated rows stay repeated; other columns are ignored.
+    the same prefix counts. A null text is an empty one. Repeated rows stay repeated, an empty table gives an
+    empty result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 

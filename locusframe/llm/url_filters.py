@@ -44,7 +44,7 @@ def url_verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     A capture is blocked if an entry for its host or a parent domain is active on the day of fetching; categories are those
     entries' distinct categories, sorted and joined by commas. No host, a null url or a null day: not blocked. Every
     distinct host and day is looked up once, so a host with many captures costs no more; rows are never multiplied.
-    Existing columns of those names are replaced.
+    Existing columns of those names are replaced. Empty captures give an empty result, and without entries nothing is blocked.
     """
     own = captures.drop("host", "n_active", "categories", "blocked").withColumn("host", host(F.col("url")))
     seen = own.select("host", "fetched_on").where("host <> '' and fetched_on is not null").distinct()
