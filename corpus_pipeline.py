@@ -10,23 +10,28 @@ from locusframe.llm.common import remove, scratch, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the log-likelihood ratio; null and empty texts fail them. Repeated rows stay repeated. An empty table gives an empty result."""
     weights = quality.ngram_weights(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
     return quality.quality_rules(docs, weights, name="__quality").where("__quality.kept").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies, that of the smallest doc_id; rows without doc_id stay. An empty table gives an empty result."""
     return simhash_dedup.drop_near_copies(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret in their texts replaced by a mask; null texts stay null. An empty table gives an empty result."""
     return secret_scan.mask_secrets(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn to the domains', languages' and sources' weights; one may come twice. An empty table gives an empty result."""
     return mixing.mix_documents(docs, percent=90, epochs=2)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and digests of every document; a null text is an empty one. An empty table gives an empty result."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.bpe_encode(docs, ranks, public_tokenizers.PATTERN)
 
