@@ -35,9 +35,9 @@ def softmax_pool(rows: DataFrame, group: str) -> DataFrame:
 
 def pool_weights(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows with `weight`: the softmax of score within by, so that a group's weights add up to one. With a head in by, each head has its own."""
-    own = W.partitionBy(*by)
-    shifted = rows.withColumn("e", F.exp(F.col("score") - F.max("score").over(own)))
-    return shifted.withColumn("weight", F.col("e") / F.sum("e").over(own)).drop("e")
+    shifted = _shifted(rows, by).drop("m")
+    whole = shifted.groupBy(*by).agg(F.sum("e").alias("__whole"))
+    return shifted.join(whole, by).withColumn("weight", F.col("e") / F.col("__whole")).select(*rows.columns, "weight")
 
 
 def pool_parts(rows: DataFrame, group: str, part: str) -> DataFrame:
