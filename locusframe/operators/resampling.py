@@ -22,6 +22,11 @@ DRAWN = 64  # replicates of a class that are drawn together
 NAMES = ("accuracy", "balanced_accuracy", "macro_f1", "macro_auroc")
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over all partitions: few bytes are much work here, so they are not merged by their size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _placed(people: DataFrame) -> DataFrame:
     """people (y, sample_id) with `at`, the place in the class from 0, and the class's size n."""
     sizes = people.groupBy("y").agg(F.count("*").alias("n"))
@@ -52,13 +57,13 @@ def bootstrap_weights(people: DataFrame, first: int, last: int, seed: int) -> Da
         w = np.bincount((drawn * columns + np.arange(columns)).ravel(), minlength=n * columns).reshape(n, columns)
         return pd.DataFrame({"sample_id": part.sample_id, "part": part.low, "w": list(w.astype(np.int16))})
 
-    return slots.select("y", "low", "at", "sample_id", draws.alias("draws")).groupBy("y", "low").applyInPandas(tally, f"sample_id {kind}, part int, w array<short>")
+    return _dealt(slots, "y", "low").select("y", "low", "at", "sample_id", draws.alias("draws")).groupBy("y", "low").applyInPandas(tally, f"sample_id {kind}, part int, w array<short>")
 
 
 def swap_weights(people: DataFrame, first: int, last: int, seed: int) -> DataFrame:
     """(sample_id, part, w): whether each of the replicates first to last swaps the arms of a sample."""
     bits = F.transform(F.sequence(F.lit(first), F.lit(last - 1)), lambda r: (draw(seed, r, F.col("sample_id")) % 2).cast("short"))
-    return people.select("sample_id", F.lit(0).alias("part"), bits.alias("w"))
+    return _dealt(people, "sample_id").select("sample_id", F.lit(0).alias("part"), bits.alias("w"))
 
 
 def _matrix(weights: DataFrame) -> tuple[pd.Index, np.ndarray]:
@@ -133,7 +138,7 @@ def _replicates(pred: DataFrame, top: DataFrame, a: str, classes: int, weights:
 
     keys = ["rep", "arm", "cls"]
     mine = (F.col("arm") == a).alias("mine")
-    counted = top.select("sample_id", mine, F.col("y").cast("int").alias("y"), F.col("label").cast("int").alias("label")).mapInArrow(tallies, "arm int, cls int, rep int, support double, predicted double, hits double")
+    counted = _dealt(top, "sample_id").select("sample_id", mine, F.col("y").cast("int").alias("y"), F.col("label").cast("int").alias("label")).mapInArrow(tallies, "arm int, cls int, rep int, support double, predicted double, hits double")
     per = counted.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("support", "predicted", "hits")))
     f1 = F.coalesce(F.try_divide(2 * F.col("hits"), F.col("support") + F.col("predicted")), F.lit(0.0))
     named = per.groupBy("rep", "arm").agg((F.sum("hits") / F.sum("support")).alias("accuracy"), F.avg(F.try_divide("hits", "support")).alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"))
