@@ -70,16 +70,18 @@ def enumerated(model, text):
     return total, start / total, moves / total, emit / total
 
 
+@pytest.mark.parametrize("segment", [1, 2, 3, 4096])
 @pytest.mark.parametrize("window", [3, 1 << 18])
-def test_recursions_equal_enumeration(monkeypatch, window):
+def test_recursions_equal_enumeration(monkeypatch, window, segment):
     monkeypatch.setattr(hidden_markov, "WINDOW", window)
+    monkeypatch.setattr(hidden_markov, "SEGMENT", segment)
     texts = [RNG.integers(0, 7, n).astype(np.int32) for n in (1, 5, 3, 6, 1, 4)]
     wanted = [enumerated(MODEL, t) for t in texts]
     lengths = np.array([len(t) for t in texts])
     counts, found = hidden_markov.Counts(7, 3), np.zeros(6)
-    for place, steps in hidden_markov.side_by_side(np.concatenate(texts), lengths):
-        found[place] = hidden_markov.log_likelihood(MODEL, steps)
-        counts.add(MODEL, steps)
+    for place, steps, inside in hidden_markov.side_by_side(MODEL, np.concatenate(texts), lengths):
+        np.add.at(found, place, hidden_markov.log_likelihood(MODEL, steps, inside))
+        counts.add(MODEL, steps, inside)
     assert np.allclose(found, [math.log10(w[0]) for w in wanted]) and np.isclose(counts.total, found.sum())
     for got, at in ((counts.start, 1), (counts.moves * MODEL.moves, 2), (counts.emit, 3)):
         assert np.allclose(got, sum(w[at] for w in wanted))
@@ -94,7 +96,11 @@ def test_a_long_text_is_scored_as_a_whole(monkeypatch):
         total += math.log10(state.sum())
         state = state / state.sum()
     assert np.isclose(whole[0], total)
+    monkeypatch.setattr(hidden_markov, "SEGMENT", 70)
+    steps, inside = hidden_markov.segmented(MODEL, text)
+    assert len(steps.order) == 43 and np.isclose(hidden_markov.log_likelihood(MODEL, steps, inside).sum(), total)
     monkeypatch.setattr(hidden_markov, "WINDOW", 100)
+    assert np.isclose(hidden_markov.log_likelihood(MODEL, steps, inside).sum(), total)
     assert np.isclose(hidden_markov.log_likelihood(MODEL, hidden_markov.Steps(text, np.array([3000])))[0], total)
 
 
