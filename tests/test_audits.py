@@ -101,11 +101,11 @@ def test_blocks_of_replicates_change_nothing(spark, monkeypatch):
     r = np.random.default_rng(5)
     rows = [(arm, i, i % 3, c, round(float(r.random()), 2)) for arm in "ab" for i in range(40) for c in range(3)]
     pred = spark.createDataFrame(rows, "arm string, sample_id long, y int, cls int, prob double")
-    whole = [{x.metric: tuple(x) for x in f(pred, "a", "b", 3, 30, 2).collect()} for f in (resampling.paired_bootstrap, resampling.paired_permutation)]
+    whole = [{x.metric: tuple(x) for x in f(pred, "a", "b", 3, 12, 2).collect()} for f in (resampling.paired_bootstrap, resampling.paired_permutation)]
     monkeypatch.setattr(resampling, "HELD", 40 * 7)
     monkeypatch.setattr(resampling, "TILE", 64)
     for f, want in zip((resampling.paired_bootstrap, resampling.paired_permutation), whole):
-        got = {x.metric: tuple(x) for x in f(pred, "a", "b", 3, 30, 2).collect()}
+        got = {x.metric: tuple(x) for x in f(pred, "a", "b", 3, 12, 2).collect()}
         assert all(got[m][1:] == pytest.approx(want[m][1:]) for m in want)
 
 
