@@ -75,6 +75,7 @@ def enumerated(model, text):
 def test_recursions_equal_enumeration(monkeypatch, window, segment):
     monkeypatch.setattr(hidden_markov, "WINDOW", window)
     monkeypatch.setattr(hidden_markov, "SEGMENT", segment)
+    monkeypatch.setattr(hidden_markov, "LONG", segment)
     texts = [RNG.integers(0, 7, n).astype(np.int32) for n in (1, 5, 3, 6, 1, 4)]
     wanted = [enumerated(MODEL, t) for t in texts]
     lengths = np.array([len(t) for t in texts])
