@@ -49,14 +49,21 @@ def fit_predict(features: DataFrame, samples: DataFrame, c: float = 1.0, trees:
     boosts, for each class against the rest that many trees of depth 3, each fitted to the gradient of the logistic loss on
     four fifths of the rows and added at `rate`, and the classes' probabilities divided by their sum.
 
-    features and samples, a row for each sample, are written to the shared folder: fitting reads them many times.
+    features and samples, a row for each sample, are written to the shared folder: fitting reads them many times. If no fit
+    sample has features, as when no region was selected, the fit samples' classes are equally likely; without fit samples
+    there are no predictions.
     """
     path = new_path(features.sparkSession)
     features.join(samples, "sample_id").write.parquet(path)
     rows = features.sparkSession.read.parquet(path)
     train = balanced_weights(rows.where("split <> 'test'"))
     test = rows.where("split = 'test'")
-    if boosts:
+    if not train.head(1):
+        fit = samples.where("split <> 'test'").agg(F.array_sort(F.collect_set("label_idx")).alias("seen"))  # one row
+        whole = F.sequence(F.lit(0), F.array_max("seen").cast("int"))
+        chance = F.transform(whole, lambda x: F.when(F.array_contains("seen", x), 1 / F.size("seen")).otherwise(0.0))
+        scored = samples.where("split = 'test'").join(F.broadcast(fit), F.lit(True))
+    elif boosts:
         classes = samples.agg(F.max("label_idx")).first()[0] + 1
         one = GBTClassifier(maxIter=boosts, maxDepth=3, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=7)
         model = OneVsRest(classifier=one, labelCol="label_idx", weightCol="weight", parallelism=classes).fit(train)

@@ -79,10 +79,20 @@ SCORES = "sc AS (SELECT vec_id AS sample_id, label AS y, ((i - 1) // 10)::INTEGE
 PRED = SCORES + ", pr AS (SELECT sample_id, y, arm, cls, exp(score - max(score) OVER w) / sum(exp(score)) OVER w * exp(max(score) OVER w) AS prob FROM sc WINDOW w AS (PARTITION BY arm, sample_id))"
 TOP = PRED + ", top AS (SELECT arm, sample_id, y, cls AS label, prob AS conf FROM (SELECT *, row_number() OVER (PARTITION BY arm, sample_id ORDER BY prob DESC, cls) AS rn FROM pr) WHERE rn = 1)"
 OBS = "ob AS (SELECT sample_id, locus_key, c_count / ct_count AS beta, least(ct_count, 65535) AS coverage FROM v_obs WHERE ct_count > 0)"
-REGIONS = """lo AS (SELECT DISTINCT locus_key, locus_key // 4294967296 AS code FROM v_obs),
-st AS (SELECT *, CASE WHEN locus_key - lag(locus_key) OVER w <= 150 THEN 0 ELSE 1 END AS s FROM lo WINDOW w AS (PARTITION BY code ORDER BY locus_key)),
+
+
+def region_values_sql(gap: int) -> tuple[str, str]:
+    """CTEs of regions of loci no further apart than gap, and of the samples' values in them."""
+    regions = f"""lo AS (SELECT DISTINCT locus_key, locus_key // 4294967296 AS code FROM v_obs),
+st AS (SELECT *, CASE WHEN locus_key - lag(locus_key) OVER w <= {gap} THEN 0 ELSE 1 END AS s FROM lo WINDOW w AS (PARTITION BY code ORDER BY locus_key)),
 rg AS (SELECT locus_key, (sum(s) OVER (ORDER BY locus_key) - 1)::BIGINT AS region_id FROM st)"""
-RB = f"{OBS}, {REGIONS}, rb AS (SELECT sample_id, region_id, sum(beta * coverage) / sum(coverage) AS region_beta, count(*) AS n_loci FROM ob JOIN rg USING (locus_key) GROUP BY ALL)"
+    return regions, f"{OBS}, {regions}, rb AS (SELECT sample_id, region_id, sum(beta * coverage) / sum(coverage) AS region_beta, count(*) AS n_loci FROM ob JOIN rg USING (locus_key) GROUP BY ALL)"
+
+
+REGIONS, RB = region_values_sql(150)
+# The models' regions. The tables give a sample as many loci at any size, so that only a region as wide as a contig is seen in most samples.
+WIDE, SEEN = 500, 0.7
+WIDE_RB = region_values_sql(WIDE)[1]
 LIFT = """pt AS (SELECT locus_key, locus_key // 4294967296 AS code, locus_key % 4294967296 - 1 AS p FROM v_points),
 met AS (SELECT pt.locus_key, b.src_start, b.dst_code * 4294967296 + CASE WHEN strand > 0 THEN dst_start + p - src_start + 1 ELSE dst_start + size - 1 - (p - src_start) END AS target
  FROM pt LEFT JOIN v_chain b ON pt.code = b.src_code AND p >= b.src_start AND p < b.src_start + b.size),
@@ -220,9 +230,9 @@ def e1(spark, d):
     return beta.candidate_regions(view(spark, d, "v_obs"), 150)
 
 
-def values(spark, d):
+def values(spark, d, gap=150):
     obs = shared.kept(observations(spark, d))  # regions and their values
-    return beta.region_beta(obs, beta.candidate_regions(obs, 150))
+    return beta.region_beta(obs, beta.candidate_regions(obs, gap))
 
 
 @query("D3_region_beta", f"WITH {RB} SELECT sample_id, region_id, round(region_beta, 6) AS region_beta, n_loci FROM rb")
@@ -663,11 +673,11 @@ def k5(spark, d):
 
 
 def region_features(spark, d):
-    """(features, samples) of K3 and K4: regions observed in a tenth of the fit samples, as in D4, then selected and filled on them."""
+    """(features, samples) of K3 and K4: regions observed in most fit samples, as in D4, then selected and filled on them."""
     samples = labelled(spark, d).select("sample_id", "label", "label_idx", F.col("official_split").alias("split"))
-    region = values(spark, d)
+    region = values(spark, d, WIDE)
     fit = samples.where("split = 'train'")
-    seen = beta.observed_regions(region.join(fit.select("sample_id"), "sample_id"), fit.count(), 0.1)
+    seen = beta.observed_regions(region.join(fit.select("sample_id"), "sample_id"), fit.count(), SEEN)
     chosen = beta.select_regions(beta.one_vs_rest(region.join(seen.select("region_id"), "region_id"), fit), 4, 0.0)
     filled = beta.impute_medians(region, fit, samples, chosen)
     return models.assemble(filled, "sample_id", "region_id", "region_beta"), samples.select("sample_id", "label_idx", "split")

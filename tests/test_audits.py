@@ -289,3 +289,12 @@ def test_tests_without_spread_are_null_not_errors(spark):
 
 def test_registered_streams_and_boosting():
     assert {"S1_running_regions", "S1_running_summary", "S2_running_pool", "S3_closed_sessions", "K4_region_boosting", "K6_region_folds"} <= set(QUERIES)
+
+
+@pytest.mark.parametrize("settings", [{}, {"trees": 5}, {"boosts": 2}])
+def test_models_without_features_take_classes_as_equally_likely(spark, settings):
+    samples = spark.createDataFrame([(s, (0, 2, 2, 1)[s % 4], "test" if s % 4 == 3 else "train") for s in range(12)], "sample_id long, label_idx int, split string")
+    none = models.assemble(spark.createDataFrame([], "sample_id long, region_id long, region_beta double"), "sample_id", "region_id", "region_beta")
+    found = models.fit_predict(none, samples, **settings).collect()
+    assert sorted(tuple(r) for r in found) == [(s, 1, c, (0.5, 0.0, 0.5)[c]) for s in (3, 7, 11) for c in range(3)]
+    assert models.fit_predict(none, samples.where("split = 'test'"), **settings).count() == 0
