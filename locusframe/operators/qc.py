@@ -144,10 +144,16 @@ def arm_spread(runs: DataFrame) -> DataFrame:
 
 
 def random_bag(items: DataFrame, group: str, item: str, k: int, seed: int) -> DataFrame:
-    """(group, slot, item): k items of each group by seeded hash; smaller groups are drawn from with replacement."""
+    """(group, slot, item): k items of each group by seeded hash; smaller groups are drawn from with replacement. Rows without group take no part.
+
+    Spark cuts a group to its first k rows before it shuffles them (for k up to spark.sql.optimizer.windowGroupLimitThreshold), so
+    that a large group is no large task.
+    """
     order = W.partitionBy(group).orderBy(draw(seed, F.col(group), F.col(item)), item)
-    placed = items.select(group, item).withColumn("at", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(W.partitionBy(group)))
-    first = placed.where((F.col("n") >= k) & (F.col("at") < k)).select(group, F.col("at").alias("slot"), item)
+    sizes = items.groupBy(group).agg(F.count("*").alias("n"))
+    leading = items.select(group, item).withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
+    placed = leading.join(sizes, group).withColumn("at", F.col("at") - 1)
+    first = placed.where(F.col("n") >= k).select(group, F.col("at").alias("slot"), item)
     small = placed.where(F.col("n") < k)
     slots = small.where("at = 0").select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"))
     drawn = slots.withColumn("at", F.pmod(draw(f"{seed}-slot", F.col(group), F.col("slot")), F.col("n")).cast("int"))

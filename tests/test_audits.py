@@ -298,3 +298,14 @@ def test_models_without_features_take_classes_as_equally_likely(spark, settings)
     found = models.fit_predict(none, samples, **settings).collect()
     assert sorted(tuple(r) for r in found) == [(s, 1, c, (0.5, 0.0, 0.5)[c]) for s in (3, 7, 11) for c in range(3)]
     assert models.fit_predict(none, samples.where("split = 'test'"), **settings).count() == 0
+
+
+def test_bags_are_cut_to_their_first_rows_before_the_shuffle(spark):
+    rows = [("hot", i) for i in range(3000)] + [("even", i) for i in range(4)] + [("few", i) for i in range(2)] + [(None, 7)]
+    items = spark.createDataFrame(rows, "grp string, item long").repartition(6)
+    bag = qc.random_bag(items, "grp", "item", 4, 3)
+    found = bag.collect()
+    assert Counter(r.grp for r in found) == {"hot": 4, "even": 4, "few": 4} and all({r.slot for r in found if r.grp == g} == set(range(4)) for g in ("hot", "even", "few"))
+    assert {r.item for r in found if r.grp == "even"} == set(range(4)) and len({r.item for r in found if r.grp == "hot"}) == 4 and {r.item for r in found if r.grp == "few"} <= {0, 1}
+    plan = bag._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
