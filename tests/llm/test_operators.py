@@ -630,3 +630,75 @@ def test_language_samples_of_repeated_ids(spark):
     counts = Counter(r.lang for r in langid.training_sample(docs, 400).collect())
     wanted = {"xx": 400 if 1 in training else 0, "yy": 400 if 4 in training else 0, "zz": sum(i in training for i in range(10, 40))}
     assert counts == Counter({k: v for k, v in wanted.items() if v}) and max(counts.values()) == 400
+
+
+def test_votes_equal_independent_margins():
+    """Each pair of classes has one vote; wins decide, then summed margins: counted here by plain loops."""
+    r = np.random.default_rng(4)
+    classes = ["a", "b", "c", "d"]
+    machines = [(i, j, r.normal(size=6), float(r.normal() / 4)) for i in range(4) for j in range(i + 1, 4)]
+    x = r.normal(size=(300, 6))
+    best, chance = langid.Pairwise(classes, machines).predict(x)
+    for row, got, p in zip(x, best, chance, strict=True):
+        wins, margins, odds = [0] * 4, [0.0] * 4, [0.0] * 4
+        for i, j, w, c in machines:
+            m = sum(a * b for a, b in zip(row, w)) + c
+            wins[i if m > 0 else j] += 1
+            margins[i], margins[j] = margins[i] + m, margins[j] - m
+            odds[i] += 1 / (1 + math.exp(-2 * m))
+            odds[j] += 1 / (1 + math.exp(2 * m))
+        assert got == max(range(4), key=lambda k: (wins[k], margins[k])) and p == pytest.approx(odds[got] / 3)
+
+
+def test_language_votes_of_fitted_machines_equal_plain_counting(spark):
+    """The whole path: machines fitted by Spark ML, features and votes of every text counted again by hand."""
+    r = random.Random(12)
+    kinds = {"en": "the and ing tion of with", "de": "der und ung keit sch ein", "nl": "het een van ijk oor zijn", "fr": "les eau que ment oui", "es": "los que ado mente"}
+    names = list(kinds)
+    rows = [(i, " ".join(r.choice(kinds[k].split()) + r.choice(kinds[r.choice(names)].split()) for _ in range(12)), k) for i, k in enumerate(r.choice(names) for _ in range(250))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    families, inner = langid.fit(langid.training_sample(df))
+    found = {x.doc_id: x for x in langid.identify(df).collect()}
+
+    def vote(machines, v):
+        n = len(machines.classes)
+        wins, margins, odds = [0] * n, [0.0] * n, [0.0] * n
+        for i, j, w, c in machines.machines:
+            m = float(np.dot(w, v)) + c
+            wins[i if m > 0 else j] += 1
+            margins[i], margins[j] = margins[i] + m, margins[j] - m
+            odds[i], odds[j] = odds[i] + 1 / (1 + math.exp(-2 * m)), odds[j] + 1 / (1 + math.exp(2 * m))
+        k = max(range(n), key=lambda k: (wins[k], margins[k]))
+        return k, odds[k] / (n - 1) if n > 1 else 1.0
+
+    for i, text, _ in rows:
+        raw = "  " + re.sub("[^a-z]", " ", text.lower()) + "  "
+        v = np.zeros(1 << langid.BITS)
+        for k in range(len(raw) - 2):
+            if raw[k : k + 3] != "   ":
+                v[(int.from_bytes(raw[k : k + 3].encode(), "little") * 2654435761 & 0xFFFFFFFF) >> (32 - langid.BITS)] += 1
+        v = np.sqrt(v / v.sum())
+        f, p = vote(families, v)
+        k, q = vote(inner[f], v)
+        assert (found[i].lang_pred, found[i].score) == (inner[f].classes[k], pytest.approx(p * q, abs=1e-6)), i
+
+
+def test_mixing_takes_rows_without_id_of_a_leaf_together(spark):
+    """Ten rows without doc_id and ten with one, five tokens each, three quarters of all wanted: the ten go together, whatever the order says."""
+    rows = [(None, "a b c d e", "en", "src0")] * 10 + [(i, "a b c d e", "en", "src0") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    seen = set()
+    for seed in map(str, range(6)):
+        taken = mixing.mix_report(docs, seed=seed, percent=75, epochs=1).collect()
+        without = sum(r.doc_id is None for r in taken)
+        assert without in (0, 10) and sum(r.n_tokens for r in taken) <= 75 and len({r.doc_id for r in taken if r.doc_id is not None}) == len(taken) - without
+        place = lambda d: (int(hashlib.md5(f"{seed}|0|{'' if d is None else d}".encode()).hexdigest()[:8], 16), -(1 << 63) if d is None else d)  # noqa: E731, B023
+        order = sorted([None, *range(10)], key=place)
+        want, left = [], 75
+        for d in order:
+            if (50 if d is None else 5) > left:
+                break
+            want, left = want + [d] * (10 if d is None else 1), left - (50 if d is None else 5)
+        assert Counter(r.doc_id for r in taken) == Counter(want)
+        seen.add(without)
+    assert seen == {0, 10}
