@@ -57,8 +57,10 @@ def merge_mates(calls: DataFrame) -> DataFrame:
 
 def mate_stats(calls: DataFrame) -> DataFrame:
     """One row: fragments, calls, loci called by both mates, and conflicts."""
-    merged = calls.groupBy("sample_id", "fragment_id", "locus_key").agg(F.min("state").alias("low"), F.max("state").alias("high"), F.countDistinct("mate").alias("mates"))
-    return merged.agg(F.countDistinct("sample_id", "fragment_id").alias("fragments"), F.count("*").alias("calls"), F.count_if(F.col("mates") > 1).alias("both_mates"), F.count_if(F.col("low") != F.col("high")).alias("conflicts"))
+    merged = calls.groupBy("sample_id", "fragment_id", "locus_key").agg(F.min("state").alias("low"), F.max("state").alias("high"), (F.min("mate") != F.max("mate")).alias("both"))
+    each = merged.groupBy("sample_id", "fragment_id").agg(F.count("*").alias("calls"), F.count_if("both").alias("both_mates"), F.count_if(F.col("low") != F.col("high")).alias("conflicts"))
+    named = F.col("sample_id").isNotNull() & F.col("fragment_id").isNotNull()
+    return each.agg(F.count_if(named).alias("fragments"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("calls", "both_mates", "conflicts")))
 
 
 def by_lifted_position(calls: DataFrame, status: DataFrame, by: list[str]) -> DataFrame:
