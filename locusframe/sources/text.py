@@ -28,17 +28,43 @@ def read_methratio(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+CHUNK = 1 << 14  # lines that follow each other and are put in order together
+GROUPED = 1 << 18  # lines that a task puts in order
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of small text files, in order; each file is one row first, so use it for metadata only."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """(file, line_no, line) of text files of any size. A line's number follows from a table with a row for each split of a file."""
+    rows = placed_lines(spark, path)
+    blocks = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shift = blocks.select("file", "block", (before - F.col("first")).alias("shift"))
+    return rows.join(F.broadcast(shift), ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line_no"), "line")
+
+
+def _apart(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """rows by keys, over more tasks than the session's if so many parts are needed."""
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
+def _parts(lines: DataFrame) -> int:
+    return lines.count() // GROUPED + 1
+
+
+def _carried(column: str) -> Column:
+    """In a table of chunks, what the last chunk before that has any has in column."""
+    return F.last(column, ignorenulls=True).over(W.partitionBy("file").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
 
 
 def soft_samples(lines: DataFrame) -> DataFrame:
     """(file, sample, key, value) from `^SAMPLE` blocks; characteristics become keys char_<name>, repeated keys keep the first."""
-    order = W.partitionBy("file").orderBy("line_no")
+    parts = _parts(lines)
     block = F.when(F.startswith("line", F.lit("^")), F.when(F.startswith("line", F.lit("^SAMPLE")), F.trim(F.split_part("line", F.lit("="), F.lit(2)))).otherwise(F.lit("")))
-    df = lines.withColumn("sample", F.last(block, ignorenulls=True).over(order)).where("sample <> '' and line like '!Sample_%=%'")
+    rows = lines.select("*", F.expr(f"line_no div {CHUNK}").alias("chunk"), block.alias("block"))
+    ends = rows.where("block is not null").groupBy("file", "chunk").agg(F.max_by("block", "line_no").alias("block"))
+    chunks = rows.select("file", "chunk").distinct().join(ends, ["file", "chunk"], "left").select("file", "chunk", _carried("block").alias("carried"))
+    local = F.last("block", ignorenulls=True).over(W.partitionBy("file", "chunk").orderBy("line_no"))
+    df = _apart(rows, parts, "file", "chunk").withColumn("local", local).join(F.broadcast(chunks), ["file", "chunk"])
+    df = df.withColumn("sample", F.coalesce("local", "carried")).where("sample <> '' and line like '!Sample_%=%'").select("file", "line_no", "line", "sample")
     key = F.regexp_extract("line", "^!Sample_([^ =]+)", 1)
     value = F.trim(F.regexp_extract("line", "^[^=]*=(.*)$", 1))
     df = df.withColumn("key", key).withColumn("value", value)
@@ -47,7 +73,7 @@ def soft_samples(lines: DataFrame) -> DataFrame:
     name = F.concat(F.lit("char_"), F.regexp_replace(F.lower(F.trim(inner)), "[^a-z0-9]+", "_"))
     value = F.when(is_char, F.trim(F.regexp_replace("value", "^[^:]+:", ""))).otherwise(F.col("value"))
     df = df.withColumns({"value": value, "key": F.when(is_char, name).otherwise(F.col("key"))})
-    return df.groupBy("file", "sample", "key").agg(F.min_by("value", "line_no").alias("value"))
+    return _apart(df, parts, "file", "sample", "key").groupBy("file", "sample", "key").agg(F.min_by("value", "line_no").alias("value"))
 
 
 def run_rollup(runs: DataFrame) -> DataFrame:
@@ -94,14 +120,26 @@ def chain_blocks(lines: DataFrame) -> DataFrame:
     Block starts are sums of the sizes and gaps before them in the chain. Chains of other contigs than 1-22, X and Y are left
     out. On a minus strand, dst_start is turned to the forward strand.
     """
-    order = W.partitionBy("file").orderBy("line_no")
-    head = F.when(F.startswith("line", F.lit("chain")), F.col("line"))
-    df = lines.withColumn("head", F.last(head, ignorenulls=True).over(order)).withColumn("chain_no", F.count(head).over(order))
-    f = F.split("head", r"\s+")
-    body = df.where(head.isNull() & F.rlike("line", F.lit(r"^\s*\d"))).select("file", "line_no", "chain_no", F.split(F.trim("line"), r"\s+").alias("n"), f.alias("f"))
+    is_head = F.startswith("line", F.lit("chain"))
+    rows = lines.select("*", F.expr(f"line_no div {CHUNK}").alias("chunk"), is_head.alias("is_head"), F.when(~is_head & F.rlike("line", F.lit(r"^\s*\d")), F.split(F.trim("line"), r"\s+")).alias("n"))
     n = lambda i: F.coalesce(F.get("n", F.lit(i)).cast("long"), F.lit(0).cast("long"))
-    inside = W.partitionBy("file", "chain_no").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    body = body.withColumn("dt", F.coalesce(F.sum(n(0) + n(1)).over(inside), F.lit(0))).withColumn("dq", F.coalesce(F.sum(n(0) + n(2)).over(inside), F.lit(0)))
+    own = W.partitionBy("file", "chunk").orderBy("line_no")
+    sums = {"t": n(0) + n(1), "q": n(0) + n(2)}
+    inside = own.rowsBetween(W.unboundedPreceding, -1)
+    local = _apart(rows, _parts(lines), "file", "chunk").withColumns({c: F.coalesce(F.sum(x).over(inside), F.lit(0)) for c, x in sums.items()})  # sums of the chunk's lines before
+    at = F.when(F.col("is_head"), F.struct("line", "t", "q"))
+    local = local.withColumn("head", F.last(at, ignorenulls=True).over(own))
+    # A row for each chunk: its sums, those of all before it, and the last head of those with the file's sums before that head.
+    chunks = rows.groupBy("file", "chunk").agg(*(F.sum(x).alias(c) for c, x in sums.items()))
+    every = W.partitionBy("file").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunks.select("file", "chunk", *(F.coalesce(F.sum(c).over(every), F.lit(0)).alias(f"{c}_before") for c in sums))
+    heads = local.where("is_head").groupBy("file", "chunk").agg(F.max_by("head", "line_no").alias("last"))
+    joined = chunks.join(heads, ["file", "chunk"], "left")
+    placed = F.when(F.col("last").isNotNull(), F.struct(F.col("last.line").alias("line"), (F.col("last.t") + F.col("t_before")).alias("t"), (F.col("last.q") + F.col("q_before")).alias("q")))
+    table = joined.withColumn("placed", placed).select("file", "chunk", "t_before", "q_before", _carried("placed").alias("open"))
+    body = local.where("n is not null").join(F.broadcast(table), ["file", "chunk"])
+    since = lambda c: F.when(F.col("head").isNotNull(), F.col(c) - F.col(f"head.{c}")).otherwise(F.col(c) + F.col(f"{c}_before") - F.col(f"open.{c}"))
+    body = body.select("n", F.split(F.coalesce("head.line", "open.line"), r"\s+").alias("f"), since("t").alias("dt"), since("q").alias("dq"))
     g = lambda i: F.get("f", F.lit(i))
     start = g(10).cast("long") + F.col("dq")
     forward = F.when(g(9) == "-", g(8).cast("long") - start - n(0)).otherwise(start)

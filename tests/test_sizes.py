@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from locusframe.operators import calls
 from locusframe.plans import benchviews
+from locusframe.sources import text
 
 HERE = "/root/testdata/sf0.001"
 
@@ -25,3 +26,35 @@ def test_mate_stats_counts_fragments_with_both_keys_and_nothing_in_an_empty_tabl
     rows = [(1, 1, 1, 5, 0), (1, 1, 2, 5, 1), (1, 1, 2, 6, 1), (1, 2, 1, 5, 1), (1, 2, 1, 5, 1), (None, 3, 1, 7, 0), (2, None, None, 7, 0)]
     assert tuple(calls.mate_stats(spark.createDataFrame(rows, schema)).first()) == (2, 5, 1, 1)
     assert tuple(calls.mate_stats(spark.createDataFrame([], schema)).first()) == (0, 0, 0, 0)
+
+
+def test_lines_of_one_file_are_put_in_order_in_chunks(spark, tmp_path, monkeypatch):
+    """Splits of 64 bytes, chunks of three lines: samples and chains go on over both."""
+    monkeypatch.setattr(text, "CHUNK", 3)
+    monkeypatch.setattr(text, "GROUPED", 8)
+    soft, chain, want_soft, want_chain = [], ["7", "junk"], set(), set()
+    for i in range(30):
+        soft += [f"^SAMPLE = GSM{i}", f"!Sample_title = a{i}", *["!other"] * (i % 8), f"!Sample_title = b{i}", f"!Sample_x = y{i}\r", "^PLATFORM = p", "!Sample_title = no"]
+        want_soft |= {(f"GSM{i}", "title", f"a{i}"), (f"GSM{i}", "x", f"y{i}")}
+        chain += [f"chain 9 chr1 99999 + {i} 9 chr2 99999 {'-' if i % 2 else '+'} {2 * i} 9 {i}"]
+        t, q = i, 2 * i
+        for j in range(i % 9):
+            chain.append(f"{j + 1}\t{j}\t{2 * j}")
+            want_chain.add((str(i), 1, t, j + 1, 2, 99999 - q - j - 1 if i % 2 else q, -1 if i % 2 else 1))
+            t, q = t + 2 * j + 1, q + 3 * j + 1
+        chain += ["5", ""]
+        want_chain.add((str(i), 1, t, 5, 2, 99999 - q - 5 if i % 2 else q, -1 if i % 2 else 1))
+    (tmp_path / "s.soft").write_text("\n".join(soft) + "\n")
+    (tmp_path / "c.chain").write_text("\n".join(chain) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        lines = text.numbered_lines(spark, str(tmp_path / "c.chain"))
+        assert lines.rdd.getNumPartitions() > 10
+        assert [r.line for r in lines.orderBy("line_no").collect()] == chain
+        assert sorted(r.line_no for r in lines.collect()) == list(range(len(chain)))
+        got = text.chain_blocks(lines).collect()
+        assert len(got) == len(want_chain) and {tuple(r) for r in got} == want_chain
+        got = text.soft_samples(text.numbered_lines(spark, str(tmp_path / "s.soft"))).drop("file").collect()
+        assert len(got) == len(want_soft) and {tuple(r) for r in got} == want_soft
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
