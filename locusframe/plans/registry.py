@@ -92,7 +92,6 @@ rg AS (SELECT locus_key, (sum(s) OVER (ORDER BY locus_key) - 1)::BIGINT AS regio
 REGIONS, RB = region_values_sql(150)
 # The models' regions. The tables give a sample as many loci at any size, so that only a region as wide as a contig is seen in most samples.
 WIDE, SEEN = 500, 0.7
-WIDE_RB = region_values_sql(WIDE)[1]
 LIFT = """pt AS (SELECT locus_key, locus_key // 4294967296 AS code, locus_key % 4294967296 - 1 AS p FROM v_points),
 met AS (SELECT pt.locus_key, b.src_start, b.dst_code * 4294967296 + CASE WHEN strand > 0 THEN dst_start + p - src_start + 1 ELSE dst_start + size - 1 - (p - src_start) END AS target
  FROM pt LEFT JOIN v_chain b ON pt.code = b.src_code AND p >= b.src_start AND p < b.src_start + b.size),

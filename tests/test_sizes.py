@@ -58,3 +58,15 @@ def test_lines_of_one_file_are_put_in_order_in_chunks(spark, tmp_path, monkeypat
         assert len(got) == len(want_soft) and {tuple(r) for r in got} == want_soft
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_imputed_regions_are_those_of_a_tenth_of_the_fit_samples(spark):
+    """K2 fills every sample in all regions that D4's rule finds among the fit samples, not only in those as wide as a contig."""
+    from locusframe.operators import beta
+    from locusframe.plans import catalog, registry
+
+    here = HERE.replace("0.001", "0.01")
+    fit = benchviews.view(spark, here, "v_samples").where("official_split = 'train'")
+    seen = beta.observed_regions(registry.values(spark, here).join(fit.select("sample_id"), "sample_id"), fit.count(), 0.1).count()
+    assert seen > 22
+    assert catalog.QUERIES["K2_imputed_regions"](spark, here).count() == seen * 1500
