@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from hashlib import md5
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,5 +56,12 @@ def draw(seed: int | str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def draws(seed: int | str, firsts: Iterable[object], tails: Iterable[str]) -> np.ndarray:
+    """draw(seed, first, rest) inside a task, a row for each tail and a column for each first; a tail is the rest with `|` before each part."""
+    heads, tails = [f"{seed}|{x}".encode() for x in firsts], [t.encode() for t in tails]
+    found = b"".join([md5(h + t).digest()[:4] for t in tails for h in heads])
+    return np.frombuffer(found, ">u4").astype(np.int64).reshape(len(tails), len(heads))
+
+
 def uniform(seed: int | str, *parts: Column) -> Column:
     return draw(seed, *parts) / float(1 << 32)

@@ -82,3 +82,15 @@ def test_weights_come_to_the_driver_packed(spark):
     ids, w = resampling._matrix(resampling.swap_weights(people, 5, 9, 9))
     want = people.select("sample_id", *((draw(9, F.lit(r), F.col("sample_id")) % 2).alias(f"r{r}") for r in range(5, 9))).orderBy("sample_id").collect()
     assert ids.tolist() == [r[0] for r in want] and w.tolist() == [list(r[1:]) for r in want]
+
+
+def test_pairs_of_arms_on_the_same_samples_share_their_weights(spark, monkeypatch):
+    """The replicates of all pairs are drawn once, and a pair has the values that it has alone."""
+    rows = [(a, s, s % 3, c, draw_ / 97 + (c == s % 3) * 0.2) for a in "abc" for s in range(40) for c in range(3) for draw_ in [(ord(a) * 31 + s * 17 + c * 7) % 97]]
+    pred = spark.createDataFrame(rows, "arm string, sample_id long, y int, cls int, prob double")
+    alone = {(b, r.metric): (r.delta, r.low, r.high, r.share_le_0) for b in "bc" for r in resampling.paired_bootstrap(pred, "a", b, 3, 12, 2).collect()}
+    calls_, weigh = [], resampling.bootstrap_weights
+    monkeypatch.setattr(resampling, "bootstrap_weights", lambda *rest: calls_.append(rest) or weigh(*rest))
+    found = resampling.compare_arms(pred, [("a", "b"), ("a", "c")], 3, 12, 2).collect()
+    assert len(calls_) == 1 and len(found) == 8
+    assert {(r.arm_b, r.metric): (r.delta, r.low, r.high, r.share_le_0) for r in found} == alone
