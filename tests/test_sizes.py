@@ -94,3 +94,23 @@ def test_pairs_of_arms_on_the_same_samples_share_their_weights(spark, monkeypatc
     found = resampling.compare_arms(pred, [("a", "b"), ("a", "c")], 3, 12, 2).collect()
     assert len(calls_) == 1 and len(found) == 8
     assert {(r.arm_b, r.metric): (r.delta, r.low, r.high, r.share_le_0) for r in found} == alone
+
+
+def test_streams_keep_their_sums_in_as_many_tasks_as_the_rows_need(spark, monkeypatch):
+    """Each batch of S1 writes a file for each task that holds sums; there were as many as shuffle partitions."""
+    from locusframe.operators import beta
+    from locusframe.plans import streams
+    from locusframe.sources import shared
+    from locusframe.streaming import incremental
+
+    monkeypatch.setattr(streams, "HELD", 500)
+    counts = shared.kept(benchviews.view(spark, HERE, "v_obs"))
+    regions = shared.kept(beta.candidate_regions(counts, 150))
+    halves = [counts.where("locus_key % 3 = 0"), counts.where("locus_key % 3 <> 0")]
+    found = streams.taken_up_again(halves, lambda s: incremental.running_regions(s, regions), "update")
+    files = found.select("batch", F.input_file_name().alias("f")).distinct().groupBy("batch").count().collect()
+    assert len(files) == 4 and all(r[1] > counts.count() // 500 * 0.8 for r in files)
+    got = streams.newest(found, ["sample_id", "region_id"]).select("sample_id", "region_id", "weighted", "coverage")
+    want = counts.where("ct_count > 0").join(regions, "locus_key").groupBy("sample_id", "region_id").agg(F.sum("c_count"), F.sum("ct_count"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
