@@ -100,8 +100,12 @@ def one_vs_rest(values: DataFrame, labels: DataFrame) -> DataFrame:
     The rest's moments come from the classes' own means and central sums, so no difference of large squares is taken. Classes
     with fewer than two observed samples on either side are left out. A standard error under 1e-6 counts as none: t and df are null.
     """
-    joined = values.join(labels.select("sample_id", "label"), "sample_id")
-    own = joined.groupBy("region_id", "label").agg(F.count("*").alias("n"), F.avg("region_beta").alias("m"), F.var_pop("region_beta").alias("v"))
+    return class_tests(values.join(labels.select("sample_id", "label"), "sample_id"))
+
+
+def class_tests(labelled: DataFrame) -> DataFrame:
+    """one_vs_rest of values that have their samples' labels (label, region_id, region_beta); n + n_rest are all samples seen in a region."""
+    own = labelled.groupBy("region_id", "label").agg(F.count("*").alias("n"), F.avg("region_beta").alias("m"), F.var_pop("region_beta").alias("v"))
     own = own.withColumn("s", F.col("v") * F.col("n"))
     whole = W.partitionBy("region_id")
     total_n, total_mean = F.sum("n").over(whole), F.sum(F.col("n") * F.col("m")).over(whole) / F.sum("n").over(whole)
@@ -148,3 +152,45 @@ def impute_medians(values: DataFrame, fit: DataFrame, samples: DataFrame, region
     listed = regions.select("region_id").distinct().join(medians, "region_id", "left").agg(F.collect_list(F.struct("region_id", "fill")).alias("grid"))
     grid = samples.select("sample_id").join(F.broadcast(listed), F.lit(True)).select("sample_id", F.inline("grid"))
     return grid.join(values.select("sample_id", "region_id", "region_beta"), ["sample_id", "region_id"], "left").select("sample_id", "region_id", F.coalesce("region_beta", "fill").alias("region_beta"))
+
+
+def by_sample(values: DataFrame) -> DataFrame:
+    """(sample_id, held): a sample's regions and their values as one map, so that what goes by sample needs no further shuffle."""
+    return values.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("region_id", "region_beta"))).alias("held"))
+
+
+def medians(values: DataFrame, regions: list[int]) -> dict[int, float]:
+    """The median of each of a short list of regions, as F.median gives it, without a group of all values of a region.
+
+    Sketches of a fixed size give two values that the middle ranks lie between. Values below are counted, and those between are
+    counted by value and put in order. A region whose middle lies outside all the same is left to F.median.
+    """
+    rows = values.where(F.col("region_id").isin(regions) & F.col("region_beta").isNotNull()).select("region_id", "region_beta")
+    around = F.percentile_approx("region_beta", [0.499, 0.501], 10000)
+    bounds = rows.groupBy("region_id").agg(F.count("*").alias("n"), around.alias("b")).select("region_id", "n", F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
+    near = rows.join(F.broadcast(bounds), "region_id").where("region_beta <= high")  # as many rows as regions are listed
+    counted = near.groupBy("region_id", "n", F.when(F.col("region_beta") >= F.col("low"), F.col("region_beta")).alias("x")).agg(F.count("*").alias("k"))
+    placed = counted.withColumn("upto", F.sum("k").over(W.partitionBy("region_id").orderBy(F.asc_nulls_first("x"))))
+    at = lambda rank: F.min(F.when(F.col("upto") > F.expr(rank), F.struct("upto", "x")))["x"]  # noqa: E731  null if it lies below or beyond
+    found = placed.groupBy("region_id").agg(at("(n - 1) div 2").alias("a"), at("n div 2").alias("b")).collect()
+    sure = {r.region_id: r.a if r.a == r.b else 0.5 * r.a + 0.5 * r.b for r in found if r.a is not None and r.b is not None}
+    if missed := [r.region_id for r in found if r.region_id not in sure]:
+        sure |= dict(rows.where(F.col("region_id").isin(missed)).groupBy("region_id").agg(F.median("region_beta")).collect())
+    return sure
+
+
+def chosen_regions(fit: DataFrame, least: float, per_class: int) -> dict[int, float]:
+    """Regions observed in `least` of the fit samples (sample_id, label, held) and selected by class, with the fit samples' medians.
+
+    Their number is per_class for each class at most, so they may come to the driver.
+    """
+    rows = fit.select("label", F.explode("held").alias("region_id", "region_beta"))
+    often = (F.col("n") + F.col("n_rest")) / F.lit(fit.count()) >= least
+    listed = select_regions(class_tests(rows).where(often), per_class).select("region_id").distinct().collect()
+    return medians(rows, sorted(r.region_id for r in listed)) if listed else {}
+
+
+def filled(samples: DataFrame, regions: dict[int, float]) -> DataFrame:
+    """(sample_id, values): each sample's values in the order of the regions, their fills where it has none. Without regions no rows."""
+    each = [F.coalesce(F.try_element_at("held", F.lit(r).cast("long")), F.lit(fill)) for r, fill in sorted(regions.items())]
+    return samples.where(F.lit(bool(each))).select("sample_id", F.array(*each).cast("array<double>").alias("values"))

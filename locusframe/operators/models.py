@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_path
+from ..sources.shared import kept, new_path
 
 
 def balanced_weights(samples: DataFrame) -> DataFrame:
@@ -26,15 +26,23 @@ def assemble(values: DataFrame, key: str, name: str, value: str) -> DataFrame:
     return values.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(name, value))).alias("v")).select(key, array_to_vector(F.transform("v", lambda x: x[value].cast("double"))).alias("features"))
 
 
+def vectors(values: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, features) of arrays of doubles that are in order already."""
+    return values.select(key, array_to_vector(value).alias("features"))
+
+
 def fold_loop(features: Callable[[DataFrame, DataFrame], DataFrame], samples: DataFrame, splits: DataFrame, **settings) -> DataFrame:
     """(fold, sample_id, y, cls, prob) of every fold's test samples, each fold's model fitted on its train and validation part alone.
 
     features(fit samples, all samples) gives (key, features); it sees the labels of the fit samples only. samples: sample_id,
     patient_id, label_idx and others; splits: fold, patient_id, split. A short loop on the driver starts the folds' jobs.
+
+    Samples meet their places in all folds by one join, which is written once, so a fold only picks its own.
     """
-    out = None
+    places = splits.groupBy("patient_id").agg(F.collect_list(F.struct("fold", "split")).alias("places"))
+    rows, out = kept(samples.join(places, "patient_id")), None
     for fold in sorted(r[0] for r in splits.select("fold").distinct().collect()):  # a handful
-        placed = samples.join(splits.where(F.col("fold") == fold).select("patient_id", "split"), "patient_id")
+        placed = rows.select(*samples.columns, F.inline("places")).where(F.col("fold") == fold).drop("fold")
         fit = placed.where("split <> 'test'")
         found = fit_predict(features(fit, placed.drop("label", "label_idx")), placed.select("sample_id", "label_idx", "split"), **settings)
         found = found.select(F.lit(fold).alias("fold"), "*")

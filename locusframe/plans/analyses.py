@@ -10,7 +10,7 @@ from ..operators import beta, calls, intervals, metrics, models, numbering, pool
 from ..sources import shared
 from .benchviews import view
 from .files import BASES, LETTER
-from .registry import FOLDS, OBS, RB, SEEN, STATUS, WIDE, chain_status, embedding_store, labelled, observations, predictions, query, rounded, seeded_hash, split_table, values
+from .registry import FOLDS, OBS, RB, STATUS, chain_status, embedding_store, labelled, observations, predictions, query, rounded, seeded_hash, selected_features, split_table, values, with_regions
 
 # Vectors made from keys
 
@@ -293,14 +293,8 @@ def k6(spark, d):
 @query("K6_region_folds")
 def k6r(spark, d):
     """Two seeds of three folds of K3: regions are tested, selected and filled on each fold's own fit samples."""
-    region, samples = shared.kept(values(spark, d, WIDE)), labelled(spark, d)
-
-    def features(fit, placed):
-        seen = beta.observed_regions(region.join(fit.select("sample_id"), "sample_id"), fit.count(), SEEN)
-        chosen = beta.select_regions(beta.one_vs_rest(region.join(seen.select("region_id"), "region_id"), fit), 4, 0.0)
-        return models.assemble(beta.impute_medians(region, fit, placed, chosen), "sample_id", "region_id", "region_beta")
-
+    samples = labelled(spark, d)
     people = splits.patients(samples, ["label", "batch"])
-    own = samples.select("sample_id", "patient_id", "label", "label_idx")
-    first, second = (models.fold_loop(features, own, shared.kept(splits.kfold_splits(people, 3, 20, seed))).select(F.lit(seed).alias("seed"), "*") for seed in (17, 42))
+    own = with_regions(spark, d, samples.select("sample_id", "patient_id", "label", "label_idx"))
+    first, second = (models.fold_loop(selected_features, own, shared.kept(splits.kfold_splits(people, 3, 20, seed))).select(F.lit(seed).alias("seed"), "*") for seed in (17, 42))
     return first.union(second)

@@ -671,15 +671,20 @@ def k5(spark, d):
     return models.fit_predict(models.assemble(long, "sample_id", "name", "value"), samples)
 
 
+def with_regions(spark, d, samples):
+    """samples with their values of regions as a map `held`, written once for all folds."""
+    return shared.kept(samples.join(beta.by_sample(values(spark, d, WIDE)), "sample_id", "left"))
+
+
+def selected_features(fit, placed):
+    """(sample_id, features) of K3, K4 and K6: regions observed in most fit samples, as in D4, then selected and filled on them."""
+    return models.vectors(beta.filled(placed, beta.chosen_regions(fit, SEEN, 4)), "sample_id", "values")
+
+
 def region_features(spark, d):
-    """(features, samples) of K3 and K4: regions observed in most fit samples, as in D4, then selected and filled on them."""
-    samples = labelled(spark, d).select("sample_id", "label", "label_idx", F.col("official_split").alias("split"))
-    region = values(spark, d, WIDE)
-    fit = samples.where("split = 'train'")
-    seen = beta.observed_regions(region.join(fit.select("sample_id"), "sample_id"), fit.count(), SEEN)
-    chosen = beta.select_regions(beta.one_vs_rest(region.join(seen.select("region_id"), "region_id"), fit), 4, 0.0)
-    filled = beta.impute_medians(region, fit, samples, chosen)
-    return models.assemble(filled, "sample_id", "region_id", "region_beta"), samples.select("sample_id", "label_idx", "split")
+    """(features, samples) of K3 and K4."""
+    samples = with_regions(spark, d, labelled(spark, d).select("sample_id", "label", "label_idx", F.col("official_split").alias("split")))
+    return selected_features(samples.where("split = 'train'"), samples), samples.select("sample_id", "label_idx", "split")
 
 
 @query("K3_region_logistic")

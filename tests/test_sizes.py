@@ -114,3 +114,47 @@ def test_streams_keep_their_sums_in_as_many_tasks_as_the_rows_need(spark, monkey
     want = counts.where("ct_count > 0").join(regions, "locus_key").groupBy("sample_id", "region_id").agg(F.sum("c_count"), F.sum("ct_count"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_folds_choose_and_fill_regions_without_joins_or_groups_of_all_values(spark):
+    """K3, K4 and K6: what a fold selects and fills equals the joins on (sample, region) with whole medians that it took before."""
+    from locusframe.operators import beta, models
+    from locusframe.plans import registry
+    from locusframe.sources import shared
+
+    rows = [(s, r, ((s * 7919 + r * 31) % 997) / 997 if r < 4 else float(s % 2), 1) for s in range(2001) for r in range(6) if (s + r) % 5 or r == 2]
+    values = spark.createDataFrame(rows, "sample_id long, region_id long, region_beta double, n_loci int").repartition(7)
+    whole = dict(values.groupBy("region_id").agg(F.median("region_beta")).collect())
+    assert beta.medians(values, list(range(6))) == whole
+    samples = spark.createDataFrame([(s, "ab"[s % 2], s % 2) for s in range(2003)], "sample_id long, label string, label_idx int")
+    held = shared.kept(samples.join(beta.by_sample(values), "sample_id", "left"))
+    fit = held.where("sample_id % 3 <> 0")
+    found = registry.selected_features(fit, held)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    seen = beta.observed_regions(values.join(fit.select("sample_id"), "sample_id"), fit.count(), registry.SEEN)
+    chosen = beta.select_regions(beta.one_vs_rest(values.join(seen.select("region_id"), "region_id"), fit), 4, 0.0)
+    want = models.assemble(beta.impute_medians(values, fit, samples, chosen), "sample_id", "region_id", "region_beta")
+    assert dict(found.collect()) == dict(want.collect()) and found.count() == 2003
+
+
+def test_medians_outside_their_bounds_are_taken_whole(spark, monkeypatch):
+    from locusframe.operators import beta
+
+    values = spark.createDataFrame([(r, float(i)) for r in range(2) for i in range(100 + r)], "region_id long, region_beta double")
+    monkeypatch.setattr(F, "percentile_approx", lambda c, *rest: F.array(F.max(c), F.max(c)))
+    assert beta.medians(values, [0, 1]) == {0: 49.5, 1: 50.0}
+
+
+def test_samples_meet_their_folds_once(spark):
+    from locusframe.operators import models
+
+    samples = spark.createDataFrame([(s, s, s % 2) for s in range(30)], "sample_id long, patient_id long, label_idx int")
+    places = spark.createDataFrame([(f, p, "test" if p % 3 == f else "train") for f in range(3) for p in range(30)], "fold int, patient_id long, split string")
+    plans = []
+
+    def features(fit, placed):
+        plans.append(placed._jdf.queryExecution().executedPlan().toString())
+        return placed.select("sample_id", F.col("sample_id").cast("double").alias("x")).where("false").select("sample_id", F.expr("array(x)").alias("features"))
+
+    found = models.fold_loop(features, samples, places)
+    assert found.select("fold", "sample_id").distinct().count() == 30 and len(plans) == 3 and not any("Join" in p for p in plans)
