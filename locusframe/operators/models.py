@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from ..sources.shared import kept, new_path
 
 
+FITTED = 1 << 15  # samples worth a task of their own in each step of a fit, up to the cores
+HELD = 1 << 19  # samples that a task holds at most
+
+
+def tasks_for(n: int, cores: int) -> int:
+    """Tasks to fit n samples in: one for FITTED samples up to the cores, since a boosted model takes thousands of short steps."""
+    return max(min(cores, n // FITTED + 1), n // HELD + 1)
+
+
 def balanced_weights(samples: DataFrame) -> DataFrame:
     """samples with weight n / (classes * class size)."""
     sizes = samples.groupBy("label_idx").agg(F.count("*").alias("k"))
@@ -57,11 +66,14 @@ def fit_predict(features: DataFrame, samples: DataFrame, c: float = 1.0, trees:
     boosts, for each class against the rest that many trees of depth 3, each fitted to the gradient of the logistic loss on
     four fifths of the rows and added at `rate`, and the classes' probabilities divided by their sum.
 
-    features and samples, a row for each sample, are written to the shared folder: fitting reads them many times. If no fit
+    features and samples, a row for each sample, are written to the shared folder, in as many files as there are tasks to fit
+    in: fitting reads them many times, and a file of one row group is one task, whatever the cores. If no fit
     sample has features, as when no region was selected, the fit samples' classes are equally likely; without fit samples
     there are no predictions.
     """
-    path = new_path(features.sparkSession)
+    path, tasks = new_path(features.sparkSession), tasks_for(samples.count(), features.sparkSession.sparkContext.defaultParallelism)
+    if tasks > 1:
+        features, samples = (rows.repartition(tasks, "sample_id") for rows in (features, samples))
     features.join(samples, "sample_id").write.parquet(path)
     rows = features.sparkSession.read.parquet(path)
     train = balanced_weights(rows.where("split <> 'test'"))

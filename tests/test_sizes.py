@@ -158,3 +158,20 @@ def test_samples_meet_their_folds_once(spark):
 
     found = models.fold_loop(features, samples, places)
     assert found.select("fold", "sample_id").distinct().count() == 30 and len(plans) == 3 and not any("Join" in p for p in plans)
+
+
+def test_models_are_fitted_in_as_many_tasks_as_the_samples_need(spark, monkeypatch):
+    """All features lay in one file, so each step of a fit was one task, whatever the cores."""
+    from locusframe.operators import models
+
+    assert [models.tasks_for(n, 12) for n in (0, 1500, 100_000, 3_800_000, 38_000_000)] == [1, 1, 4, 12, 73]
+    rows = spark.range(400).select(F.col("id").alias("sample_id"), (F.col("id") % 2).cast("int").alias("label_idx"), F.when(F.col("id") % 4 == 3, "test").otherwise("train").alias("split"))
+    features = models.vectors(rows.select("sample_id", F.array((F.col("label_idx") + F.rand(3)).cast("double")).alias("v")), "sample_id", "v")
+    monkeypatch.setattr(models, "FITTED", 100)
+    monkeypatch.setattr(models, "new_path", lambda _: paths[0])
+    import tempfile
+
+    paths = [tempfile.mkdtemp() + "/table"]
+    assert models.fit_predict(features, rows).count() == 200
+    files = spark.read.parquet(paths[0]).select(F.input_file_name().alias("f")).distinct().count()
+    assert files == 4
